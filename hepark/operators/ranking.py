@@ -1,18 +1,20 @@
-"""Distributed prefix sums and ranks.
+"""Distributed ordered scans: prefix sums, ranks, previous-row values.
 
-A window with no ``partitionBy`` (or with a partition key that has only a
-couple of values, like the class label) funnels the whole table through one
-task.  ROC curves, seeded positions, chunking, folds and per-class head cuts
-all need a prefix sum over such a group, so they share a two-phase scheme:
+A window with no ``partitionBy`` (or with a key that has only a couple of
+values, like the class label) funnels the whole table through one task.
+ROC curves, seeded positions, chunking, folds and per-class head cuts all
+need an ordered scan over such a group, so they share a two-phase scheme:
 
 1. every row gets a *bucket*: a monotone function of the order column that
    splits each group into ``buckets`` ranges of similar size (md5 prefixes are
-   uniform; numeric columns use approximate per-group quantiles);
-2. bucket totals (``#groups x buckets`` rows, tiny) are turned into bucket
-   offsets with a window over that small table;
-3. a local window inside ``(group, bucket)`` finishes the sum, and the offset
-   is joined back (a small side; AQE broadcasts it when its runtime size is
-   small enough, otherwise it stays a shuffle join).
+   uniform; numeric columns use approximate per-group quantiles; a later pass
+   may reuse the bucket of an earlier one);
+2. a local window inside ``(group, bucket)`` computes the in-bucket part;
+3. one aggregate per ``(group, bucket)`` (``#groups x buckets`` rows, tiny)
+   gives bucket totals and the bucket's last row; a window over that small
+   table turns them into offsets, group totals and the carry-in row;
+4. the small table is joined back on ``(group, bucket)`` (AQE broadcasts it
+   when its runtime size is small, otherwise it stays a shuffle join).
 
 No task ever sees more than one bucket of one group.
 """
@@ -56,48 +58,91 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
     return j.withColumn(out, F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order_col: str, sum_cols: Sequence[str],
-                buckets: int | None = None, bucket_col: Column | None = None,
-                suffix: str = "_below") -> DataFrame:
-    """For each row add ``<c><suffix>`` = sum of ``c`` over rows of the same
-    group whose ``order_col`` is strictly smaller.  ``order_col`` must be unique
-    inside a group (aggregate ties first)."""
+def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
+                 sums: Sequence[str] = (), prevs: Sequence[str] = (),
+                 totals: bool = False, buckets: int | None = None,
+                 bucket: str | Column | None = None, keep_bucket: bool = False) -> DataFrame:
+    """One distributed pass over each group in ``order_col`` order.
+
+    Adds, per row:
+      * ``<c>_below``  sum of ``c`` over rows of the group strictly before it;
+      * ``prev_<c>``   value of ``c`` on the row just before it (null on the first);
+      * ``<c>_total``  group total of ``c`` (when ``totals``), and ``n_group``.
+    ``order_col`` must be unique inside a group (aggregate ties first).
+    ``bucket`` may name an existing monotone bucket column or give an
+    expression; by default per-group quantile buckets are computed.
+    """
     by = list(by)
     buckets = buckets or _default_buckets(df)
-    if bucket_col is not None:
-        b = df.withColumn("_bkt", bucket_col)
+    if isinstance(bucket, str):
+        b = df.withColumnRenamed(bucket, "_bkt") if bucket != "_bkt" else df
+    elif bucket is not None:
+        b = df.withColumn("_bkt", bucket)
     else:
         b = quantile_buckets(df, by, order_col, buckets)
-    w_local = (Window.partitionBy(*by, "_bkt").orderBy(order_col)
-               .rowsBetween(Window.unboundedPreceding, -1))
-    local = b
-    for c in sum_cols:
-        local = local.withColumn(f"_loc_{c}", F.coalesce(F.sum(c).over(w_local), F.lit(0)))
-    tot = b.groupBy(*by, "_bkt").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    w_off = Window.partitionBy(*by).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot
-    for c in sum_cols:
-        offs = offs.withColumn(f"_off_{c}", F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)))
-    offs = offs.select(*by, "_bkt", *[f"_off_{c}" for c in sum_cols])
+
+    w = Window.partitionBy(*by, "_bkt").orderBy(order_col)
+    wl = w.rowsBetween(Window.unboundedPreceding, -1)
+    local_cols = {f"_loc_{c}": F.coalesce(F.sum(c).over(wl), F.lit(0)) for c in sums}
+    local_cols.update({f"_lprev_{c}": F.lag(c).over(w) for c in prevs})
+    local_cols["_lrn"] = F.row_number().over(w)
+    local = b.withColumns(local_cols)
+
+    aggs = [F.sum(c).alias(f"_bt_{c}") for c in sums]
+    aggs += [F.max_by(c, order_col).alias(f"_blast_{c}") for c in prevs]
+    aggs.append(F.count(F.lit(1)).cast("long").alias("_bn"))
+    tot = b.groupBy(*by, "_bkt").agg(*aggs)
+    wo = Window.partitionBy(*by).orderBy("_bkt")
+    wob = wo.rowsBetween(Window.unboundedPreceding, -1)
+    wg = Window.partitionBy(*by)
+    off_cols = {f"_off_{c}": F.coalesce(F.sum(f"_bt_{c}").over(wob), F.lit(0)) for c in sums}
+    off_cols.update({f"_pprev_{c}": F.lag(f"_blast_{c}").over(wo) for c in prevs})
+    if totals:
+        off_cols.update({f"{c}_total": F.sum(f"_bt_{c}").over(wg) for c in sums})
+        off_cols["n_group"] = F.sum("_bn").over(wg)
+    offs = tot.withColumns(off_cols).select(*by, "_bkt", *off_cols.keys())
+
     out = local.join(offs, by + ["_bkt"], "inner")
-    for c in sum_cols:
-        out = out.withColumn(f"{c}{suffix}", F.col(f"_off_{c}") + F.col(f"_loc_{c}"))
-    return out.drop("_bkt", *[f"_loc_{c}" for c in sum_cols], *[f"_off_{c}" for c in sum_cols])
+    fin = {f"{c}_below": F.col(f"_off_{c}") + F.col(f"_loc_{c}") for c in sums}
+    fin.update({f"prev_{c}": F.when(F.col("_lrn") == 1, F.col(f"_pprev_{c}"))
+                .otherwise(F.col(f"_lprev_{c}")) for c in prevs})
+    out = out.withColumns(fin)
+    drop = ([f"_loc_{c}" for c in sums] + [f"_off_{c}" for c in sums]
+            + [f"_lprev_{c}" for c in prevs] + [f"_pprev_{c}" for c in prevs] + ["_lrn"])
+    out = out.drop(*drop)
+    if not keep_bucket:
+        out = out.drop("_bkt")
+    return out
+
+
+def prefix_sums(df: DataFrame, by: Sequence[str], order_col: str, sum_cols: Sequence[str],
+                buckets: int | None = None, bucket_col: Column | None = None,
+                suffix: str = "_below") -> DataFrame:
+    """``<c>_below`` = sum of ``c`` over rows of the same group with a strictly
+    smaller ``order_col`` (unique inside a group)."""
+    out = ordered_scan(df, by, order_col, sums=sum_cols, buckets=buckets, bucket=bucket_col)
+    if suffix != "_below":
+        out = out.withColumnsRenamed({f"{c}_below": f"{c}{suffix}" for c in sum_cols})
+    return out
 
 
 def positions(df: DataFrame, by: Sequence[str], order_col: str, out: str = "pos",
-              buckets: int | None = None, hex_order: bool = False) -> DataFrame:
+              buckets: int | None = None, hex_order: bool = False, totals: bool = False,
+              bucket: str | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` inside ``by`` ordered by a unique
     ``order_col`` without a window over the whole group.
 
     ``hex_order=True`` declares ``order_col`` an md5 hex digest, whose prefix
-    is a balanced bucket with no quantile pass.
+    is a balanced bucket with no quantile pass.  ``totals`` adds ``n_group``.
     """
     buckets = buckets or _default_buckets(df)
-    bcol = hex_bucket(order_col, buckets) if hex_order else None
-    r = prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), by, order_col, ["_one"],
-                    buckets=buckets, bucket_col=bcol)
-    return r.withColumn(out, (F.col("_one_below") + 1).cast("long")).drop("_one", "_one_below")
+    bcol = bucket if bucket is not None else (hex_bucket(order_col, buckets) if hex_order else None)
+    r = ordered_scan(df.withColumn("_one", F.lit(1).cast("long")), by, order_col, sums=["_one"],
+                     buckets=buckets, bucket=bcol, totals=totals)
+    r = r.withColumn(out, (F.col("_one_below") + 1).cast("long")).drop("_one", "_one_below")
+    if totals:
+        r = r.drop("_one_total")
+    return r
 
 
 def group_counts(df: DataFrame, by: Sequence[str], out: str = "_n") -> DataFrame:

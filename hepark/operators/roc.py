@@ -3,9 +3,9 @@
 Everything starts from per-(group, score) positive/negative counts, which is
 a partial (map-side) aggregate: a score value that holds a third of all rows
 collapses to one row before the shuffle.  Prefix sums over the distinct
-scores use the two-phase scheme of :mod:`hepark.operators.ranking`, and
-neighbouring vertices are found by an equi-join on the vertex rank, so no
-step runs a window over a whole group.
+scores use the two-phase ordered scan of :mod:`hepark.operators.ranking`,
+which also hands each vertex its neighbour's counts, so no step runs a
+window over a whole group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hepark.operators.ranking import positions, prefix_sums
+from hepark.operators.ranking import ordered_scan
 
 # fixed values: the TPR grid of the saved ROC curves (100 points from 0.025
 # to 0.99) and the working point of the efficiency report
@@ -35,12 +35,6 @@ def score_counts(scores: DataFrame, by: Sequence[str] = (), score: str = "score"
             .agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
 
 
-def _with_totals(c: DataFrame, by: Sequence[str]) -> DataFrame:
-    tot = c.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
-                             F.count(F.lit(1)).cast("long").alias("n_thr"))
-    return c.join(tot, list(by), "inner") if by else c.crossJoin(tot)
-
-
 def auc(scores: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y",
         buckets: int | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Tie-aware AUC per group (trapezoid = Mann-Whitney with half credit).
@@ -48,7 +42,7 @@ def auc(scores: DataFrame, by: Sequence[str] = (), score: str = "score", label:
     Null when a group has only one class."""
     by = list(by)
     c = counts if counts is not None else score_counts(scores, by, score, label)
-    c = prefix_sums(c, by, "score", ["neg"], buckets=buckets)
+    c = ordered_scan(c, by, "score", sums=["neg"], buckets=buckets)
     part = c.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / F.lit(2.0))).alias("_u"),
         F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -66,45 +60,44 @@ def roc_curve(scores: DataFrame, by: Sequence[str] = (), score: str = "score", l
     (pos, neg) counts differ from the next lower threshold's (the second
     difference of the cumulative counts is non-zero); groups with at most two
     thresholds keep all.  Columns: by..., thr_idx, threshold, tp, fp, tpr, fpr.
+
+    One ordered scan over the distinct scores gives cumulative counts, ranks,
+    group totals and the lower neighbour's counts together.
     """
     by = list(by)
-    c = score_counts(scores, by, score, label)
-    c = prefix_sums(c, by, "score", ["pos", "neg"], buckets=buckets)
-    c = _with_totals(c, by)
-    # ascending rank of the distinct score = count of lower scores + 1
-    c = positions(c, by, "score", out="rk", buckets=buckets)
-    c = c.withColumn("thr_idx", (F.col("n_thr") - F.col("rk") + 1).cast("long"))
-    c = (c.withColumn("tp", (F.col("P") - F.col("pos_below")).cast("long"))
-          .withColumn("fp", (F.col("N") - F.col("neg_below")).cast("long")))
+    c = score_counts(scores, by, score, label).withColumn("_one", F.lit(1).cast("long"))
+    c = ordered_scan(c, by, "score", sums=["pos", "neg", "_one"], prevs=["pos", "neg"],
+                     totals=True, buckets=buckets)
+    c = c.select(*by, "score", "pos", "neg", "prev_pos", "prev_neg",
+                 F.col("pos_total").alias("P"), F.col("neg_total").alias("N"),
+                 F.col("n_group").alias("n_thr"),
+                 (F.col("_one_below") + 1).alias("rk"),
+                 (F.col("n_group") - F.col("_one_below")).cast("long").alias("thr_idx"),
+                 (F.col("pos_total") - F.col("pos_below")).cast("long").alias("tp"),
+                 (F.col("neg_total") - F.col("neg_below")).cast("long").alias("fp"))
     if drop_intermediate:
-        nxt = c.select(*by, (F.col("rk") + 1).alias("rk"),
-                       F.col("pos").alias("pos_next"), F.col("neg").alias("neg_next"))
-        # the next *lower* score has rank rk-1; shift it up by one to join
-        c = c.join(nxt, by + ["rk"], "left")
         keep = ((F.col("n_thr") <= 2) | (F.col("thr_idx") == 1) | (F.col("rk") == 1)
-                | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
+                | (F.col("prev_pos") != F.col("pos")) | (F.col("prev_neg") != F.col("neg")))
         c = c.filter(keep)
     pts = c.select(*by, "thr_idx", F.col("score").alias("threshold"), "tp", "fp", "P", "N")
-    origin = (c.select(*by, "P", "N").distinct() if by else c.select("P", "N").limit(1))
-    origin = origin.select(*by, F.lit(0).cast("long").alias("thr_idx"),
-                           F.lit(None).cast("double").alias("threshold"),
-                           F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"),
-                           "P", "N")
+    origin = c.filter(F.col("thr_idx") == 1).select(
+        *by, F.lit(0).cast("long").alias("thr_idx"), F.lit(None).cast("double").alias("threshold"),
+        F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "P", "N")
     allp = pts.unionByName(origin)
     return allp.select(*by, "thr_idx", "threshold", "tp", "fp",
-                       (F.col("tp") / F.col("P")).alias("tpr"),
-                       (F.col("fp") / F.col("N")).alias("fpr"))
+                       F.try_divide(F.col("tp").cast("double"), F.col("P").cast("double")).alias("tpr"),
+                       F.try_divide(F.col("fp").cast("double"), F.col("N").cast("double")).alias("fpr"))
 
 
 def roc_segments(roc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Consecutive kept vertices as segments (tpr0, fpr0) -> (tpr1, fpr1)."""
+    """Consecutive kept vertices as segments (tpr0, fpr0) -> (tpr1, fpr1);
+    the last vertex has a null end."""
     by = list(by)
-    r = positions(roc, by, "thr_idx", out="_seq")
-    nxt = r.select(*by, (F.col("_seq") - 1).alias("_seq"),
-                   F.col("tpr").alias("tpr1"), F.col("fpr").alias("fpr1"))
-    return (r.join(nxt, by + ["_seq"], "left")
-            .select(*by, F.col("_seq").alias("seg"), F.col("tpr").alias("tpr0"),
-                    F.col("fpr").alias("fpr0"), "tpr1", "fpr1"))
+    r = roc.withColumn("_nidx", -F.col("thr_idx"))
+    r = ordered_scan(r, by, "_nidx", prevs=["tpr", "fpr"])
+    return r.select(*by, F.col("thr_idx").alias("seg"), F.col("tpr").alias("tpr0"),
+                    F.col("fpr").alias("fpr0"), F.col("prev_tpr").alias("tpr1"),
+                    F.col("prev_fpr").alias("fpr1"))
 
 
 def roc_on_grid(roc: DataFrame, by: Sequence[str] = (), grid: Sequence[float] | None = None) -> DataFrame:
