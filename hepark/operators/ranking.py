@@ -60,13 +60,14 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
 
 def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
                  sums: Sequence[str] = (), prevs: Sequence[str] = (),
-                 totals: bool = False, buckets: int | None = None,
+                 carries: Sequence[str] = (), totals: bool = False, buckets: int | None = None,
                  bucket: str | Column | None = None, keep_bucket: bool = False) -> DataFrame:
     """One distributed pass over each group in ``order_col`` order.
 
     Adds, per row:
       * ``<c>_below``  sum of ``c`` over rows of the group strictly before it;
       * ``prev_<c>``   value of ``c`` on the row just before it (null on the first);
+      * ``carry_<c>``  last non-null ``c`` at or before the row (forward fill);
       * ``<c>_total``  group total of ``c`` (when ``totals``), and ``n_group``.
     ``order_col`` must be unique inside a group (aggregate ties first).
     ``bucket`` may name an existing monotone bucket column or give an
@@ -85,11 +86,15 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     wl = w.rowsBetween(Window.unboundedPreceding, -1)
     local_cols = {f"_loc_{c}": F.coalesce(F.sum(c).over(wl), F.lit(0)) for c in sums}
     local_cols.update({f"_lprev_{c}": F.lag(c).over(w) for c in prevs})
+    local_cols.update({f"_lcar_{c}": F.last(c, ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)) for c in carries})
     local_cols["_lrn"] = F.row_number().over(w)
     local = b.withColumns(local_cols)
 
     aggs = [F.sum(c).alias(f"_bt_{c}") for c in sums]
     aggs += [F.max_by(c, order_col).alias(f"_blast_{c}") for c in prevs]
+    aggs += [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order_col))).alias(f"_bnn_{c}")
+             for c in carries]
     aggs.append(F.count(F.lit(1)).cast("long").alias("_bn"))
     tot = b.groupBy(*by, "_bkt").agg(*aggs)
     wo = Window.partitionBy(*by).orderBy("_bkt")
@@ -97,6 +102,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     wg = Window.partitionBy(*by)
     off_cols = {f"_off_{c}": F.coalesce(F.sum(f"_bt_{c}").over(wob), F.lit(0)) for c in sums}
     off_cols.update({f"_pprev_{c}": F.lag(f"_blast_{c}").over(wo) for c in prevs})
+    off_cols.update({f"_pcar_{c}": F.last(f"_bnn_{c}", ignorenulls=True).over(wob) for c in carries})
     if totals:
         off_cols.update({f"{c}_total": F.sum(f"_bt_{c}").over(wg) for c in sums})
         off_cols["n_group"] = F.sum("_bn").over(wg)
@@ -106,9 +112,11 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     fin = {f"{c}_below": F.col(f"_off_{c}") + F.col(f"_loc_{c}") for c in sums}
     fin.update({f"prev_{c}": F.when(F.col("_lrn") == 1, F.col(f"_pprev_{c}"))
                 .otherwise(F.col(f"_lprev_{c}")) for c in prevs})
+    fin.update({f"carry_{c}": F.coalesce(F.col(f"_lcar_{c}"), F.col(f"_pcar_{c}")) for c in carries})
     out = out.withColumns(fin)
     drop = ([f"_loc_{c}" for c in sums] + [f"_off_{c}" for c in sums]
-            + [f"_lprev_{c}" for c in prevs] + [f"_pprev_{c}" for c in prevs] + ["_lrn"])
+            + [f"_lprev_{c}" for c in prevs] + [f"_pprev_{c}" for c in prevs]
+            + [f"_lcar_{c}" for c in carries] + [f"_pcar_{c}" for c in carries] + ["_lrn"])
     out = out.drop(*drop)
     if not keep_bucket:
         out = out.drop("_bkt")
@@ -157,3 +165,41 @@ def ntile_of(pos: Column, n: Column, k: int) -> Column:
     big = r * (q + 1)
     return F.when(pos <= big, F.floor((pos - 1) / (q + 1))).otherwise(
         r + F.floor((pos - 1 - big) / F.greatest(q, F.lit(1)))).cast("int")
+
+
+def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    buckets: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles (numpy's default method) per group.
+
+    Spark's exact ``percentile`` keeps every distinct value of a group in one
+    task's memory; here the work is two ordered scans:
+    distinct values with counts -> cumulative counts (rank ranges); then the
+    target ranks ``floor/ceil((n-1)p)`` are merged into the ordered values and
+    pick up the value covering them by a forward fill.
+    Output: by..., ``p_idx`` (int), ``p``, ``q``.
+    """
+    by = list(by)
+    c = long.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).cast("long").alias("_cnt"))
+    s = ordered_scan(c, by, "_v", sums=["_cnt"], totals=True, buckets=buckets)
+    data = s.select(*by, (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
+    n = s.select(*by, F.col("_cnt_total").alias("_n")).distinct()
+    spark = long.sparkSession
+    pt = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_idx int, p double")
+    h = (F.col("_n") - 1).cast("double") * F.col("p")
+    # one row per (group, prob, side): bounded by #groups x #probs
+    tg = (n.crossJoin(F.broadcast(pt))
+          .withColumn("_h", h)
+          .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+          .withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")).cast("long"))
+          .select(*by, "p_idx", "p", "_h", "_side", (F.col("_r") * 2 + 1).alias("_ord"),
+                  F.lit(None).cast("double").alias("_v")))
+    u = data.select(*by, F.lit(None).cast("int").alias("p_idx"), F.lit(None).cast("double").alias("p"),
+                    F.lit(None).cast("double").alias("_h"), F.lit(None).cast("int").alias("_side"),
+                    "_ord", "_v").unionByName(tg)
+    u = ordered_scan(u, by, "_ord", carries=["_v"], buckets=buckets).filter(F.col("p_idx").isNotNull())
+    piv = u.groupBy(*by, "p_idx", "p", "_h").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("carry__v"))).alias("_lo"),
+        F.max(F.when(F.col("_side") == 1, F.col("carry__v"))).alias("_hi"))
+    t = F.col("_h") - F.floor("_h")
+    return piv.select(*by, "p_idx", "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * t).alias("q"))

@@ -48,9 +48,9 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
     d = positions(d, [label], "ord", out="_rn", hex_order=True)
     cnt = group_counts(df, [label], "_n")
     cnt = cnt.withColumn("_v", F.ceil(F.lit(float(p)) * F.col("_n")).cast("long"))
-    tot = cnt.agg(F.sum("_v").alias("_V"), F.sum(F.col("_n") - F.col("_v")).alias("_R"))
+    tot = cnt.agg(F.sum("_v").alias("_vsum"), F.sum(F.col("_n") - F.col("_v")).alias("_rsum"))
     cnt = cnt.crossJoin(tot).withColumn(
-        "_t", F.ceil(F.try_divide(F.col("_V").cast("double"), F.col("_R").cast("double"))
+        "_t", F.ceil(F.try_divide(F.col("_vsum").cast("double"), F.col("_rsum").cast("double"))
                      * (F.col("_n") - F.col("_v"))).cast("long"))
     # one row per class: the size is bounded by the number of classes
     d = d.join(F.broadcast(cnt.select(label, "_v", "_t")), label, "inner")
