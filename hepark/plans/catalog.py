@@ -1,7 +1,7 @@
 """Import every query module so the registry is filled."""
 
 from hepark.plans import registry
-from hepark.plans import q_features, q_hist, q_io, q_roc, q_sampling, q_scaling, q_scoring  # noqa: F401
+from hepark.plans import q_features, q_fitting, q_hist, q_io, q_roc, q_sampling, q_scaling, q_scoring  # noqa: F401
 
 
 def queries():
