@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hepark.functions.exprs import hex_bucket
+from hepark.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
 
@@ -61,7 +62,8 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
 def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
                  sums: Sequence[str] = (), prevs: Sequence[str] = (),
                  carries: Sequence[str] = (), totals: bool = False, buckets: int | None = None,
-                 bucket: str | Column | None = None, keep_bucket: bool = False) -> DataFrame:
+                 bucket: str | Column | None = None, keep_bucket: bool = False,
+                 materialize: bool = True) -> DataFrame:
     """One distributed pass over each group in ``order_col`` order.
 
     Adds, per row:
@@ -71,7 +73,10 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
       * ``<c>_total``  group total of ``c`` (when ``totals``), and ``n_group``.
     ``order_col`` must be unique inside a group (aggregate ties first).
     ``bucket`` may name an existing monotone bucket column or give an
-    expression; by default per-group quantile buckets are computed.
+    expression; by default per-group quantile buckets are computed.  The
+    quantile path reads its input twice (boundaries, then rows), so with
+    ``materialize`` the input is first written as a reliable checkpoint in
+    the cluster's shared checkpoint folder instead of being recomputed.
     """
     by = list(by)
     buckets = buckets or _default_buckets(df)
@@ -80,6 +85,8 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     elif bucket is not None:
         b = df.withColumn("_bkt", bucket)
     else:
+        if materialize:
+            df = cut_lineage(df)
         b = quantile_buckets(df, by, order_col, buckets)
 
     w = Window.partitionBy(*by, "_bkt").orderBy(order_col)
