@@ -303,3 +303,17 @@ def wasserstein(spark, sf_dir):
     s = scored(spark, sf_dir)
     w = I.wasserstein(s.filter(F.col("y") == 1), s.filter(F.col("y") == 0), W_PROBS, x="latent")
     return w.select(F.col("dim").cast("int"), rnd("w1").alias("w1"))
+
+
+def _split_sql() -> str:
+    from hepark.plans.q_sampling import SQL_SPLIT
+    return SQL_SPLIT
+
+
+@query("loss_by_split", f"""WITH {NET_CTES}, e AS ({SQL_ROW_ERR}), sp AS ({_split_sql()})
+SELECT split, {R('avg(err)')} AS loss, CAST(count(*) AS BIGINT) AS n_rows FROM e JOIN sp USING (k) GROUP BY split""")
+def loss_by_split(spark, sf_dir):
+    s = D.stratified_split(scored(spark, sf_dir), 0.1, seed=7)
+    r = s.groupBy("split").agg(F.avg(I.row_sq_err("x", "recon")).alias("loss"),
+                               F.count(F.lit(1)).cast("long").alias("n_rows"))
+    return r.select("split", rnd("loss").alias("loss"), "n_rows")
