@@ -186,11 +186,11 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
     Output: by..., ``p_idx`` (int), ``p``, ``q``.
     """
     by = list(by)
-    c = long.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).cast("long").alias("_cnt"))
-    s = ordered_scan(c, by, "_v", sums=["_cnt"], totals=True, buckets=buckets)
+    c = cut_lineage(long.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).cast("long").alias("_cnt")))
+    s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, materialize=False)
     data = s.select(*by, (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
-    n = s.select(*by, F.col("_cnt_total").alias("_n")).distinct()
+    n = c.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     spark = long.sparkSession
     pt = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_idx int, p double")
     h = (F.col("_n") - 1).cast("double") * F.col("p")

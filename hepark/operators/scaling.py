@@ -230,33 +230,42 @@ def _quantile_udf(table: dict, width: int):
 
 
 def apply_scaler(df: DataFrame, params: DataFrame, x: str = "x", out: str | None = None) -> DataFrame:
-    """Transform the feature array with fitted parameters (a one-row
-    broadcast; the quantile table has #features rows)."""
+    """Transform the feature array with fitted parameters.
+
+    The parameter table has one row of per-feature arrays (the quantile table
+    has one row per feature), so it is read once on the driver - its size is
+    bounded by the number of features (x quantiles) - and inlined as literal
+    arrays: the transform is a plain projection, no join."""
     out = out or x
-    norm = params.select("norm").first()[0]
+    rows = params.collect()
+    norm = rows[0]["norm"]
     xs = F.col(x).cast("array<double>")
     if norm == "vanilla":
         return df.withColumn(out, xs)
     if norm == "quantile":
-        rows = params.select("feature", "quantiles", "references").collect()  # #features rows
         table = {int(r["feature"]): (np.asarray(r["quantiles"], dtype=np.float64),
                                      np.asarray(r["references"], dtype=np.float64)) for r in rows}
         return df.withColumn(out, _quantile_udf(table, len(table))(xs))
-    p = params.drop("norm")
-    pc = [f"_p_{c}" for c in p.columns]
-    j = df.crossJoin(F.broadcast(p.toDF(*pc)))
+    p = rows[0]
+
+    def lit_arr(name):
+        return F.array(*[F.lit(float(v)) for v in p[name]])
+
     if norm == "minmax":
-        e = F.transform(xs, lambda v, i: v * F.col("_p_a")[i] + F.col("_p_b")[i])
+        a, b = lit_arr("a"), lit_arr("b")
+        e = F.transform(xs, lambda v, i: v * a[i] + b[i])
     elif norm == "maxabs":
-        e = F.transform(xs, lambda v, i: v / F.col("_p_a")[i])
+        a = lit_arr("a")
+        e = F.transform(xs, lambda v, i: v / a[i])
     elif norm in ("std", "robust"):
-        e = F.transform(xs, lambda v, i: (v - F.col("_p_b")[i]) / F.col("_p_a")[i])
+        a, b = lit_arr("a"), lit_arr("b")
+        e = F.transform(xs, lambda v, i: (v - b[i]) / a[i])
     elif norm == "power":
-        e = F.transform(xs, lambda v, i: (yeo_johnson(v, F.col("_p_lam")[i]) - F.col("_p_b")[i])
-                        / F.col("_p_a")[i])
+        a, b, lam = lit_arr("a"), lit_arr("b"), lit_arr("lam")
+        e = F.transform(xs, lambda v, i: (yeo_johnson(v, lam[i]) - b[i]) / a[i])
     else:  # pragma: no cover
         raise TypeError(norm)
-    return j.withColumn(out, e).drop(*pc)
+    return df.withColumn(out, e)
 
 
 def normalise(df: DataFrame, name: str, x: str = "x", fit_on: str = "all", **kw) -> DataFrame:
