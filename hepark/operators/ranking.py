@@ -30,24 +30,45 @@ from hepark.functions.exprs import hex_bucket
 from hepark.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
+MAX_BUCKETS = 4096
+BYTES_PER_BUCKET = 64 * 1024 * 1024
+LOOKUP_BLOCK = 32
 
 
 def _default_buckets(df: DataFrame) -> int:
+    """Buckets per group from Catalyst's size estimate of the input (no job):
+    about one bucket per 64 MiB, at least 64, at most 4096, a multiple of 32."""
     try:
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        n = 8
-    return max(DEFAULT_BUCKETS, 4 * n)
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # pragma: no cover - estimate unavailable
+        size = 0
+    want = -(-size // BYTES_PER_BUCKET)
+    b = max(DEFAULT_BUCKETS, min(MAX_BUCKETS, want))
+    return -(-b // LOOKUP_BLOCK) * LOOKUP_BLOCK
+
+
+def bounds_lookup(bounds: Column, v: Column, n_bounds: int) -> Column:
+    """Number of (sorted) boundaries below ``v`` with about 2*sqrt(n) comparisons:
+    count the block heads below ``v``, then the boundaries of that one block."""
+    k = LOOKUP_BLOCK
+    if n_bounds <= 2 * k:
+        return F.size(F.filter(bounds, lambda b: b < v))
+    heads = F.array(*[F.element_at(bounds, i + 1) for i in range(0, n_bounds, k)])
+    c = F.size(F.filter(heads, lambda b: b < v))
+    start = (c - 1) * F.lit(k)
+    fine = F.size(F.filter(F.slice(bounds, start + 1, F.lit(k)), lambda b: b < v))
+    return F.when(c == 0, F.lit(0)).otherwise(start + fine)
 
 
 def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets: int,
-                     accuracy: int = 10000, out: str = "_bkt") -> DataFrame:
+                     accuracy: int | None = None, out: str = "_bkt") -> DataFrame:
     """Attach a monotone bucket id from approximate per-group quantiles.
 
     Only the boundaries (``buckets-1`` values per group) travel; the boundary
     table is joined on ``by`` (or cross-joined as a single row if no group).
     """
     probs = [i / buckets for i in range(1, buckets)]
+    accuracy = accuracy or max(10000, 20 * buckets)
     bounds = df.groupBy(*by).agg(
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
     if by:
@@ -56,7 +77,7 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
         # one row of ``buckets-1`` doubles: size bounded by the parameter
         j = df.crossJoin(F.broadcast(bounds))
     v = F.col(order_col).cast("double")
-    return j.withColumn(out, F.size(F.filter("_bounds", lambda b: b < v))).drop("_bounds")
+    return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
 
 
 def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,

@@ -174,3 +174,22 @@ def test_fit_network_loss_goes_down(spark):
     assert hist.count() == 4
     with pytest.raises(TypeError):
         J.choose_network("nope", [8, 4])
+
+
+def test_bounds_lookup_matches_linear_count(spark):
+    from hepark.operators.ranking import bounds_lookup
+    rng = np.random.default_rng(11)
+    b = np.sort(np.round(rng.normal(size=299), 1))  # many repeated boundaries
+    vals = np.r_[np.round(rng.normal(size=500), 1), b[:20], [-10.0, 10.0]]
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double") \
+              .withColumn("bnd", F.array(*[F.lit(float(x)) for x in b]))
+    got = df.select("v", bounds_lookup(F.col("bnd"), F.col("v"), len(b)).alias("c")).toPandas()
+    exp = [int((b < v).sum()) for v in got["v"]]
+    assert list(got["c"]) == exp
+
+
+def test_positions_many_buckets(spark):
+    df = spark.createDataFrame([(i % 2, float((i * 7919) % 10007)) for i in range(5000)], "g int, s double")
+    got = positions(df, ["g"], "s", out="pos", buckets=512).toPandas()
+    for g, part in got.groupby("g"):
+        assert (part["pos"].to_numpy() == part["s"].rank(method="first").astype(int).to_numpy()).all()
