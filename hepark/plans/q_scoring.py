@@ -276,15 +276,38 @@ def support_counts(spark, sf_dir):
 
 # ------------------------------------------------------------------ F2, I5, I6
 
-@query("variational_scores")
+def _sql_noise(seed: int, dim: int) -> str:
+    """Box-Muller normals from md5(k|seed|i), as scoring.normal_noise."""
+    h = f"md5(concat(CAST(k AS VARCHAR), '|', '{seed}', '|', CAST(i AS VARCHAR)))"
+    u1 = f"((('0x' || substr({h}, 1, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    u2 = f"((('0x' || substr({h}, 14, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    return (f"SELECT k, CAST(i AS INTEGER) AS i, sqrt(-2.0::DOUBLE * ln({u1})) * cos({2.0 * 3.141592653589793!r}::DOUBLE * {u2}) AS e "
+            f"FROM (SELECT vec_id AS k FROM embeddings), range(0, {dim}) t(i)")
+
+
+VAR_SIZES = [64, 32, 8]
+VAR_PRE = _sql_part(X_LONG, "encoder", VAR_SIZES[:-1], ["elu"] * (len(VAR_SIZES) - 2))
+VAR_MU = _sql_layer("SELECT * FROM pre", "mu", 0, VAR_SIZES[-2], VAR_SIZES[-1], "linear")
+VAR_LV = _sql_layer("SELECT * FROM pre", "logvar", 0, VAR_SIZES[-2], VAR_SIZES[-1], "linear")
+
+
+@query("variational_scores", f"""WITH pre AS ({VAR_PRE}), mu AS ({VAR_MU}), lv AS ({VAR_LV}),
+eps AS ({_sql_noise(11, VAR_SIZES[-1])}),
+ys AS (SELECT vec_id AS k, CAST(label % 2 AS INTEGER) AS y FROM embeddings)
+SELECT mu.k, ys.y, mu.i AS j, {R('mu.v + eps.e * lv.v')} AS value
+FROM mu JOIN lv ON mu.k = lv.k AND mu.i = lv.i JOIN eps ON eps.k = mu.k AND eps.i = mu.i JOIN ys ON ys.k = mu.k""")
 def variational_scores(spark, sf_dir):
     m = S.embedding_matrix(spark, sf_dir)
-    v = Fs.score_variational(m, Fs.variational([64, 32, 8]), seed=11, scale="logvar")
+    v = Fs.score_variational(m, Fs.variational(VAR_SIZES), seed=11, scale="logvar")
     return v.select("k", "y", F.posexplode("latent").alias("j", "value")).select(
         "k", "y", F.col("j").cast("int"), rnd("value").alias("value"))
 
 
-@query("latent_kl")
+@query("latent_kl", f"""WITH {NET_CTES}, eps AS ({_sql_noise(5, SIZES[-1])}),
+z AS (SELECT latent.k, latent.i, latent.v AS z, eps.e FROM latent JOIN eps ON latent.k = eps.k AND latent.i = eps.i),
+n AS (SELECT k, ln(sum(exp(z))) AS lz, ln(sum(exp(e))) AS le FROM z GROUP BY k)
+SELECT {R('sum(exp(e - le) * ((e - le) - (z - lz))) / count(DISTINCT z.k)')} AS latent_kl
+FROM z JOIN n USING (k)""")
 def latent_kl(spark, sf_dir):
     s = scored(spark, sf_dir).withColumn("samples", Fs.normal_noise("k", 5, SIZES[-1]))
     return I.latent_kl(s).select(rnd("latent_kl").alias("latent_kl"))
