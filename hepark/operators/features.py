@@ -171,3 +171,24 @@ def one_hot(df: DataFrame, col: str = "y", n: int | None = None, out: str = "one
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     return df.withColumn(out, F.transform(idx, lambda i: F.when(i == F.col(col), F.lit(1.0))
                                           .otherwise(F.lit(0.0))))
+
+
+# ------------------------------------------------------------------ wide raw tables
+
+def make_flat_features(raw: DataFrame, layout: str = "nobtag", key: str = "event_id",
+                       label: str | None = "y", selection: str | None = SELECTION,
+                       btag_slots: int = JET_SLOTS_RAW) -> DataFrame:
+    """The per-chunk pipeline on a wide raw event table: binarise the b-tag
+    slots, apply the selection, derive MET x/y, keep the leading jet slots and
+    the lepton, and assemble ``x`` (jets | MET | lepton).
+
+    The selection only reads count columns, so Catalyst pushes it below the
+    projections into the parquet scan."""
+    tags = [f"jets_btag_{i}" for i in range(btag_slots) if f"jets_btag_{i}" in raw.columns]
+    d = binarise(raw, tags)
+    if selection:
+        d = select_events(d, selection)
+    d = polar_to_xy(d, "met_pt", "met_phi", "met")
+    d = assemble(d, feature_set(layout))
+    keep = [F.col(key).alias("k")] + ([F.col(label)] if label else [])
+    return d.select(*keep, "x")

@@ -224,3 +224,27 @@ def class_split_counts(spark, sf_dir):
     cnt = lambda d: d.agg(F.count(F.lit(1)).cast("long").alias("n_rows"))
     return (cnt(sig).withColumn("y", F.lit(1)).unionByName(cnt(bkg).withColumn("y", F.lit(0)))
             .select(F.col("y").cast("int"), "n_rows"))
+
+
+# ------------------------------------------------------------------ wide raw events (A1 + B*)
+
+def raw_events(spark, sf_dir) -> DataFrame:
+    """The wide raw layout the reference reads: counts, MET, 10 jet slots of
+    pt, eta, phi, en, px, py, pz and raw b-tag (0..7), one lepton slot."""
+    ev = event_counts(spark, sf_dir)
+    jets = B.flatten_topk(S.jets_long(spark, sf_dir), "event_id", "pt", B.JET_SLOTS_RAW,
+                          B.JET_FEATS_BTAG, "jets")
+    leps = B.flatten_topk(S.leptons_long(spark, sf_dir), "event_id", "pt", B.N_LEPS, B.LEP_FEATS, "leps")
+    raw = ev.join(jets, "event_id", "left").join(leps, "event_id", "left")
+    fill = [c for c in raw.columns if c.startswith("jets_") or c.startswith("leps_")]
+    return raw.fillna(0.0, subset=fill)
+
+
+@query("flat_from_wide", _sql_flat_long("btag"))
+def flat_from_wide(spark, sf_dir):
+    return _long_out(B.make_flat_features(raw_events(spark, sf_dir), "btag"))
+
+
+@query("flat_from_wide_nobtag", _sql_flat_long("nobtag"))
+def flat_from_wide_nobtag(spark, sf_dir):
+    return _long_out(B.make_flat_features(raw_events(spark, sf_dir), "nobtag"))
