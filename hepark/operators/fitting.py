@@ -5,8 +5,9 @@ current mini-batch with the broadcast weights (``mapInPandas`` over Arrow
 batches), Spark reduces them with a grouped sum over parameter slots
 (partial aggregation per partition), and the driver applies the small Adam
 update.  The driver only ever holds the weights and the gradient vector
-(size = #parameters).  Features are persisted once per fit; epochs get a
-seeded md5 batch assignment, so runs are reproducible.
+(size = #parameters).  Each epoch gets a seeded md5 batch assignment written
+once as a batch-partitioned table, so a step scans one batch and runs are
+reproducible.
 """
 
 from __future__ import annotations
@@ -188,16 +189,29 @@ def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: f
     return loss / max(n, 1)
 
 
+def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, n_batches: int) -> str:
+    """Write one epoch's seeded batches as a table partitioned by batch id in
+    the shared checkpoint folder; a step then reads only its own partition.
+    Each batch is written by one task (hash-partitioned on the batch id)."""
+    from hepark.sources.io import scratch_path
+    path = scratch_path(tr.sparkSession, f"epoch{epoch}")
+    eb = tr.withColumn("_b", hex_bucket(order_key(key, seed * 100003 + epoch), n_batches))
+    eb.repartition(min(n_batches, 4096), "_b").write.partitionBy("_b").parquet(path)
+    return path
+
+
 def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5, batch_size: int = 256,
                 lr: float = 0.01, seed: int = 0, key: str = "k", x: str = "x", label: str = "y",
                 w_cls: float = 0.5, patience: int = PATIENCE_AE, run: str = "run") -> tuple[dict, DataFrame]:
     """Mini-batch Adam with best-validation weights and early stopping.
 
+    Each epoch's batches are a seeded md5 assignment written once as a
+    batch-partitioned table, so a step reads one batch, not the whole set.
     Returns (best network, history DataFrame of run, epoch, train_loss,
     valid_loss).  The epoch losses recorded follow the reference: the epoch
     that triggers the stop is not recorded."""
     spark = train.sparkSession
-    tr = train.select(key, x, label).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = train.select(key, x, label)
     va = valid.select(key, x, label).persist(StorageLevel.MEMORY_AND_DISK)
     n = tr.count()
     n_batches = max(1, math.ceil(n / batch_size))
@@ -209,10 +223,11 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
     hist = []
     cur = net
     for ep in range(epochs):
-        eb = tr.withColumn("_b", hex_bucket(order_key(key, seed * 100003 + ep), n_batches))
+        path = _epoch_batches(tr, key, seed, ep, n_batches)
+        present = sorted(int(r[0]) for r in spark.read.parquet(path).select("_b").distinct().collect())
         batch_losses = []
-        for b in range(n_batches):
-            loss, g, cnt = _grad_job(eb.filter(F.col("_b") == b), cur, x, label, w_cls)
+        for b in present:  # at most n_batches ids: bounded by the step count
+            loss, g, cnt = _grad_job(spark.read.parquet(f"{path}/_b={b}"), cur, x, label, w_cls)
             if cnt == 0:
                 continue
             g = g / cnt
@@ -231,7 +246,6 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
         if no_imp >= patience:
             break
         hist.append((run, ep, train_loss, valid_loss))
-    tr.unpersist()
     va.unpersist()
     h = spark.createDataFrame(hist, "run string, epoch int, train_loss double, valid_loss double")
     return best, h
