@@ -273,7 +273,7 @@ def normalise(df: DataFrame, name: str, x: str = "x", fit_on: str = "all", **kw)
     return apply_scaler(df, fit_scaler(df, name, x, fit_on, **kw), x)
 
 
-def norm_pipeline(df: DataFrame, name: str, p_valid: float, seed: int = 0, x: str = "x",
+def normalise_and_split(df: DataFrame, name: str, p_valid: float, seed: int = 0, x: str = "x",
                   key: str = "k", label: str = "y", fit_on: str = "all") -> DataFrame:
     """Normalise, then stratified train/valid/test split (fit on all rows
     by default, as the reference does; ``fit_on='train'`` avoids the leak)."""

@@ -3,9 +3,9 @@
 Model weights are small (bounded by the layer sizes) and travel to executors
 once as a broadcast; rows are scored per Arrow batch with numpy matrix
 products inside a ``pandas_udf`` (no per-row Python).  Kernel scoring
-evaluates each row against a reference set whose size is checked before it
-is broadcast; larger reference sets are processed block by block, so there
-is no cap and no cross join.
+evaluates each row against a bounded reference set (support vectors,
+centroids) that reaches executors in blocks of at most ``block`` rows as
+literal expressions, so there is no cap and no cross join of two row sets.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ NP_ACT = {
     "linear": lambda z: z,
 }
 
-MAX_BROADCAST_REFS = 4096
 
 
 def formula_weight(part: int, layer: int, r: int, c: int) -> float:
@@ -256,7 +255,6 @@ def gram(a: DataFrame, refs: DataFrame, kernel: str = "rbf", x: str = "x", key:
     side should be the bounded one (support vectors, centroids)."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
-    n_ref = refs.count()
     xs = F.col(x).cast("array<double>")
     outs = []
     it = refs.select(ref_key, F.col(x).cast("array<double>").alias("_r")).orderBy(ref_key).toLocalIterator()
@@ -273,7 +271,6 @@ def gram(a: DataFrame, refs: DataFrame, kernel: str = "rbf", x: str = "x", key:
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
-    _ = n_ref
     return out
 
 

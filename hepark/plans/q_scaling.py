@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from hepark.functions.exprs import rnd, sql_order_key, sql_rnd
 from hepark.operators import features as B
-from hepark.operators import sampling as D
 from hepark.operators import scaling as E
 from hepark.plans import standins as S
 from hepark.plans.registry import query
@@ -137,7 +136,7 @@ def power_lambdas(spark, sf_dir):
     return E.best_lambda(long, LAMBDAS).select(F.col("feature").cast("int"), "lam")
 
 
-SQL_NORM_PIPE = f"""
+SQL_NORM_SPLIT = f"""
 WITH l AS ({L}),
 st AS (SELECT feature, 1.0::DOUBLE / CASE WHEN max(value) - min(value) = 0 THEN 1.0::DOUBLE
                                        ELSE max(value) - min(value) END AS a, min(value) AS lo
@@ -155,12 +154,10 @@ SELECT sp.split, l.feature, CAST(count(*) AS BIGINT) AS n_rows,
 FROM l JOIN st USING (feature) JOIN sp USING (k) GROUP BY sp.split, l.feature"""
 
 
-@query("norm_pipeline", SQL_NORM_PIPE)
-def norm_pipeline(spark, sf_dir):
-    out = E.norm_pipeline(S.embedding_matrix(spark, sf_dir), "minmax", 0.2, seed=3)
+@query("normalise_and_split", SQL_NORM_SPLIT)
+def normalise_and_split(spark, sf_dir):
+    out = E.normalise_and_split(S.embedding_matrix(spark, sf_dir), "minmax", 0.2, seed=3)
     long = B.explode_features(out, keep=("split",))
     return long.groupBy("split", "feature").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                                                 rnd(F.avg("value")).alias("mean_value"))
 
-
-_ = D
