@@ -203,7 +203,7 @@ def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
 
 # ------------------------------------------------------------------ apply
 
-def _quantile_udf(table: dict, width: int):
+def _quantile_udf(table, width: int):
     """Arrow-batched uniform quantile map of whole feature arrays (no per-row
     Python): each batch is stacked into a matrix and mapped column by column
     with numpy.interp, forward and backward averaged as scikit-learn does."""
@@ -214,8 +214,9 @@ def _quantile_udf(table: dict, width: int):
             return pd.Series([], dtype=object)
         X = np.vstack([np.asarray(a, dtype=np.float64) for a in xcol.to_numpy()])
         out = np.empty_like(X)
+        tab = table.value
         for fi in range(width):
-            q, r = table[fi]
+            q, r = tab[fi]
             xv = X[:, fi]
             fwd = np.interp(xv, q, r)
             bwd = -np.interp(-xv, -q[::-1], -r[::-1])
@@ -245,7 +246,9 @@ def apply_scaler(df: DataFrame, params: DataFrame, x: str = "x", out: str | None
     if norm == "quantile":
         table = {int(r["feature"]): (np.asarray(r["quantiles"], dtype=np.float64),
                                      np.asarray(r["references"], dtype=np.float64)) for r in rows}
-        return df.withColumn(out, _quantile_udf(table, len(table))(xs))
+        # #features x #quantiles values, shipped once per executor
+        bc = df.sparkSession.sparkContext.broadcast(table)
+        return df.withColumn(out, _quantile_udf(bc, len(table))(xs))
     p = rows[0]
 
     def lit_arr(name):

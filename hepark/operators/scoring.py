@@ -283,14 +283,43 @@ def _gram_block(a, blk, kernel, xs, key, gamma, degree, coef0):
 
 def kernel_scores(df: DataFrame, sv: DataFrame, kernel: str = "rbf", b: float = 0.0,
                   x: str = "x", key: str = "k", alpha: str = "alpha", gamma: float = 1.0,
-                  degree: int = 3, coef0: float = 0.0) -> DataFrame:
-    """decision score sum_i alpha_i K(row, sv_i) + b.  Support vectors are
-    a bounded set; the per-row sum is an aggregate over the block outputs."""
-    svk = sv.select(F.monotonically_increasing_id().alias("ref"), x, alpha)
-    g = gram(df, svk, kernel, x, key, "ref", gamma, degree, coef0)
-    al = svk.select("ref", alpha)
-    return (g.join(F.broadcast(al), "ref").groupBy(key)
-            .agg((F.sum(F.col("kval") * F.col(alpha)) + F.lit(b)).alias("score")))
+                  degree: int = 3, coef0: float = 0.0, block: int = 64) -> DataFrame:
+    """decision score sum_i alpha_i K(row, sv_i) + b.
+
+    The support-vector set is bounded; it reaches executors in blocks of at
+    most ``block`` (vector, alpha) pairs, each block becoming one expression
+    ``sum_i alpha_i K(x, sv_i)`` per row.  Block partial sums are added with a
+    grouped sum (partial aggregation per partition), so no row ids or joins
+    are involved."""
+    if kernel not in KERNELS:
+        raise TypeError(f"unknown kernel {kernel!r}")
+    xs = F.col(x).cast("array<double>")
+    parts = []
+    blk = []
+
+    def flush():
+        e = F.lit(0.0)
+        for vec, a in blk:
+            e = e + F.lit(float(a)) * _kernel_expr(xs, list(vec), kernel, gamma, degree, coef0)
+        parts.append(df.select(key, e.alias("_s")))
+
+    it = sv.select(F.col(x).cast("array<double>").alias("_v"), F.col(alpha).cast("double").alias("_a")) \
+           .toLocalIterator()
+    for row in it:
+        blk.append((row["_v"], row["_a"]))
+        if len(blk) == block:
+            flush()
+            blk = []
+    if blk:
+        flush()
+    if not parts:
+        return df.select(key, F.lit(float(b)).alias("score"))
+    if len(parts) == 1:
+        return parts[0].select(key, (F.col("_s") + F.lit(float(b))).alias("score"))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p)
+    return u.groupBy(key).agg((F.sum("_s") + F.lit(float(b))).alias("score"))
 
 
 def support_counts(sv: DataFrame, label: str = "y") -> DataFrame:
