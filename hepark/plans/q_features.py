@@ -17,11 +17,16 @@ R = sql_rnd
 # ------------------------------------------------------------------ event table
 
 def event_counts(spark, sf_dir) -> DataFrame:
-    """Every order is an event; object counts from the jet and lepton tables."""
+    """Every order is an event; object counts of both object kinds come from
+    one conditional aggregate over all lines (one scan, partial aggregation)."""
     m = S.met(spark, sf_dir)
-    jc = B.count_objects(S.jets_long(spark, sf_dir), "event_id", "btag", "njets", "nbtags")
-    lc = B.count_objects(S.leptons_long(spark, sf_dir), "event_id", None, "nleps")
-    ev = m.join(jc, "event_id", "left").join(lc, "event_id", "left")
+    objs = S.objects_long(spark, sf_dir)
+    jet = F.col("is_lep") == 0
+    c = objs.groupBy("event_id").agg(
+        F.sum(F.when(jet, 1).otherwise(0)).cast("int").alias("njets"),
+        F.sum(F.when(jet & (F.col("btag") >= B.BTAG_THRESHOLD), 1).otherwise(0)).cast("int").alias("nbtags"),
+        F.sum(F.when(jet, 0).otherwise(1)).cast("int").alias("nleps"))
+    ev = m.join(c, "event_id", "left")
     return ev.fillna(0, subset=["njets", "nbtags", "nleps"])
 
 

@@ -48,6 +48,12 @@ def leptons_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.filter(F.col("l_returnflag") == "R").select(*_obj_cols())
 
 
+def objects_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jets and leptons together, ``is_lep`` = 1 for returned lines."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(*_obj_cols(), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("is_lep"))
+
+
 def met(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("event_id"),
