@@ -104,8 +104,11 @@ def kde2d(df: DataFrame, xi: str, xj: str, grid: int = 10, label: str = "y") ->
     st = st.select(label, "n", (F.col("vx") * fac2).alias("sxx"), (F.col("vy") * fac2).alias("syy"),
                    (F.col("cxy") * fac2).alias("sxy"))
     st = st.withColumn("det", F.col("sxx") * F.col("syy") - F.col("sxy") * F.col("sxy"))
-    rng = df.agg(F.min(xi).alias("x0"), F.max(xi).alias("x1"), F.min(xj).alias("y0"), F.max(xj).alias("y1"))
-    par = st.crossJoin(rng)  # one row per class
+    r = df.agg(F.min(xi).alias("x0"), F.max(xi).alias("x1"), F.min(xj).alias("y0"),
+               F.max(xj).alias("y1")).first()  # four numbers
+    if r is None or r["x0"] is None:
+        return df.sparkSession.createDataFrame([], f"{label} int, gx int, gy int, px double, py double, density double")
+    par = st.select("*", *[F.lit(float(r[c])).alias(c) for c in ("x0", "x1", "y0", "y1")])
     g = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("_g")
     e = df.select(label, F.col(xi).alias("_u"), F.col(xj).alias("_v")).join(F.broadcast(par), label).select(
         "*", g)

@@ -28,12 +28,16 @@ def _safe_log(c: Column) -> Column:
     return F.when(c > 0, F.log(c)).otherwise(F.lit(float("-inf")))
 
 
+def bce_row(y: str = "y", p: str = "prob") -> Column:
+    """Per-row binary cross-entropy with logs clamped at -100."""
+    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
+    return -(yy * F.greatest(_safe_log(pp), F.lit(LOG_CLAMP))
+             + (F.lit(1.0) - yy) * F.greatest(_safe_log(F.lit(1.0) - pp), F.lit(LOG_CLAMP)))
+
+
 def bce(df: DataFrame, y: str = "y", p: str = "prob", by: Sequence[str] = ()) -> DataFrame:
     """I2."""
-    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
-    t = -(yy * F.greatest(_safe_log(pp), F.lit(LOG_CLAMP))
-          + (F.lit(1.0) - yy) * F.greatest(_safe_log(F.lit(1.0) - pp), F.lit(LOG_CLAMP)))
-    return df.groupBy(*by).agg(F.avg(t).alias("bce"))
+    return df.groupBy(*by).agg(F.avg(bce_row(y, p)).alias("bce"))
 
 
 def bce_shifted(df: DataFrame, y: str = "y", s: str = "score", by: Sequence[str] = (),
@@ -84,11 +88,14 @@ def wasserstein(a: DataFrame, b: DataFrame, probs: Sequence[float], x: str = "x"
     def long(df, tag):
         xs = F.col(x).cast("array<double>")
         if projections is not None:
-            pr = F.broadcast(projections.select("proj", F.col("dir").cast("array<double>").alias("_d")))
-            j = df.select(xs.alias("_x")).crossJoin(pr)
-            return j.select(F.lit(tag).alias("set"), F.col("proj").cast("int").alias("dim"),
-                            F.aggregate(F.zip_with("_x", "_d", lambda u, v: u * v), F.lit(0.0),
-                                        lambda acc, t: acc + t).alias("value"))
+            # #projections x #dims numbers: read once, inlined as literals
+            dirs = [(int(r["proj"]), [float(v) for v in r["dir"]])
+                    for r in projections.select("proj", "dir").collect()]
+            vals = F.array(*[F.struct(F.lit(pid).alias("dim"), F.aggregate(
+                F.zip_with(xs, F.array(*[F.lit(v) for v in d]), lambda u, w: u * w), F.lit(0.0),
+                lambda acc, t: acc + t).alias("value")) for pid, d in dirs])
+            return df.select(F.lit(tag).alias("set"), F.explode(vals).alias("_p")) \
+                     .select("set", "_p.dim", "_p.value")
         return df.select(F.lit(tag).alias("set"), F.posexplode(xs).alias("dim", "value")) \
                  .withColumn("dim", F.col("dim").cast("int"))
     u = long(a, "a").unionByName(long(b, "b"))

@@ -71,13 +71,16 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
     accuracy = accuracy or max(10000, 20 * buckets)
     bounds = df.groupBy(*by).agg(
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
+    v = F.col(order_col).cast("double")
     if by:
         j = df.join(bounds, list(by), "inner")
-    else:
-        # one row of ``buckets-1`` doubles: size bounded by the parameter
-        j = df.crossJoin(F.broadcast(bounds))
-    v = F.col(order_col).cast("double")
-    return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
+        return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
+    # no group: one row of ``buckets-1`` doubles (bounded by the parameter)
+    # is read once and inlined as a literal array
+    row = bounds.first()
+    vals = row["_bounds"] if row is not None and row["_bounds"] is not None else []
+    lit = F.array(*[F.lit(float(b)) for b in vals]) if vals else F.array().cast("array<double>")
+    return df.withColumn(out, bounds_lookup(lit, v, len(vals)))
 
 
 def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
@@ -212,11 +215,11 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
     s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, materialize=False)
     data = s.select(*by, (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
     n = c.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
-    spark = long.sparkSession
-    pt = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "p_idx int, p double")
+    parr = F.array(*[F.lit(float(p)) for p in probs])
     h = (F.col("_n") - 1).cast("double") * F.col("p")
     # one row per (group, prob, side): bounded by #groups x #probs
-    tg = (n.crossJoin(F.broadcast(pt))
+    tg = (n.select(*by, "_n", F.posexplode(parr).alias("p_idx", "p"))
+          .withColumn("p_idx", F.col("p_idx").cast("int"))
           .withColumn("_h", h)
           .withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
           .withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")).cast("long"))

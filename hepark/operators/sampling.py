@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hepark.functions.exprs import order_key
@@ -48,8 +48,10 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
     d = positions(d, [label], "ord", out="_rn", hex_order=True)
     cnt = group_counts(df, [label], "_n")
     cnt = cnt.withColumn("_v", F.ceil(F.lit(float(p)) * F.col("_n")).cast("long"))
-    tot = cnt.agg(F.sum("_v").alias("_vsum"), F.sum(F.col("_n") - F.col("_v")).alias("_rsum"))
-    cnt = cnt.crossJoin(tot).withColumn(
+    allc = Window.partitionBy()  # over the per-class table: #classes rows
+    cnt = cnt.withColumn("_vsum", F.sum("_v").over(allc)) \
+             .withColumn("_rsum", F.sum(F.col("_n") - F.col("_v")).over(allc))
+    cnt = cnt.withColumn(
         "_t", F.ceil(F.try_divide(F.col("_vsum").cast("double"), F.col("_rsum").cast("double"))
                      * (F.col("_n") - F.col("_v"))).cast("long"))
     # one row per class: the size is bounded by the number of classes
@@ -83,10 +85,10 @@ def chunk(df: DataFrame, n: int = 5, seed: int = 0, key: str = "k", out: str = "
     """Seeded shuffle then ``n`` near-equal chunks (first ``N % n`` one
     row larger, as numpy.array_split / ntile)."""
     by = list(by)
-    d = shuffle(df, key, seed, with_pos=True, by=by)
-    cnt = group_counts(df, by, "_N")
-    d = d.join(cnt, by, "inner") if by else d.crossJoin(F.broadcast(cnt))
-    return d.withColumn(out, ntile_of(F.col("pos"), F.col("_N"), n)).drop("_N")
+    d = df.withColumn("ord", order_key(key, seed))
+    # positions and group sizes come out of the same ordered scan
+    d = positions(d, by, "ord", out="pos", hex_order=True, totals=True)
+    return d.withColumn(out, ntile_of(F.col("pos"), F.col("n_group"), n)).drop("n_group")
 
 
 def batchify(df: DataFrame, b: int | None, rule: str = "fixed", seed: int | None = None,
@@ -97,14 +99,14 @@ def batchify(df: DataFrame, b: int | None, rule: str = "fixed", seed: int | None
     if b is None:
         return df.withColumn(out, F.lit(0))
     if seed is not None:
-        d = shuffle(df, key, seed, with_pos=True)
+        d = positions(df.withColumn("ord", order_key(key, seed)), [], "ord", out="pos",
+                      hex_order=True, totals=True)
     else:
-        d = positions(df, [], key, out="pos")
+        d = positions(df, [], key, out="pos", totals=True)
+    d = d.withColumnRenamed("n_group", "_N")
     if rule == "fixed":
-        return d.withColumn(out, F.floor((F.col("pos") - 1) / F.lit(int(b))).cast("int"))
+        return d.withColumn(out, F.floor((F.col("pos") - 1) / F.lit(int(b))).cast("int")).drop("_N")
     if rule == "equal":
-        cnt = group_counts(df, [], "_N")
-        d = d.crossJoin(F.broadcast(cnt))
         nb = F.ceil(F.col("_N") / F.lit(float(b))).cast("long")
         q = F.floor(F.col("_N") / nb).cast("long")
         r = F.col("_N") - q * nb

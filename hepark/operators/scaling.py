@@ -190,15 +190,16 @@ def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
                 lo, hi = -step, step
             # one lambda per feature: bounded by the layout, so it may visit the driver
             centers = spark.createDataFrame(lam.collect(), "feature int, lam double")
-    lam_arr = lam.groupBy().agg(*[F.max(F.when(F.col("feature") == i, F.col("lam"))).alias(f"l{i}")
-                                  for i in range(n)]).select(_arr("l", n).alias("lam"))
-    t = df.select(F.col(x).cast("array<double>").alias("_x")).crossJoin(F.broadcast(lam_arr))
-    t = t.select(F.zip_with("_x", "lam", lambda v, l: yeo_johnson(v, l)).alias("_t"))
+    # one lambda per feature: bounded by the layout, inlined as literals
+    lam_by_f = {int(r["feature"]): float(r["lam"]) for r in lam.collect()}
+    lam_vals = [lam_by_f[i] for i in range(n)]
+    lam_lit = F.array(*[F.lit(v) for v in lam_vals])
+    t = df.select(F.zip_with(F.col(x).cast("array<double>"), lam_lit, lambda v, l: yeo_johnson(v, l)).alias("_t"))
     st = t.agg(*[F.avg(F.col("_t")[i]).alias(f"mu{i}") for i in range(n)],
                *[F.stddev_pop(F.col("_t")[i]).alias(f"sd{i}") for i in range(n)])
-    st = st.select(_arr("mu", n).alias("b"),
-                   F.array(*[_zero_to_one(F.col(f"sd{i}")) for i in range(n)]).alias("a"))
-    return lam_arr.crossJoin(st).select(F.lit("power").alias("norm"), "lam", "a", "b")
+    return st.select(F.lit("power").alias("norm"), lam_lit.alias("lam"),
+                     F.array(*[_zero_to_one(F.col(f"sd{i}")) for i in range(n)]).alias("a"),
+                     _arr("mu", n).alias("b"))
 
 
 # ------------------------------------------------------------------ apply

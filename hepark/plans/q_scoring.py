@@ -134,7 +134,7 @@ b AS (SELECT avg({SQL_BCE_ROW}) AS bce FROM prob p JOIN ys USING (k))
 SELECT {R('0.5::DOUBLE * avg(e.err) + 0.5::DOUBLE * any_value(b.bce)')} AS loss FROM e, b""")
 def combined_loss(spark, sf_dir):
     s = scored(spark, sf_dir)
-    m = I.mse(s).crossJoin(I.bce(s, "y", "prob"))
+    m = s.agg(F.avg(I.row_sq_err("x", "recon")).alias("mse"), F.avg(I.bce_row("y", "prob")).alias("bce"))
     return m.select(rnd(I.combine_losses("classifier", F.col("mse"), F.col("bce"), w=0.5)).alias("loss"))
 
 
