@@ -49,10 +49,14 @@ def histogram(long: DataFrame, ranges: DataFrame, bins: int, by: Sequence[str],
     r = ranges.select(*range_by, *[c.alias(n) for c, n in zip(_edges(F.col("lo"), F.col("hi")), ("lo", "hi"))])
     j = long.join(r, range_by, "inner")
     v = F.col(value)
-    inr = j.filter((v >= F.col("lo")) & (v <= F.col("hi")))
-    cnt = (inr.withColumn("bin", bin_index(v, F.col("lo"), F.col("hi"), bins))
-           .groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("long").alias("count")))
-    groups = long.select(*by).distinct().join(r, range_by, "inner")
+    inside = (v >= F.col("lo")) & (v <= F.col("hi"))
+    # one pass: out-of-range values count in bin -1, so a group whose values
+    # all fall outside still yields its (empty) bins
+    allc = (j.withColumn("bin", F.when(inside, bin_index(v, F.col("lo"), F.col("hi"), bins))
+                         .otherwise(F.lit(-1)))
+            .groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("long").alias("count")))
+    cnt = allc.filter(F.col("bin") >= 0)
+    groups = allc.select(*by).distinct().join(r, range_by, "inner")  # #groups rows
     allb = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     h = allb.join(cnt, by + ["bin"], "left").fillna(0, subset=["count"])
     tot = cnt.groupBy(*by).agg(F.sum("count").alias("_tot"))
@@ -83,9 +87,9 @@ def hist_pair(pairs: DataFrame, bins: int = 60, feature: str = "feature", label:
     ``pairs`` has (feature, y, input, recon); output has ``kind`` in
     {input, recon}."""
     rng = feature_ranges(pairs.withColumnRenamed("input", "value"), [feature, label], "value")
-    long = (pairs.select(feature, label, F.lit("input").alias("kind"), F.col("input").alias("value"))
-            .unionByName(pairs.select(feature, label, F.lit("recon").alias("kind"),
-                                      F.col("recon").alias("value"))))
+    kinds = F.array(F.struct(F.lit("input").alias("kind"), F.col("input").alias("value")),
+                    F.struct(F.lit("recon").alias("kind"), F.col("recon").alias("value")))
+    long = pairs.select(feature, label, F.explode(kinds).alias("_k")).select(feature, label, "_k.kind", "_k.value")
     return histogram(long, rng, bins, [feature, label, "kind"], [feature, label], "value")
 
 

@@ -47,6 +47,17 @@ def _default_buckets(df: DataFrame) -> int:
     return -(-b // LOOKUP_BLOCK) * LOOKUP_BLOCK
 
 
+def is_materialized(df: DataFrame) -> bool:
+    """True when the plan is a direct read of a checkpoint (no recomputation)."""
+    try:
+        node = df._jdf.queryExecution().analyzed()
+        while node.nodeName() in ("Project", "SubqueryAlias") and node.children().size() == 1:
+            node = node.children().apply(0)
+        return node.nodeName() == "LogicalRDD"
+    except Exception:  # pragma: no cover
+        return False
+
+
 def bounds_lookup(bounds: Column, v: Column, n_bounds: int) -> Column:
     """Number of (sorted) boundaries below ``v`` with about 2*sqrt(n) comparisons:
     count the block heads below ``v``, then the boundaries of that one block."""
@@ -109,7 +120,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     elif bucket is not None:
         b = df.withColumn("_bkt", bucket)
     else:
-        if materialize:
+        if materialize and not is_materialized(df):
             df = cut_lineage(df)
         b = quantile_buckets(df, by, order_col, buckets)
 

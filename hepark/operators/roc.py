@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hepark.operators.ranking import ordered_scan
+from hepark.session import cut_lineage
 
 # fixed values: the TPR grid of the saved ROC curves (100 points from 0.025
 # to 0.99) and the working point of the efficiency report
@@ -51,7 +52,8 @@ def auc(scores: DataFrame, by: Sequence[str] = (), score: str = "score", label:
 
 
 def roc_curve(scores: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "y",
-              drop_intermediate: bool = True, buckets: int | None = None) -> DataFrame:
+              drop_intermediate: bool = True, buckets: int | None = None,
+              counts: DataFrame | None = None) -> DataFrame:
     """ROC vertices per group.
 
     Distinct thresholds in descending order get ``thr_idx`` 1..n; the origin
@@ -65,7 +67,8 @@ def roc_curve(scores: DataFrame, by: Sequence[str] = (), score: str = "score", l
     group totals and the lower neighbour's counts together.
     """
     by = list(by)
-    c = score_counts(scores, by, score, label).withColumn("_one", F.lit(1).cast("long"))
+    c = counts if counts is not None else score_counts(scores, by, score, label)
+    c = c.withColumn("_one", F.lit(1).cast("long"))
     c = ordered_scan(c, by, "score", sums=["pos", "neg", "_one"], prevs=["pos", "neg"],
                      totals=True, buckets=buckets)
     c = c.select(*by, "score", "pos", "neg", "prev_pos", "prev_neg",
@@ -149,8 +152,10 @@ def fold_metrics(scores: DataFrame, by: Sequence[str] = ("model",), fold: str =
     """Per (group, fold): auc and FPR at the working point."""
     by = list(by)
     g = by + [fold]
-    roc = roc_curve(scores, g, score, label)
-    return auc(scores, g, score, label).join(fpr_at_tpr(roc, g), g, "inner")
+    # one set of counts (checkpointed once) feeds both the AUC and the ROC
+    c = cut_lineage(score_counts(scores, g, score, label))
+    roc = roc_curve(scores, g, score, label, counts=c)
+    return auc(scores, g, score, label, counts=c).join(fpr_at_tpr(roc, g), g, "inner")
 
 
 def rejection(metrics: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -196,10 +201,14 @@ def feature_auc_chunked(long: DataFrame, chunk: str = "chunk", feature: str = "f
                         value: str = "value", label: str = "y") -> DataFrame:
     """H4: AUC per (feature, chunk); mean and population std over chunks,
     and the AUC on all rows pooled."""
-    per = auc(long, [feature, chunk], value, label)
+    # counts per (feature, chunk, value), checkpointed once; the pooled counts
+    # are their sums over chunks, so the chunked table is computed once
+    cc = cut_lineage(score_counts(long, [feature, chunk], value, label))
+    per = auc(long, [feature, chunk], value, label, counts=cc)
     stats = per.groupBy(feature).agg(F.avg("auc").alias("mean_auc"),
                                      F.stddev_pop("auc").alias("std_auc"))
-    pooled = auc(long, [feature], value, label).withColumnRenamed("auc", "pooled_auc")
+    pc = cc.groupBy(feature, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    pooled = auc(long, [feature], value, label, counts=pc).withColumnRenamed("auc", "pooled_auc")
     return stats.join(pooled, [feature], "inner")
 
 

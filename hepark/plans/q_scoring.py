@@ -20,6 +20,7 @@ from hepark.operators.roc import auc
 from hepark.plans import standins as S
 from hepark.plans.q_hist import _hist_out, _sql_hist
 from hepark.plans.registry import query
+from hepark.session import cut_lineage
 
 R = sql_rnd
 
@@ -159,6 +160,11 @@ def _pairs(spark, sf_dir):
     return C.pair_reco(s.select("k", "y", "x"), s.select("k", "recon"))
 
 
+def _pairs_materialized(spark, sf_dir):
+    # the histogram reads the pairs twice (range, counts): score the network once
+    return cut_lineage(_pairs(spark, sf_dir))
+
+
 @query("pair_reco", f"""WITH {NET_CTES}
 SELECT k, y, feature, {R('input')} AS input, {R('recon')} AS recon FROM ({SQL_PAIRS})""")
 def pair_reco(spark, sf_dir):
@@ -180,7 +186,7 @@ SELECT * FROM ({body.replace('WITH s AS', 'WITH s AS', 1)})"""
 
 @query("hist_reco", _sql_hist_reco())
 def hist_reco(spark, sf_dir):
-    h = G.hist_pair(_pairs(spark, sf_dir), 60)
+    h = G.hist_pair(_pairs_materialized(spark, sf_dir), 60)
     return _hist_out(h, ["feature", "y", "kind"])
 
 
@@ -323,7 +329,7 @@ q AS (SELECT y, dim, unnest(quantile_cont(v, [{', '.join(repr(p) + '::DOUBLE' fo
 SELECT CAST(a.dim AS INTEGER) AS dim, {R('avg(abs(a.q - b.q))')} AS w1
 FROM q a JOIN q b ON a.dim = b.dim AND a.p_idx = b.p_idx AND a.y = 1 AND b.y = 0 GROUP BY a.dim""")
 def wasserstein(spark, sf_dir):
-    s = scored(spark, sf_dir)
+    s = cut_lineage(scored(spark, sf_dir))  # both classes read the scores: score once
     w = I.wasserstein(s.filter(F.col("y") == 1), s.filter(F.col("y") == 0), W_PROBS, x="latent")
     return w.select(F.col("dim").cast("int"), rnd("w1").alias("w1"))
 

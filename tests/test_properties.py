@@ -193,3 +193,14 @@ def test_positions_many_buckets(spark):
     got = positions(df, ["g"], "s", out="pos", buckets=512).toPandas()
     for g, part in got.groupby("g"):
         assert (part["pos"].to_numpy() == part["s"].rank(method="first").astype(int).to_numpy()).all()
+
+
+def test_hist_pair_recon_outside_input_range(spark):
+    rows = [(0, 1, float(v), 100.0 + v) for v in range(5)]
+    pairs = spark.createDataFrame(rows, "feature int, y int, input double, recon double")
+    h = G.hist_pair(pairs, bins=4).toPandas()
+    rec = h[h.kind == "recon"]
+    assert len(rec) == 4 and rec["count"].sum() == 0 and rec["density"].isna().all()
+    inp = h[h.kind == "input"].sort_values("bin")
+    c, _ = np.histogram(np.arange(5.0), bins=4)
+    assert list(inp["count"]) == list(c)
