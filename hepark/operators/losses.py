@@ -106,6 +106,16 @@ def wasserstein(a: DataFrame, b: DataFrame, probs: Sequence[float], x: str = "x"
     return per_dim
 
 
+def seeded_directions(spark, n: int, dim: int, seed: int) -> DataFrame:
+    """``n`` unit projection directions in ``dim`` dimensions from md5-seeded
+    normals (a parameter-sized table: n rows of dim numbers)."""
+    from hepark.operators.scoring import normal_noise
+    d = spark.range(n).withColumnRenamed("id", "proj").withColumn("_k", F.col("proj") + F.lit(1_000_003 * seed))
+    d = d.withColumn("_g", normal_noise("_k", seed, dim))
+    nrm = F.sqrt(F.aggregate(F.transform("_g", lambda v: v * v), F.lit(0.0), lambda acc, t: acc + t))
+    return d.select(F.col("proj").cast("int"), F.transform("_g", lambda v: v / nrm).alias("dir"))
+
+
 def loss_by(df: DataFrame, loss: Column, col: str = "batch_id", by: Sequence[str] = ()) -> DataFrame:
     """Mean of the **unweighted** per-``col`` means (epoch loss of batches)."""
     per = df.groupBy(*by, col).agg(F.avg(loss).alias("_m"))

@@ -57,12 +57,18 @@ def long_features(df: DataFrame, x: str = "x") -> DataFrame:
 
 def fit_scaler(df: DataFrame, name: str, x: str = "x", fit_on: str = "all",
                split: str = "split", width: int | None = None, n_quantiles: int | None = None,
-               lambdas: Sequence[float] | None = None) -> DataFrame:
+               lambdas: Sequence[float] | None = None, exact: bool = True,
+               accuracy: int = 100000) -> DataFrame:
     """Fit a named scaler; returns a one-row parameter DataFrame.
 
     ``vanilla`` identity; ``minmax``; ``maxabs``; ``std`` (population);
     ``robust`` (median, IQR); ``power`` (Yeo-Johnson + std); ``quantile``
     (uniform output).  Unknown names raise ``TypeError``.
+
+    ``exact=False`` fits the robust / quantile scalers from one-pass
+    ``percentile_approx`` sketches (memory bounded by ``accuracy`` per
+    feature) instead of exact quantiles, for inputs where the exact path's
+    copy of the distinct values is too costly.
     """
     if name not in NORMS:
         raise TypeError(f"normalisation {name!r} does not exist")
@@ -95,7 +101,7 @@ def fit_scaler(df: DataFrame, name: str, x: str = "x", fit_on: str = "all",
                         F.array(*[_zero_to_one(F.col(f"sd{i}")) for i in range(n)]).alias("a"),
                         _arr("mu", n).alias("b"))
     if name == "robust":
-        q = exact_quantiles(long_features(src, x), ["feature"], "value", [0.25, 0.5, 0.75])
+        q = _quantiles(long_features(src, x), [0.25, 0.5, 0.75], exact, accuracy)
         p = q.groupBy().agg(*[F.max(F.when((F.col("feature") == i) & (F.col("p_idx") == j), F.col("q")))
                               .alias(f"q{j}_{i}") for i in range(n) for j in range(3)])
         return p.select(F.lit(name).alias("norm"),
@@ -106,7 +112,7 @@ def fit_scaler(df: DataFrame, name: str, x: str = "x", fit_on: str = "all",
         if nq is None:
             nq = int(min(QUANTILE_MAX_N, src.count()))
         refs = [float(r) for r in np.linspace(0, 1, nq)]
-        q = exact_quantiles(long_features(src, x), ["feature"], "value", refs)
+        q = _quantiles(long_features(src, x), refs, exact, accuracy)
         # per feature: the sorted quantile array (size = #features x n_quantiles)
         q = q.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("p_idx", "q"))).alias("_s"))
         q = q.select("feature", F.transform("_s", lambda s: s["q"]).alias("quantiles"))
@@ -116,6 +122,17 @@ def fit_scaler(df: DataFrame, name: str, x: str = "x", fit_on: str = "all",
     return fit_power(src, x, n, lambdas)
 
 
+def _quantiles(long: DataFrame, probs: Sequence[float], exact: bool, accuracy: int) -> DataFrame:
+    """(feature, p_idx, p, q) exact or from approximate sketches."""
+    if exact:
+        return exact_quantiles(long, ["feature"], "value", probs)
+    a = long.groupBy("feature").agg(
+        F.percentile_approx("value", [float(p) for p in probs], accuracy).alias("_q"))
+    parr = F.array(*[F.lit(float(p)) for p in probs])
+    return a.select("feature", F.posexplode(F.arrays_zip(parr.alias("p"), F.col("_q").alias("q")))
+                    .alias("p_idx", "_z")).select("feature", F.col("p_idx").cast("int"), "_z.p", "_z.q")
+
+
 # ------------------------------------------------------------------ Yeo-Johnson
 
 def yeo_johnson(v: F.Column, lam: F.Column) -> F.Column:

@@ -346,3 +346,32 @@ def loss_by_split(spark, sf_dir):
     r = s.groupBy("split").agg(F.avg(I.row_sq_err("x", "recon")).alias("loss"),
                                F.count(F.lit(1)).cast("long").alias("n_rows"))
     return r.select("split", rnd("loss").alias("loss"), "n_rows")
+
+
+N_PROJ = 6
+
+
+def _sql_dirs() -> str:
+    """The same seeded unit directions as losses.seeded_directions."""
+    h = "md5(concat(CAST(proj + 1000003 * 13 AS VARCHAR), '|', '13', '|', CAST(i AS VARCHAR)))"
+    u1 = f"((('0x' || substr({h}, 1, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    u2 = f"((('0x' || substr({h}, 14, 13))::UBIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+    g = f"sqrt(-2.0::DOUBLE * ln({u1})) * cos({2.0 * 3.141592653589793!r}::DOUBLE * {u2})"
+    return f"""SELECT proj, i, g / sqrt(sum(g * g) OVER (PARTITION BY proj)) AS d FROM (
+      SELECT proj, i, {g} AS g FROM range(0, {N_PROJ}) t1(proj), range(0, 64) t2(i))"""
+
+
+@query("wasserstein_sliced", f"""
+WITH dirs AS ({_sql_dirs()}),
+x AS (SELECT vec_id AS k, CAST(label % 2 AS INTEGER) AS y, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i,
+             CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+p AS (SELECT x.k, x.y, dirs.proj, sum(x.v * dirs.d) AS v FROM x JOIN dirs ON x.i = dirs.i GROUP BY x.k, x.y, dirs.proj),
+q AS (SELECT y, proj, unnest(quantile_cont(v, [{', '.join(repr(p) + '::DOUBLE' for p in W_PROBS)}])) AS q,
+             unnest(range(0, {len(W_PROBS)})) AS p_idx FROM p GROUP BY y, proj)
+SELECT CAST(a.proj AS INTEGER) AS dim, {R('avg(abs(a.q - b.q))')} AS w1
+FROM q a JOIN q b ON a.proj = b.proj AND a.p_idx = b.p_idx AND a.y = 1 AND b.y = 0 GROUP BY a.proj""")
+def wasserstein_sliced(spark, sf_dir):
+    m = S.embedding_matrix(spark, sf_dir)
+    dirs = I.seeded_directions(spark, N_PROJ, 64, seed=13)
+    w = I.wasserstein(m.filter(F.col("y") == 1), m.filter(F.col("y") == 0), W_PROBS, projections=dirs)
+    return w.select(F.col("dim").cast("int"), rnd("w1").alias("w1"))

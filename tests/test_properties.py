@@ -204,3 +204,13 @@ def test_hist_pair_recon_outside_input_range(spark):
     inp = h[h.kind == "input"].sort_values("bin")
     c, _ = np.histogram(np.arange(5.0), bins=4)
     assert list(inp["count"]) == list(c)
+
+
+def test_approximate_quantile_scalers_close_to_exact(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, x array<double>")
+    for name, kw in (("robust", {}), ("quantile", {"n_quantiles": 21})):
+        ex = np.vstack(E.apply_scaler(df, E.fit_scaler(df, name, **kw)).orderBy("k").toPandas()["x"])
+        ap = np.vstack(E.apply_scaler(df, E.fit_scaler(df, name, exact=False, **kw)).orderBy("k").toPandas()["x"])
+        assert np.abs(ex - ap).max() < 0.05, name
