@@ -325,3 +325,16 @@ def early_stop(history: DataFrame, patience: int, run: str = "run", epoch: str =
         F.min_by(epoch, F.struct(F.col(loss), F.col(epoch))).alias("best_epoch"),
         F.min(loss).alias("best_loss"), F.first("stop_epoch").alias("stop_epoch"),
         F.count(F.lit(1)).cast("long").alias("epochs_recorded"))
+
+
+def random_search(spark: SparkSession, n: int, seed: int, run_trial: Callable[[dict], float],
+                  higher: bool = True, **space) -> DataFrame:
+    """Sample ``n`` seeded trials (log-uniform lr, uniform loss weight,
+    categorical batch size), run each, return every trial with its metric and
+    a ``best`` flag (strict best, first trial on ties)."""
+    trials = random_trials(spark, n, seed, **space).collect()  # n rows: the trial table
+    params = [{"lr": r["lr"], "w_cls": r["w_cls"], "batch_size": r["batch_size"]} for r in trials]
+    res = grid_search(params, run_trial)
+    df = spark.createDataFrame(res, "trial int, params string, metric double")
+    best = best_trial(df, "metric", higher).select("trial", F.lit(True).alias("best"))
+    return df.join(best, "trial", "left").fillna(False, subset=["best"])

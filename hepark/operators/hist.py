@@ -131,3 +131,14 @@ def kde2d(df: DataFrame, xi: str, xj: str, grid: int = 10, label: str = "y") ->
                                                         F.first("det").alias("det"))
     dens = F.col("_s") / (F.col("n") * F.lit(2.0 * 3.141592653589793) * F.sqrt("det"))
     return agg.select(label, "gx", "gy", "px", "py", dens.alias("density"))
+
+
+def hist(long: DataFrame, bins: int = 50, range: str = "joint", feature: str = "feature",
+         label: str = "y", value: str = "value") -> DataFrame:
+    """Density histogram per (feature, class); ``range`` = ``joint`` (both
+    classes share the feature's range) or ``own`` (each class its own)."""
+    if range == "joint":
+        return hist_joint(long, bins, feature, label, value)
+    if range == "own":
+        return hist_own(long, bins, feature, label, value)
+    raise TypeError(f"unknown range rule {range!r}")

@@ -303,3 +303,14 @@ def normalise_and_split(df: DataFrame, name: str, p_valid: float, seed: int = 0,
         sp = stratified_split(df, p_valid, seed, key, label)
         return apply_scaler(sp, fit_scaler(sp, name, x, "train"), x)
     return stratified_split(normalise(df, name, x), p_valid, seed, key, label)
+
+
+def normalise_columns(df: DataFrame, name: str, cols: Sequence[str], fit_on: str = "all",
+                      split: str = "split", **kw) -> DataFrame:
+    """E1-E7 on named numeric columns: assembled into one array for the single
+    fit aggregate, transformed, and written back to the same columns."""
+    tmp = "_scale_x"
+    d = df.withColumn(tmp, F.array(*[F.col(c).cast("double") for c in cols]))
+    params = fit_scaler(d, name, tmp, fit_on, split, width=len(cols), **kw)
+    d = apply_scaler(d, params, tmp)
+    return d.withColumns({c: F.col(tmp)[i] for i, c in enumerate(cols)}).drop(tmp)

@@ -245,7 +245,7 @@ def _kernel_expr(xs: Column, ref: list[float], kernel: str, gamma: float, degree
     raise TypeError(f"unknown kernel {kernel!r}")
 
 
-def gram(a: DataFrame, refs: DataFrame, kernel: str = "rbf", x: str = "x", key: str = "k",
+def gram(a: DataFrame, refs: DataFrame | None = None, kernel: str = "rbf", x: str = "x", key: str = "k",
          ref_key: str = "ref", gamma: float = 1.0, degree: int = 3, coef0: float = 0.0,
          block: int = 64) -> DataFrame:
     """kernel values ``(key, ref, kval)`` between every row of ``a`` and a
@@ -255,6 +255,8 @@ def gram(a: DataFrame, refs: DataFrame, kernel: str = "rbf", x: str = "x", key:
     side should be the bounded one (support vectors, centroids)."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
+    if refs is None:  # symmetric case: the set against itself (then it must be the bounded one)
+        refs = a.select(F.col(key).alias(ref_key), x)
     xs = F.col(x).cast("array<double>")
     outs = []
     it = refs.select(ref_key, F.col(x).cast("array<double>").alias("_r")).orderBy(ref_key).toLocalIterator()

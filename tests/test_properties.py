@@ -214,3 +214,23 @@ def test_approximate_quantile_scalers_close_to_exact(spark):
         ex = np.vstack(E.apply_scaler(df, E.fit_scaler(df, name, **kw)).orderBy("k").toPandas()["x"])
         ap = np.vstack(E.apply_scaler(df, E.fit_scaler(df, name, exact=False, **kw)).orderBy("k").toPandas()["x"])
         assert np.abs(ex - ap).max() < 0.05, name
+
+
+def test_api_conveniences(spark):
+    from hepark.operators import fitting as J
+    from hepark.operators.scoring import gram
+    df = spark.createDataFrame([(i, float(i), float(i % 3)) for i in range(6)], "k long, a double, b double")
+    n = E.normalise_columns(df, "minmax", ["a", "b"]).orderBy("k").toPandas()
+    assert n["a"].min() == 0.0 and n["a"].max() == 1.0 and n["b"].max() == 1.0
+    m = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "k long, x array<double>")
+    g = gram(m, kernel="linear").toPandas()
+    assert len(g) == 16
+    long = spark.createDataFrame([(0, 1, 1.0), (0, 0, 2.0)], "feature int, y int, value double")
+    with pytest.raises(TypeError):
+        G.hist(long, 4, range="nope")
+    assert G.hist(long, 4, range="own").count() == 8
+    rows = [(i, i % 2, [float(i % 2) + 0.1 * i, 1.0]) for i in range(40)]
+    r = H.feature_auc_chunks(spark.createDataFrame(rows, "k long, y int, x array<double>"), 5, 1).toPandas()
+    assert len(r) == 2
+    t = J.random_search(spark, 3, 1, lambda p: p["lr"])
+    assert t.count() == 3 and t.filter("best").count() == 1
