@@ -33,6 +33,7 @@ DEFAULT_BUCKETS = 64
 MAX_BUCKETS = 4096
 BYTES_PER_BUCKET = 64 * 1024 * 1024
 LOOKUP_BLOCK = 32
+BROADCAST_BOUNDS_BYTES = 64 * 1024 * 1024
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -84,7 +85,14 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
         F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
     v = F.col(order_col).cast("double")
     if by:
-        j = df.join(bounds, list(by), "inner")
+        # a hot group must not land in one task: the boundary table (one row
+        # per group) is materialised, its size checked, and broadcast when it
+        # fits; otherwise the shuffle join is left to AQE's skew-join split
+        bounds = cut_lineage(bounds)
+        n_groups = bounds.count()
+        est = n_groups * (len(probs) + 4) * 8
+        side = F.broadcast(bounds) if est <= BROADCAST_BOUNDS_BYTES else bounds
+        j = df.join(side, list(by), "inner")
         return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
     # no group: one row of ``buckets-1`` doubles (bounded by the parameter)
     # is read once and inlined as a literal array
