@@ -105,8 +105,67 @@ def _stack(col: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(a, dtype=np.float64) for a in col.to_numpy()])
 
 
-def score_network(df: DataFrame, net: dict, x: str = "x") -> DataFrame:
-    """adds ``latent`` and, when the parts exist, ``recon`` and ``prob``."""
+
+_JVM_ACT = {
+    "relu": lambda z: F.greatest(z, F.lit(0.0)),
+    "leaky_relu": lambda z: F.when(z >= 0, z).otherwise(z * F.lit(0.2)),
+    "elu": lambda z: F.when(z > 0, z).otherwise(F.expm1(z)),
+    "sigmoid": lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z)),
+    "tanh": F.tanh,
+    "linear": lambda z: z,
+}
+
+
+def n_weights(net: dict) -> int:
+    return sum(int(L["w"].size) + int(L["b"].size) for ls in net["parts"].values() for L in ls)
+
+
+def layers_expr(layers: list[dict], h: Column) -> Column:
+    """Dense layers as array expressions with literal (constant-folded)
+    weights, so the network stays inside whole-stage codegen with no Python
+    worker.  Each layer references its input exactly once:
+    ``z = aggregate(zip_with(h, W_rows, (h_i, w_i) -> h_i * w_i), 0, +)``
+    (a vector sum of scaled weight rows), then ``act(z + b)`` element-wise.
+    (Referencing the input inside a per-unit lambda would let Catalyst inline
+    the previous layer once per unit, multiplying the work across layers.)"""
+    for L in layers:
+        W = L["w"]
+        wrows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in W])
+        zero = F.array(*[F.lit(0.0) for _ in range(W.shape[1])])
+        b = F.array(*[F.lit(float(v)) for v in L["b"]])
+        act = _JVM_ACT[L["act"]]
+        scaled = F.zip_with(h, wrows, lambda hi, wr: F.transform(wr, lambda w: hi * w))
+        z = F.aggregate(scaled, zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q))
+        h = F.transform(F.zip_with(z, b, lambda zz, bb: zz + bb), act)
+    return h
+
+
+def score_network(df: DataFrame, net: dict, x: str = "x", engine: str = "arrow") -> DataFrame:
+    """adds ``latent`` and, when the parts exist, ``recon`` and ``prob``.
+
+    ``engine='arrow'`` (default) scores per Arrow batch with numpy matrix
+    products in a pandas_udf.  ``engine='jvm'`` evaluates the network as array
+    expressions with no Python worker; measured on 100k rows it is 9x (2.4k
+    weights) to 85x (26k weights) slower, because Spark's higher-order array
+    functions are not code-generated, so it is an opt-in for environments
+    without Python workers."""
+    if engine == "jvm":
+        return _score_jvm(df, net, x)
+    return _score_arrow(df, net, x)
+
+
+def _score_jvm(df: DataFrame, net: dict, x: str) -> DataFrame:
+    parts = net["parts"]
+    d = df.withColumn("latent", layers_expr(parts["encoder"], F.col(x).cast("array<double>")))
+    cols = {}
+    if "decoder" in parts:
+        cols["recon"] = layers_expr(parts["decoder"], F.col("latent"))
+    if "head" in parts:
+        cols["prob"] = F.element_at(layers_expr(parts["head"], F.col("latent")), 1)
+    return d.withColumns(cols) if cols else d
+
+
+def _score_arrow(df: DataFrame, net: dict, x: str) -> DataFrame:
     parts = net["parts"]
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast({k: [{"w": L["w"], "b": L["b"], "act": L["act"]} for L in v] for k, v in parts.items()})

@@ -234,3 +234,18 @@ def test_api_conveniences(spark):
     assert len(r) == 2
     t = J.random_search(spark, 3, 1, lambda p: p["lr"])
     assert t.count() == 3 and t.filter("best").count() == 1
+
+
+def test_jvm_and_arrow_scoring_agree(spark):
+    from hepark.operators import scoring as Fs
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=12)]) for i in range(50)],
+                               "k long, x array<double>")
+    for net in (Fs.autoencoder([12, 6, 3], head=[4, 1]), Fs.plain_classifier([12, 5, 2]),
+                Fs.autoencoder([12, 4], last_act="elu", head=[2, 1], head_hidden="leaky_relu")):
+        a = Fs.score_network(df, net, engine="jvm").orderBy("k").toPandas()
+        b = Fs.score_network(df, net, engine="arrow").orderBy("k").toPandas()
+        assert np.allclose(np.vstack(a["latent"]), np.vstack(b["latent"]), atol=1e-12)
+        assert np.allclose(a["prob"], b["prob"], atol=1e-12)
+        if "recon" in a:
+            assert np.allclose(np.vstack(a["recon"]), np.vstack(b["recon"]), atol=1e-12)
