@@ -87,11 +87,14 @@ UNION ALL SELECT k, 'recon', i, {R('v')} FROM recon
 UNION ALL SELECT k, 'prob', i, {R('v')} FROM prob""")
 def network_scores(spark, sf_dir):
     s = scored(spark, sf_dir)
-    lat = s.select("k", F.lit("latent").alias("kind"), F.posexplode("latent").alias("j", "value"))
-    rec = s.select("k", F.lit("recon").alias("kind"), F.posexplode("recon").alias("j", "value"))
-    pr = s.select("k", F.lit("prob").alias("kind"), F.lit(0).alias("j"), F.col("prob").alias("value"))
-    u = lat.unionByName(rec).unionByName(pr)
-    return u.select("k", "kind", F.col("j").cast("int"), rnd("value").alias("value"))
+
+    def tag(kind, arr):
+        return F.transform(arr, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("j"), v.alias("value")))
+    # one pass over the scored rows: all three outputs exploded together
+    allv = F.concat(tag("latent", F.col("latent")), tag("recon", F.col("recon")),
+                    F.array(F.struct(F.lit("prob").alias("kind"), F.lit(0).alias("j"), F.col("prob").alias("value"))))
+    e = s.select("k", F.explode(allv).alias("_e"))
+    return e.select("k", "_e.kind", F.col("_e.j").cast("int").alias("j"), rnd("_e.value").alias("value"))
 
 
 # ------------------------------------------------------------------ I1-I4, I7
