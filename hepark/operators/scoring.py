@@ -4,8 +4,8 @@ Model weights are small (bounded by the layer sizes) and travel to executors
 once as a broadcast; rows are scored per Arrow batch with numpy matrix
 products inside a ``pandas_udf`` (no per-row Python).  Kernel scoring
 evaluates each row against a bounded reference set (support vectors,
-centroids) that reaches executors in blocks of at most ``block`` rows as
-literal expressions, so there is no cap and no cross join of two row sets.
+centroids) broadcast in blocks of at most ``block`` rows, again per Arrow
+batch with numpy, so there is no cap and no cross join of two row sets.
 """
 
 from __future__ import annotations
@@ -283,104 +283,110 @@ def network_from_table(rows, config_json: str) -> dict:
 KERNELS = ("linear", "rbf", "poly", "overlap")
 
 
-def _kernel_expr(xs: Column, ref: list[float], kernel: str, gamma: float, degree: int,
-                 coef0: float) -> Column:
-    r = F.array(*[F.lit(float(v)) for v in ref])
+def kernel_matrix_np(X: np.ndarray, R: np.ndarray, kernel: str, gamma: float, degree: int,
+                     coef0: float) -> np.ndarray:
+    """K(X, R) for one Arrow batch against one reference block."""
     if kernel == "linear":
-        return F.aggregate(F.zip_with(xs, r, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-    if kernel == "rbf":
-        d2 = F.aggregate(F.zip_with(xs, r, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-        return F.exp(F.lit(-gamma) * d2)
+        return X @ R.T
     if kernel == "poly":
-        dp = F.aggregate(F.zip_with(xs, r, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-        return F.pow(F.lit(gamma) * dp + F.lit(coef0), F.lit(float(degree)))
+        return (gamma * (X @ R.T) + coef0) ** degree
+    if kernel == "rbf":
+        d2 = np.empty((X.shape[0], R.shape[0]))
+        for j in range(R.shape[0]):  # direct squared distances (no expansion cancellation)
+            d = X - R[j]
+            d2[:, j] = (d * d).sum(axis=1)
+        return np.exp(-gamma * d2)
     if kernel == "overlap":
-        rn = math.sqrt(sum(v * v for v in ref)) or 1.0
-        ru = F.array(*[F.lit(float(v) / rn) for v in ref])
-        nx = F.sqrt(F.aggregate(F.transform(xs, lambda a: a * a), F.lit(0.0), lambda s, t: s + t))
-        dp = F.aggregate(F.zip_with(xs, ru, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-        c = dp / F.when(nx == 0, F.lit(1.0)).otherwise(nx)
+        xn = np.sqrt((X * X).sum(axis=1))
+        rn = np.sqrt((R * R).sum(axis=1))
+        ru = R / np.where(rn == 0, 1.0, rn)[:, None]
+        c = (X @ ru.T) / np.where(xn == 0, 1.0, xn)[:, None]
         return c * c
     raise TypeError(f"unknown kernel {kernel!r}")
 
 
+def _ref_blocks(refs: DataFrame, cols: Sequence[str], block: int):
+    """Iterate the (bounded) reference set in blocks of at most ``block`` rows;
+    only one block is held on the driver at a time."""
+    blk = []
+    for row in refs.select(*cols).toLocalIterator():
+        blk.append(row)
+        if len(blk) == block:
+            yield blk
+            blk = []
+    if blk:
+        yield blk
+
+
+def _kernel_udf(bc, kernel, gamma, degree, coef0, weighted: bool):
+    rtype = T.DoubleType() if weighted else T.ArrayType(T.DoubleType())
+
+    @F.pandas_udf(rtype)
+    def kfun(xcol: pd.Series) -> pd.Series:
+        R, alpha = bc.value
+        if len(xcol) == 0:
+            return pd.Series([], dtype="float64" if weighted else object)
+        K = kernel_matrix_np(_stack(xcol), R, kernel, gamma, degree, coef0)
+        if weighted:
+            return pd.Series(K @ alpha)
+        return pd.Series(list(K))
+
+    return kfun
+
+
 def gram(a: DataFrame, refs: DataFrame | None = None, kernel: str = "rbf", x: str = "x", key: str = "k",
          ref_key: str = "ref", gamma: float = 1.0, degree: int = 3, coef0: float = 0.0,
-         block: int = 64) -> DataFrame:
+         block: int = 1024) -> DataFrame:
     """kernel values ``(key, ref, kval)`` between every row of ``a`` and a
-    reference set.  The reference set is collected in blocks of ``block`` rows
-    (each block's size is bounded by the parameter) and evaluated as JVM
-    expressions; output size is |a| x |refs| by definition, so the reference
-    side should be the bounded one (support vectors, centroids)."""
+    reference set (``refs=None``: ``a`` against itself).
+
+    The reference set is the bounded side (support vectors, centroids): it is
+    broadcast in blocks of at most ``block`` rows (a size bound per
+    broadcast) and each Arrow batch of ``a`` is scored against a block with
+    numpy; no cross join.  Output size is |a| x |refs| by definition."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
-    if refs is None:  # symmetric case: the set against itself (then it must be the bounded one)
+    if refs is None:
         refs = a.select(F.col(key).alias(ref_key), x)
     xs = F.col(x).cast("array<double>")
+    sc = a.sparkSession.sparkContext
     outs = []
-    it = refs.select(ref_key, F.col(x).cast("array<double>").alias("_r")).orderBy(ref_key).toLocalIterator()
-    blk = []
-    for row in it:
-        blk.append(row)
-        if len(blk) == block:
-            outs.append(_gram_block(a, blk, kernel, xs, key, gamma, degree, coef0))
-            blk = []
-    if blk:
-        outs.append(_gram_block(a, blk, kernel, xs, key, gamma, degree, coef0))
+    for blk in _ref_blocks(refs.orderBy(ref_key), [ref_key, F.col(x).cast("array<double>").alias("_r")], block):
+        R = np.vstack([np.asarray(r["_r"], dtype=np.float64) for r in blk])
+        bc = sc.broadcast((R, None))
+        ids = F.array(*[F.lit(r[ref_key]) for r in blk])
+        kv = _kernel_udf(bc, kernel, gamma, degree, coef0, weighted=False)(xs)
+        outs.append(a.select(key, F.arrays_zip(ids.alias("ref"), kv.alias("kval")).alias("_z"))
+                    .select(key, F.explode("_z").alias("_e")).select(key, F.col("_e.ref").alias(ref_key),
+                                                                   F.col("_e.kval").alias("kval")))
     if not outs:
-        return a.sparkSession.createDataFrame([], f"{key} long, ref long, kval double")
+        return a.sparkSession.createDataFrame([], f"{key} long, {ref_key} long, kval double")
     out = outs[0]
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
 
 
-def _gram_block(a, blk, kernel, xs, key, gamma, degree, coef0):
-    vals = F.array(*[F.struct(F.lit(r[0]).alias("ref"),
-                              _kernel_expr(xs, list(r[1]), kernel, gamma, degree, coef0).alias("kval"))
-                     for r in blk])
-    return a.select(key, F.explode(vals).alias("_e")).select(key, "_e.ref", "_e.kval")
-
-
 def kernel_scores(df: DataFrame, sv: DataFrame, kernel: str = "rbf", b: float = 0.0,
                   x: str = "x", key: str = "k", alpha: str = "alpha", gamma: float = 1.0,
-                  degree: int = 3, coef0: float = 0.0, block: int = 64) -> DataFrame:
+                  degree: int = 3, coef0: float = 0.0, block: int = 4096) -> DataFrame:
     """decision score sum_i alpha_i K(row, sv_i) + b.
 
-    The support-vector set is bounded; it reaches executors in blocks of at
-    most ``block`` (vector, alpha) pairs, each block becoming one expression
-    ``sum_i alpha_i K(x, sv_i)`` per row.  Block partial sums are added with a
-    grouped sum (partial aggregation per partition), so no row ids or joins
-    are involved."""
+    Support vectors are broadcast in blocks of at most ``block`` (vector,
+    alpha) pairs; each block adds one Arrow-batched numpy term ``K @ alpha`` to
+    the row's score column, so there are no row ids, joins or shuffles."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
     xs = F.col(x).cast("array<double>")
-    parts = []
-    blk = []
-
-    def flush():
-        e = F.lit(0.0)
-        for vec, a in blk:
-            e = e + F.lit(float(a)) * _kernel_expr(xs, list(vec), kernel, gamma, degree, coef0)
-        parts.append(df.select(key, e.alias("_s")))
-
-    it = sv.select(F.col(x).cast("array<double>").alias("_v"), F.col(alpha).cast("double").alias("_a")) \
-           .toLocalIterator()
-    for row in it:
-        blk.append((row["_v"], row["_a"]))
-        if len(blk) == block:
-            flush()
-            blk = []
-    if blk:
-        flush()
-    if not parts:
-        return df.select(key, F.lit(float(b)).alias("score"))
-    if len(parts) == 1:
-        return parts[0].select(key, (F.col("_s") + F.lit(float(b))).alias("score"))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy(key).agg((F.sum("_s") + F.lit(float(b))).alias("score"))
+    sc = df.sparkSession.sparkContext
+    score = F.lit(float(b))
+    for blk in _ref_blocks(sv, [F.col(x).cast("array<double>").alias("_v"),
+                                F.col(alpha).cast("double").alias("_a")], block):
+        R = np.vstack([np.asarray(r["_v"], dtype=np.float64) for r in blk])
+        al = np.asarray([r["_a"] for r in blk], dtype=np.float64)
+        bc = sc.broadcast((R, al))
+        score = score + _kernel_udf(bc, kernel, gamma, degree, coef0, weighted=True)(xs)
+    return df.select(key, score.alias("score"))
 
 
 def support_counts(sv: DataFrame, label: str = "y") -> DataFrame:
