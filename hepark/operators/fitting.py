@@ -189,14 +189,21 @@ def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: f
     return loss / max(n, 1)
 
 
-def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, n_batches: int) -> str:
-    """Write one epoch's seeded batches as a table partitioned by batch id in
-    the shared checkpoint folder; a step then reads only its own partition.
-    Each batch is written by one task (hash-partitioned on the batch id)."""
+def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: int) -> str:
+    """Write one epoch's batches as a table partitioned by batch id in the
+    shared checkpoint folder; a step then reads only its own partition.
+
+    Rows are put in a seeded md5 order, positioned with the distributed
+    ordered scan, and cut into batches of exactly ``batch_size`` rows (the last
+    one short), as a shuffled data loader does.  Each batch is written by one
+    task (hash-partitioned on the batch id)."""
+    from hepark.operators.ranking import positions
     from hepark.sources.io import scratch_path
     path = scratch_path(tr.sparkSession, f"epoch{epoch}")
-    eb = tr.withColumn("_b", hex_bucket(order_key(key, seed * 100003 + epoch), n_batches))
-    eb.repartition(min(n_batches, 4096), "_b").write.partitionBy("_b").parquet(path)
+    eb = positions(tr.withColumn("_o", order_key(key, seed * 100003 + epoch)), [], "_o", out="_pos",
+                   hex_order=True)
+    eb = eb.withColumn("_b", F.floor((F.col("_pos") - 1) / F.lit(int(batch_size))).cast("int")).drop("_o", "_pos")
+    eb.repartition("_b").write.partitionBy("_b").parquet(path)
     return path
 
 
@@ -205,8 +212,9 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
                 w_cls: float = 0.5, patience: int = PATIENCE_AE, run: str = "run") -> tuple[dict, DataFrame]:
     """Mini-batch Adam with best-validation weights and early stopping.
 
-    Each epoch's batches are a seeded md5 assignment written once as a
-    batch-partitioned table, so a step reads one batch, not the whole set.
+    Each epoch's batches (seeded order, exact batch size, last one short) are
+    written once as a batch-partitioned table, so a step reads one batch, not
+    the whole set.
     Returns (best network, history DataFrame of run, epoch, train_loss,
     valid_loss).  The epoch losses recorded follow the reference: the epoch
     that triggers the stop is not recorded."""
@@ -223,10 +231,9 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
     hist = []
     cur = net
     for ep in range(epochs):
-        path = _epoch_batches(tr, key, seed, ep, n_batches)
-        present = sorted(int(r[0]) for r in spark.read.parquet(path).select("_b").distinct().collect())
+        path = _epoch_batches(tr, key, seed, ep, batch_size)
         batch_losses = []
-        for b in present:  # at most n_batches ids: bounded by the step count
+        for b in range(n_batches):  # exact sizes: ids 0..n_batches-1
             loss, g, cnt = _grad_job(spark.read.parquet(f"{path}/_b={b}"), cur, x, label, w_cls)
             if cnt == 0:
                 continue

@@ -169,13 +169,15 @@ def best_lambda(long: DataFrame, lambdas: Sequence[float], by: Sequence[str] = (
 
 
 def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
-              lambdas: Sequence[float] | None = None, passes: int = 3, grid: int = 21) -> DataFrame:
+              lambdas: Sequence[float] | None = None, passes: int = 8, grid: int = 21) -> DataFrame:
     """Yeo-Johnson lambda per feature by maximum likelihood, then the
     standardisation of the transformed values.
 
-    With an explicit ``lambdas`` grid one pass picks the best grid value; by
-    default ``passes`` grid passes of ``grid`` points narrow the interval
-    around the best value each time (all features in every pass)."""
+    With an explicit ``lambdas`` grid one pass picks the best grid value.  By
+    default the first pass scans [-2, 2] and each further pass scans ``grid``
+    points within one step of the previous best with a step ten times
+    smaller (all features in every pass, one aggregate each): 8 passes reach
+    about 2e-8, the tolerance of a Brent search."""
     n = width if width is not None else n_features(df, x)
     long = long_features(df, x)
     if lambdas is not None:

@@ -249,3 +249,39 @@ def test_jvm_and_arrow_scoring_agree(spark):
         assert np.allclose(a["prob"], b["prob"], atol=1e-12)
         if "recon" in a:
             assert np.allclose(np.vstack(a["recon"]), np.vstack(b["recon"]), atol=1e-12)
+
+
+def test_power_lambda_matches_golden_section(spark):
+    rng = np.random.default_rng(8)
+    v = rng.lognormal(size=600) - 0.7
+
+    def yj(x, lam):
+        out = np.empty_like(x)
+        p = x >= 0
+        out[p] = np.log1p(x[p]) if abs(lam) < 1e-16 else ((x[p] + 1) ** lam - 1) / lam
+        out[~p] = -np.log1p(-x[~p]) if abs(lam - 2) < 1e-16 else -((-x[~p] + 1) ** (2 - lam) - 1) / (2 - lam)
+        return out
+
+    def ll(lam):
+        return -len(v) / 2 * np.log(yj(v, lam).var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+
+    a, b = -2.0, 2.0
+    g = (np.sqrt(5) - 1) / 2
+    for _ in range(200):
+        c, d = b - g * (b - a), a + g * (b - a)
+        if ll(c) > ll(d):
+            b = d
+        else:
+            a = c
+    ref = (a + b) / 2
+    df = spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(v)], "k long, x array<double>")
+    lam = E.fit_scaler(df, "power").first()["lam"][0]
+    assert abs(lam - ref) < 1e-5
+
+
+def test_fit_batches_exact_sizes(spark):
+    from hepark.operators.fitting import _epoch_batches
+    df = spark.createDataFrame([(i, 0, [0.0]) for i in range(103)], "k long, y int, x array<double>")
+    path = _epoch_batches(df, "k", 3, 0, 25)
+    sizes = spark.read.parquet(path).groupBy("_b").count().orderBy("_b").toPandas()["count"].tolist()
+    assert sizes == [25, 25, 25, 25, 3]
