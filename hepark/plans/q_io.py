@@ -109,3 +109,25 @@ def ingest_incremental_q(spark, sf_dir):
     ingest_incremental(spark, sf_dir, EVENTS_SCHEMA, sink, ckpt, _ingest_transform,
                        glob="events.parquet")
     return spark.read.parquet(sink)
+
+
+def _ingest_flat_sql() -> str:
+    from hepark.plans.q_features import _sql_flat_long
+    return _sql_flat_long("btag")
+
+
+@query("ingest_flat_features", _ingest_flat_sql())
+def ingest_flat_features(spark, sf_dir):
+    """A2 on the reference's own input form: the wide raw event table, stored
+    as several files, is streamed one file per trigger through binarise ->
+    select -> project -> assemble; the sink must equal the batch result."""
+    from hepark.plans.q_features import _long_out, raw_events
+    src = A.scratch_path(spark, "raw-events")
+    raw = raw_events(spark, sf_dir)
+    raw.repartition(4, "event_id").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    sink = A.scratch_path(spark, "flat-out")
+    ckpt = A.scratch_path(spark, "flat-ckpt")
+    ingest_incremental(spark, src, schema, sink, ckpt,
+                       lambda d: B.make_flat_features(d, "btag"), files_per_trigger=1)
+    return _long_out(spark.read.parquet(sink))
