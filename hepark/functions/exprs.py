@@ -1,4 +1,4 @@
-"""Column-expression helpers. All JVM-side, all whole-stage-codegen friendly."""
+"""Column-expression helpers (JVM-side Spark expressions)."""
 
 from __future__ import annotations
 
@@ -34,14 +34,22 @@ def sql_rnd(expr: str, digits: int = 6) -> str:
     return f"(floor(CAST({expr} AS DOUBLE) * {s} + 0.5) / {s})"
 
 
-def order_key(cols: Sequence[str] | str, seed: int) -> Column:
-    """Seeded pseudo-random order key: md5 of the key columns and the seed.
+def order_key(cols: Sequence[str] | str, seed: int, hash: str = "md5") -> Column:
+    """Seeded pseudo-random order key.
 
-    md5 of the same string is identical in Spark and DuckDB, which makes the
-    shuffle reproducible and checkable.  Never ``rand()`` on tested paths.
+    ``md5`` (default): md5 hex of the key columns and the seed - identical in
+    Spark and DuckDB, so the shuffle is reproducible and checkable.
+    ``xxhash64``: ``struct(xxhash64(key, seed), key...)`` - about 15x cheaper
+    to compute; the key makes it unique despite 64-bit hash collisions.
+    Never ``rand()`` on tested paths.
     """
     if isinstance(cols, str):
         cols = [cols]
+    if hash == "xxhash64":
+        return F.struct(F.xxhash64(*[F.col(c) for c in cols], F.lit(int(seed))).alias("h"),
+                        *[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    if hash != "md5":
+        raise TypeError(f"unknown order hash {hash!r}")
     parts = []
     for c in cols:
         parts += [F.col(c).cast("string"), F.lit("|")]
@@ -69,6 +77,15 @@ def hex_bucket(h, buckets: int) -> Column:
     return F.floor(lead * F.lit(float(buckets)) / F.lit(4294967296.0)).cast("int")
 
 
+def order_bucket(ord_col, buckets: int, hash: str = "md5") -> Column:
+    """Monotone, balanced bucket of an order key made by :func:`order_key`."""
+    if hash == "md5":
+        return hex_bucket(ord_col, buckets)
+    h = col(ord_col)["h"].cast("double")
+    b = F.floor((h + F.lit(9.223372036854775807e18)) / F.lit(1.8446744073709552e19) * F.lit(float(buckets)))
+    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
 # ---------------------------------------------------------------- activations
 
 def relu(x: Column) -> Column:

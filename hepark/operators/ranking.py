@@ -26,7 +26,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hepark.functions.exprs import hex_bucket
+from hepark.functions.exprs import hex_bucket, order_bucket
 from hepark.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
@@ -185,16 +185,23 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order_col: str, sum_cols: Sequ
 
 
 def positions(df: DataFrame, by: Sequence[str], order_col: str, out: str = "pos",
-              buckets: int | None = None, hex_order: bool = False, totals: bool = False,
+              buckets: int | None = None, hex_order: bool | str = False, totals: bool = False,
               bucket: str | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` inside ``by`` ordered by a unique
     ``order_col`` without a window over the whole group.
 
-    ``hex_order=True`` declares ``order_col`` an md5 hex digest, whose prefix
-    is a balanced bucket with no quantile pass.  ``totals`` adds ``n_group``.
+    ``hex_order=True`` (or ``"md5"``) declares ``order_col`` an md5 hex
+    digest, whose prefix is a balanced bucket with no quantile pass;
+    ``hex_order="xxhash64"`` declares an xxhash64 order key (see
+    ``exprs.order_key``).  ``totals`` adds ``n_group``.
     """
     buckets = buckets or _default_buckets(df)
-    bcol = bucket if bucket is not None else (hex_bucket(order_col, buckets) if hex_order else None)
+    if bucket is not None:
+        bcol = bucket
+    elif hex_order:
+        bcol = order_bucket(order_col, buckets, "md5" if hex_order is True else hex_order)
+    else:
+        bcol = None
     r = ordered_scan(df.withColumn("_one", F.lit(1).cast("long")), by, order_col, sums=["_one"],
                      buckets=buckets, bucket=bcol, totals=totals)
     r = r.withColumn(out, (F.col("_one_below") + 1).cast("long")).drop("_one", "_one_below")

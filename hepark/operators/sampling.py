@@ -3,7 +3,10 @@ batches (D1-D7).
 
 Randomness is an md5 order key of (row key, seed): reproducible, identical in
 any engine, independent of partitioning, and its hex prefix is a balanced
-range bucket for the two-phase ranks.  Per-class ranks never use a
+range bucket for the two-phase ranks.  Every operator also takes
+``hash='xxhash64'``: the same seeded, partition-independent order from a
+64-bit hash plus the key, about 3x faster end to end at scale (not
+reproducible outside Spark).  Per-class ranks never use a
 ``partitionBy(y)`` window (two classes = two tasks).
 """
 
@@ -19,33 +22,36 @@ from hepark.operators.ranking import group_counts, ntile_of, positions
 
 
 def shuffle(df: DataFrame, key: str | Sequence[str] = "k", seed: int = 0, out: str = "ord",
-            with_pos: bool = False, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
-    """Seeded order key; ``with_pos`` adds the 1-based position in it."""
-    d = df.withColumn(out, order_key(key, seed))
+            with_pos: bool = False, by: Sequence[str] = (), pos: str = "pos",
+            hash: str = "md5") -> DataFrame:
+    """Seeded order key; ``with_pos`` adds the 1-based position in it.
+    ``hash='xxhash64'`` trades the cross-engine md5 contract for a ~15x
+    cheaper key (see ``exprs.order_key``)."""
+    d = df.withColumn(out, order_key(key, seed, hash))
     if with_pos:
-        d = positions(d, list(by), out, out=pos, hex_order=True)
+        d = positions(d, list(by), out, out=pos, hex_order=hash)
     return d
 
 
 def balanced_sample(df: DataFrame, n: int, seed: int = 0, key: str = "k",
-                    label: str = "y") -> DataFrame:
+                    label: str = "y", hash: str = "md5") -> DataFrame:
     """``int(n/2)`` first rows (by key) of each class, then shuffled.
 
     ``n < 0`` keeps every row (still shuffled)."""
     if n >= 0:
         half = int(int(n) / 2)
         df = positions(df, [label], key, out="_rn").filter(F.col("_rn") <= half).drop("_rn")
-    return shuffle(df, key, seed, with_pos=True)
+    return shuffle(df, key, seed, with_pos=True, hash=hash)
 
 
 def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
-                     label: str = "y", out: str = "split") -> DataFrame:
+                     label: str = "y", out: str = "split", hash: str = "md5") -> DataFrame:
     """D3: per class, the first ``ceil(p*n_c)`` rows of the seeded order are
     ``valid``; then ``test`` takes ``ceil(q*r_c)`` of the remaining ``r_c`` rows
     where ``q = #valid / #remaining`` (so test ~ valid in size); the rest is
     ``train``.  Class ratios are kept."""
-    d = shuffle(df, key, seed)
-    d = positions(d, [label], "ord", out="_rn", hex_order=True)
+    d = shuffle(df, key, seed, hash=hash)
+    d = positions(d, [label], "ord", out="_rn", hex_order=hash)
     cnt = group_counts(df, [label], "_n")
     cnt = cnt.withColumn("_v", F.ceil(F.lit(float(p)) * F.col("_n")).cast("long"))
     allc = Window.partitionBy()  # over the per-class table: #classes rows
@@ -63,15 +69,15 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
 
 
 def kfold(df: DataFrame, k: int, events: int, seed: int = 0, key: str = "k",
-          label: str = "y") -> DataFrame:
+          label: str = "y", hash: str = "md5") -> DataFrame:
     """Balanced k-fold.  Per class, consecutive blocks of ``events/2``
     rows of the seeded order form the folds; rows beyond ``k`` full blocks are
     discarded.  ``slot`` is the in-fold position before the in-fold shuffle
     (signal first), and ``fold_ord`` orders a fold with the same permutation
     for every fold."""
     half = int(events / 2)
-    d = shuffle(df, key, seed)
-    d = positions(d, [label], "ord", out="_rn", hex_order=True)
+    d = shuffle(df, key, seed, hash=hash)
+    d = positions(d, [label], "ord", out="_rn", hex_order=hash)
     d = d.withColumn("fold", F.floor((F.col("_rn") - 1) / F.lit(half)).cast("int")) \
          .filter(F.col("fold") < k)
     slot = (F.when(F.col(label) == 1, F.lit(0)).otherwise(F.lit(half))
@@ -81,26 +87,26 @@ def kfold(df: DataFrame, k: int, events: int, seed: int = 0, key: str = "k",
 
 
 def chunk(df: DataFrame, n: int = 5, seed: int = 0, key: str = "k", out: str = "chunk",
-          by: Sequence[str] = ()) -> DataFrame:
+          by: Sequence[str] = (), hash: str = "md5") -> DataFrame:
     """Seeded shuffle then ``n`` near-equal chunks (first ``N % n`` one
     row larger, as numpy.array_split / ntile)."""
     by = list(by)
-    d = df.withColumn("ord", order_key(key, seed))
+    d = df.withColumn("ord", order_key(key, seed, hash))
     # positions and group sizes come out of the same ordered scan
-    d = positions(d, by, "ord", out="pos", hex_order=True, totals=True)
+    d = positions(d, by, "ord", out="pos", hex_order=hash, totals=True)
     return d.withColumn(out, ntile_of(F.col("pos"), F.col("n_group"), n)).drop("n_group")
 
 
 def batchify(df: DataFrame, b: int | None, rule: str = "fixed", seed: int | None = None,
-             key: str = "k", out: str = "batch_id") -> DataFrame:
+             key: str = "k", out: str = "batch_id", hash: str = "md5") -> DataFrame:
     """Batch ids.  ``equal``: ``ceil(N/b)`` near-equal batches;
     ``fixed``: batches of ``b`` with a short last one; ``b=None``: one batch.
     With a ``seed`` rows are shuffled first, otherwise taken in key order."""
     if b is None:
         return df.withColumn(out, F.lit(0))
     if seed is not None:
-        d = positions(df.withColumn("ord", order_key(key, seed)), [], "ord", out="pos",
-                      hex_order=True, totals=True)
+        d = positions(df.withColumn("ord", order_key(key, seed, hash)), [], "ord", out="pos",
+                      hex_order=hash, totals=True)
     else:
         d = positions(df, [], key, out="pos", totals=True)
     d = d.withColumnRenamed("n_group", "_N")

@@ -285,3 +285,24 @@ def test_fit_batches_exact_sizes(spark):
     path = _epoch_batches(df, "k", 3, 0, 25)
     sizes = spark.read.parquet(path).groupBy("_b").count().orderBy("_b").toPandas()["count"].tolist()
     assert sizes == [25, 25, 25, 25, 3]
+
+
+def test_xxhash_positions_exact(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(3000)], "k long, g int")
+    got = D.shuffle(df, "k", 5, with_pos=True, by=["g"], hash="xxhash64").toPandas()
+    for _, part in got.groupby("g"):
+        assert sorted(part["pos"]) == list(range(1, len(part) + 1))
+        o = part.sort_values("pos")
+        hs = [r["h"] for r in o["ord"]]
+        assert hs == sorted(hs)
+
+
+def test_sampling_with_xxhash(spark):
+    df = spark.createDataFrame([(i, i % 2) for i in range(301)], "k long, y int")
+    f = D.kfold(df, k=3, events=40, seed=2, hash="xxhash64").toPandas()
+    assert len(f) == 120 and f["k"].is_unique
+    sp = D.stratified_split(df, 0.1, seed=2, hash="xxhash64").groupBy("split").count().toPandas()
+    import math
+    assert dict(zip(sp["split"], sp["count"]))["valid"] == math.ceil(0.1 * 151) + math.ceil(0.1 * 150)
+    c = D.chunk(df, 5, seed=2, hash="xxhash64").groupBy("chunk").count().orderBy("chunk").toPandas()
+    assert list(c["count"]) == [len(a) for a in np.array_split(np.arange(301), 5)]
