@@ -2,8 +2,8 @@
 
 J1 is data-parallel: every step, executors compute gradient sums of the
 current mini-batch with the broadcast weights (``mapInPandas`` over Arrow
-batches), Spark reduces them with a grouped sum over parameter slots
-(partial aggregation per partition), and the driver applies the small Adam
+batches, one packed vector per partition), a tree-shaped ``treeReduce``
+combines the per-partition vectors, and the driver applies the small Adam
 update.  The driver only ever holds the weights and the gradient vector
 (size = #parameters).  Each epoch gets a seeded md5 batch assignment written
 once as a batch-partitioned table, so a step scans one batch and runs are
@@ -151,7 +151,13 @@ def _unvec(net: dict, v: np.ndarray) -> dict:
 # ------------------------------------------------------------------ J1
 
 def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tuple[float, np.ndarray, int]:
-    """One distributed gradient evaluation over the rows of ``df``."""
+    """One distributed gradient evaluation over the rows of ``df``.
+
+    Each partition computes its gradient sum over Arrow batches and emits a
+    single row (loss, count, gradient packed as float64 bytes); those rows -
+    one per partition, whatever the data size - are combined with a
+    tree-shaped ``treeReduce`` as numpy vectors, so no per-parameter rows are
+    shuffled and the driver receives one vector."""
     bc = df.sparkSession.sparkContext.broadcast(net)
     npar = len(_vec(net))
 
@@ -168,19 +174,20 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
             loss += lo
             cnt += len(pdf)
         if cnt:
-            yield pd.DataFrame({"slot": np.arange(npar, dtype=np.int64), "g": tot,
-                                "loss": np.where(np.arange(npar) == 0, loss, 0.0),
-                                "n": np.where(np.arange(npar) == 0, cnt, 0).astype(np.int64)})
-
-    red = (df.select(x, label).mapInPandas(part_grads, "slot long, g double, loss double, n long")
-           .groupBy("slot").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")))
-    rows = red.collect()  # #parameters rows: bounded by the network
-    g = np.zeros(npar)
-    loss, n = 0.0, 0
-    for r in rows:
-        g[r["slot"]] = r["g"]
-        loss += r["loss"]
-        n += r["n"]
+            yield pd.DataFrame({"loss": [loss], "n": [cnt], "g": [tot.astype(np.float64).tobytes()]})
+
+    parts = df.select(x, label).mapInPandas(part_grads, "loss double, n long, g binary")
+
+    def unpack(r):
+        return (float(r["loss"]), int(r["n"]), np.frombuffer(r["g"], dtype=np.float64).copy())
+
+    def add(a, b):
+        return (a[0] + b[0], a[1] + b[1], a[2] + b[2])
+
+    rdd = parts.rdd.map(unpack)
+    if rdd.isEmpty():
+        return 0.0, np.zeros(npar), 0
+    loss, n, g = rdd.treeReduce(add, depth=2)
     return loss, g, n
 
 

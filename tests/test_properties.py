@@ -306,3 +306,23 @@ def test_sampling_with_xxhash(spark):
     assert dict(zip(sp["split"], sp["count"]))["valid"] == math.ceil(0.1 * 151) + math.ceil(0.1 * 150)
     c = D.chunk(df, 5, seed=2, hash="xxhash64").groupBy("chunk").count().orderBy("chunk").toPandas()
     assert list(c["count"]) == [len(a) for a in np.array_split(np.arange(301), 5)]
+
+
+@pytest.mark.parametrize("name", ["vanilla", "classifier", "plain"])
+def test_gradients_match_finite_differences(name):
+    from hepark.operators import fitting as J
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(7, 5)) * 0.5
+    y = (rng.random(7) > 0.5).astype(float)
+    kw = {"head": (3, 1)} if name == "classifier" else {}
+    net = J.choose_network(name, [5, 4, 2], **kw)
+    _, gr = J.loss_and_grads(net, X, y, 0.3)
+    g = J._vec(net, gr)
+    theta = J._vec(net)
+    idx = rng.choice(len(theta), 12, replace=False)
+    for i in idx:
+        e = np.zeros_like(theta)
+        e[i] = 1e-6
+        lp, _ = J.loss_and_grads(J._unvec(net, theta + e), X, y, 0.3)
+        lm, _ = J.loss_and_grads(J._unvec(net, theta - e), X, y, 0.3)
+        assert abs((lp - lm) / 2e-6 - g[i]) < 1e-5 * max(1.0, abs(g[i]))
