@@ -6,9 +6,10 @@ ROC curves, seeded positions, chunking, folds and per-class head cuts all
 need an ordered scan over such a group, so they share a two-phase scheme:
 
 1. every row gets a *bucket*: a monotone function of the order column that
-   splits each group into ``buckets`` ranges of similar size (md5 prefixes are
-   uniform; numeric columns use approximate per-group quantiles; a later pass
-   may reuse the bucket of an earlier one);
+   splits each group into ``buckets`` ranges of similar size (hash order keys
+   - md5 or xxhash64 - are uniform, so their leading bits are the bucket;
+   numeric columns use approximate per-group quantiles; a later pass may
+   reuse the bucket of an earlier one);
 2. a local window inside ``(group, bucket)`` computes the in-bucket part;
 3. one aggregate per ``(group, bucket)`` (``#groups x buckets`` rows, tiny)
    gives bucket totals and the bucket's last row; a window over that small
@@ -16,6 +17,9 @@ need an ordered scan over such a group, so they share a two-phase scheme:
 4. the small table is joined back on ``(group, bucket)`` (AQE broadcasts it
    when its runtime size is small, otherwise it stays a shuffle join).
 
+The bucket count follows Catalyst's size estimate of the input, so tasks stay
+bounded however large a group is.
+
 No task ever sees more than one bucket of one group.
 """
 
@@ -26,7 +30,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hepark.functions.exprs import hex_bucket, order_bucket
+from hepark.functions.exprs import order_bucket
 from hepark.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
@@ -76,8 +80,9 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
                      accuracy: int | None = None, out: str = "_bkt") -> DataFrame:
     """Attach a monotone bucket id from approximate per-group quantiles.
 
-    Only the boundaries (``buckets-1`` values per group) travel; the boundary
-    table is joined on ``by`` (or cross-joined as a single row if no group).
+    Only the boundaries (``buckets-1`` values per group) travel: per group
+    they are joined on ``by`` (broadcast after a size check); with no group the
+    single boundary row is inlined as a literal array.
     """
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = accuracy or max(10000, 20 * buckets)
