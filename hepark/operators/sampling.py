@@ -44,14 +44,64 @@ def balanced_sample(df: DataFrame, n: int, seed: int = 0, key: str = "k",
     return shuffle(df, key, seed, with_pos=True, hash=hash)
 
 
+def approximate_mode(counts: Sequence[int], n_draws: int) -> list[int]:
+    """scikit-learn's stratified allocation of ``n_draws`` over classes:
+    floor of the proportional share, then one more for the largest
+    remainders (ties broken by class order instead of at random)."""
+    import numpy as np
+    c = np.asarray(counts, dtype=np.float64)
+    cont = c / c.sum() * n_draws
+    fl = np.floor(cont)
+    need = int(n_draws - fl.sum())
+    rem = cont - fl
+    for i in sorted(range(len(c)), key=lambda j: (-rem[j], j))[:max(need, 0)]:
+        fl[i] += 1
+    return [int(v) for v in fl]
+
+
+def sklearn_split_sizes(counts: Sequence[int], p: float) -> tuple[list[int], list[int]]:
+    """Per-class (valid, test) sizes of the reference's two successive
+    stratified splits: valid = ceil(p N) overall; test = the fraction
+    valid/train of the remaining train part."""
+    import math
+    n = int(sum(counts))
+    n_valid = int(math.ceil(p * n))
+    n_train1 = n - n_valid
+    tr1 = approximate_mode(counts, n_train1)
+    va = approximate_mode([c - t for c, t in zip(counts, tr1)], n_valid)
+    q = float(n_valid / n_train1)
+    n_test = int(math.ceil(q * n_train1))
+    tr2 = approximate_mode(tr1, n_train1 - n_test)
+    te = approximate_mode([c - t for c, t in zip(tr1, tr2)], n_test)
+    return va, te
+
+
 def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
-                     label: str = "y", out: str = "split", hash: str = "md5") -> DataFrame:
-    """D3: per class, the first ``ceil(p*n_c)`` rows of the seeded order are
-    ``valid``; then ``test`` takes ``ceil(q*r_c)`` of the remaining ``r_c`` rows
-    where ``q = #valid / #remaining`` (so test ~ valid in size); the rest is
-    ``train``.  Class ratios are kept."""
+                     label: str = "y", out: str = "split", hash: str = "md5",
+                     rule: str = "ceil") -> DataFrame:
+    """D3: per class, the first ``v_c`` rows of the seeded order are
+    ``valid``, the next ``t_c`` are ``test``, the rest ``train``; class ratios
+    are kept.
+
+    ``rule='ceil'``: ``v_c = ceil(p*n_c)``, ``t_c = ceil(q*r_c)`` with
+    ``q = #valid / #remaining``.  ``rule='sklearn'``: the sizes of the
+    reference's two scikit-learn splits (largest-remainder allocation), from
+    the per-class counts (a #classes-row table read on the driver)."""
     d = shuffle(df, key, seed, hash=hash)
     d = positions(d, [label], "ord", out="_rn", hex_order=hash)
+    if rule == "sklearn":
+        cls = sorted((r[0], int(r[1])) for r in group_counts(df, [label], "_n").collect())
+        va, te = sklearn_split_sizes([c for _, c in cls], p)
+        v = F.lit(0).cast("long")
+        t = F.lit(0).cast("long")
+        for (lab, _), vi, ti in zip(cls, va, te):
+            v = F.when(F.col(label) == F.lit(lab), F.lit(vi)).otherwise(v)
+            t = F.when(F.col(label) == F.lit(lab), F.lit(ti)).otherwise(t)
+        split = (F.when(F.col("_rn") <= v, F.lit("valid")).when(F.col("_rn") <= v + t, F.lit("test"))
+                 .otherwise(F.lit("train")))
+        return d.withColumn(out, split).drop("_rn")
+    if rule != "ceil":
+        raise TypeError(f"unknown split rule {rule!r}")
     cnt = group_counts(df, [label], "_n")
     cnt = cnt.withColumn("_v", F.ceil(F.lit(float(p)) * F.col("_n")).cast("long"))
     allc = Window.partitionBy()  # over the per-class table: #classes rows

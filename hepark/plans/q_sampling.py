@@ -91,3 +91,36 @@ def shuffle_lineitem(spark, sf_dir):
         F.round(F.col("l_extendedprice") * F.lit(100.0)).cast("long").alias("cents"))
     d = D.shuffle(li, ["l_orderkey", "cents"], SEED, with_pos=True)
     return d.select("pos", "l_orderkey", "l_extendedprice")
+
+
+def _sql_approx_mode(counts: str, draws: str, name: str) -> str:
+    """Largest-remainder allocation over a (y, c) table, ties by class order."""
+    return f"""{name} AS (
+  SELECT y, CAST(floor(cont) AS BIGINT)
+            + CASE WHEN row_number() OVER (ORDER BY cont - floor(cont) DESC, y)
+                        <= any_value(need) OVER () THEN 1 ELSE 0 END AS a
+  FROM (SELECT y, cont, CAST({draws} - sum(floor(cont)) OVER () AS BIGINT) AS need
+        FROM (SELECT y, CAST(c AS DOUBLE) / CAST(sum(c) OVER () AS DOUBLE) * {draws} AS cont FROM {counts})))"""
+
+
+SQL_SPLIT_SK = f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord) AS rn FROM ({EMB})),
+cc AS (SELECT y, count(*) AS c FROM r GROUP BY y),
+s1 AS (SELECT CAST(ceil(0.1::DOUBLE * sum(c)) AS BIGINT) AS nv, sum(c) - CAST(ceil(0.1::DOUBLE * sum(c)) AS BIGINT) AS ntr1 FROM cc),
+c0 AS (SELECT cc.y, cc.c FROM cc),
+{_sql_approx_mode('c0', '(SELECT ntr1 FROM s1)', 'tr1')},
+c1 AS (SELECT cc.y, cc.c - tr1.a AS c FROM cc JOIN tr1 USING (y)),
+{_sql_approx_mode('c1', '(SELECT nv FROM s1)', 'va')},
+s2 AS (SELECT CAST(ceil(CAST(nv AS DOUBLE) / CAST(ntr1 AS DOUBLE) * ntr1) AS BIGINT) AS nte, ntr1 FROM s1),
+c2 AS (SELECT y, a AS c FROM tr1),
+{_sql_approx_mode('c2', '(SELECT ntr1 - nte FROM s2)', 'tr2')},
+c3 AS (SELECT tr1.y, tr1.a - tr2.a AS c FROM tr1 JOIN tr2 USING (y)),
+{_sql_approx_mode('c3', '(SELECT nte FROM s2)', 'te')}
+SELECT r.k, r.y, CASE WHEN r.rn <= va.a THEN 'valid' WHEN r.rn <= va.a + te.a THEN 'test' ELSE 'train' END AS split
+FROM r JOIN va USING (y) JOIN te USING (y)"""
+
+
+@query("stratified_split_sklearn", SQL_SPLIT_SK)
+def stratified_split_sklearn(spark, sf_dir):
+    d = D.stratified_split(S.embedding_matrix(spark, sf_dir), 0.1, SEED, rule="sklearn")
+    return d.select("k", "y", "split")

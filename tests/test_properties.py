@@ -326,3 +326,13 @@ def test_gradients_match_finite_differences(name):
         lp, _ = J.loss_and_grads(J._unvec(net, theta + e), X, y, 0.3)
         lm, _ = J.loss_and_grads(J._unvec(net, theta - e), X, y, 0.3)
         assert abs((lp - lm) / 2e-6 - g[i]) < 1e-5 * max(1.0, abs(g[i]))
+
+
+def test_sklearn_split_allocation():
+    from hepark.operators.sampling import approximate_mode, sklearn_split_sizes
+    # shares 1.5, 1.5, 2.0: one extra draw goes to the first tied remainder
+    assert approximate_mode([3, 3, 4], 5) == [2, 1, 2]
+    assert approximate_mode([256, 244], 450) == [230, 220]
+    va, te = sklearn_split_sizes([256, 244], 0.1)
+    assert sum(va) == 50 and va == [26, 24]
+    assert sum(te) in (50, 51) and all(t >= 0 for t in te)
