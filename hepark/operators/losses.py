@@ -63,19 +63,24 @@ def combine_losses(kind: str, recon: Column, cls: Column | None = None, latent:
     raise TypeError(f"unknown loss combination {kind!r}")
 
 
+def _lse(arr: Column) -> Column:
+    return F.log(F.aggregate(F.transform(arr, lambda v: F.exp(v)), F.lit(0.0), lambda acc, t: acc + t))
+
+
+def latent_kl_row(latent: str = "latent", samples: str = "samples") -> Column:
+    """Per-row KL(softmax(samples) || softmax(latent)) summed over dimensions."""
+    z = F.col(latent).cast("array<double>")
+    e = F.col(samples).cast("array<double>")
+    lz, le = _lse(z), _lse(e)
+    return F.aggregate(F.zip_with(z, e, lambda zi, ei: F.exp(ei - le) * ((ei - le) - (zi - lz))),
+                       F.lit(0.0), lambda acc, t: acc + t)
+
+
 def latent_kl(df: DataFrame, latent: str = "latent", samples: str = "samples") -> DataFrame:
     """KL(softmax(samples) || softmax(latent)) summed over dimensions and
     rows, divided by the row count."""
-    z = F.col(latent).cast("array<double>")
-    e = F.col(samples).cast("array<double>")
-    lse = lambda arr: F.log(F.aggregate(F.transform(arr, lambda v: F.exp(v)), F.lit(0.0),
-                                        lambda acc, t: acc + t))
-    d = df.select(z.alias("_z"), e.alias("_e")).select("_z", "_e", lse(F.col("_z")).alias("_lz"),
-                                                         lse(F.col("_e")).alias("_le"))
-    term = F.aggregate(F.zip_with("_z", "_e", lambda zi, ei: F.exp(ei - F.col("_le"))
-                                  * ((ei - F.col("_le")) - (zi - F.col("_lz")))), F.lit(0.0),
-                       lambda acc, t: acc + t)
-    return d.agg((F.sum(term) / F.count(F.lit(1)).cast("double")).alias("latent_kl"))
+    return df.agg((F.sum(latent_kl_row(latent, samples)) / F.count(F.lit(1)).cast("double"))
+                  .alias("latent_kl"))
 
 
 def wasserstein(a: DataFrame, b: DataFrame, probs: Sequence[float], x: str = "x",

@@ -378,3 +378,32 @@ def wasserstein_sliced(spark, sf_dir):
     dirs = I.seeded_directions(spark, N_PROJ, 64, seed=13)
     w = I.wasserstein(m.filter(F.col("y") == 1), m.filter(F.col("y") == 0), W_PROBS, projections=dirs)
     return w.select(F.col("dim").cast("int"), rnd("w1").alias("w1"))
+
+
+# I4, variational form: (1 - w) * reconstruction MSE + w * latent KL
+VAR_N = len(VAR_SIZES) - 1
+VAR_DEC = _sql_part("SELECT k, i, v FROM zs", "decoder", list(reversed(VAR_SIZES)),
+                    ["elu"] * (VAR_N - 1) + ["tanh"])
+
+
+@query("combined_loss_variational", f"""WITH pre AS ({VAR_PRE}), mu AS ({VAR_MU}), lv AS ({VAR_LV}),
+eps AS ({_sql_noise(11, VAR_SIZES[-1])}),
+zs AS (SELECT mu.k, mu.i, mu.v + eps.e * lv.v AS v
+       FROM mu JOIN lv ON mu.k = lv.k AND mu.i = lv.i JOIN eps ON eps.k = mu.k AND eps.i = mu.i),
+rec AS ({VAR_DEC}),
+err AS (SELECT x.k, sum((x.v - r.v) * (x.v - r.v)) / 64.0::DOUBLE AS err
+        FROM ({X_LONG}) x JOIN rec r ON x.k = r.k AND x.i = r.i GROUP BY x.k),
+smp AS ({_sql_noise(5, VAR_SIZES[-1])}),
+z AS (SELECT zs.k, zs.i, zs.v AS z, smp.e FROM zs JOIN smp ON zs.k = smp.k AND zs.i = smp.i),
+n AS (SELECT k, ln(sum(exp(z))) AS lz, ln(sum(exp(e))) AS le FROM z GROUP BY k),
+kl AS (SELECT sum(exp(e - le) * ((e - le) - (z - lz))) / count(DISTINCT z.k) AS kl FROM z JOIN n USING (k))
+SELECT {R('0.7::DOUBLE * (SELECT avg(err) FROM err) + 0.3::DOUBLE * (SELECT kl FROM kl)')} AS loss""")
+def combined_loss_variational(spark, sf_dir):
+    m = S.embedding_matrix(spark, sf_dir)
+    v = Fs.score_variational(m, Fs.variational(VAR_SIZES), seed=11, scale="logvar")
+    v = v.withColumn("samples", Fs.normal_noise("k", 5, VAR_SIZES[-1]))
+    # both losses from one aggregate
+    r = v.agg(F.avg(I.row_sq_err("x", "recon")).alias("mse"),
+              (F.sum(I.latent_kl_row("latent", "samples")) / F.count(F.lit(1)).cast("double")).alias("latent_kl"))
+    return r.select(rnd(I.combine_losses("variational", F.col("mse"), latent=F.col("latent_kl"), w=0.3))
+                    .alias("loss"))
