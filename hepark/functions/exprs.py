@@ -18,20 +18,28 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+ROUND_LIMIT = 1e12  # |x| at or above this is returned unrounded (no BIGINT overflow)
+
+
 def rnd(c, digits: int = 6) -> Column:
     """Round half up as floor(x*10^d + 0.5)/10^d.
 
     Written with IEEE operations only, so the same double comes out of Spark
-    and DuckDB for the same input.
+    and DuckDB for the same input.  Magnitudes from ``ROUND_LIMIT`` up pass
+    through unchanged, so the BIGINT ``floor`` cannot overflow under ANSI.
     """
     s = float(10 ** digits)
-    return (F.floor(col(c).cast("double") * F.lit(s) + F.lit(0.5)) / F.lit(s)).cast("double")
+    x = col(c).cast("double")
+    r = (F.floor(x * F.lit(s) + F.lit(0.5)) / F.lit(s)).cast("double")
+    return F.when(F.abs(x) < F.lit(ROUND_LIMIT), r).otherwise(x)
 
 
 def sql_rnd(expr: str, digits: int = 6) -> str:
     """DuckDB twin of :func:`rnd`."""
     s = f"{10 ** digits}.0::DOUBLE"
-    return f"(floor(CAST({expr} AS DOUBLE) * {s} + 0.5) / {s})"
+    x = f"CAST({expr} AS DOUBLE)"
+    return (f"(CASE WHEN abs({x}) < {ROUND_LIMIT!r}::DOUBLE THEN floor({x} * {s} + 0.5) / {s} "
+            f"ELSE {x} END)")
 
 
 def order_key(cols: Sequence[str] | str, seed: int, hash: str = "md5") -> Column:

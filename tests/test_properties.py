@@ -336,3 +336,12 @@ def test_sklearn_split_allocation():
     va, te = sklearn_split_sizes([256, 244], 0.1)
     assert sum(va) == 50 and va == [26, 24]
     assert sum(te) in (50, 51) and all(t >= 0 for t in te)
+
+
+def test_rounding_large_values_under_ansi(spark):
+    from hepark.functions.exprs import rnd
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    df = spark.createDataFrame([(1.23456789,), (-2.5e-7,), (3.0e15,), (None,)], "v double")
+    got = [r[0] for r in df.select(rnd("v")).collect()]
+    assert got[0] == 1.234568 and got[1] == -0.0 or got[1] == 0.0
+    assert got[2] == 3.0e15 and got[3] is None
