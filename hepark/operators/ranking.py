@@ -237,15 +237,20 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
     task's memory; here the work is two ordered scans:
     distinct values with counts -> cumulative counts (rank ranges); then the
     target ranks ``floor/ceil((n-1)p)`` are merged into the ordered values and
-    pick up the value covering them by a forward fill.
+    pick up the value covering them by a forward fill.  The second scan reuses
+    the first scan's buckets (a target goes to the bucket whose first rank
+    precedes it), so it needs no new boundaries and no extra materialisation.
     Output: by..., ``p_idx`` (int), ``p``, ``q``.
     """
     by = list(by)
     c = cut_lineage(long.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).cast("long").alias("_cnt")))
-    s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, materialize=False)
-    data = s.select(*by, (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
+    s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, materialize=False, keep_bucket=True)
+    data = s.select(*by, "_bkt", (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
     n = c.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
+    # first rank of every bucket, per group (#groups x #buckets rows)
+    starts = (data.groupBy(*by, "_bkt").agg(F.min("_ord").alias("_s"))
+              .groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_s", "_bkt"))).alias("_starts")))
     parr = F.array(*[F.lit(float(p)) for p in probs])
     h = (F.col("_n") - 1).cast("double") * F.col("p")
     # one row per (group, prob, side): bounded by #groups x #probs
@@ -256,10 +261,20 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
           .withColumn("_r", F.when(F.col("_side") == 0, F.floor("_h")).otherwise(F.ceil("_h")).cast("long"))
           .select(*by, "p_idx", "p", "_h", "_side", (F.col("_r") * 2 + 1).alias("_ord"),
                   F.lit(None).cast("double").alias("_v")))
+    if by:
+        tg = tg.join(starts, by, "inner")
+    else:  # one row of #buckets entries: read once, inlined as a literal
+        row = starts.first()
+        lit = F.array(*[F.struct(F.lit(int(e["_s"])).alias("_s"), F.lit(int(e["_bkt"])).alias("_bkt"))
+                        for e in (row["_starts"] if row is not None else [])])
+        tg = tg.withColumn("_starts", lit)
+    t_ord = F.col("_ord")
+    k = F.size(F.filter(F.col("_starts"), lambda st: st["_s"] < t_ord))
+    tg = tg.withColumn("_bkt", F.element_at(F.col("_starts"), F.greatest(k, F.lit(1)))["_bkt"]).drop("_starts")
     u = data.select(*by, F.lit(None).cast("int").alias("p_idx"), F.lit(None).cast("double").alias("p"),
                     F.lit(None).cast("double").alias("_h"), F.lit(None).cast("int").alias("_side"),
-                    "_ord", "_v").unionByName(tg)
-    u = ordered_scan(u, by, "_ord", carries=["_v"], buckets=buckets).filter(F.col("p_idx").isNotNull())
+                    "_ord", "_v", "_bkt").unionByName(tg)
+    u = ordered_scan(u, by, "_ord", carries=["_v"], bucket="_bkt").filter(F.col("p_idx").isNotNull())
     piv = u.groupBy(*by, "p_idx", "p", "_h").agg(
         F.max(F.when(F.col("_side") == 0, F.col("carry__v"))).alias("_lo"),
         F.max(F.when(F.col("_side") == 1, F.col("carry__v"))).alias("_hi"))
