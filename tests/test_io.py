@@ -67,3 +67,22 @@ def test_streaming_ingest_equals_batch(spark):
     # a rerun with the same checkpoint resumes and appends nothing
     ingest_incremental(spark, SF, schema, sink, ckpt, tf, glob="events.parquet")
     assert spark.read.parquet(sink).count() == len(exp)
+
+
+def test_read_events_csv_with_schema(spark):
+    src = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    path = A.scratch_path(spark, "orders-csv")
+    src.write.option("header", "true").csv(path)
+    back = A.read_events(spark, path, "o_orderkey BIGINT, o_totalprice DOUBLE, o_orderstatus STRING", fmt="csv")
+    assert dict(back.dtypes) == {"o_orderkey": "bigint", "o_totalprice": "double", "o_orderstatus": "string"}
+    assert back.count() == src.count()
+    assert back.filter("o_orderstatus = 'F'").count() == src.filter("o_orderstatus = 'F'").count()
+
+
+def test_latent_partitions_by_class(spark):
+    df = spark.createDataFrame([(i, i % 2, [float(i)]) for i in range(10)], "k long, y int, latent array<double>")
+    path = A.scratch_path(spark, "latent")
+    A.write_latent(df, path)
+    sig = spark.read.parquet(path).filter("y = 1")
+    assert "PartitionFilters: [isnotnull(y" in sig._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["k"] for r in sig.collect()) == [1, 3, 5, 7, 9]
