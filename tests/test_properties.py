@@ -345,3 +345,12 @@ def test_rounding_large_values_under_ansi(spark):
     got = [r[0] for r in df.select(rnd("v")).collect()]
     assert got[0] == 1.234568 and got[1] == 0.0  # -0.0 == 0.0
     assert got[2] == 3.0e15 and got[3] is None
+
+
+def test_kde_prebin_close_to_exact(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i % 2), float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(3000, 2)))]
+    df = spark.createDataFrame(rows, "y int, a double, b double")
+    ex = G.kde2d(df, "a", "b", grid=8).orderBy("y", "gx", "gy").toPandas()
+    ap = G.kde2d(df, "a", "b", grid=8, prebin=256).orderBy("y", "gx", "gy").toPandas()
+    assert np.allclose(ex["density"], ap["density"], rtol=0.02, atol=1e-4)
