@@ -286,12 +286,20 @@ def margin_scores(model, df: DataFrame, x: str = "x", keep: Sequence[str] = ("k"
 
 # ------------------------------------------------------------------ J3, J4
 
-def grid_search(trials: Sequence[dict], run_trial: Callable[[dict], float]) -> list[tuple]:
-    """Run every trial (each one a Spark job) and log (trial, params, metric)."""
-    out = []
-    for i, p in enumerate(trials):
-        out.append((i, str(sorted(p.items())), float(run_trial(p))))
-    return out
+def grid_search(trials: Sequence[dict], run_trial: Callable[[dict], float],
+                parallelism: int = 1) -> list[tuple]:
+    """Run every trial (each one a chain of Spark jobs) and log
+    (trial, params, metric) in trial order.  ``parallelism > 1`` submits
+    trials from that many driver threads at once (Spark schedules concurrent
+    jobs), which keeps a large cluster busy when one trial cannot."""
+    def one(i_p):
+        i, p = i_p
+        return (i, str(sorted(p.items())), float(run_trial(p)))
+    if parallelism <= 1:
+        return [one(t) for t in enumerate(trials)]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        return sorted(ex.map(one, enumerate(trials)))
 
 
 def best_trial(results: DataFrame, metric: str = "metric", higher: bool = True) -> DataFrame:

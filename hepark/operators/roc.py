@@ -222,10 +222,10 @@ __all__ = [n for n in dir() if not n.startswith("_")]
 
 
 def feature_auc_chunks(df: DataFrame, n: int = 5, seed: int = 0, key: str = "k", x: str = "x",
-                       label: str = "y") -> DataFrame:
+                       label: str = "y", hash: str = "md5") -> DataFrame:
     """H4 from a feature matrix: seeded shuffle, ``n`` near-equal chunks,
     per-feature AUC per chunk -> mean, population std, pooled AUC."""
     from hepark.operators.features import explode_features
     from hepark.operators.sampling import chunk
-    c = chunk(df, n, seed, key)
+    c = chunk(df, n, seed, key, hash=hash)
     return feature_auc_chunked(explode_features(c, x, keep=(key, label, "chunk")), label=label)

@@ -354,3 +354,14 @@ def test_kde_prebin_close_to_exact(spark):
     ex = G.kde2d(df, "a", "b", grid=8).orderBy("y", "gx", "gy").toPandas()
     ap = G.kde2d(df, "a", "b", grid=8, prebin=256).orderBy("y", "gx", "gy").toPandas()
     assert np.allclose(ex["density"], ap["density"], rtol=0.02, atol=1e-4)
+
+
+def test_grid_search_parallel_same_as_serial(spark):
+    from hepark.operators import fitting as J
+    df = spark.createDataFrame([(i, float(i)) for i in range(100)], "k long, v double")
+
+    def trial(p):
+        return df.filter(df.v < p["cut"]).count() * p["w"]
+
+    trials = [{"cut": c, "w": w} for c in (10.0, 50.0) for w in (1.0, 2.0)]
+    assert J.grid_search(trials, trial) == J.grid_search(trials, trial, parallelism=3)
