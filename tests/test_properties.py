@@ -365,3 +365,24 @@ def test_grid_search_parallel_same_as_serial(spark):
 
     trials = [{"cut": c, "w": w} for c in (10.0, 50.0) for w in (1.0, 2.0)]
     assert J.grid_search(trials, trial) == J.grid_search(trials, trial, parallelism=3)
+
+
+def test_grid_at_repeated_tpr_takes_last_vertex(spark):
+    # pos 0.9, 0.5 / neg 0.7, 0.3: TPR 0.5 repeats (FPR 0 then 0.5)
+    y = np.array([1, 0, 1, 0])
+    s = np.array([0.9, 0.7, 0.5, 0.3])
+    grid = [0.25, 0.5, 0.75]
+    roc = H.roc_curve(frame(spark, y, s), [])
+    got = H.roc_on_grid(roc, [], grid).orderBy("grid_idx").toPandas()["fpr"].to_numpy()
+    fpr, tpr = np_roc(y, s)
+    assert np.allclose(got, np.interp(grid, tpr, fpr)) and got[1] == 0.5
+
+
+def test_working_point_tie_takes_first_vertex(spark):
+    # TPRs 0.25 and 0.75 are exactly 0.25 away from 0.5: the first vertex wins
+    y = np.array([1, 0, 1, 1, 0, 1, 0])
+    s = np.array([0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3])
+    roc = H.roc_curve(frame(spark, y, s), [], drop_intermediate=False)
+    got = H.fpr_at_tpr(roc, [], target=0.5).first()["fpr_at_tpr"]
+    fpr, tpr = np_roc(y, s, drop=False)
+    assert got == fpr[np.abs(tpr - 0.5).argmin()]
