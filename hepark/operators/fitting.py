@@ -117,6 +117,25 @@ def loss_and_grads(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5):
     return loss, grads
 
 
+def batch_loss(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5) -> float:
+    """Summed loss of one block of rows, forward pass only (for validation)."""
+    p = net["parts"]
+    z = Fs.forward_np(p["encoder"], X)
+    has_dec, has_head = "decoder" in p, "head" in p
+    wr = (1.0 - w_cls) if (has_dec and has_head) else 1.0
+    wc = w_cls if (has_dec and has_head) else 1.0
+    loss = 0.0
+    if has_dec:
+        d = Fs.forward_np(p["decoder"], z) - X
+        loss += wr * float((d * d).mean(axis=1).sum())
+    if has_head:
+        q = Fs.forward_np(p["head"], z)[:, 0]
+        lq = np.maximum(np.log(np.clip(q, 1e-300, None)), -100.0)
+        l1q = np.maximum(np.log(np.clip(1.0 - q, 1e-300, None)), -100.0)
+        loss += wc * float(-(y * lq + (1 - y) * l1q).sum())
+    return loss
+
+
 def flatten_params(net: dict) -> list[tuple[str, int, str]]:
     slots = []
     for part in ("encoder", "decoder", "head"):
@@ -192,8 +211,25 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
 
 
 def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: float = 0.5) -> float:
-    loss, _, n = _grad_job(df, net, x, label, w_cls)
-    return loss / max(n, 1)
+    """Mean loss over ``df``: forward pass only, one (loss, count) row per
+    partition, summed by a grouped aggregate."""
+    bc = df.sparkSession.sparkContext.broadcast(net)
+
+    def part_loss(it):
+        loss, cnt = 0.0, 0
+        n = bc.value
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            X = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf[x].to_numpy()])
+            loss += batch_loss(n, X, pdf[label].to_numpy(dtype=np.float64), w_cls)
+            cnt += len(pdf)
+        if cnt:
+            yield pd.DataFrame({"loss": [loss], "n": [cnt]})
+
+    r = (df.select(x, label).mapInPandas(part_loss, "loss double, n long")
+         .agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first())
+    return float(r["loss"] or 0.0) / max(int(r["n"] or 0), 1)
 
 
 def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: int) -> str:

@@ -386,3 +386,18 @@ def test_working_point_tie_takes_first_vertex(spark):
     got = H.fpr_at_tpr(roc, [], target=0.5).first()["fpr_at_tpr"]
     fpr, tpr = np_roc(y, s, drop=False)
     assert got == fpr[np.abs(tpr - 0.5).argmin()]
+
+
+def test_forward_loss_matches_gradient_path(spark):
+    from hepark.operators import fitting as J
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(20, 5))
+    y = (rng.random(20) > 0.5).astype(float)
+    for name, kw in (("vanilla", {}), ("classifier", {"head": (3, 1)}), ("plain", {})):
+        net = J.choose_network(name, [5, 3], **kw)
+        lo, _ = J.loss_and_grads(net, X, y, 0.4)
+        assert abs(J.batch_loss(net, X, y, 0.4) - lo) < 1e-9
+    df = spark.createDataFrame([(i, int(y[i]), [float(v) for v in X[i]]) for i in range(20)],
+                               "k long, y int, x array<double>")
+    net = J.choose_network("vanilla", [5, 3])
+    assert abs(J.eval_loss(df, net) - J.loss_and_grads(net, X, y)[0] / 20) < 1e-9
