@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-from hepark.llm import debruijn, license_rules, mixing, ownership
+from hepark.llm import (cgk, collision, debruijn, license_rules, linededup, minhash, mixing, ownership, template,
+                        toxicity)
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_counting(spark, sf_dir):
+    return collision.query(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return debruijn.query(_table(spark, sf_dir, "documents"))
 
 
+def op5_template_removal(spark, sf_dir):
+    return template.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_secret_ownership(spark, sf_dir):
     return ownership.query(_table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_tensored(spark, sf_dir):
+    return minhash.query(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_sentences(spark, sf_dir):
     return license_rules.query(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op2_mixing, op4_substring_dedup, op6_secret_ownership, op8_license_sentences]
+def op9_cgk_decontamination(spark, sf_dir):
+    return cgk.contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark, sf_dir):
+    return linededup.query(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_collision_counting, op2_mixing, op3_toxicity, op4_substring_dedup, op5_template_removal,
+           op6_secret_ownership, op7_minhash_tensored, op8_license_sentences, op9_cgk_decontamination,
+           op10_line_dedup]
 
 
 def queries():
