@@ -1,19 +1,73 @@
-"""Corpus pipeline over ``documents`` (filled in with the operators)."""
+"""Corpus pipeline over ``documents``: toxicity, line dedup, near dedup,
+benchmark decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns a DataFrame, which is written as Parquet and read again as the next one's
+input.  All but the last return the columns of ``documents``.
+
+doc_id is the key.  A null doc_id passes every filter and is emitted as the
+mixing asks; null or empty texts are kept until the mixing, which takes no words
+of them; equal rows share their fate; an empty table gives no rows; extra columns
+pass through.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from hepark.llm import mixing
+from pyspark.sql import functions as F
+
+from hepark.llm import cgk, linededup, minhash, mixing, toxicity
 from hepark.session import checkpoint_dir
 
 
-def mix(spark, docs, sf_dir):
-    """Emit each document as often as its source's target weight asks."""
+def drop_toxic(spark, docs, sf_dir):
+    """Documents that the classifier predicts toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = toxicity.score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """Later repeats of runs of three lines or more go; so does a document all of
+    whose lines went.  ``n_chars`` follows the text."""
+    cut = linededup.dedup_lines(docs).where("doc_id is not null").select(
+        F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    both = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
+    cols = {"text": F.coalesce("__text", "text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(
+            F.char_length("__text")).cast(docs.schema["n_chars"].dataType)
+    return both.where("__text is null or __text <> ''").withColumns(cols).select(*docs.columns)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """Of each group of near duplicates the smallest doc_id stays."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = cgk.contaminations(docs, items).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Each document as often as its source's target asks."""
     return mixing.emit(docs)
 
 
-STAGES = [("mixing", mix)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The stages learn, hash and walk: SQL cannot express them.
 ORACLE_SQL = None
 
 
