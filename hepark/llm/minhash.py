@@ -125,12 +125,8 @@ def _shared(batches):
              batch.column(4), batch.column(5)], ["a", "b", "both", "na", "nb"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, na, nb) whose full sets reach the similarity: a, b."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.join(need, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text") \
-        .mapInArrow(_sets(k), "doc_id long, shingles binary")
-    sets = staged(sets, "minhash-sets")
     x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     held = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", "na", "nb") \
@@ -175,12 +171,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .where("members > 1").select("bucket", "members", (-F.col("c.neg")).alias("pivot"),
                                      F.col("c.n_shingles").alias("np"))
     centre = staged(centre, "minhash-centres")
+    # full sets of the documents that met any other: one pass over the texts; the
+    # list of ids grows with the corpus, so it is merged and never broadcast
+    need = keys.join(centre.select("bucket"), "bucket").select(F.col("rep").alias("doc_id")).distinct()
+    full = docs.join(need.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text") \
+        .mapInArrow(_sets(k), "doc_id long, shingles binary")
+    full = staged(full, "minhash-sets")
     pairs = keys.join(centre, "bucket").where("rep <> pivot").select(
         F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"),
         F.when(F.col("rep") < F.col("pivot"), F.col("n_shingles")).otherwise(F.col("np")).alias("na"),
         F.when(F.col("rep") < F.col("pivot"), F.col("np")).otherwise(F.col("n_shingles")).alias("nb"))
     pairs = staged(pairs.where(_possible(percent)).distinct(), "minhash-pairs")
-    links = staged(_verify(pairs, docs, k, percent), "minhash-links")
+    links = staged(_verify(pairs, full, percent), "minhash-links")
     found = components(links)
     # second search: buckets that hold more than one component
     rest = keys.join(centre.select("bucket", "members"), "bucket").join(
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = reduce(DataFrame.union, again + [met])
     again = staged(again.where(_possible(percent)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"),
                    "minhash-again")
-    more = staged(_verify(again, docs, k, percent), "minhash-more")
+    more = staged(_verify(again, full, percent), "minhash-more")
     if more.limit(1).count():
         found = components(links.union(more))
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
