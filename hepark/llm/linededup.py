@@ -124,7 +124,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
     runs = staged(repeated_windows(docs, run).groupBy("doc_id").agg(
         F.sort_array(F.collect_set("line")).alias("lines")), "line-runs")
-    cut = docs.join(runs, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lines").mapInArrow(
+    # the list of ids grows with the corpus: merged, never broadcast
+    cut = docs.join(runs.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lines").mapInArrow(
         _delete(run), "doc_id long, n_lines long, n_removed long, text string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 

@@ -105,7 +105,7 @@ def emit(docs: DataFrame, **options) -> DataFrame:
     taken = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
     cols = docs.columns
     both = docs.withColumnRenamed("doc_id", "__id").join(
-        taken, F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id").withColumnRenamed("__id", "doc_id")
+        taken.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id").withColumnRenamed("__id", "doc_id")
     return both.where("__copies > 0").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*cols)
 

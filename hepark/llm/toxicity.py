@@ -248,3 +248,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     scored = docs.mapInArrow(_score(shared), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               max_fit: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns: one pass,
+    no join."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(id_text(docs, id_col, text_col), labels, max_fit))
+
+    def run(batches):
+        voters, weights = shared.value
+        for batch in batches:
+            for lo, hi, raw, off in pieces(batch, text_col):
+                z = np.log1p(voters.count(raw, off)) @ weights[:-1] + weights[-1]
+                yield batch.slice(lo, hi - lo).filter(pa.array(z < 0))
+
+    return docs.mapInArrow(run, docs.schema)
