@@ -1,6 +1,7 @@
 """Corpus pipeline over ``documents``: toxicity, line dedup, near dedup,
 benchmark decontamination, mixing.
 
+Lists of ids grow with the corpus, so joins on them are merged and never broadcast.
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
 returns a DataFrame, which is written as Parquet and read again as the next one's
 input.  All but the last return the columns of ``documents``.
@@ -24,8 +25,7 @@ from hepark.session import checkpoint_dir
 def drop_toxic(spark, docs, sf_dir):
     """Documents that the classifier predicts toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = toxicity.score_toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.keep_clean(docs, labels)
 
 
 def dedup_lines(spark, docs, sf_dir):
@@ -33,7 +33,7 @@ def dedup_lines(spark, docs, sf_dir):
     whose lines went.  ``n_chars`` follows the text."""
     cut = linededup.dedup_lines(docs).where("doc_id is not null").select(
         F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    both = docs.join(cut, F.col("doc_id") == F.col("__id"), "left")
+    both = docs.join(cut.hint("merge"), F.col("doc_id") == F.col("__id"), "left")
     cols = {"text": F.coalesce("__text", "text")}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(F.col("__id").isNull(), F.col("n_chars")).otherwise(
@@ -44,14 +44,14 @@ def dedup_lines(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates the smallest doc_id stays."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark, docs, sf_dir):
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = cgk.contaminations(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(leaks.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark, docs, sf_dir):
