@@ -33,7 +33,7 @@ from hepark.llm.text import LOWER, NON_ALNUM, Words, mix, pieces
 # Insults of the seed lexicon.
 LEXICON = """idiot idiots stupid moron morons scum worthless pathetic disgusting loser losers clown clowns trash
 garbage dumb dumbass imbecile fool jerk bastard bitch asshole shit fuck fucking retard vermin filth filthy
-subhuman degenerate coward creep freak ugly hate kill die""".split()
+subhuman degenerate""".split()
 
 PREFIXES = (4, 5, 6)
 PATTERNS = 4
@@ -159,13 +159,15 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
             cov = (x * p[:, None]).T @ x / w1
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             share = 1 / np.maximum((np.abs(cov / np.outer(sd, sd)) > 0.5).sum(axis=1), 1)
-        on, off = np.log(a / b) * share, np.log((1 - a) / (1 - b)) * share
-        z = np.log(prior / (1 - prior)) + fired @ (on - off) + off.sum()
+        # a voter that abstains says nothing, unless all terms abstain
+        silent = ~fired[:, :m - PATTERNS].any(axis=1)
+        s1, s0 = (p @ silent + 0.1) / (w1 + 1), ((1 - p) @ silent + 0.1) / (w0 + 1)
+        z = np.log(prior / (1 - prior)) + fired @ (np.log(a / b) * share) + silent * np.log(min(s1 / s0, 1.0))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     return p, {"prior": prior, "toxic_rate": a, "clean_rate": b, "share": share}
 
 
-def fit_linear(x: np.ndarray, p: np.ndarray, l2: float = 1e-3, rounds: int = 60) -> np.ndarray:
+def fit_linear(x: np.ndarray, p: np.ndarray, l2: float = 1e-5, rounds: int = 60) -> np.ndarray:
     """Logistic regression on soft labels by Newton steps; the last weight is the
     intercept."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
@@ -204,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 20_000, max_terms: in
         df = F.col("pos") + F.col("neg")
         g = 2 * (F.col("pos") * F.log(F.col("pos") / (df * rate))
                  + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (df * (1 - rate)))).otherwise(0.0))
-        bar = 2 * float(np.log(max(2, terms.count()))) + 8
-        top = terms.withColumn("g", g).where((F.col("g") > bar) & (F.col("pos") > 0.5 * df)) \
+        bar = 2 * float(np.log(max(2, terms.count()))) + 4
+        top = terms.withColumn("g", g).where((F.col("g") > bar) & (F.col("pos") > 0.85 * df)) \
             .orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()
         mined = np.array([r["term"] for r in top], np.int64).view(np.uint64)
     voters = Voters(mined)
