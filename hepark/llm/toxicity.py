@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 20_000, max_terms: in
         g = 2 * (F.col("pos") * F.log(F.col("pos") / (df * rate))
                  + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (df * (1 - rate)))).otherwise(0.0))
         bar = 2 * float(np.log(max(2, terms.count()))) + 4
-        top = terms.withColumn("g", g).where((F.col("g") > bar) & (F.col("pos") > 0.85 * df)) \
+        top = terms.withColumn("g", g).where((F.col("g") > bar) & (F.col("pos") > 0.95 * df)) \
             .orderBy(F.desc("g"), "term").limit(max_terms).select("term").collect()
         mined = np.array([r["term"] for r in top], np.int64).view(np.uint64)
     voters = Voters(mined)
