@@ -203,10 +203,8 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
     def add(a, b):
         return (a[0] + b[0], a[1] + b[1], a[2] + b[2])
 
-    rdd = parts.rdd.map(unpack)
-    if rdd.isEmpty():
-        return 0.0, np.zeros(npar), 0
-    loss, n, g = rdd.treeReduce(add, depth=2)
+    # one job, also where there are no rows
+    loss, n, g = parts.rdd.map(unpack).treeAggregate((0.0, 0, np.zeros(npar)), add, add, depth=2)
     return loss, g, n
 
 

@@ -17,8 +17,8 @@ need an ordered scan over such a group, so they share a two-phase scheme:
 4. the small table is joined back on ``(group, bucket)`` (AQE broadcasts it
    when its runtime size is small, otherwise it stays a shuffle join).
 
-The bucket count follows Catalyst's size estimate of the input, so tasks stay
-bounded however large a group is.
+The bucket count follows the size of the plan's inputs, so tasks stay bounded
+however large a group is.  A null group key is a group like any other.
 
 No task ever sees more than one bucket of one group.
 """
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +35,36 @@ from hepark.functions.exprs import order_bucket
 from hepark.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
-MAX_BUCKETS = 4096
-BYTES_PER_BUCKET = 64 * 1024 * 1024
+BYTES_PER_BUCKET = 256 * 1024 * 1024
 LOOKUP_BLOCK = 32
+INLINE_BOUNDS = 4096
+UNKNOWN_BYTES = 2**62          # Spark's default size of a relation without statistics
+ROW_BYTES_PER_COLUMN = 16
 BROADCAST_BOUNDS_BYTES = 64 * 1024 * 1024
 
 
 def _default_buckets(df: DataFrame) -> int:
-    """Buckets per group from Catalyst's size estimate of the input (no job):
-    about one bucket per 64 MiB, at least 64, at most 4096, a multiple of 32."""
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - estimate unavailable
-        size = 0
-    want = -(-size // BYTES_PER_BUCKET)
-    b = max(DEFAULT_BUCKETS, min(MAX_BUCKETS, want))
+    """Buckets per group from the size of the plan's inputs (no job as a rule): one per 256
+    MiB, at least 64, a multiple of 32.  The inputs' sizes are added; Catalyst's
+    own estimate of a join multiplies them.  An input of unknown size costs a
+    count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) >= UNKNOWN_BYTES:      # rows of an RDD: counted instead
+        sizes = [df.count() * ROW_BYTES_PER_COLUMN * len(df.columns)]
+    size = sum(sizes)
+    b = max(DEFAULT_BUCKETS, -(-size // BYTES_PER_BUCKET))
     return -(-b // LOOKUP_BLOCK) * LOOKUP_BLOCK
 
 
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], broadcast: bool = False) -> DataFrame:
+    """Inner join on ``by`` in which a null key is a group like any other."""
+    names = {c: f"_by_{i}" for i, c in enumerate(by)}
+    right = right.withColumnsRenamed(names)
+    on = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    return left.join(F.broadcast(right) if broadcast else right, on, "inner").drop(*names.values())
+
+
 def is_materialized(df: DataFrame) -> bool:
     """True when the plan is a direct read of a checkpoint (no recomputation)."""
     try:
@@ -69,7 +82,11 @@ def bounds_lookup(bounds: Column, v: Column, n_bounds: int) -> Column:
     k = LOOKUP_BLOCK
     if n_bounds <= 2 * k:
         return F.size(F.filter(bounds, lambda b: b < v))
-    heads = F.array(*[F.element_at(bounds, i + 1) for i in range(0, n_bounds, k)])
+    if n_bounds > INLINE_BOUNDS:
+        k = int(n_bounds ** 0.5) + 1
+        heads = F.transform(F.sequence(F.lit(0), F.lit(n_bounds - 1), F.lit(k)), lambda i: F.get(bounds, i))
+    else:
+        heads = F.array(*[F.element_at(bounds, i + 1) for i in range(0, n_bounds, k)])
     c = F.size(F.filter(heads, lambda b: b < v))
     start = (c - 1) * F.lit(k)
     fine = F.size(F.filter(F.slice(bounds, start + 1, F.lit(k)), lambda b: b < v))
@@ -96,14 +113,13 @@ def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets:
         bounds = cut_lineage(bounds)
         n_groups = bounds.count()
         est = n_groups * (len(probs) + 4) * 8
-        side = F.broadcast(bounds) if est <= BROADCAST_BOUNDS_BYTES else bounds
-        j = df.join(side, list(by), "inner")
+        j = join_groups(df, bounds, by, broadcast=est <= BROADCAST_BOUNDS_BYTES)
         return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
     # no group: one row of ``buckets-1`` doubles (bounded by the parameter)
     # is read once and inlined as a literal array
     row = bounds.first()
     vals = row["_bounds"] if row is not None and row["_bounds"] is not None else []
-    lit = F.array(*[F.lit(float(b)) for b in vals]) if vals else F.array().cast("array<double>")
+    lit = F.lit(np.array(vals, dtype=np.float64)) if vals else F.array().cast("array<double>")
     return df.withColumn(out, bounds_lookup(lit, v, len(vals)))
 
 
@@ -163,7 +179,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
         off_cols["n_group"] = F.sum("_bn").over(wg)
     offs = tot.withColumns(off_cols).select(*by, "_bkt", *off_cols.keys())
 
-    out = local.join(offs, by + ["_bkt"], "inner")
+    out = join_groups(local, offs, by + ["_bkt"])
     fin = {f"{c}_below": F.col(f"_off_{c}") + F.col(f"_loc_{c}") for c in sums}
     fin.update({f"prev_{c}": F.when(F.col("_lrn") == 1, F.col(f"_pprev_{c}"))
                 .otherwise(F.col(f"_lprev_{c}")) for c in prevs})
@@ -178,17 +194,6 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     return out
 
 
-def prefix_sums(df: DataFrame, by: Sequence[str], order_col: str, sum_cols: Sequence[str],
-                buckets: int | None = None, bucket_col: Column | None = None,
-                suffix: str = "_below") -> DataFrame:
-    """``<c>_below`` = sum of ``c`` over rows of the same group with a strictly
-    smaller ``order_col`` (unique inside a group)."""
-    out = ordered_scan(df, by, order_col, sums=sum_cols, buckets=buckets, bucket=bucket_col)
-    if suffix != "_below":
-        out = out.withColumnsRenamed({f"{c}_below": f"{c}{suffix}" for c in sum_cols})
-    return out
-
-
 def positions(df: DataFrame, by: Sequence[str], order_col: str, out: str = "pos",
               buckets: int | None = None, hex_order: bool | str = False, totals: bool = False,
               bucket: str | None = None) -> DataFrame:
@@ -215,6 +220,20 @@ def positions(df: DataFrame, by: Sequence[str], order_col: str, out: str = "pos"
     return r
 
 
+#: Up to this rank Spark keeps only the first rows of each group in every task.
+TOP_N = 1000
+
+
+def first_per_group(df: DataFrame, by: Sequence[str], order_col: str, n: int, out: str) -> DataFrame:
+    """The first ``n`` rows of each group with their rank: for small ``n`` a rank
+    filter, which Spark plans as a top-n in each task before the shuffle; for
+    larger ``n`` the two-phase positions."""
+    if n <= TOP_N:
+        w = Window.partitionBy(*by).orderBy(order_col)
+        return df.withColumn(out, F.row_number().over(w).cast("long")).filter(F.col(out) <= n)
+    return positions(df, by, order_col, out=out).filter(F.col(out) <= n)
+
+
 def group_counts(df: DataFrame, by: Sequence[str], out: str = "_n") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias(out))
 
@@ -262,7 +281,7 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
           .select(*by, "p_idx", "p", "_h", "_side", (F.col("_r") * 2 + 1).alias("_ord"),
                   F.lit(None).cast("double").alias("_v")))
     if by:
-        tg = tg.join(starts, by, "inner")
+        tg = join_groups(tg, starts, by)
     else:  # one row of #buckets entries: read once, inlined as a literal
         row = starts.first()
         lit = F.array(*[F.struct(F.lit(int(e["_s"])).alias("_s"), F.lit(int(e["_bkt"])).alias("_bkt"))

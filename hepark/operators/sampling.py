@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hepark.functions.exprs import order_key
-from hepark.operators.ranking import group_counts, ntile_of, positions
+from hepark.operators.ranking import first_per_group, group_counts, ntile_of, positions
 
 
 def shuffle(df: DataFrame, key: str | Sequence[str] = "k", seed: int = 0, out: str = "ord",
@@ -40,23 +40,19 @@ def balanced_sample(df: DataFrame, n: int, seed: int = 0, key: str = "k",
     ``n < 0`` keeps every row (still shuffled)."""
     if n >= 0:
         half = int(int(n) / 2)
-        df = positions(df, [label], key, out="_rn").filter(F.col("_rn") <= half).drop("_rn")
+        df = first_per_group(df, [label], key, half, "_rn").drop("_rn")
     return shuffle(df, key, seed, with_pos=True, hash=hash)
 
 
-def approximate_mode(counts: Sequence[int], n_draws: int) -> list[int]:
-    """scikit-learn's stratified allocation of ``n_draws`` over classes:
-    floor of the proportional share, then one more for the largest
-    remainders (ties broken by class order instead of at random)."""
-    import numpy as np
-    c = np.asarray(counts, dtype=np.float64)
-    cont = c / c.sum() * n_draws
-    fl = np.floor(cont)
-    need = int(n_draws - fl.sum())
-    rem = cont - fl
-    for i in sorted(range(len(c)), key=lambda j: (-rem[j], j))[:max(need, 0)]:
-        fl[i] += 1
-    return [int(v) for v in fl]
+def largest_remainder(counts: Sequence[int], n_draws: int) -> list[int]:
+    """Share ``n_draws`` among classes in proportion to ``counts``: whole parts
+    first, then one each to the classes whose remainder is largest (the earlier
+    class on ties)."""
+    total = sum(counts)
+    whole = [c * n_draws // total for c in counts]
+    order = sorted(range(len(counts)), key=lambda j: (-(counts[j] * n_draws % total), j))
+    extra = set(order[:n_draws - sum(whole)])
+    return [w + (j in extra) for j, w in enumerate(whole)]
 
 
 def sklearn_split_sizes(counts: Sequence[int], p: float) -> tuple[list[int], list[int]]:
@@ -67,12 +63,12 @@ def sklearn_split_sizes(counts: Sequence[int], p: float) -> tuple[list[int], lis
     n = int(sum(counts))
     n_valid = int(math.ceil(p * n))
     n_train1 = n - n_valid
-    tr1 = approximate_mode(counts, n_train1)
-    va = approximate_mode([c - t for c, t in zip(counts, tr1)], n_valid)
+    tr1 = largest_remainder(counts, n_train1)
+    va = largest_remainder([c - t for c, t in zip(counts, tr1)], n_valid)
     q = float(n_valid / n_train1)
     n_test = int(math.ceil(q * n_train1))
-    tr2 = approximate_mode(tr1, n_train1 - n_test)
-    te = approximate_mode([c - t for c, t in zip(tr1, tr2)], n_test)
+    tr2 = largest_remainder(tr1, n_train1 - n_test)
+    te = largest_remainder([c - t for c, t in zip(tr1, tr2)], n_test)
     return va, te
 
 

@@ -26,7 +26,9 @@ NORMS = ("vanilla", "minmax", "maxabs", "std", "robust", "power", "quantile")
 # fixed values: scikit-learn defaults the reference relies on
 QUANTILE_BOUNDS_THRESHOLD = 1e-7
 QUANTILE_MAX_N = 1000
-POWER_LAMBDA_RANGE = (-2.0, 2.0)
+POWER_LAMBDA_START = (-2.0, 2.0)
+# the likelihood of such a power overflows doubles; an optimum beyond is reported as this
+POWER_LAMBDA_STOP = 128.0
 
 
 def n_features(df: DataFrame, x: str = "x") -> int:
@@ -174,7 +176,8 @@ def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
     standardisation of the transformed values.
 
     With an explicit ``lambdas`` grid one pass picks the best grid value.  By
-    default the first pass scans [-2, 2] and each further pass scans ``grid``
+    default the first pass scans [-2, 2], twice as wide as long as the best value
+    lies on an edge, and each further pass scans ``grid``
     points within one step of the previous best with a step ten times
     smaller (all features in every pass, one aggregate each): 8 passes reach
     about 2e-8, the tolerance of a Brent search."""
@@ -183,14 +186,21 @@ def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
     if lambdas is not None:
         lam = best_lambda(long, lambdas)
     else:
-        lo, hi = POWER_LAMBDA_RANGE
+        lo, hi = POWER_LAMBDA_START
         spark = df.sparkSession
-        lam = None
+        step = (hi - lo) / (grid - 1)
         centers = None
-        for _ in range(passes):
-            if centers is None:
-                g = [float(v) for v in np.linspace(lo, hi, grid)]
-                lam = best_lambda(long, g)
+        for t in range(passes):
+            if t == 0:
+                # the start is no bound: move it outward while the best is on its edge
+                while True:
+                    g = [float(v) for v in np.linspace(lo, hi, round((hi - lo) / step) + 1)]
+                    best = best_lambda(long, g).collect()
+                    if abs(lo) >= POWER_LAMBDA_STOP or not any(r["lam"] in (g[0], g[-1]) for r in best):
+                        break
+                    lo, hi = 2 * lo, 2 * hi
+                lam = spark.createDataFrame(best, "feature int, lam double")
+                lo, hi = POWER_LAMBDA_START
             else:
                 # per-feature grids around the previous best: grid offsets x step
                 step = (hi - lo) / (grid - 1)

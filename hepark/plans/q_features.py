@@ -247,9 +247,9 @@ def raw_events(spark, sf_dir) -> DataFrame:
 
 @query("flat_from_wide", _sql_flat_long("btag"))
 def flat_from_wide(spark, sf_dir):
-    return _long_out(B.make_flat_features(raw_events(spark, sf_dir), "btag"))
+    return _long_out(B.flatten_events(raw_events(spark, sf_dir), "btag"))
 
 
 @query("flat_from_wide_nobtag", _sql_flat_long("nobtag"))
 def flat_from_wide_nobtag(spark, sf_dir):
-    return _long_out(B.make_flat_features(raw_events(spark, sf_dir), "nobtag"))
+    return _long_out(B.flatten_events(raw_events(spark, sf_dir), "nobtag"))

@@ -129,5 +129,5 @@ def ingest_flat_features(spark, sf_dir):
     sink = A.scratch_path(spark, "flat-out")
     ckpt = A.scratch_path(spark, "flat-ckpt")
     ingest_incremental(spark, src, schema, sink, ckpt,
-                       lambda d: B.make_flat_features(d, "btag"), files_per_trigger=1)
+                       lambda d: B.flatten_events(d, "btag"), files_per_trigger=1)
     return _long_out(spark.read.parquet(sink))

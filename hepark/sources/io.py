@@ -34,10 +34,33 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str | Non
     return r.load(path)
 
 
+def has_norm(spark: SparkSession, path: str, norm: str) -> bool:
+    """Does the feature store hold this norm already?  (One file system lookup,
+    so it can be asked before any fit is run.)"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/norm={norm}")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A3/A5: one parquet table partitioned by norm and split.  ``mode='ignore'``
-    skips the write when the output already exists."""
-    df.write.mode(mode).partitionBy("norm", "split").parquet(path)
+    """A3/A5: one parquet table partitioned by norm and split.  ``overwrite``
+    replaces the norms and splits that ``df`` holds and leaves the others;
+    ``ignore`` writes only the norms that the table does not hold yet."""
+    if mode == "ignore":
+        norms = [r["norm"] for r in df.select("norm").distinct().collect()]  # a handful of names
+        there = [n for n in norms if has_norm(df.sparkSession, path, n)]
+        if len(there) == len(norms):
+            return
+        df, mode = df.filter(~F.col("norm").isin(there)) if there else df, "overwrite"
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("norm", "split").parquet(path)
+
+
+def write_norm_once(spark: SparkSession, path: str, norm: str, build) -> bool:
+    """A5: run ``build()`` (fit, apply, split) and write its rows only if this norm
+    is not in the store; tells whether it ran."""
+    if has_norm(spark, path, norm):
+        return False
+    write_splits(build(), path)
+    return True
 
 
 def read_split(spark: SparkSession, path: str, norm: str, split: str) -> DataFrame:
@@ -55,7 +78,7 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite",
             else F.col(f.name) for f in df.schema.fields]
     w = df.select(*cols).write.mode(mode)
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     w.parquet(path)
 
 

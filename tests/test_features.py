@@ -59,7 +59,7 @@ def test_one_hot_widths(spark):
     assert [len(r[0]) for r in B.one_hot(df, "y", n=4).select("onehot").collect()] == [4, 4]
 
 
-def test_make_flat_features_from_wide(spark, objects):
+def test_flatten_events_from_wide(spark, objects):
     jets = B.flatten_topk(objects, "event_id", "pt", 10, B.JET_FEATS_BTAG, "jets")
     c = B.count_objects(objects, "event_id", "btag", "njets", "nbtags")
     leps = B.flatten_topk(objects.filter("btag = 7"), "event_id", "pt", 1, B.LEP_FEATS, "leps")
@@ -67,7 +67,7 @@ def test_make_flat_features_from_wide(spark, objects):
     raw = (jets.join(c, "event_id").join(leps, "event_id")
            .withColumn("nleps", F.lit(1)).withColumn("met_pt", F.lit(2.0)).withColumn("met_phi", F.lit(0.5))
            .withColumn("y", F.lit(1)))
-    flat = B.make_flat_features(raw, "btag").orderBy("k").toPandas()
+    flat = B.flatten_events(raw, "btag").orderBy("k").toPandas()
     assert list(flat["k"]) == [2, 3]
     x = np.asarray(flat["x"].iloc[0])
     assert len(x) == 67 and set(x[7:56:8]) <= {0.0, 1.0}          # binarised tags

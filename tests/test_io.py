@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_wide_selection_pushed_to_parquet(spark):
     path = A.scratch_path(spark, "raw")
     raw_events(spark, SF).write.parquet(path)
-    flat = B.make_flat_features(A.read_events(spark, path), "btag")
+    flat = B.flatten_events(A.read_events(spark, path), "btag")
     plan = flat._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(nleps), IsNotNull(nbtags), IsNotNull(njets), EqualTo(nleps,1)" in plan
     assert len(flat.first()["x"]) == 67

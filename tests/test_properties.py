@@ -329,10 +329,10 @@ def test_gradients_match_finite_differences(name):
 
 
 def test_sklearn_split_allocation():
-    from hepark.operators.sampling import approximate_mode, sklearn_split_sizes
+    from hepark.operators.sampling import largest_remainder, sklearn_split_sizes
     # shares 1.5, 1.5, 2.0: one extra draw goes to the first tied remainder
-    assert approximate_mode([3, 3, 4], 5) == [2, 1, 2]
-    assert approximate_mode([256, 244], 450) == [230, 220]
+    assert largest_remainder([3, 3, 4], 5) == [2, 1, 2]
+    assert largest_remainder([256, 244], 450) == [230, 220]
     va, te = sklearn_split_sizes([256, 244], 0.1)
     assert sum(va) == 50 and va == [26, 24]
     assert sum(te) in (50, 51) and all(t >= 0 for t in te)
