@@ -50,7 +50,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     ranked = np.take_along_axis(p, order, axis=0)
     order, ranked = np.ascontiguousarray(order.T), np.ascontiguousarray(ranked.T)
     n = len(ids)
-    enough = max(4 * k, int(verify_share * n))
+    enough = max(64 * k, int(verify_share * n))
     # radii up to the whole sphere (a projection of a unit vector is at most sqrt(dim))
     rounds = int(np.ceil(np.log(2 * np.sqrt(x.shape[1]) / start) / np.log(growth))) + 2
     radii = start * growth ** np.arange(rounds)

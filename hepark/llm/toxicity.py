@@ -157,8 +157,10 @@ def label_model(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
         if t == rounds // 2:                            # correlations given the class
             x = fired - np.outer(p, a) - np.outer(1 - p, b)
             cov = (x * p[:, None]).T @ x / w1
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            share = 1 / np.maximum((np.abs(cov / np.outer(sd, sd)) > 0.5).sum(axis=1), 1)
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+            varies = sd > 0.03                          # else there is nothing to correlate
+            tied = (np.abs(cov / np.outer(sd, sd)) > 0.5) & np.outer(varies, varies)
+            share = 1 / np.maximum(tied.sum(axis=1), 1)
         # a voter that abstains says nothing, unless all terms abstain
         silent = ~fired[:, :m - PATTERNS].any(axis=1)
         s1, s0 = (p @ silent + 0.1) / (w1 + 1), ((1 - p) @ silent + 0.1) / (w0 + 1)
