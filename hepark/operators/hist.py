@@ -4,7 +4,8 @@ Histograms follow numpy's equal-width rule: ``n`` bins on [lo, hi], edges
 ``lo + i*(hi-lo)/n`` (last edge = hi), the last bin right-closed, values
 outside dropped, lo = hi widened by 0.5 on each side, density =
 count / width / in-range count.  Counting is a grouped aggregate (partial
-per partition); empty bins come from the small (group x bin) frame.
+per partition); empty bins come from the per-group map of counts.  The input
+is read twice: for the ranges and for the counts.  A null group is a group.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hepark.operators.ranking import BROADCAST_BOUNDS_BYTES, join_groups
+from hepark.session import cut_lineage
+
+RANGE_ROW_BYTES = 128          # a range row with its keys, generously
+
 
 def feature_ranges(long: DataFrame, by: Sequence[str] = ("feature",), value: str = "value") -> DataFrame:
     """G1: min and max per group."""
@@ -47,20 +53,25 @@ def histogram(long: DataFrame, ranges: DataFrame, bins: int, by: Sequence[str],
     Output: by..., bin, lo_edge, count, density (all bins, empty ones 0)."""
     by, range_by = list(by), list(range_by)
     r = ranges.select(*range_by, *[c.alias(n) for c, n in zip(_edges(F.col("lo"), F.col("hi")), ("lo", "hi"))])
-    j = long.join(r, range_by, "inner")
+    # one row per range group, written once; broadcast when its counted size
+    # allows, so that the long table is not dealt by a handful of keys
+    r = cut_lineage(r)
+    small = r.count() * RANGE_ROW_BYTES <= BROADCAST_BOUNDS_BYTES
+    j = join_groups(long, r, range_by, broadcast=small)
     v = F.col(value)
     inside = (v >= F.col("lo")) & (v <= F.col("hi"))
     # one pass: out-of-range values count in bin -1, so a group whose values
     # all fall outside still yields its (empty) bins
-    allc = (j.withColumn("bin", F.when(inside, bin_index(v, F.col("lo"), F.col("hi"), bins))
-                         .otherwise(F.lit(-1)))
-            .groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("long").alias("count")))
-    cnt = allc.filter(F.col("bin") >= 0)
-    groups = allc.select(*by).distinct().join(r, range_by, "inner")  # #groups rows
-    allb = groups.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    h = allb.join(cnt, by + ["bin"], "left").fillna(0, subset=["count"])
-    tot = cnt.groupBy(*by).agg(F.sum("count").alias("_tot"))
-    h = h.join(tot, by, "left")
+    c = (j.withColumn("bin", F.when(inside, bin_index(v, F.col("lo"), F.col("hi"), bins)).otherwise(F.lit(-1)))
+         .groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("long").alias("n"), F.first("lo").alias("lo"),
+                                  F.first("hi").alias("hi")))
+    held = F.col("bin") >= 0
+    # at most bins + 1 rows a group: its counts become one map, its bins come from it
+    g = c.groupBy(*by).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+                           F.sum(F.when(held, F.col("n"))).alias("_tot"),
+                           F.map_from_entries(F.collect_list(F.when(held, F.struct("bin", "n")))).alias("_n"))
+    h = g.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))) \
+         .withColumn("count", F.coalesce(F.element_at("_n", F.col("bin")), F.lit(0).cast("long")))
     lo_e = edge(F.col("bin"), F.col("lo"), F.col("hi"), bins)
     hi_e = edge(F.col("bin") + 1, F.col("lo"), F.col("hi"), bins)
     dens = F.try_divide(F.col("count") / (hi_e - lo_e), F.col("_tot").cast("double"))

@@ -75,8 +75,8 @@ SQL_PAIR_LONG = f"SELECT * FROM ({L}) WHERE feature IN (0, 1)"
 def hist_pair35(spark, sf_dir):
     m = S.embedding_matrix(spark, sf_dir)
     p = B.feature_pair(m, 0, 1)
-    long = (p.select("k", "y", F.lit(0).alias("feature"), F.col("xi").alias("value"))
-            .unionByName(p.select("k", "y", F.lit(1).alias("feature"), F.col("xj").alias("value"))))
+    both = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(c).alias("value")) for i, c in enumerate(("xi", "xj"))])
+    long = p.select("k", "y", F.explode(both).alias("_p")).select("k", "y", "_p.feature", "_p.value")
     return _hist_out(G.hist_joint(long, 35), ["feature", "y"])
 
 
