@@ -36,6 +36,9 @@ def networks() -> dict[str, Callable[..., dict]]:
     return {"vanilla": lambda sizes, **kw: Fs.autoencoder(sizes, **kw),
             "classifier": lambda sizes, head=(32, 16, 1), **kw: Fs.autoencoder(sizes, head=list(head), **kw),
             "variational": lambda sizes, **kw: Fs.variational(sizes, **kw),
+            "sinkhorn": lambda sizes, latent_act="linear", **kw: Fs.autoencoder(sizes, latent_act=latent_act, **kw),
+            "sinkclass": lambda sizes, head=(128, 64, 32, 16, 8, 1), latent_act="linear", **kw: Fs.autoencoder(
+                sizes, head=list(head), head_hidden="leaky_relu", latent_act=latent_act, **kw),
             "plain": lambda sizes, **kw: Fs.plain_classifier(sizes)}
 
 
@@ -339,8 +342,7 @@ def grid_search(trials: Sequence[dict], run_trial: Callable[[dict], float],
 def best_trial(results: DataFrame, metric: str = "metric", higher: bool = True) -> DataFrame:
     """Strict best; the first trial wins ties."""
     o = F.col(metric).desc() if higher else F.col(metric).asc()
-    return results.withColumn("_r", F.row_number().over(Window.orderBy(o, F.col("trial")))) \
-                  .filter(F.col("_r") == 1).drop("_r")
+    return results.orderBy(o, F.col("trial")).limit(1)
 
 
 def random_trials(spark: SparkSession, n: int, seed: int, lr_range=(1e-4, 1e-1),

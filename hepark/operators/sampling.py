@@ -114,13 +114,17 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
     return d.withColumn(out, split).drop("_rn", "_v", "_t")
 
 
-def kfold(df: DataFrame, k: int, events: int, seed: int = 0, key: str = "k",
+def kfold(df: DataFrame, k: int, events: int | None = None, seed: int = 0, key: str = "k",
           label: str = "y", hash: str = "md5") -> DataFrame:
     """Balanced k-fold.  Per class, consecutive blocks of ``events/2``
     rows of the seeded order form the folds; rows beyond ``k`` full blocks are
-    discarded.  ``slot`` is the in-fold position before the in-fold shuffle
+    discarded.  ``events=None`` makes the blocks as large as the smaller class
+    allows.  ``slot`` is the in-fold position before the in-fold shuffle
     (signal first), and ``fold_ord`` orders a fold with the same permutation
     for every fold."""
+    if events is None:
+        least = group_counts(df, [label]).agg(F.min("_n")).first()[0]   # one number
+        events = 2 * max(1, (least or 0) // k)
     half = int(events / 2)
     d = shuffle(df, key, seed, hash=hash)
     d = positions(d, [label], "ord", out="_rn", hex_order=hash)

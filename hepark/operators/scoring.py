@@ -3,9 +3,9 @@
 Model weights are small (bounded by the layer sizes) and travel to executors
 once as a broadcast; rows are scored per Arrow batch with numpy matrix
 products inside a ``pandas_udf`` (no per-row Python).  Kernel scoring
-evaluates each row against a bounded reference set (support vectors,
-centroids) broadcast in blocks of at most ``block`` rows, again per Arrow
-batch with numpy, so there is no cap and no cross join of two row sets.
+evaluates each row against a reference set (support vectors, centroids) whose
+size is checked and which is broadcast once, again per Arrow batch with numpy,
+so there is no cross join of two row sets.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,12 +59,12 @@ def dense_part(part: str, sizes: Sequence[int], acts: Sequence[str]) -> list[dic
 
 
 def autoencoder(sizes: Sequence[int], head: Sequence[int] | None = None, last_act: str = "tanh",
-                head_hidden: str = "relu") -> dict:
-    """Vanilla / classifier autoencoder shapes: encoder ReLU hidden + ``last_act``
-    latent; decoder reversed sizes, ELU hidden + ``last_act``; optional head
-    (``head_hidden`` hidden, sigmoid last) on the latent."""
+                head_hidden: str = "relu", latent_act: str | None = None, encoder_act: str = "relu") -> dict:
+    """Autoencoder shapes: encoder ``encoder_act`` hidden + ``latent_act`` latent
+    (None: as ``last_act``); decoder reversed sizes, ELU hidden + ``last_act``;
+    optional head (``head_hidden`` hidden, sigmoid last) on the latent."""
     n = len(sizes) - 1
-    enc_act = ["relu"] * (n - 1) + [last_act]
+    enc_act = [encoder_act] * (n - 1) + [latent_act or last_act]
     dec_act = ["elu"] * (n - 1) + [last_act]
     parts = {"encoder": dense_part("encoder", sizes, enc_act),
              "decoder": dense_part("decoder", list(reversed(sizes)), dec_act)}
@@ -106,66 +107,9 @@ def _stack(col: pd.Series) -> np.ndarray:
 
 
 
-_JVM_ACT = {
-    "relu": lambda z: F.greatest(z, F.lit(0.0)),
-    "leaky_relu": lambda z: F.when(z >= 0, z).otherwise(z * F.lit(0.2)),
-    "elu": lambda z: F.when(z > 0, z).otherwise(F.expm1(z)),
-    "sigmoid": lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z)),
-    "tanh": F.tanh,
-    "linear": lambda z: z,
-}
-
-
-def n_weights(net: dict) -> int:
-    return sum(int(L["w"].size) + int(L["b"].size) for ls in net["parts"].values() for L in ls)
-
-
-def layers_expr(layers: list[dict], h: Column) -> Column:
-    """Dense layers as array expressions with literal (constant-folded)
-    weights, so the network stays inside whole-stage codegen with no Python
-    worker.  Each layer references its input exactly once:
-    ``z = aggregate(zip_with(h, W_rows, (h_i, w_i) -> h_i * w_i), 0, +)``
-    (a vector sum of scaled weight rows), then ``act(z + b)`` element-wise.
-    (Referencing the input inside a per-unit lambda would let Catalyst inline
-    the previous layer once per unit, multiplying the work across layers.)"""
-    for L in layers:
-        W = L["w"]
-        wrows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in W])
-        zero = F.array(*[F.lit(0.0) for _ in range(W.shape[1])])
-        b = F.array(*[F.lit(float(v)) for v in L["b"]])
-        act = _JVM_ACT[L["act"]]
-        scaled = F.zip_with(h, wrows, lambda hi, wr: F.transform(wr, lambda w: hi * w))
-        z = F.aggregate(scaled, zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q))
-        h = F.transform(F.zip_with(z, b, lambda zz, bb: zz + bb), act)
-    return h
-
-
-def score_network(df: DataFrame, net: dict, x: str = "x", engine: str = "arrow") -> DataFrame:
-    """adds ``latent`` and, when the parts exist, ``recon`` and ``prob``.
-
-    ``engine='arrow'`` (default) scores per Arrow batch with numpy matrix
-    products in a pandas_udf.  ``engine='jvm'`` evaluates the network as array
-    expressions with no Python worker; measured on 100k rows it is 9x (2.4k
-    weights) to 85x (26k weights) slower, because Spark's higher-order array
-    functions are not code-generated, so it is an opt-in for environments
-    without Python workers."""
-    if engine == "jvm":
-        return _score_jvm(df, net, x)
-    return _score_arrow(df, net, x)
-
-
-def _score_jvm(df: DataFrame, net: dict, x: str) -> DataFrame:
-    parts = net["parts"]
-    d = df.withColumn("latent", layers_expr(parts["encoder"], F.col(x).cast("array<double>")))
-    cols = {}
-    if "decoder" in parts:
-        cols["recon"] = layers_expr(parts["decoder"], F.col("latent"))
-    if "head" in parts:
-        cols["prob"] = F.element_at(layers_expr(parts["head"], F.col("latent")), 1)
-    return d.withColumns(cols) if cols else d
-
-
-def _score_arrow(df: DataFrame, net: dict, x: str) -> DataFrame:
+def score_network(df: DataFrame, net: dict, x: str = "x") -> DataFrame:
+    """adds ``latent`` and, when the parts exist, ``recon`` and ``prob``,
+    per Arrow batch with numpy matrix products."""
     parts = net["parts"]
     sc = df.sparkSession.sparkContext
     bc = sc.broadcast({k: [{"w": L["w"], "b": L["b"], "act": L["act"]} for L in v] for k, v in parts.items()})
@@ -291,10 +235,10 @@ def kernel_matrix_np(X: np.ndarray, R: np.ndarray, kernel: str, gamma: float, de
     if kernel == "poly":
         return (gamma * (X @ R.T) + coef0) ** degree
     if kernel == "rbf":
-        d2 = np.empty((X.shape[0], R.shape[0]))
-        for j in range(R.shape[0]):  # direct squared distances (no expansion cancellation)
-            d = X - R[j]
-            d2[:, j] = (d * d).sum(axis=1)
+        d2 = np.zeros((X.shape[0], R.shape[0]))
+        for i in range(X.shape[1]):  # direct squared differences (no expansion cancellation)
+            d = X[:, i, None] - R[None, :, i]
+            d2 += d * d
         return np.exp(-gamma * d2)
     if kernel == "overlap":
         xn = np.sqrt((X * X).sum(axis=1))
@@ -305,88 +249,84 @@ def kernel_matrix_np(X: np.ndarray, R: np.ndarray, kernel: str, gamma: float, de
     raise TypeError(f"unknown kernel {kernel!r}")
 
 
-def _ref_blocks(refs: DataFrame, cols: Sequence[str], block: int):
-    """Iterate the (bounded) reference set in blocks of at most ``block`` rows;
-    only one block is held on the driver at a time."""
-    blk = []
-    for row in refs.select(*cols).toLocalIterator():
-        blk.append(row)
-        if len(blk) == block:
-            yield blk
-            blk = []
-    if blk:
-        yield blk
+#: Rows of a reference set (support vectors, centroids) that may be broadcast.
+MAX_REFERENCES = 65536
 
 
-def _kernel_udf(bc, kernel, gamma, degree, coef0, weighted: bool):
-    rtype = T.DoubleType() if weighted else T.ArrayType(T.DoubleType())
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix, from its flat buffer."""
+    if vectors.null_count:
+        raise ValueError("a vector is null")
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
 
-    @F.pandas_udf(rtype)
-    def kfun(xcol: pd.Series) -> pd.Series:
-        R, alpha = bc.value
-        if len(xcol) == 0:
-            return pd.Series([], dtype="float64" if weighted else object)
-        K = kernel_matrix_np(_stack(xcol), R, kernel, gamma, degree, coef0)
-        if weighted:
-            return pd.Series(K @ alpha)
-        return pd.Series(list(K))
 
-    return kfun
+def _references(refs: DataFrame, value: Column, x: str, max_refs: int) -> tuple[pa.Array, np.ndarray]:
+    """The bounded side: a value per reference (id or weight) and the vectors.
+    A set of more than ``max_refs`` rows is an error, found from that many rows."""
+    rows = refs.select(value, F.col(x).cast("array<double>").alias("_r")).limit(max_refs + 1).toArrow()
+    if rows.num_rows > max_refs:
+        raise ValueError(f"a reference set holds at most {max_refs} rows")
+    values, vectors = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in rows.columns)
+    return values, _matrix(vectors)
 
 
-def gram(a: DataFrame, refs: DataFrame | None = None, kernel: str = "rbf", x: str = "x", key: str = "k",
+def gram(a: DataFrame, refs: DataFrame, kernel: str = "rbf", x: str = "x", key: str = "k",
          ref_key: str = "ref", gamma: float = 1.0, degree: int = 3, coef0: float = 0.0,
-         block: int = 1024) -> DataFrame:
+         block: int = 1024, max_refs: int = MAX_REFERENCES) -> DataFrame:
     """kernel values ``(key, ref, kval)`` between every row of ``a`` and a
-    reference set (``refs=None``: ``a`` against itself).
+    reference set of at most ``max_refs`` rows (support vectors, centroids).
 
-    The reference set is the bounded side (support vectors, centroids): it is
-    broadcast in blocks of at most ``block`` rows (a size bound per
-    broadcast) and each Arrow batch of ``a`` is scored against a block with
-    numpy; no cross join.  Output size is |a| x |refs| by definition."""
+    The references are broadcast once; an Arrow batch of ``a`` is scored in
+    blocks of ``block`` x ``block`` values, so ``a`` is read once, whatever the
+    number of references.  Output size is |a| x |refs| by definition."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
-    if refs is None:
-        refs = a.select(F.col(key).alias(ref_key), x)
-    xs = F.col(x).cast("array<double>")
-    sc = a.sparkSession.sparkContext
-    outs = []
-    for blk in _ref_blocks(refs.orderBy(ref_key), [ref_key, F.col(x).cast("array<double>").alias("_r")], block):
-        R = np.vstack([np.asarray(r["_r"], dtype=np.float64) for r in blk])
-        bc = sc.broadcast((R, None))
-        ids = F.array(*[F.lit(r[ref_key]) for r in blk])
-        kv = _kernel_udf(bc, kernel, gamma, degree, coef0, weighted=False)(xs)
-        outs.append(a.select(key, F.arrays_zip(ids.alias("ref"), kv.alias("kval")).alias("_z"))
-                    .select(key, F.explode("_z").alias("_e")).select(key, F.col("_e.ref").alias(ref_key),
-                                                                   F.col("_e.kval").alias("kval")))
-    if not outs:
-        return a.sparkSession.createDataFrame([], f"{key} long, {ref_key} long, kval double")
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    schema = T.StructType([T.StructField(key, a.schema[key].dataType),
+                           T.StructField(ref_key, refs.schema[ref_key].dataType),
+                           T.StructField("kval", T.DoubleType())])
+    bc = a.sparkSession.sparkContext.broadcast(_references(refs, F.col(ref_key), x, max_refs))
+
+    def run(batches):
+        ids, R = bc.value
+        for batch in batches:
+            keys, X = batch.column(0), _matrix(batch.column(1))
+            for i in range(0, len(X), block):
+                for j in range(0, len(R), block):
+                    K = kernel_matrix_np(X[i:i + block], R[j:j + block], kernel, gamma, degree, coef0)
+                    n, m = K.shape
+                    yield pa.RecordBatch.from_arrays(
+                        [keys.take(pa.array(np.repeat(np.arange(i, i + n), m))),
+                         ids.take(pa.array(np.tile(np.arange(j, j + m), n))), pa.array(K.ravel())],
+                        schema.fieldNames())
+
+    return a.select(key, F.col(x).cast("array<double>").alias("_x")).mapInArrow(run, schema)
 
 
 def kernel_scores(df: DataFrame, sv: DataFrame, kernel: str = "rbf", b: float = 0.0,
                   x: str = "x", key: str = "k", alpha: str = "alpha", gamma: float = 1.0,
-                  degree: int = 3, coef0: float = 0.0, block: int = 4096) -> DataFrame:
+                  degree: int = 3, coef0: float = 0.0, block: int = 1024,
+                  max_refs: int = MAX_REFERENCES) -> DataFrame:
     """decision score sum_i alpha_i K(row, sv_i) + b.
 
-    Support vectors are broadcast in blocks of at most ``block`` (vector,
-    alpha) pairs; each block adds one Arrow-batched numpy term ``K @ alpha`` to
-    the row's score column, so there are no row ids, joins or shuffles."""
+    At most ``max_refs`` support vectors, broadcast once; an Arrow batch adds
+    ``K @ alpha`` over blocks of ``block`` of them, so there are no row ids,
+    joins or shuffles."""
     if kernel not in KERNELS:
         raise TypeError(f"unknown kernel {kernel!r}")
-    xs = F.col(x).cast("array<double>")
-    sc = df.sparkSession.sparkContext
-    score = F.lit(float(b))
-    for blk in _ref_blocks(sv, [F.col(x).cast("array<double>").alias("_v"),
-                                F.col(alpha).cast("double").alias("_a")], block):
-        R = np.vstack([np.asarray(r["_v"], dtype=np.float64) for r in blk])
-        al = np.asarray([r["_a"] for r in blk], dtype=np.float64)
-        bc = sc.broadcast((R, al))
-        score = score + _kernel_udf(bc, kernel, gamma, degree, coef0, weighted=True)(xs)
-    return df.select(key, score.alias("score"))
+    bc = df.sparkSession.sparkContext.broadcast(
+        _references(sv, F.col(alpha).cast("double").alias("_a"), x, max_refs))
+
+    @F.pandas_udf(T.DoubleType())
+    def score(xcol: pd.Series) -> pd.Series:
+        weights, R = bc.value
+        al, out = weights.to_numpy(zero_copy_only=False), np.full(len(xcol), float(b))
+        X = _stack(xcol) if len(xcol) else np.zeros((0, 0))
+        for j in range(0, len(R) if len(X) else 0, block):
+            out += kernel_matrix_np(X, R[j:j + block], kernel, gamma, degree, coef0) @ al[j:j + block]
+        return pd.Series(out)
+
+    return df.select(key, score(F.col(x).cast("array<double>")).alias("score"))
 
 
 def support_counts(sv: DataFrame, label: str = "y") -> DataFrame:

@@ -52,12 +52,19 @@ def split_summary(spark, sf_dir):
     return D.summarise(_split(spark, sf_dir), ["split", "y"])
 
 
-@query("kfold", f"""SELECT k, y, CAST((rn - 1) // 20 AS INTEGER) AS fold,
-       CAST(CASE WHEN y = 1 THEN 0 ELSE 20 END + (rn - 1) % 20 AS INTEGER) AS slot
-FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord) AS rn FROM ({EMB}))
-WHERE (rn - 1) // 20 < 5""")
+#: (k, y, fold, slot) of five folds as large as the smaller class allows.
+SQL_FOLDS = f"""
+WITH e AS ({EMB}),
+c AS (SELECT greatest(1, min(n) // 5) AS half FROM (SELECT count(*) AS n FROM e GROUP BY y))
+SELECT k, y, CAST((rn - 1) // half AS INTEGER) AS fold,
+       CAST(CASE WHEN y = 1 THEN 0 ELSE half END + (rn - 1) % half AS INTEGER) AS slot
+FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord) AS rn FROM e), c
+WHERE (rn - 1) // half < 5"""
+
+
+@query("kfold", SQL_FOLDS)
 def kfold_q(spark, sf_dir):
-    d = D.kfold(S.embedding_matrix(spark, sf_dir), k=5, events=40, seed=SEED)
+    d = D.kfold(S.embedding_matrix(spark, sf_dir), k=5, seed=SEED)
     return d.select("k", "y", "fold", "slot")
 
 

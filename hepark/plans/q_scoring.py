@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hepark.functions.exprs import rnd, sql_rnd
+from hepark.operators import fitting as J
 from hepark.operators import hist as G
 from hepark.operators import joins as C
 from hepark.operators import losses as I
@@ -19,6 +20,7 @@ from hepark.operators import scoring as Fs
 from hepark.operators.roc import auc
 from hepark.plans import standins as S
 from hepark.plans.q_hist import _hist_out, _sql_hist
+from hepark.plans.q_sampling import SQL_FOLDS, SQL_SPLIT
 from hepark.plans.registry import query
 from hepark.session import cut_lineage
 
@@ -42,6 +44,7 @@ def scored(spark, sf_dir):
 SQL_ACT = {
     "relu": "greatest({z}, 0.0::DOUBLE)",
     "elu": "CASE WHEN {z} > 0 THEN {z} ELSE exp({z}) - 1.0::DOUBLE END",
+    "leaky_relu": "CASE WHEN {z} >= 0 THEN {z} ELSE 0.2::DOUBLE * {z} END",
     "tanh": "tanh({z})",
     "sigmoid": "1.0::DOUBLE / (1.0::DOUBLE + exp(-({z})))",
     "linear": "{z}",
@@ -81,22 +84,38 @@ ys AS (SELECT vec_id AS k, CAST(label % 2 AS INTEGER) AS y FROM embeddings)"""
 
 # ------------------------------------------------------------------ F1
 
-@query("network_scores", f"""WITH {NET_CTES}
-SELECT k, 'latent' AS kind, i AS j, {R('v')} AS value FROM latent
+SQL_OUTPUTS = f"""SELECT k, 'latent' AS kind, i AS j, {R('v')} AS value FROM latent
 UNION ALL SELECT k, 'recon', i, {R('v')} FROM recon
-UNION ALL SELECT k, 'prob', i, {R('v')} FROM prob""")
-def network_scores(spark, sf_dir):
-    s = scored(spark, sf_dir)
+UNION ALL SELECT k, 'prob', i, {R('v')} FROM prob"""
+
 
+def _outputs(s):
+    """One pass over the scored rows: all three outputs exploded together."""
     def tag(kind, arr):
         return F.transform(arr, lambda v, i: F.struct(F.lit(kind).alias("kind"), i.alias("j"), v.alias("value")))
-    # one pass over the scored rows: all three outputs exploded together
     allv = F.concat(tag("latent", F.col("latent")), tag("recon", F.col("recon")),
                     F.array(F.struct(F.lit("prob").alias("kind"), F.lit(0).alias("j"), F.col("prob").alias("value"))))
     e = s.select("k", F.explode(allv).alias("_e"))
     return e.select("k", "_e.kind", F.col("_e.j").cast("int").alias("j"), rnd("_e.value").alias("value"))
 
 
+@query("network_scores", f"WITH {NET_CTES} {SQL_OUTPUTS}")
+def network_scores(spark, sf_dir):
+    return _outputs(scored(spark, sf_dir))
+
+
+# linear latent, tanh reconstruction, leaky head
+SINK_LATENT = _sql_part(X_LONG, "encoder", SIZES, ["relu"] * (N - 1) + ["linear"])
+SINK_PROB = _sql_part("SELECT * FROM latent", "head", HS, ["leaky_relu"] * (len(HS) - 2) + ["sigmoid"])
+
+
+@query("network_scores_sinkclass",
+       f"WITH latent AS ({SINK_LATENT}), recon AS ({RECON}), prob AS ({SINK_PROB}) {SQL_OUTPUTS}")
+def network_scores_sinkclass(spark, sf_dir):
+    sink = J.choose_network("sinkclass", SIZES, head=HEAD)
+    return _outputs(Fs.score_network(S.embedding_matrix(spark, sf_dir), sink))
+
+
 # ------------------------------------------------------------------ I1-I4, I7
 
 SQL_ROW_ERR = f"""SELECT x.k, sum((x.v - r.v) * (x.v - r.v)) / 64.0::DOUBLE AS err
@@ -195,25 +214,21 @@ def hist_reco(spark, sf_dir):
 
 # ------------------------------------------------------------------ F5, F6
 
-@query("fold_scores", f"""WITH {NET_CTES},
-f AS (SELECT k, y, CAST((rn - 1) // 20 AS INTEGER) AS fold FROM (
-        SELECT vec_id AS k, CAST(label % 2 AS INTEGER) AS y,
-               row_number() OVER (PARTITION BY label % 2 ORDER BY md5(concat(CAST(vec_id AS VARCHAR), '|', '7'))) AS rn
-        FROM embeddings) WHERE (rn - 1) // 20 < 5)
+@query("fold_scores", f"""WITH {NET_CTES}, f AS ({SQL_FOLDS})
 SELECT 'ae' AS model, f.fold, f.k, f.y, {R('p.v')} AS score FROM f JOIN prob p USING (k)""")
 def fold_scores(spark, sf_dir):
-    folds = D.kfold(S.embedding_matrix(spark, sf_dir), k=5, events=40, seed=7)
+    folds = D.kfold(S.embedding_matrix(spark, sf_dir), k=5, seed=7)
     n = net()
     n["name"] = "ae"
     s = Fs.score_folds(folds, n)
     return s.select("model", "fold", "k", "y", rnd("score").alias("score"))
 
 
-@query("encode_split", f"""WITH {NET_CTES}
-SELECT k, i AS j, {R('v')} AS value FROM latent""")
+@query("encode_split", f"""WITH {NET_CTES}, sp AS ({SQL_SPLIT})
+SELECT k, i AS j, {R('v')} AS value FROM latent JOIN sp USING (k) WHERE split = 'train'""")
 def encode_split_q(spark, sf_dir):
-    m = S.embedding_matrix(spark, sf_dir).withColumn("split", F.lit("test"))
-    e = Fs.encode_split(m, net(), "test")
+    m = D.stratified_split(S.embedding_matrix(spark, sf_dir), 0.1, seed=7)
+    e = Fs.encode_split(m, net(), "train")
     return e.select("k", F.posexplode("x").alias("j", "value")).select(
         "k", F.col("j").cast("int"), rnd("value").alias("value"))
 
@@ -243,6 +258,7 @@ SELECT x.k, CAST(c.ref AS BIGINT) AS ref, {R(sql_k)} AS kval FROM x, c""")
 
 _gram_q("linear", "list_dot_product(x.x, c.c)")
 _gram_q("rbf", "exp(-0.5::DOUBLE * list_sum(list_transform(list_zip(x.x, c.c), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))")
+_gram_q("poly", "pow(0.5::DOUBLE * list_dot_product(x.x, c.c), 3)")
 _gram_q("overlap", """pow(list_dot_product(x.x, list_transform(c.c, lambda v: v / sqrt(list_sum(list_transform(c.c, lambda u: u * u)))))
     / sqrt(list_sum(list_transform(x.x, lambda u: u * u))), 2)""")
 
@@ -337,12 +353,7 @@ def wasserstein(spark, sf_dir):
     return w.select(F.col("dim").cast("int"), rnd("w1").alias("w1"))
 
 
-def _split_sql() -> str:
-    from hepark.plans.q_sampling import SQL_SPLIT
-    return SQL_SPLIT
-
-
-@query("loss_by_split", f"""WITH {NET_CTES}, e AS ({SQL_ROW_ERR}), sp AS ({_split_sql()})
+@query("loss_by_split", f"""WITH {NET_CTES}, e AS ({SQL_ROW_ERR}), sp AS ({SQL_SPLIT})
 SELECT split, {R('avg(err)')} AS loss, CAST(count(*) AS BIGINT) AS n_rows FROM e JOIN sp USING (k) GROUP BY split""")
 def loss_by_split(spark, sf_dir):
     s = D.stratified_split(scored(spark, sf_dir), 0.1, seed=7)

@@ -223,8 +223,12 @@ def test_api_conveniences(spark):
     n = E.normalise_columns(df, "minmax", ["a", "b"]).orderBy("k").toPandas()
     assert n["a"].min() == 0.0 and n["a"].max() == 1.0 and n["b"].max() == 1.0
     m = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "k long, x array<double>")
-    g = gram(m, kernel="linear").toPandas()
-    assert len(g) == 16
+    refs = m.withColumnRenamed("k", "ref")
+    for block in (1024, 3):
+        g = gram(m, refs, kernel="linear", block=block).toPandas()
+        assert len(g) == 16 and (g["kval"] == g["k"] * g["ref"] + 1).all()
+    with pytest.raises(ValueError):
+        gram(m, refs, max_refs=3)
     long = spark.createDataFrame([(0, 1, 1.0), (0, 0, 2.0)], "feature int, y int, value double")
     with pytest.raises(TypeError):
         G.hist(long, 4, range="nope")
@@ -236,19 +240,32 @@ def test_api_conveniences(spark):
     assert t.count() == 3 and t.filter("best").count() == 1
 
 
-def test_jvm_and_arrow_scoring_agree(spark):
+def test_scoring_matches_layer_by_layer(spark):
     from hepark.operators import scoring as Fs
     rng = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=12)]) for i in range(50)],
-                               "k long, x array<double>")
+    X = rng.normal(size=(50, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(50)], "k long, x array<double>")
+
+    act = {"relu": lambda z: max(z, 0.0), "elu": lambda z: z if z > 0 else np.exp(z) - 1, "tanh": np.tanh,
+           "sigmoid": lambda z: 1 / (1 + np.exp(-z)), "linear": lambda z: z,
+           "leaky_relu": lambda z: z if z > 0 else 0.2 * z}
+
+    def by_hand(layers, x):
+        for layer in layers:
+            x = [act[layer["act"]](sum(x[r] * layer["w"][r, c] for r in range(len(x))) + layer["b"][c])
+                 for c in range(layer["w"].shape[1])]
+        return x
+
     for net in (Fs.autoencoder([12, 6, 3], head=[4, 1]), Fs.plain_classifier([12, 5, 2]),
+                Fs.autoencoder([12, 6, 3], head=[4, 1], latent_act="linear"),
                 Fs.autoencoder([12, 4], last_act="elu", head=[2, 1], head_hidden="leaky_relu")):
-        a = Fs.score_network(df, net, engine="jvm").orderBy("k").toPandas()
-        b = Fs.score_network(df, net, engine="arrow").orderBy("k").toPandas()
-        assert np.allclose(np.vstack(a["latent"]), np.vstack(b["latent"]), atol=1e-12)
-        assert np.allclose(a["prob"], b["prob"], atol=1e-12)
-        if "recon" in a:
-            assert np.allclose(np.vstack(a["recon"]), np.vstack(b["recon"]), atol=1e-12)
+        got = Fs.score_network(df, net).orderBy("k").toPandas()
+        parts = net["parts"]
+        latent = [by_hand(parts["encoder"], list(x)) for x in X]
+        assert np.allclose(np.vstack(got["latent"]), latent, atol=1e-12)
+        assert np.allclose(got["prob"], [by_hand(parts["head"], z)[0] for z in latent], atol=1e-12)
+        if "decoder" in parts:
+            assert np.allclose(np.vstack(got["recon"]), [by_hand(parts["decoder"], z) for z in latent], atol=1e-12)
 
 
 def test_power_lambda_matches_golden_section(spark):
