@@ -1,8 +1,7 @@
 """Fitting, model selection and run history.
 
-J1 is data-parallel: every step, executors compute gradient sums of the
-current mini-batch with the broadcast weights (``mapInPandas`` over Arrow
-batches, one packed vector per partition), a tree-shaped ``treeReduce``
+Every step of J1, executors compute gradient sums of the current mini-batch with the broadcast weights (``mapInPandas`` over Arrow
+batches, one packed vector per partition), a tree-shaped ``treeAggregate``
 combines the per-partition vectors, and the driver applies the small Adam
 update.  The driver only ever holds the weights and the gradient vector
 (size = #parameters).  Each epoch gets a seeded md5 batch assignment written
@@ -178,7 +177,7 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
     Each partition computes its gradient sum over Arrow batches and emits a
     single row (loss, count, gradient packed as float64 bytes); those rows -
     one per partition, whatever the data size - are combined with a
-    tree-shaped ``treeReduce`` as numpy vectors, so no per-parameter rows are
+    tree-shaped ``treeAggregate`` as numpy vectors, so no per-parameter rows are
     shuffled and the driver receives one vector."""
     bc = df.sparkSession.sparkContext.broadcast(net)
     npar = len(_vec(net))
