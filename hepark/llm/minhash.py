@@ -15,10 +15,11 @@ probability about ``2 * (1 - s**half) ** tables`` (0.0004 at 0.8 by default).
 3. In each bucket the document whose half keys are the most widely shared (the
    centre of its near copies) is paired with the others: linear, not all pairs.
    Pairs whose set sizes allow the similarity are verified on full sets.
-4. Buckets that still hold different components are searched again: all pairs
-   between components in buckets of at most ``SMALL`` documents, and in larger
-   ones each document against ``PIVOTS`` pivots drawn anew in each bucket, of
-   which a link has dozens.
+4. Buckets that still hold different components are searched again, each member
+   against pivots of other components outside the bucket's largest one: first a
+   few pivots a bucket (``QUOTAS``), so that most components have met before the
+   last round takes every such member.  After it all pairs of a bucket that lie in
+   different components were compared; members of one component never are.
 5. Components of all verified links, in Spark; classes get theirs from their
    representative.
 
@@ -30,8 +31,6 @@ are equal; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +40,8 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.graph import components
 from hepark.llm.text import LOWER, Words, as_list, grams, mix, pieces, whole
 
-SMALL, PIVOTS = 12, 4
+#: Pivots a bucket in each round of the second search; None: all.
+QUOTAS = (4, 64, None)
 
 
 def _shingle_sets(w: Words, k: int):
@@ -140,6 +140,29 @@ def _possible(percent: int):
     return F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
 
 
+def _between(met: DataFrame, found: DataFrame, quota: int | None) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that share a bucket, with at
+    least one end among its pivots.
+
+    Pivots are drawn, by hash, among the members outside the bucket's largest
+    component: about ``quota`` of them, all where there are no more or the quota is
+    None.  With all of them every pair of different components is met."""
+    rows = met.join(found, F.col("rep") == F.col("id"), "left").select(
+        "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top")) \
+        .select("bucket", F.col("top.comp").alias("largest"), (F.col("members") - F.col("top.n")).alias("others"))
+    rows = staged(rows.join(sizes.where("others > 0"), "bucket"), "minhash-mixed")
+    drawn = F.lit(True) if quota is None else \
+        F.pmod(F.xxhash64("rep", "bucket"), F.col("others")) < quota
+    pivots = rows.where((F.col("comp") != F.col("largest")) & drawn).select(
+        "bucket", F.col("rep").alias("pivot"), F.col("n_shingles").alias("np"), F.col("comp").alias("cp"))
+    return rows.join(pivots, "bucket").where("comp <> cp").select(
+        F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"),
+        F.when(F.col("rep") < F.col("pivot"), F.col("n_shingles")).otherwise(F.col("np")).alias("na"),
+        F.when(F.col("rep") < F.col("pivot"), F.col("np")).otherwise(F.col("n_shingles")).alias("nb"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     percent: int = 80, half: int = 3, tables: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
@@ -184,35 +207,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = staged(pairs.where(_possible(percent)).distinct(), "minhash-pairs")
     links = staged(_verify(pairs, full, percent), "minhash-links")
     found = components(links)
-    # second search: buckets that hold more than one component
-    rest = keys.join(centre.select("bucket", "members"), "bucket").join(
-        found, F.col("rep") == F.col("id"), "left").select(
-        "bucket", "members", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    rest = staged(rest, "minhash-rest")
-    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")) \
-        .where("c0 < c1").select("bucket")
-    rest = staged(rest.join(staged(mixed, "minhash-mixed"), "bucket"), "minhash-mixed-rows")
-    few = rest.where(F.col("members") <= SMALL)
-    one = few.select("bucket", F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("comp").alias("ca"))
-    two = few.select("bucket", F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))
-    again = [one.join(two, "bucket").where("a < b and ca <> cb").select("a", "b", "na", "nb")]
-    many = rest.where(F.col("members") > SMALL)
-    pivots = many.groupBy("bucket").agg(*[
-        F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(i)).alias("h"), F.col("rep").alias("b"),
-                       F.col("n_shingles").alias("nb"), F.col("comp").alias("cb"))).alias(f"p{i}")
-        for i in range(PIVOTS)])
-    pivots = staged(pivots.select("bucket", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("p"))
-                    .select("bucket", "p.b", "p.nb", "p.cb").distinct(), "minhash-pivots")
-    met = many.join(pivots, "bucket").where("rep <> b and comp <> cb").select(
-        F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"),
-        F.when(F.col("rep") < F.col("b"), F.col("n_shingles")).otherwise(F.col("nb")).alias("na"),
-        F.when(F.col("rep") < F.col("b"), F.col("nb")).otherwise(F.col("n_shingles")).alias("nb"))
-    again = reduce(DataFrame.union, again + [met])
-    again = staged(again.where(_possible(percent)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"),
-                   "minhash-again")
-    more = staged(_verify(again, full, percent), "minhash-more")
-    if more.limit(1).count():
-        found = components(links.union(more))
+    # buckets that still hold several components
+    met = keys.join(centre.select("bucket"), "bucket")
+    tried = pairs.select("a", "b")
+    for quota in QUOTAS:
+        again = _between(met, found, quota).where(_possible(percent)).distinct()
+        again = staged(again.join(tried, ["a", "b"], "left_anti"), "minhash-again")
+        more = staged(_verify(again, full, percent), "minhash-more")
+        if more.limit(1).count():
+            links = links.union(more)
+            found = components(links)
+        tried = tried.union(again.select("a", "b"))
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
         .select(*sets, F.coalesce("component", "rep").alias("c"))
     out = survey.drop("halves").join(staged(named, "minhash-named"), sets, "left")

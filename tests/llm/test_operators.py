@@ -74,6 +74,37 @@ def test_near_duplicates_brute_force(docs, texts):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
 
 
+def test_mixed_buckets_lose_no_link(spark):
+    """Variants of one passage about the threshold apart: large buckets that hold
+    many components, some linked by a single pair."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(2, 6)), replace=False):
+            words[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[j:j + 4]) for j in range(117)} for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in range(len(rows))}
+    assert 2 < len(set(want.values())) < len(rows) - 2
+    got = {r.doc_id: r.component_id for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_lines_brute_force(docs, texts):
     lines = {d: [x for x in (y.strip(" \t\n\r\x0b\x0c") for y in t.split("\n")) if x] for d, t in texts.items()}
 
