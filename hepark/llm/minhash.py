@@ -15,11 +15,14 @@ probability about ``2 * (1 - s**half) ** tables`` (0.0004 at 0.8 by default).
 3. In each bucket the document whose half keys are the most widely shared (the
    centre of its near copies) is paired with the others: linear, not all pairs.
    Pairs whose set sizes allow the similarity are verified on full sets.
-4. Buckets that still hold different components are searched again, each member
-   against pivots of other components outside the bucket's largest one: first a
-   few pivots a bucket (``QUOTAS``), so that most components have met before the
-   last round takes every such member.  After it all pairs of a bucket that lie in
-   different components were compared; members of one component never are.
+4. Buckets that still hold different components are searched again: each member
+   against pivots of other components, drawn anew in every round among the members
+   outside the bucket's largest component - all of them where they are at most
+   ``ALL``, else about ``PIVOTS``.  Rounds go on until one finds no link.  A link
+   shares dozens of buckets, and each round draws pivots in every one of them; what
+   a round compares is linear in the bucket.  ``complete=True`` adds a last round
+   in which every such member is a pivot: all pairs between components, quadratic
+   in a bucket of many components.
 5. Components of all verified links, in Spark; classes get theirs from their
    representative.
 
@@ -40,8 +43,7 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.graph import components
 from hepark.llm.text import LOWER, Words, as_list, grams, mix, pieces, whole
 
-#: Pivots a bucket in each round of the second search; None: all.
-QUOTAS = (4, 64, None)
+ALL, PIVOTS = 12, 4
 
 
 def _shingle_sets(w: Words, k: int):
@@ -140,21 +142,18 @@ def _possible(percent: int):
     return F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
 
 
-def _between(met: DataFrame, found: DataFrame, quota: int | None) -> DataFrame:
+def _between(met: DataFrame, found: DataFrame, seed: int | None) -> DataFrame:
     """Pairs (a, b, na, nb) of different components that share a bucket, with at
-    least one end among its pivots.
-
-    Pivots are drawn, by hash, among the members outside the bucket's largest
-    component: about ``quota`` of them, all where there are no more or the quota is
-    None.  With all of them every pair of different components is met."""
+    least one end among its pivots (drawn by hash; every candidate where ``seed``
+    is None)."""
     rows = met.join(found, F.col("rep") == F.col("id"), "left").select(
         "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top")) \
         .select("bucket", F.col("top.comp").alias("largest"), (F.col("members") - F.col("top.n")).alias("others"))
     rows = staged(rows.join(sizes.where("others > 0"), "bucket"), "minhash-mixed")
-    drawn = F.lit(True) if quota is None else \
-        F.pmod(F.xxhash64("rep", "bucket"), F.col("others")) < quota
+    drawn = F.lit(True) if seed is None else (F.col("others") <= ALL) | (
+        F.pmod(F.xxhash64("rep", "bucket", F.lit(seed)), F.col("others")) < PIVOTS)
     pivots = rows.where((F.col("comp") != F.col("largest")) & drawn).select(
         "bucket", F.col("rep").alias("pivot"), F.col("n_shingles").alias("np"), F.col("comp").alias("cp"))
     return rows.join(pivots, "bucket").where("comp <> cp").select(
@@ -164,7 +163,8 @@ def _between(met: DataFrame, found: DataFrame, quota: int | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, half: int = 3, tables: int = 12) -> DataFrame:
+                    percent: int = 80, half: int = 3, tables: int = 12,
+                    complete: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
     docs = id_text(docs, id_col, text_col)
     survey = staged(docs.mapInArrow(_survey(k, half, tables),
@@ -210,13 +210,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that still hold several components
     met = keys.join(centre.select("bucket"), "bucket")
     tried = pairs.select("a", "b")
-    for quota in QUOTAS:
-        again = _between(met, found, quota).where(_possible(percent)).distinct()
+    seed, last = 0, False
+    while not last:
+        again = _between(met, found, seed).where(_possible(percent)).distinct()
         again = staged(again.join(tried, ["a", "b"], "left_anti"), "minhash-again")
         more = staged(_verify(again, full, percent), "minhash-more")
+        last = seed is None
         if more.limit(1).count():
-            links = links.union(more)
+            links = staged(links.union(more), "minhash-links")
             found = components(links)
+            seed = None if last else seed + 1
+        else:
+            last, seed = last or not complete, None
         tried = tried.union(again.select("a", "b"))
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
         .select(*sets, F.coalesce("component", "rep").alias("c"))
