@@ -44,6 +44,7 @@ from hepark.llm.graph import components
 from hepark.llm.text import LOWER, Words, as_list, grams, mix, pieces, whole
 
 ALL, PIVOTS = 12, 4
+CELLS = 512
 
 
 def _shingle_sets(w: Words, k: int):
@@ -88,12 +89,18 @@ def _survey(k: int, half: int, tables: int):
                         for j in range(half):
                             key = mix(key ^ np.minimum.reduceat(flat * odd[t * half + j], at), j)
                         halves[:, t] = key
+                doc = np.repeat(np.arange(hi - lo), np.diff(ptr))
+                cell = (mix(flat, 7) % np.uint64(CELLS)).astype(np.int64)
+                odds = np.bincount(doc * CELLS + cell, minlength=(hi - lo) * CELLS) % 2
+                parity = np.packbits(odds.astype(np.uint8)).view(np.int64)
+                pptr = np.arange(hi - lo + 1) * (CELLS // 64)
                 hptr = np.concatenate([[0], np.cumsum((np.diff(ptr) > 0) * 2 * tables)])
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo), pa.array(np.diff(ptr), pa.int64()),
                     pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)),
-                    as_list(halves.reshape(-1), hptr, pa.int64())],
-                    ["doc_id", "n_shingles", "d1", "d2", "halves"])
+                    as_list(halves.reshape(-1), hptr, pa.int64()),
+                    as_list(parity, pptr, pa.int64())],
+                    ["doc_id", "n_shingles", "d1", "d2", "halves", "parity"])
     return run
 
 
@@ -142,21 +149,29 @@ def _possible(percent: int):
     return F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
 
 
-def _between(met: DataFrame, found: DataFrame, seed: int | None) -> DataFrame:
+def _between(met: DataFrame, found: DataFrame, parity: DataFrame, percent: int, seed: int | None) -> DataFrame:
     """Pairs (a, b, na, nb) of different components that share a bucket, with at
     least one end among its pivots (drawn by hash; every candidate where ``seed``
-    is None)."""
+    is None).
+
+    A pair is held only if its sets can reach the similarity.  They differ in at
+    least as many shingles as there are cells of which one set holds an odd and the
+    other an even number (``parity``), and sets of sizes na and nb that reach it
+    differ in at most (na + nb) * (100 - percent) / (100 + percent): no link goes."""
     rows = met.join(found, F.col("rep") == F.col("id"), "left").select(
         "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
     sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
         F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top")) \
         .select("bucket", F.col("top.comp").alias("largest"), (F.col("members") - F.col("top.n")).alias("others"))
-    rows = staged(rows.join(sizes.where("others > 0"), "bucket"), "minhash-mixed")
+    rows = staged(rows.join(sizes.where("others > 0"), "bucket").join(parity, "rep"), "minhash-mixed")
     drawn = F.lit(True) if seed is None else (F.col("others") <= ALL) | (
         F.pmod(F.xxhash64("rep", "bucket", F.lit(seed)), F.col("others")) < PIVOTS)
     pivots = rows.where((F.col("comp") != F.col("largest")) & drawn).select(
-        "bucket", F.col("rep").alias("pivot"), F.col("n_shingles").alias("np"), F.col("comp").alias("cp"))
-    return rows.join(pivots, "bucket").where("comp <> cp").select(
+        "bucket", F.col("rep").alias("pivot"), F.col("n_shingles").alias("np"), F.col("comp").alias("cp"),
+        F.col("parity").alias("pp"))
+    differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("pp")[i])) for i in range(CELLS // 64)), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("n_shingles") + F.col("np")) * (100 - percent)
+    return rows.join(pivots, "bucket").where((F.col("comp") != F.col("cp")) & near).select(
         F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"),
         F.when(F.col("rep") < F.col("pivot"), F.col("n_shingles")).otherwise(F.col("np")).alias("na"),
         F.when(F.col("rep") < F.col("pivot"), F.col("np")).otherwise(F.col("n_shingles")).alias("nb"))
@@ -168,12 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id, kept - one row per input row."""
     docs = id_text(docs, id_col, text_col)
     survey = staged(docs.mapInArrow(_survey(k, half, tables),
-                                    "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>"),
+                                    "doc_id long, n_shingles long, d1 long, d2 long, halves array<long>, parity array<long>"),
                     "minhash-survey")
     sets = ["n_shingles", "d1", "d2"]
     classes = staged(survey.where("n_shingles > 0 and doc_id is not null").groupBy(*sets)
-                     .agg(F.min(F.struct("doc_id", "halves")).alias("r"))
-                     .select(*sets, F.col("r.doc_id").alias("rep"), F.col("r.halves").alias("halves")),
+                     .agg(F.min(F.struct("doc_id", "halves", "parity")).alias("r"))
+                     .select(*sets, F.col("r.doc_id").alias("rep"), F.col("r.halves").alias("halves"),
+                             F.col("r.parity").alias("parity")),
                      "minhash-classes")
     side = classes.select("rep", "n_shingles", F.posexplode("halves").alias("slot", "key"))
     shared = staged(side.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"),
@@ -212,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = pairs.select("a", "b")
     seed, last = 0, False
     while not last:
-        again = _between(met, found, seed).where(_possible(percent)).distinct()
+        again = _between(met, found, classes.select("rep", "parity"), percent, seed).where(_possible(percent)).distinct()
         again = staged(again.join(tried, ["a", "b"], "left_anti"), "minhash-again")
         more = staged(_verify(again, full, percent), "minhash-more")
         last = seed is None
@@ -225,7 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.union(again.select("a", "b"))
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
         .select(*sets, F.coalesce("component", "rep").alias("c"))
-    out = survey.drop("halves").join(staged(named, "minhash-named"), sets, "left")
+    out = survey.drop("halves", "parity").join(staged(named, "minhash-named"), sets, "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"),
                       F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"))
