@@ -16,13 +16,14 @@ probability about ``2 * (1 - s**half) ** tables`` (0.0004 at 0.8 by default).
    centre of its near copies) is paired with the others: linear, not all pairs.
    Pairs whose set sizes allow the similarity are verified on full sets.
 4. Buckets that still hold different components are searched again: each member
-   against pivots of other components, drawn anew in every round among the members
-   outside the bucket's largest component - all of them where they are at most
-   ``ALL``, else about ``PIVOTS``.  Rounds go on until one finds no link.  A link
-   shares dozens of buckets, and each round draws pivots in every one of them; what
-   a round compares is linear in the bucket.  ``complete=True`` adds a last round
-   in which every such member is a pivot: all pairs between components, quadratic
-   in a bucket of many components.
+   against pivots of other components, drawn among the members outside the bucket's
+   largest component - all of them where they are at most ``ALL``, else about
+   ``PIVOTS``.  At most ``ROUNDS`` such rounds join most of what links, at a cost
+   linear in the bucket.  The last round takes every such member as a pivot: after
+   it all pairs of a bucket that lie in different components were compared, and no
+   link that the tables hold is lost.  It is quadratic in a bucket of many
+   components; only pairs that the parity bound allows leave the join.
+   ``complete=False`` leaves the last round out and can lose links in such buckets.
 5. Components of all verified links, in Spark; classes get theirs from their
    representative.
 
@@ -43,7 +44,7 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.graph import components
 from hepark.llm.text import LOWER, Words, as_list, grams, mix, pieces, whole
 
-ALL, PIVOTS = 12, 4
+ALL, PIVOTS, ROUNDS = 12, 4, 2
 CELLS = 512
 
 
@@ -179,7 +180,7 @@ def _between(met: DataFrame, found: DataFrame, parity: DataFrame, percent: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     percent: int = 80, half: int = 3, tables: int = 12,
-                    complete: bool = False) -> DataFrame:
+                    complete: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
     docs = id_text(docs, id_col, text_col)
     survey = staged(docs.mapInArrow(_survey(k, half, tables),
@@ -226,19 +227,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets that still hold several components
     met = keys.join(centre.select("bucket"), "bucket")
     tried = pairs.select("a", "b")
-    seed, last = 0, False
-    while not last:
+    seed = 0
+    while True:
         again = _between(met, found, classes.select("rep", "parity"), percent, seed).where(_possible(percent)).distinct()
         again = staged(again.join(tried, ["a", "b"], "left_anti"), "minhash-again")
         more = staged(_verify(again, full, percent), "minhash-more")
-        last = seed is None
-        if more.limit(1).count():
+        some = more.limit(1).count() > 0
+        if some:
             links = staged(links.union(more), "minhash-links")
             found = components(links)
-            seed = None if last else seed + 1
-        else:
-            last, seed = last or not complete, None
         tried = tried.union(again.select("a", "b"))
+        if seed is None or not (some or complete):
+            break
+        # once a round finds nothing, or enough were made, all the rest is compared
+        seed = seed + 1 if some and (seed + 1 < ROUNDS or not complete) else None
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
         .select(*sets, F.coalesce("component", "rep").alias("c"))
     out = survey.drop("halves", "parity").join(staged(named, "minhash-named"), sets, "left")

@@ -108,6 +108,36 @@ def test_mixed_buckets_lose_no_link(spark):
     assert sum(by_rounds[i] == want[i] for i in want) >= 0.98 * len(want)
 
 
+def test_large_family_loses_no_link(spark):
+    """4,000 variants of one passage, most of them too far apart to link: buckets of
+    hundreds of components, and single pairs that link."""
+    rng = np.random.default_rng(11)
+    n, words, k = 4000, 200, 4
+    rows, holds = [], np.ones((n, words - k + 1), np.float32)
+    for i in range(n):
+        text = [f"w{j}" for j in range(words)]
+        for at in rng.choice(words, 5, replace=False):
+            text[at] = f"x{i}y{at}"
+            holds[i, max(0, at - k + 1):at + 1] = 0
+        rows.append((i, " ".join(text)))
+    # all sets hold words - k + 1 shingles; two share those of the passage that both kept
+    both = holds @ holds.T
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = [(int(a), int(b)) for a, b in np.argwhere(100 * both >= 80 * (2 * (words - k + 1) - both)) if a < b]
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    assert 50 < len(links) < n / 10
+    got = {r.doc_id: r.component_id for r in minhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if c != find(i)} == {}
+
+
 def test_lines_brute_force(docs, texts):
     lines = {d: [x for x in (y.strip(" \t\n\r\x0b\x0c") for y in t.split("\n")) if x] for d, t in texts.items()}
 
