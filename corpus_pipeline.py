@@ -29,8 +29,8 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def dedup_lines(spark, docs, sf_dir):
-    """Later repeats of runs of three lines or more go; so does a document all of
-    whose lines went.  ``n_chars`` follows the text."""
+    """Later repeats of runs of three lines or 50 words or more go; so does a document
+    all of whose lines went.  ``n_chars`` follows the text."""
     cut = linededup.dedup_lines(docs).where("doc_id is not null").select(
         F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
     both = docs.join(cut.hint("merge"), F.col("doc_id") == F.col("__id"), "left")

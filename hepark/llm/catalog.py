@@ -47,7 +47,7 @@ def op9_cgk_decontamination(spark, sf_dir):
 
 
 def op10_line_dedup(spark, sf_dir):
-    return linededup.query(_table(spark, sf_dir, "documents"))
+    return linededup.query(_table(spark, sf_dir, "documents"), words=50)
 
 
 QUERIES = [op1_collision_counting, op2_mixing, op3_toxicity, op4_substring_dedup, op5_template_removal,

@@ -1,19 +1,21 @@
 r"""Line deduplication by winnowing over line hashes.
 
 A line is a text's piece between newlines, compared after trimming white space;
-blank lines are not compared.  Of each ``run`` consecutive lines the least hash
-is a *fingerprint*: two copies of a run of ``run`` lines or more select the same
-line, so none can be missed.
+blank lines are not compared.  A *window* is ``run`` consecutive lines, or fewer
+that hold ``words`` words or more.  Its line of least hash is its *fingerprint*:
+two copies of a window select the same line, so none can be missed.
 
 1. Fingerprints are counted by place; those seen once cannot begin a repeat.
-2. Windows of ``run`` lines whose fingerprint recurs are joined on (fingerprint,
-   window) to the first place that holds them: least doc_id, then position.
-3. From there matches extend both ways: neighbouring windows that match are one
-   longer run, and the lines covered by a window that occurs earlier go.
+2. Windows whose fingerprint recurs are joined on (fingerprint, window) to the
+   first place that holds them: least doc_id, then position.
+3. The lines covered by a window that occurs earlier go; neighbouring windows that
+   match make up a longer run.
 
-So a line goes exactly if it lies in a window of ``run`` non-blank lines that
-occurs earlier (in a document of smaller doc_id, or further up in the same one);
-a text of fewer lines is one window as a whole.  The first place always stays.
+So a line goes exactly if it lies in a run of ``run`` non-blank lines or of
+``words`` words that occurs earlier (in a document of smaller doc_id, or further up
+in the same one); a text of fewer lines is also one window as a whole, which equals
+only other whole texts.  The first place always stays.  ``words=None`` leaves the
+word count out.
 
 Edge cases: null or empty text has no lines; blank lines stay, but a text of which
 no other line stays becomes empty; a null doc_id comes last; equal rows are one
@@ -49,84 +51,90 @@ def _trimmed_lines(buf: np.ndarray, off: np.ndarray) -> Words:
     return w
 
 
-def _windows(w: Words, run: int):
-    """(row of each window's text, first line, window hash, fingerprint hash)."""
+def _windows(w: Words, plain: Words, run: int, words: int | None):
+    """(row of each window's text, first line, number of lines, window hash,
+    fingerprint hash).  ``plain`` are the words of the same texts."""
     h = w.hashes()
-    g = grams(h, run, seed=6)
-    ok = np.flatnonzero(whole(w.ptr, run))
-    at = sliding_argmin(mix(h, 7), run)[ok] if len(ok) else ok
+    order = mix(h, 7)
     doc = w.doc_of()
-    first, gram, mark = ok, g[ok], h[at]
+    held = np.concatenate([[0], np.cumsum(np.searchsorted(plain.start, w.end) - np.searchsorted(plain.start, w.start))])
+    found = []
+    for size in range(1, run + 1):
+        ok = whole(w.ptr, size)
+        if size < run:
+            if words is None:
+                continue
+            ok &= held[size:size + len(ok)] - held[:len(ok)] >= words
+        ok = np.flatnonzero(ok)
+        if len(ok):
+            found.append((doc[ok], ok - w.ptr[doc[ok]], np.full(len(ok), size),
+                          grams(h, size, seed=6 if size == run else 20 + size)[ok], h[sliding_argmin(order, size)[ok]]))
     n = w.counts()
-    short = np.flatnonzero((n > 0) & (n < run))         # the whole text is the window
-    extra, emark = [], []
-    for d in short:
+    for d in np.flatnonzero((n > 0) & (n < run)):       # the whole text is the window
         hs = h[w.ptr[d]:w.ptr[d + 1]]
-        extra.append(mix(grams(hs, len(hs), seed=8), len(hs))[0])
-        emark.append(hs[np.argmin(mix(hs, 7))])
-    rows = np.concatenate([doc[ok], short]).astype(np.int64)
-    line = np.concatenate([first - w.ptr[doc[ok]], np.zeros(len(short), np.int64)]).astype(np.int32)
-    return (rows, line, np.concatenate([gram, np.array(extra, np.uint64)]),
-            np.concatenate([mark, np.array(emark, np.uint64)]))
+        found.append(([d], [0], [len(hs)], mix(grams(hs, len(hs), seed=8), len(hs)), hs[[np.argmin(mix(hs, 7))]]))
+    if not found:
+        found.append(([], [], [], [], []))
+    kinds = (np.int64, np.int32, np.int32, np.uint64, np.uint64)
+    return [np.concatenate([np.asarray(x, t) for x in col]) for col, t in zip(zip(*found), kinds)]
 
 
-def _read(run: int):
+def _read(run: int, words: int | None):
     def go(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, buf, off in pieces(batch, "text"):
-                rows, line, gram, mark = _windows(_trimmed_lines(buf, off), run)
+                rows, line, size, gram, mark = _windows(_trimmed_lines(buf, off), Words(buf, off), run, words)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[lo:hi][rows], pa.int64()), pa.array(line),
+                    pa.array(ids[lo:hi][rows], pa.int64()), pa.array(line), pa.array(size),
                     pa.array(gram.view(np.int64)), pa.array(mark.view(np.int64))],
-                    ["doc_id", "line", "gram", "mark"])
+                    ["doc_id", "line", "size", "gram", "mark"])
     return go
 
 
-def repeated_windows(docs: DataFrame, run: int = 3) -> DataFrame:
-    """doc_id, line (of the window's start, counting non-blank lines), src_doc,
-    src_line of every window that occurs earlier."""
-    wins = staged(docs.mapInArrow(_read(run), "doc_id long, line int, gram long, mark long"), "line-windows")
+def repeated_windows(docs: DataFrame, run: int = 3, words: int | None = 50) -> DataFrame:
+    """doc_id, line (of the window's start, counting non-blank lines), size (lines),
+    src_doc, src_line of every window that occurs earlier."""
+    wins = staged(docs.mapInArrow(_read(run, words), "doc_id long, line int, size int, gram long, mark long"), "line-windows")
     marks = staged(wins.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"), "line-marks")
     wins = staged(wins.join(marks, "mark"), "line-candidates")
     first = wins.groupBy("mark", "gram").agg(F.min(F.struct("doc_id", "line")).alias("s"), F.count("*").alias("n")) \
         .where("n > 1").select("mark", "gram", F.col("s.doc_id").alias("src_doc"), F.col("s.line").alias("src_line"))
     first = staged(first, "line-first")
     return wins.join(first, ["mark", "gram"]).where(
-        "doc_id > src_doc or (doc_id = src_doc and line > src_line)").select("doc_id", "line", "src_doc", "src_line")
+        "doc_id > src_doc or (doc_id = src_doc and line > src_line)").select("doc_id", "line", "size", "src_doc", "src_line")
 
 
-def _delete(run: int):
-    def go(batches):
-        for batch in batches:
-            ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
-            ptr = np.asarray(lists.offsets, dtype=np.int64)
-            flat = np.asarray(lists.values, dtype=np.int64)
-            left, count, gone = [], [], []
-            for d in range(len(ids)):
-                lines = texts[d].as_py().split("\n")
-                solid = [i for i, x in enumerate(lines) if x.encode().strip()]
-                drop = np.zeros(len(solid), bool)
-                for s in flat[ptr[d]:ptr[d + 1]]:
-                    drop[s:s + run] = True
-                out = {i for i, x in zip(solid, drop) if x}
-                count.append(len(solid))
-                gone.append(len(out))
-                left.append("" if len(out) == len(solid) else
-                            "\n".join(x for i, x in enumerate(lines) if i not in out))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
-                                              pa.array(left, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
-    return go
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3) -> DataFrame:
+def _delete(batches):
+    for batch in batches:
+        ids, texts, lists = batch.column(0), batch.column(1), batch.column(2)
+        ptr = np.asarray(lists.offsets, dtype=np.int64)
+        flat, sizes = (np.asarray(lists.values.field(i), dtype=np.int64) for i in range(2))
+        left, count, gone = [], [], []
+        for d in range(len(ids)):
+            lines = texts[d].as_py().split("\n")
+            solid = [i for i, x in enumerate(lines) if x.encode().strip()]
+            drop = np.zeros(len(solid), bool)
+            for s, size in zip(flat[ptr[d]:ptr[d + 1]], sizes[ptr[d]:ptr[d + 1]]):
+                drop[s:s + size] = True
+            out = {i for i, x in zip(solid, drop) if x}
+            count.append(len(solid))
+            gone.append(len(out))
+            left.append("" if len(out) == len(solid) else
+                        "\n".join(x for i, x in enumerate(lines) if i not in out))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
+                                          pa.array(left, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3,
+                words: int | None = 50) -> DataFrame:
     """doc_id, n_lines, n_removed, text of the documents that lose lines."""
     docs = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    runs = staged(repeated_windows(docs, run).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set("line")).alias("lines")), "line-runs")
+    runs = staged(repeated_windows(docs, run, words).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("line", "size"))).alias("lines")), "line-runs")
     # the list of ids grows with the corpus: merged, never broadcast
     cut = docs.join(runs.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lines").mapInArrow(
-        _delete(run), "doc_id long, n_lines long, n_removed long, text string")
+        _delete, "doc_id long, n_lines long, n_removed long, text string")
     return cut.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
@@ -139,10 +147,11 @@ def _survey_lines(batches):
                                              ["doc_id", "n_lines"])
 
 
-def query(docs: DataFrame, run: int = 3) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 (null where nothing goes) per document."""
+def query(docs: DataFrame, run: int = 3, words: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 (null where nothing goes) per document.
+    Without ``words`` only runs of ``run`` lines count; the registered query gives 50."""
     counts = id_text(docs).mapInArrow(_survey_lines, "doc_id long, n_lines long")
-    cut = dedup_lines(docs, run=run).select(
+    cut = dedup_lines(docs, run=run, words=words).select(
         F.col("doc_id").alias("id"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
     return counts.join(cut, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
         "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept_sha256")

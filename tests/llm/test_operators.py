@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from hepark.llm import (cgk, collision, debruijn, license_rules, linededup, minhash, mixing, ownership, template,
+from hepark.llm import (catalog, cgk, collision, debruijn, license_rules, linededup, minhash, mixing, ownership, template,
                         toxicity)
 
 SF = "/root/testdata/sf0.001"
@@ -155,6 +155,35 @@ def test_lines_brute_force(docs, texts):
         assert (r.n_lines, r.n_removed) == (len(lines[r.doc_id]), len(gone))
 
 
+def test_registered_lines_brute_force(spark, texts):
+    lines = {d: [x for x in (y.strip(" \t\n\r\x0b\x0c") for y in t.split("\n")) if x] for d, t in texts.items()}
+
+    def windows(v):
+        runs = [(i, tuple(v[i:i + m]), "") for m in (1, 2, 3) for i in range(len(v) - m + 1)
+                if m == 3 or len(WORD.findall("\n".join(v[i:i + m]))) >= 50]
+        return runs + ([(0, tuple(v), "all")] if 0 < len(v) < 3 else [])
+
+    first = {}
+    for d in sorted(lines):
+        for i, w, kind in windows(lines[d]):
+            first.setdefault((kind, w), (d, i))
+    for r in catalog.queries()["op10_line_dedup"](spark, SF).collect():
+        gone = set()
+        for i, w, kind in windows(lines[r.doc_id]):
+            if first[kind, w] < (r.doc_id, i):
+                gone |= set(range(i, i + len(w)))
+        assert (r.n_lines, r.n_removed) == (len(lines[r.doc_id]), len(gone))
+
+
+def test_long_passages_on_few_lines_go(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "bc"]
+    rows = [(1, "\n".join(["x", one, "y", *two, "z"])), (2, "p\n" + one + "\nq\nr"), (3, "\n".join(["s", *two, "t", "u"])),
+            (4, one), (5, "v\n" + two[0] + "\nw\nx"), (6, one + "\n" + "\n".join(two))]
+    got = {r.doc_id: (r.n_removed, r.text) for r in linededup.dedup_lines(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: (1, "p\nq\nr"), 3: (2, "s\nt\nu"), 4: (1, ""), 6: (3, "")}
+
+
 def test_secrets_brute_force(docs, texts):
     assign = re.compile(ownership.ASSIGN, re.A)
     for r in ownership.query(docs).collect():
