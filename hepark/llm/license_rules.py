@@ -2,7 +2,10 @@ r"""Licence recognition by sentence rules (DataFrame functions only).
 
 A text is cut into sentences, sentences are normalised (lower case, letters,
 digits and single spaces), and those equal to a known licence sentence become
-identifiers.  The sequence of a document's identifiers is matched against
+identifiers.  A sentence ends at . ! or ? before white space ("v." before a number
+excepted), at a blank line (also one of comment marks) and at the text's end.  Line
+ends, ; and : may end it or lie within, so wrapped and commented texts match; where
+several known sentences begin at one place the longest counts.  The sequence of a document's identifiers is matched against
 ordered rules: a licence is found where all its sentences occur in order, other
 known sentences between them allowed.
 
@@ -80,8 +83,18 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Unlicense", ("unlicense_grant",)),
 ]
 
-#: A sentence ends at a line end, or at . ! ? ; : before white space or the end.
-SENTENCE_END = r"[\r\n]+|[.!?;:]+(?=\s|$)"
+#: Steps on the lower-cased text.  Marks are capitals, which it lacks: H ends a
+#: sentence, S (; and :) and N (a line end) may.
+STEPS = (
+    (r"\r\n?", "\n"),
+    (r"(?<![^\n])[^a-z0-9\n]*+(?:dnl|rem)(?=[^a-z0-9])", " "),
+    (r"(?<![a-z0-9])v\.(?=\s[^a-z0-9.!?]{0,40}+[0-9])", "v"),
+    (r"[.!?](?=\s|$)", "H"),
+    (r"[;:](?=\s|$)", "S"),
+    (r"\n", "N"),
+    (r"[^a-z0-9HSN]++", " "),
+    (r"N(?=[ S]*+N)", "H"),
+)
 
 
 def normalise(sentence: str) -> str:
@@ -105,8 +118,13 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hint = F.lit(True)
     if covered:
         hint = F.regexp_like(F.col("lower"), F.lit("|".join(hints)))
-    ids = F.transform(F.split("lower", SENTENCE_END, -1), lambda s: F.element_at(
-        known, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
+    marked = F.col("lower")
+    for pattern, mark in STEPS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    ways = "|".join("[ SN]++".join(x.split()) for x in sorted(sentences, key=len, reverse=True))
+    ids = F.transform(
+        F.regexp_extract_all(F.concat(F.lit("H"), marked, F.lit("H")), F.lit(f"[HSN] ?({ways})(?= ?[HSN])"), F.lit(1)),
+        lambda s: F.element_at(known, F.regexp_replace(s, "[ SN]+", " ")))
     docs = id_text(docs, id_col, text_col).select("doc_id", lower.alias("lower")).select(
         "doc_id", F.when(hint, F.filter(ids, lambda i: i.isNotNull()))
         .otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
