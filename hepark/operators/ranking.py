@@ -5,17 +5,20 @@ values, like the class label) funnels the whole table through one task.
 ROC curves, seeded positions, chunking, folds and per-class head cuts all
 need an ordered scan over such a group, so they share a two-phase scheme:
 
-1. every row gets a *bucket*: a monotone function of the order column that
-   splits each group into ``buckets`` ranges of similar size (hash order keys
-   - md5 or xxhash64 - are uniform, so their leading bits are the bucket;
-   numeric columns use approximate per-group quantiles; a later pass may
-   reuse the bucket of an earlier one);
+1. every row gets a *bucket*: a range of the order inside its group.  Hash order
+   keys (md5 or xxhash64) are uniform, so their leading bits are the bucket.  Any
+   other key - of any type Spark can order, of several columns - is ranged by
+   Spark itself: ``repartitionByRange`` on (group, order), written once, the partition
+   is the bucket.  The ranges cut the whole table, not each group, so a group
+   gets as many buckets as its share of the rows, and no boundaries travel;
 2. a local window inside ``(group, bucket)`` computes the in-bucket part;
-3. one aggregate per ``(group, bucket)`` (``#groups x buckets`` rows, tiny)
-   gives bucket totals and the bucket's last row; a window over that small
-   table turns them into offsets, group totals and the carry-in row;
-4. the small table is joined back on ``(group, bucket)`` (AQE broadcasts it
-   when its runtime size is small, otherwise it stays a shuffle join).
+3. one aggregate per ``(group, bucket)`` gives bucket totals and the bucket's last
+   row; a window over that small table turns them into offsets, group totals and
+   the carry-in row.  A range that lies inside one group, or a group inside one
+   range, needs none: only the groups that a cut goes through remain, at
+   most two rows a cut;
+4. the small table is joined back on ``(group, bucket)`` (broadcast after ranging, by the
+   bound above; with hash buckets AQE decides at run time).
 
 The bucket count follows the size of the plan's inputs, so tasks stay bounded
 however large a group is.  A null group key is a group like any other.
@@ -57,12 +60,13 @@ def _default_buckets(df: DataFrame) -> int:
     return -(-b // LOOKUP_BLOCK) * LOOKUP_BLOCK
 
 
-def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], broadcast: bool = False) -> DataFrame:
-    """Inner join on ``by`` in which a null key is a group like any other."""
+def join_groups(left: DataFrame, right: DataFrame, by: Sequence[str], broadcast: bool = False,
+                how: str = "inner") -> DataFrame:
+    """Join on ``by`` (inner by default) in which a null key is a group like any other."""
     names = {c: f"_by_{i}" for i, c in enumerate(by)}
     right = right.withColumnsRenamed(names)
     on = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
-    return left.join(F.broadcast(right) if broadcast else right, on, "inner").drop(*names.values())
+    return left.join(F.broadcast(right) if broadcast else right, on, how).drop(*names.values())
 
 
 def is_materialized(df: DataFrame) -> bool:
@@ -93,41 +97,49 @@ def bounds_lookup(bounds: Column, v: Column, n_bounds: int) -> Column:
     return F.when(c == 0, F.lit(0)).otherwise(start + fine)
 
 
-def quantile_buckets(df: DataFrame, by: Sequence[str], order_col: str, buckets: int,
-                     accuracy: int | None = None, out: str = "_bkt") -> DataFrame:
-    """Attach a monotone bucket id from approximate per-group quantiles.
+def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int,
+                  out: str = "_bkt") -> DataFrame:
+    """Attach a monotone bucket id of any orderable key: rows are ranged by (group,
+    order) and the partition is the bucket.  Written as a reliable checkpoint, since the
+    ranges come from a sample and both phases must see the same ones; a lost executor
+    costs a re-read."""
+    return cut_lineage(df.repartitionByRange(buckets, *by, *order).withColumn(out, F.spark_partition_id()))
 
-    Only the boundaries (``buckets-1`` values per group) travel: per group
-    they are joined on ``by`` (broadcast after a size check); with no group the
-    single boundary row is inlined as a literal array.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    accuracy = accuracy or max(10000, 20 * buckets)
-    bounds = df.groupBy(*by).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("_bounds"))
-    v = F.col(order_col).cast("double")
-    if by:
-        # a hot group must not land in one task: the boundary table (one row
-        # per group) is materialised, its size checked, and broadcast when it
-        # fits; otherwise the shuffle join is left to AQE's skew-join split
-        bounds = cut_lineage(bounds)
-        n_groups = bounds.count()
-        est = n_groups * (len(probs) + 4) * 8
-        j = join_groups(df, bounds, by, broadcast=est <= BROADCAST_BOUNDS_BYTES)
-        return j.withColumn(out, bounds_lookup(F.col("_bounds"), v, len(probs))).drop("_bounds")
-    # no group: one row of ``buckets-1`` doubles (bounded by the parameter)
-    # is read once and inlined as a literal array
-    row = bounds.first()
-    vals = row["_bounds"] if row is not None and row["_bounds"] is not None else []
-    lit = F.lit(np.array(vals, dtype=np.float64)) if vals else F.array().cast("array<double>")
-    return df.withColumn(out, bounds_lookup(lit, v, len(vals)))
+
+def _cut_groups(totals: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of the (group, bucket) rows those of groups with several buckets."""
+    w = Window.partitionBy(*by)
+    return totals.withColumn("_cut", F.min("_bkt").over(w) < F.max("_bkt").over(w)).where("_cut").drop("_cut")
+
+
+def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "pos",
+                buckets: int | None = None, totals: bool = False) -> DataFrame:
+    """Exact 1-based ``row_number()`` inside ``by`` in the order of the columns
+    ``order`` (any types, nulls first), however large a group is; ``totals`` adds
+    ``n_group``.  Rows that agree in all order columns are numbered arbitrarily."""
+    by, order = list(by), list(order)
+    buckets = buckets or _default_buckets(df)
+    b = range_buckets(df, by, order, buckets)
+    here = Window.partitionBy(*by, "_bkt")
+    local = b.withColumn(out, F.row_number().over(here.orderBy(*order)).cast("long"))
+    if totals:
+        local = local.withColumn("_bn", F.count(F.lit(1)).over(here))
+    counts = _cut_groups(b.groupBy(*by, "_bkt").agg(F.count(F.lit(1)).alias("_n")), by)
+    w = Window.partitionBy(*by)
+    offs = counts.select(*by, "_bkt", F.sum("_n").over(w).alias("_all"), (F.sum("_n").over(
+        w.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_off"))
+    # at most two rows for each cut between two ranges
+    got = join_groups(local, offs, by + ["_bkt"], broadcast=True, how="left")
+    got = got.withColumn(out, F.col(out) + F.coalesce("_off", F.lit(0)))
+    if totals:
+        got = got.withColumn("n_group", F.coalesce("_all", "_bn")).drop("_bn")
+    return got.drop("_off", "_all", "_bkt")
 
 
 def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
                  sums: Sequence[str] = (), prevs: Sequence[str] = (),
                  carries: Sequence[str] = (), totals: bool = False, buckets: int | None = None,
-                 bucket: str | Column | None = None, keep_bucket: bool = False,
-                 materialize: bool = True) -> DataFrame:
+                 bucket: str | Column | None = None, keep_bucket: bool = False) -> DataFrame:
     """One distributed pass over each group in ``order_col`` order.
 
     Adds, per row:
@@ -137,10 +149,7 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
       * ``<c>_total``  group total of ``c`` (when ``totals``), and ``n_group``.
     ``order_col`` must be unique inside a group (aggregate ties first).
     ``bucket`` may name an existing monotone bucket column or give an
-    expression; by default per-group quantile buckets are computed.  The
-    quantile path reads its input twice (boundaries, then rows), so with
-    ``materialize`` the input is first written as a reliable checkpoint in
-    the cluster's shared checkpoint folder instead of being recomputed.
+    expression; by default the rows are ranged (:func:`range_buckets`).
     """
     by = list(by)
     buckets = buckets or _default_buckets(df)
@@ -149,9 +158,8 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     elif bucket is not None:
         b = df.withColumn("_bkt", bucket)
     else:
-        if materialize and not is_materialized(df):
-            df = cut_lineage(df)
-        b = quantile_buckets(df, by, order_col, buckets)
+        b = range_buckets(df, by, [order_col], buckets)
+    ranged = bucket is None
 
     w = Window.partitionBy(*by, "_bkt").orderBy(order_col)
     wl = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -160,6 +168,9 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     local_cols.update({f"_lcar_{c}": F.last(c, ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, 0)) for c in carries})
     local_cols["_lrn"] = F.row_number().over(w)
+    if totals and ranged:
+        local_cols |= {f"_here_{c}": F.sum(c).over(Window.partitionBy(*by, "_bkt")) for c in [*sums]}
+        local_cols["_here"] = F.count(F.lit(1)).over(Window.partitionBy(*by, "_bkt"))
     local = b.withColumns(local_cols)
 
     aggs = [F.sum(c).alias(f"_bt_{c}") for c in sums]
@@ -168,6 +179,8 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
              for c in carries]
     aggs.append(F.count(F.lit(1)).cast("long").alias("_bn"))
     tot = b.groupBy(*by, "_bkt").agg(*aggs)
+    if ranged:
+        tot = _cut_groups(tot, by)
     wo = Window.partitionBy(*by).orderBy("_bkt")
     wob = wo.rowsBetween(Window.unboundedPreceding, -1)
     wg = Window.partitionBy(*by)
@@ -179,15 +192,20 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
         off_cols["n_group"] = F.sum("_bn").over(wg)
     offs = tot.withColumns(off_cols).select(*by, "_bkt", *off_cols.keys())
 
-    out = join_groups(local, offs, by + ["_bkt"])
-    fin = {f"{c}_below": F.col(f"_off_{c}") + F.col(f"_loc_{c}") for c in sums}
+    # after ranging at most two rows for each cut between two ranges
+    out = join_groups(local, offs, by + ["_bkt"], broadcast=ranged, how="left" if ranged else "inner")
+    fin = {f"{c}_below": F.coalesce(f"_off_{c}", F.lit(0)) + F.col(f"_loc_{c}") for c in sums}
+    if totals and ranged:
+        fin |= {f"{c}_total": F.coalesce(f"{c}_total", f"_here_{c}") for c in sums}
+        fin["n_group"] = F.coalesce("n_group", "_here")
     fin.update({f"prev_{c}": F.when(F.col("_lrn") == 1, F.col(f"_pprev_{c}"))
                 .otherwise(F.col(f"_lprev_{c}")) for c in prevs})
     fin.update({f"carry_{c}": F.coalesce(F.col(f"_lcar_{c}"), F.col(f"_pcar_{c}")) for c in carries})
     out = out.withColumns(fin)
     drop = ([f"_loc_{c}" for c in sums] + [f"_off_{c}" for c in sums]
             + [f"_lprev_{c}" for c in prevs] + [f"_pprev_{c}" for c in prevs]
-            + [f"_lcar_{c}" for c in carries] + [f"_pcar_{c}" for c in carries] + ["_lrn"])
+            + [f"_lcar_{c}" for c in carries] + [f"_pcar_{c}" for c in carries] + ["_lrn", "_here"]
+            + [f"_here_{c}" for c in sums])
     out = out.drop(*drop)
     if not keep_bucket:
         out = out.drop("_bkt")
@@ -264,7 +282,7 @@ def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Seque
     by = list(by)
     c = cut_lineage(long.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).cast("long").alias("_cnt")))
-    s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, materialize=False, keep_bucket=True)
+    s = ordered_scan(c, by, "_v", sums=["_cnt"], buckets=buckets, keep_bucket=True)
     data = s.select(*by, "_bkt", (F.col("_cnt_below") * 2).cast("long").alias("_ord"), "_v")
     n = c.groupBy(*by).agg(F.sum("_cnt").alias("_n"))
     # first rank of every bucket, per group (#groups x #buckets rows)

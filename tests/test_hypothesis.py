@@ -22,7 +22,7 @@ def test_ordered_scan_matches_pandas(spark, rows, buckets):
     pdf = pd.DataFrame(data, columns=["g", "o", "v", "c"])
     df = spark.createDataFrame(pdf.astype({"c": "float"}), "g long, o double, v long, c double")
     out = ordered_scan(df, ["g"], "o", sums=["v"], prevs=["v"], carries=["c"], totals=True,
-                       buckets=buckets, materialize=False).toPandas()
+                       buckets=buckets).toPandas()
     for g, part in pdf.groupby("g"):
         p = part.sort_values("o")
         o = out[out.g == g].sort_values("o")
