@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hepark.llm import (cgk, collision, debruijn, license_rules, linededup, minhash, mixing, ownership, template,
-                        toxicity)
+from hepark.llm import (bpe, cgk, collision, debruijn, license_rules, linededup, minhash, mixing, ownership, ranked,
+                        template, toxicity, trie)
 
 
 def _table(spark, sf_dir, name):
@@ -50,9 +50,25 @@ def op10_line_dedup(spark, sf_dir):
     return linededup.query(_table(spark, sf_dir, "documents"), words=50)
 
 
+def op11_truncation_peeling(spark, sf_dir):
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe_backtracking(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path))
+
+
+def op13_pair_maxscore(spark, sf_dir):
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = [op1_collision_counting, op2_mixing, op3_toxicity, op4_substring_dedup, op5_template_removal,
            op6_secret_ownership, op7_minhash_tensored, op8_license_sentences, op9_cgk_decontamination,
-           op10_line_dedup]
+           op10_line_dedup, op11_truncation_peeling, op12_bpe_backtracking,
+           op13_pair_maxscore]
 
 
 def queries():
@@ -60,4 +76,5 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_mixing": mixing.ORACLE, "op8_license_sentences": license_rules.oracle()}
+    return {"op2_mixing": mixing.ORACLE, "op8_license_sentences": license_rules.oracle(),
+            "op11_truncation_peeling": trie.ORACLE, "op13_pair_maxscore": ranked.ORACLE}
