@@ -13,14 +13,15 @@ from hepark.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` (with the writer's ``options``) to the cluster's shared checkpoint
+    folder and read it back.
 
     Cuts the lineage with files every executor can read, so that a lost
     executor costs a re-read and not a recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -29,8 +30,3 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     columns of the input cannot clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly over the shuffle partitions (any key may be hot)."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -50,7 +50,7 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.text import LOWER, NON_ALNUM, Words, as_list, list_values, pieces
 
 BLOCK_DOCS = 4096
-BLOCK_POSTINGS = 1 << 20
+BLOCK_POSTINGS = 1 << 19
 ITEM_BYTES = 8 << 20
 NULL_ID = np.iinfo(np.int64).max
 
@@ -338,7 +338,9 @@ def _search_block(docs: DataFrame, items: list, k: int) -> DataFrame | None:
     groups = pair_up(voc.items, weight)
     pairs = sorted({g for own in groups for g in own if len(g) == 2})
     query = spark.sparkContext.broadcast((voc, weight, groups, pairs))
-    index = staged(vectors.mapInArrow(_indexed(query, n_docs, total), INDEX), "ranked-index")
+    # rows are large: small row groups keep what a reader holds small
+    index = staged(vectors.mapInArrow(_indexed(query, n_docs, total), INDEX), "ranked-index",
+                   **{"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1})
     return index.mapInArrow(_searched(query, k), "query int, item_id long, doc_id long, score long")
 
 
