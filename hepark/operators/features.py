@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,13 +43,23 @@ def select_events(df: DataFrame, predicate: str = SELECTION) -> DataFrame:
     return df.filter(F.expr(predicate))
 
 
+def _is(kind: str | None, value) -> F.Column:
+    return F.lit(True) if kind is None else F.col(kind) == F.lit(value)
+
+
 def count_objects(objs: DataFrame, event: str = "event_id", btag: str | None = "btag",
                   count_name: str = "njets", tag_name: str = "nbtags",
-                  thr: float = BTAG_THRESHOLD) -> DataFrame:
-    """Object counts per event (partial aggregation before the shuffle)."""
-    aggs = [F.count(F.lit(1)).cast("int").alias(count_name)]
+                  thr: float = BTAG_THRESHOLD, kind: str | None = None,
+                  other_name: str = "nleps") -> DataFrame:
+    """Object counts per event (partial aggregation before the shuffle).  With a ``kind``
+    column the table holds both kinds of objects (0: jets, 1: leptons) and one aggregate
+    counts jets, tagged jets and leptons."""
+    jet = _is(kind, 0)
+    aggs = [F.sum(F.when(jet, 1).otherwise(0)).cast("int").alias(count_name)]
     if btag is not None:
-        aggs.append(F.sum(F.when(F.col(btag) >= F.lit(thr), 1).otherwise(0)).cast("int").alias(tag_name))
+        aggs.append(F.sum(F.when(jet & (F.col(btag) >= F.lit(thr)), 1).otherwise(0)).cast("int").alias(tag_name))
+    if kind is not None:
+        aggs.append(F.sum(F.when(_is(kind, 1), 1).otherwise(0)).cast("int").alias(other_name))
     return objs.groupBy(event).agg(*aggs)
 
 
@@ -71,6 +84,74 @@ def flatten_topk(objs: DataFrame, event: str = "event_id", order: str = "pt", n:
     return wide.fillna(pad, subset=cols)
 
 
+def _leading_in_batch(n: int, thr: float):
+    """Of each event and kind in a batch the ``n`` leading objects; the first of them
+    carries the counts of all (columns: event, kind, order, tag, objects' features)."""
+    def run(batches):
+        for batch in batches:
+            event, kind, order, tag = (batch.column(i) for i in range(4))
+            rows = pa.RecordBatch.from_arrays([event, kind, order], names=["e", "k", "o"])
+            at = pc.sort_indices(rows, sort_keys=[("e", "ascending"), ("k", "ascending"), ("o", "descending")])
+            event, kind = event.take(at), kind.take(at)
+            new = np.ones(len(at), bool)
+            if len(at) > 1:
+                same = pc.and_(pc.equal(event[1:], event[:-1]), pc.equal(kind[1:], kind[:-1]))
+                null = pc.and_(pc.and_(event[1:].is_null(), event[:-1].is_null()), pc.equal(kind[1:], kind[:-1]))
+                new[1:] = ~(np.asarray(same.fill_null(False)) | np.asarray(null.fill_null(False)))
+            first = np.flatnonzero(new)
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+            tagged = np.nan_to_num(np.asarray(tag.take(at).cast(pa.float64()).fill_null(0.0))) >= thr
+            kept = pa.array(np.flatnonzero(rank < n))
+            sums = [np.zeros(len(at), np.int64) for _ in range(2)]
+            if len(first):
+                sums[0][first] = np.diff(np.r_[first, len(at)])
+                sums[1][first] = np.add.reduceat(tagged.astype(np.int64), first)
+            out = [c.take(at.take(kept)) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*out, *(pa.array(s).take(kept) for s in sums)],
+                                             names=[*batch.schema.names, "_n", "_tags"])
+    return run
+
+
+def event_objects(objs: DataFrame, event: str = "event_id", kind: str = "is_lep", order: str = "pt",
+                  btag: str = "btag", jet_feats: Sequence[str] = JET_FEATS, lep_feats: Sequence[str] = LEP_FEATS,
+                  n_jets: int = N_JETS, n_leps: int = N_LEPS, thr: float = BTAG_THRESHOLD) -> DataFrame:
+    """B3, B4 and B5 from one shuffle on the event key: per event the counts ``njets``,
+    ``nbtags``, ``nleps`` and, as arrays of structs in descending ``order``, the leading
+    ``jets`` and ``leps`` (``kind`` 0 and 1).
+
+    Before the shuffle each batch of objects is cut to the leading ones of every event
+    and kind, with the counts of all, so an event that holds a huge share of all objects
+    sends a few rows a batch; behind it the counts are added up and the leading objects
+    merged.  Equal ``order`` values are ordered by the remaining features."""
+    feats = list(dict.fromkeys([*jet_feats, *lep_feats]))
+    rest = [f for f in feats if f not in (order, btag)]
+    src = objs.select(F.col(event), F.col(kind).cast("int").alias(kind), F.col(order).cast("double").alias(order),
+                      F.col(btag).cast("double").alias(btag), *[F.col(f).cast("double").alias(f) for f in rest])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
+    cut = src.mapInArrow(_leading_in_batch(max(n_jets, n_leps), thr), schema + ", _n long, _tags long")
+    obj = F.struct(order, *[f for f in [*rest, btag] if f != order])
+
+    def lead(value: int, n: int):
+        return F.slice(F.sort_array(F.collect_list(F.when(F.col(kind) == value, obj)), asc=False), 1, n)
+
+    def total(c: str, value: int):
+        return F.sum(F.when(F.col(kind) == value, F.col(c)).otherwise(0)).cast("int")
+
+    return cut.groupBy(event).agg(total("_n", 0).alias("njets"), total("_tags", 0).alias("nbtags"),
+                                  total("_n", 1).alias("nleps"), lead(0, n_jets).alias("jets"),
+                                  lead(1, n_leps).alias("leps"))
+
+
+def object_vector(objects: str, feats: Sequence[str], n: int, pad: float = 0.0, tag: str | None = None,
+                  thr: float = BTAG_THRESHOLD) -> F.Column:
+    """The flat block of an array of objects, object-major: ``n`` slots of ``feats``, missing
+    ones ``pad``; ``tag`` names a feature to binarise."""
+    def value(o, f):
+        v = F.coalesce(o[f].cast("double"), F.lit(pad))
+        return F.when(v >= F.lit(thr), F.lit(1.0)).otherwise(F.lit(0.0)) if f == tag else v
+    return F.array(*[value(F.get(F.col(objects), F.lit(i)), f) for i in range(n) for f in feats])
+
+
 def wide_columns(prefix: str, feats: Sequence[str], n: int) -> list[str]:
     return [f"{prefix}_{f}_{i}" for i in range(n) for f in feats]
 

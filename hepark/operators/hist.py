@@ -10,8 +10,11 @@ is read twice: for the ranges and for the counts.  A null group is a group.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,9 +112,8 @@ def kde2d(df: DataFrame, xi: str, xj: str, grid: int = 10, label: str = "y",
     """Gaussian KDE per class (Scott bandwidth, sample covariance) on a
     ``grid x grid`` lattice spanning the joint range of the two features.
 
-    Each row adds its kernel to every lattice point (a fixed-size generator,
-    linear in the rows) and contributions are summed with partial
-    aggregation, so the shuffle carries #classes x grid^2 rows per partition.
+    Every task adds its rows' kernels up on the lattice, an Arrow batch at a time,
+    and passes on one sum per class and lattice point, so rows are never multiplied.
     ``prebin=m`` first aggregates the rows into an ``m x m`` count histogram
     per class (bin centres) and evaluates the kernels from the weighted
     centres: work ~ #classes x m^2 x grid^2 instead of rows x grid^2, with an
@@ -129,8 +131,9 @@ def kde2d(df: DataFrame, xi: str, xj: str, grid: int = 10, label: str = "y",
                F.max(xj).alias("y1")).first()  # four numbers
     if r is None or r["x0"] is None:
         return df.sparkSession.createDataFrame([], f"{label} int, gx int, gy int, px double, py double, density double")
-    par = st.select("*", *[F.lit(float(r[c])).alias(c) for c in ("x0", "x1", "y0", "y1")])
-    g = F.explode(F.sequence(F.lit(0), F.lit(grid * grid - 1))).alias("_g")
+    classes = st.collect()                              # one row per class
+    xs, ys = (np.linspace(float(r[f"{c}0"]), float(r[f"{c}1"]), grid) if grid > 1 else np.array([float(r[f"{c}0"])])
+              for c in "xy")
     pts = df.select(label, F.col(xi).alias("_u"), F.col(xj).alias("_v"), F.lit(1.0).alias("_w"))
     if prebin:
         m = int(prebin)
@@ -141,23 +144,56 @@ def kde2d(df: DataFrame, xi: str, xj: str, grid: int = 10, label: str = "y",
         pts = (pts.groupBy(label, bx.alias("_bx"), byy.alias("_by")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
                .select(label, (F.lit(float(r["x0"])) + (F.col("_bx") + F.lit(0.5)) * F.lit(wx)).alias("_u"),
                        (F.lit(float(r["y0"])) + (F.col("_by") + F.lit(0.5)) * F.lit(wy)).alias("_v"), "_w"))
-    # one parameter row per class: bounded by the number of classes
-    e = pts.join(F.broadcast(par), label).select("*", g)
-    gx = (F.col("_g") / grid).cast("int")
-    gy = (F.col("_g") % grid).cast("int")
-    step_x = (F.col("x1") - F.col("x0")) / F.lit(float(grid - 1))
-    step_y = (F.col("y1") - F.col("y0")) / F.lit(float(grid - 1))
-    px = gx.cast("double") * step_x + F.col("x0")
-    py = gy.cast("double") * step_y + F.col("y0")
-    dx = px - F.col("_u")
-    dy = py - F.col("_v")
-    q = (F.col("syy") * dx * dx - F.lit(2.0) * F.col("sxy") * dx * dy + F.col("sxx") * dy * dy) / F.col("det")
-    e = e.select(label, gx.alias("gx"), gy.alias("gy"), px.alias("px"), py.alias("py"),
-                 (F.col("_w") * F.exp(F.lit(-0.5) * q)).alias("_k"), "n", "det")
-    agg = e.groupBy(label, "gx", "gy", "px", "py").agg(F.sum("_k").alias("_s"), F.first("n").alias("n"),
-                                                        F.first("det").alias("det"))
-    dens = F.col("_s") / (F.col("n") * F.lit(2.0 * 3.141592653589793) * F.sqrt("det"))
-    return agg.select(label, "gx", "gy", "px", "py", dens.alias("density"))
+    which = F.lit(None).cast("int")
+    back = F.lit(None).cast(df.schema[label].dataType)
+    for i, c in enumerate(classes):
+        which = F.when(F.col(label).eqNullSafe(F.lit(c[label])), F.lit(i)).otherwise(which)
+        back = F.when(F.col("_c") == i, F.lit(c[label])).otherwise(back)
+    shape = [(c["sxx"], c["syy"], c["sxy"], c["det"]) for c in classes]
+    sums = pts.select(which.alias("_c"), *[F.col(c).cast("double") for c in ("_u", "_v", "_w")]) \
+        .where("_u is not null and _v is not null") \
+        .mapInArrow(_lattice(shape, xs, ys), "_c int, _i int, _s double")
+    agg = sums.groupBy("_c", "_i").agg(F.sum("_s").alias("_s"))
+    norm = F.lit(None).cast("double")
+    for i, c in enumerate(classes):
+        if c["det"] is not None and c["det"] > 0:
+            norm = F.when(F.col("_c") == i, F.lit(c["n"] * 2.0 * math.pi * math.sqrt(c["det"]))).otherwise(norm)
+    gx, gy = F.floor(F.col("_i") / grid).cast("int"), (F.col("_i") % grid).cast("int")
+    step = [float(r[f"{c}1"] - r[f"{c}0"]) / max(grid - 1, 1) for c in "xy"]
+    px, py = (g.cast("double") * F.lit(h) + F.lit(float(r[f"{c}0"])) for g, h, c in zip((gx, gy), step, "xy"))
+    return agg.select(back.alias(label), gx.alias("gx"), gy.alias("gy"), px.alias("px"), py.alias("py"),
+                      (F.col("_s") / norm).alias("density"))
+
+
+#: Kernel values that a task holds at a time.
+LATTICE_VALUES = 1 << 20
+
+
+def _lattice(shape, xs, ys):
+    """(class, x, y, weight) -> one kernel sum per class and lattice point of each task."""
+    px, py = np.repeat(xs, len(ys)), np.tile(ys, len(xs))
+
+    def run(batches):
+        total = np.zeros((len(shape), len(px)))
+        seen = np.zeros(len(shape), bool)
+        step = max(1, LATTICE_VALUES // len(px))
+        for batch in batches:
+            c, u, v, w = (np.asarray(batch.column(i)) for i in range(4))
+            for k in np.unique(c):
+                sxx, syy, sxy, det = shape[k]
+                rows = np.flatnonzero(c == k)
+                seen[k] = True
+                if not det:                             # one point, or points on a line: no density
+                    continue
+                for at in range(0, len(rows), step):
+                    part = rows[at:at + step]
+                    dx, dy = px[:, None] - u[part], py[:, None] - v[part]
+                    total[k] += np.exp(-0.5 * ((syy * dx * dx - 2.0 * sxy * dx * dy + sxx * dy * dy) / det)) @ w[part]
+        for k in np.flatnonzero(seen):
+            n = len(px)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(np.arange(n, dtype=np.int32)),
+                                              pa.array(total[k])], names=["_c", "_i", "_s"])
+    return run
 
 
 def hist(long: DataFrame, bins: int = 50, range: str = "joint", feature: str = "feature",

@@ -31,6 +31,7 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,16 +47,20 @@ ROW_BYTES_PER_COLUMN = 16
 BROADCAST_BOUNDS_BYTES = 64 * 1024 * 1024
 
 
-def _default_buckets(df: DataFrame) -> int:
-    """Buckets per group from the size of the plan's inputs (no job as a rule): one per 256
-    MiB, at least 64, a multiple of 32.  The inputs' sizes are added; Catalyst's
-    own estimate of a join multiplies them.  An input of unknown size costs a
-    count."""
+def _input_bytes(df: DataFrame) -> int | None:
+    """Size of the plan's inputs (no job); None if one is unknown (rows of an RDD).  The
+    inputs' sizes are added; Catalyst's own estimate of a join multiplies them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if max(sizes, default=0) >= UNKNOWN_BYTES:      # rows of an RDD: counted instead
-        sizes = [df.count() * ROW_BYTES_PER_COLUMN * len(df.columns)]
-    size = sum(sizes)
+    return None if max(sizes, default=0) >= UNKNOWN_BYTES else sum(sizes)
+
+
+def _default_buckets(df: DataFrame) -> int:
+    """Hash buckets per group from the size of the plan's inputs: one per 256
+    MiB, at least 64, a multiple of 32.  An input of unknown size costs a count."""
+    size = _input_bytes(df)
+    if size is None:
+        size = df.count() * ROW_BYTES_PER_COLUMN * len(df.columns)
     b = max(DEFAULT_BUCKETS, -(-size // BYTES_PER_BUCKET))
     return -(-b // LOOKUP_BLOCK) * LOOKUP_BLOCK
 
@@ -97,7 +102,14 @@ def bounds_lookup(bounds: Column, v: Column, n_bounds: int) -> Column:
     return F.when(c == 0, F.lit(0)).otherwise(start + fine)
 
 
-def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str], buckets: int,
+def _range_count(df: DataFrame) -> int:
+    """Ranges of the whole table: the session's shuffle partitions, more where the
+    plan's inputs hold over 256 MiB for each."""
+    floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-(_input_bytes(df) or 0) // BYTES_PER_BUCKET))
+
+
+def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], buckets: int,
                   out: str = "_bkt") -> DataFrame:
     """Attach a monotone bucket id of any orderable key: rows are ranged by (group,
     order) and the partition is the bucket.  Written as a reliable checkpoint, since the
@@ -113,13 +125,16 @@ def _cut_groups(totals: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "pos",
-                buckets: int | None = None, totals: bool = False) -> DataFrame:
+                buckets: int | None = None, totals: bool = False,
+                ranges: Sequence[str | Column] | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` inside ``by`` in the order of the columns
     ``order`` (any types, nulls first), however large a group is; ``totals`` adds
-    ``n_group``.  Rows that agree in all order columns are numbered arbitrarily."""
+    ``n_group``.  Rows that agree in all order columns are numbered arbitrarily.
+    ``ranges`` gives shorter keys that never decrease in that order (the
+    beginnings of long texts): the sample of the ranging holds them."""
     by, order = list(by), list(order)
-    buckets = buckets or _default_buckets(df)
-    b = range_buckets(df, by, order, buckets)
+    buckets = buckets or _range_count(df)
+    b = range_buckets(df, by, ranges or order, buckets)
     here = Window.partitionBy(*by, "_bkt")
     local = b.withColumn(out, F.row_number().over(here.orderBy(*order)).cast("long"))
     if totals:
@@ -152,7 +167,8 @@ def ordered_scan(df: DataFrame, by: Sequence[str], order_col: str,
     expression; by default the rows are ranged (:func:`range_buckets`).
     """
     by = list(by)
-    buckets = buckets or _default_buckets(df)
+    if bucket is None:
+        buckets = buckets or _range_count(df)
     if isinstance(bucket, str):
         b = df.withColumnRenamed(bucket, "_bkt") if bucket != "_bkt" else df
     elif bucket is not None:
@@ -216,20 +232,18 @@ def positions(df: DataFrame, by: Sequence[str], order_col: str, out: str = "pos"
               buckets: int | None = None, hex_order: bool | str = False, totals: bool = False,
               bucket: str | None = None) -> DataFrame:
     """Exact 1-based ``row_number()`` inside ``by`` ordered by a unique
-    ``order_col`` without a window over the whole group.
+    ``order_col`` of any type without a window over the whole group.
 
     ``hex_order=True`` (or ``"md5"``) declares ``order_col`` an md5 hex
     digest, whose prefix is a balanced bucket with no quantile pass;
     ``hex_order="xxhash64"`` declares an xxhash64 order key (see
     ``exprs.order_key``).  ``totals`` adds ``n_group``.
     """
+    if bucket is None and not hex_order:
+        return row_numbers(df, by, [order_col], out, buckets, totals)
     buckets = buckets or _default_buckets(df)
-    if bucket is not None:
-        bcol = bucket
-    elif hex_order:
-        bcol = order_bucket(order_col, buckets, "md5" if hex_order is True else hex_order)
-    else:
-        bcol = None
+    bcol = bucket if bucket is not None else order_bucket(
+        order_col, buckets, "md5" if hex_order is True else hex_order)
     r = ordered_scan(df.withColumn("_one", F.lit(1).cast("long")), by, order_col, sums=["_one"],
                      buckets=buckets, bucket=bcol, totals=totals)
     r = r.withColumn(out, (F.col("_one_below") + 1).cast("long")).drop("_one", "_one_below")
@@ -266,12 +280,132 @@ def ntile_of(pos: Column, n: Column, k: int) -> Column:
         r + F.floor((pos - 1 - big) / F.greatest(q, F.lit(1)))).cast("int")
 
 
+#: Ranks that a quantile's bracket reaches to each side, in errors of the sketch.
+BRACKET = 2
+
+
+def _brackets(bounds: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted edges of a group's brackets (lo of each quantile, then hi of each), and which
+    gaps between them lie inside a bracket (gap i ends at edge i)."""
+    edges = np.unique(bounds)
+    inside = np.zeros(len(edges) + 2, np.int64)
+    np.add.at(inside, np.searchsorted(edges, bounds[:m]) + 1, 1)
+    np.add.at(inside, np.searchsorted(edges, bounds[m:]) + 1, -1)
+    return edges, np.cumsum(inside)[:len(edges) + 1] > 0
+
+
+def _bracketed(table):
+    """(group, value) -> counts of the places (odd: an edge, even: a gap), with the values
+    where the place is an edge or lies in a bracket."""
+    schema = pa.schema([("_g", pa.int32()), ("_place", pa.int32()), ("_v", pa.float64()), ("_cnt", pa.int64())])
+
+    def rows(g, place, v, cnt):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(place), g), pa.int32()), pa.array(place, pa.int32()), v, pa.array(cnt, pa.int64())],
+            schema=schema)
+
+    def run(batches):
+        groups = {g: _brackets(b, m) for g, (b, m) in table.value.items()}
+        counts = {g: np.zeros(2 * len(e) + 1, np.int64) for g, (e, _) in groups.items()}
+        for batch in batches:
+            g, v = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            order = np.lexsort((v, g))
+            g, v = g[order], v[order]
+            cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                edges, inside = groups[int(g[a])]
+                x = v[a:b]
+                at = np.searchsorted(edges, x)
+                place = at + np.searchsorted(edges, x, side="right")
+                kept = (place % 2 == 0) & inside[at]
+                counts[int(g[a])] += np.bincount(place[~kept], minlength=2 * len(edges) + 1)
+                if kept.any():
+                    x, place = x[kept], place[kept]
+                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+                    yield rows(int(g[a]), place[first], pa.array(x[first]), np.diff(np.r_[first, len(x)]))
+        for g, c in counts.items():
+            place = np.flatnonzero(c)
+            edges = groups[g][0]
+            v = edges[np.minimum(place // 2, len(edges) - 1)]
+            yield rows(g, place, pa.array(v, mask=place % 2 == 0), c[place])
+    return run
+
+
 def exact_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, accuracy: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (numpy's default method) per group.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
-    task's memory; here the work is two ordered scans:
+    task's memory.  Here the input is read twice and neither copied nor sorted:
+
+    1. a mergeable rank sketch per group (``percentile_approx``) brackets every
+       quantile by the sketch's error to both sides;
+    2. each task counts its values between the brackets' edges and passes on only the
+       distinct values inside a bracket with their counts (a share of about
+       ``4 * #probs / accuracy``, at most a fifth by default);
+    3. cumulative counts over the brackets' edges give each target rank its bracket, and
+       an ordered scan over the values of the brackets hit gives its value.
+
+    The counts are exact, so the sketch decides only how much is passed on.  The
+    edges of all groups are broadcast; beyond ``BROADCAST_BOUNDS_BYTES`` the
+    quantiles come from two ordered scans (:func:`_scan_quantiles`).  Null values are
+    ignored.  Output: by..., ``p_idx`` (int), ``p``, ``q``.
+    """
+    by, probs = list(by), [float(p) for p in probs]
+    m = len(probs)
+    accuracy = accuracy or max(10000, 20 * m)
+    off = BRACKET / accuracy
+    at = [max(0.0, p - off) for p in probs] + [min(1.0, p + off) for p in probs]
+    long = long.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    marks = cut_lineage(long.groupBy(*by).agg(F.percentile_approx("_v", at, accuracy).alias("_b"),
+                                              F.count(F.lit(1)).alias("_n"))
+                        .withColumn("_g", F.monotonically_increasing_id()))
+    n_groups = marks.count()
+    if n_groups * (2 * m + 8) * 8 > BROADCAST_BOUNDS_BYTES:
+        return _scan_quantiles(long, by, "_v", probs, buckets)
+    rows = marks.collect()                              # edges of all groups, size checked
+    spark = long.sparkSession
+    number = {r["_g"]: i for i, r in enumerate(rows)}
+    table = spark.sparkContext.broadcast({i: (np.asarray(r["_b"], np.float64), m) for i, r in enumerate(rows)})
+    ids = spark.createDataFrame([(int(g), i) for g, i in number.items()], "_g long, _i int")
+    names = marks.join(F.broadcast(ids), "_g").select(*by, F.col("_i").alias("_g"), "_n")
+    keyed = join_groups(long, names.drop("_n"), by, broadcast=True) if by else long.withColumn("_g", F.lit(0))
+    held = keyed.select("_g", "_v").mapInArrow(_bracketed(table), "_g int, _place int, _v double, _cnt long")
+    held = cut_lineage(held.groupBy("_g", "_place", "_v").agg(F.sum("_cnt").alias("_cnt")))
+    # each target rank's place: a few rows for each quantile of each group
+    w = Window.partitionBy("_g").orderBy("_place")
+    places = held.groupBy("_g", "_place").agg(F.sum("_cnt").alias("_c"), F.max("_v").isNotNull().alias("_known"))
+    places = places.withColumn("_from", F.sum("_c").over(w) - F.col("_c"))
+    h = (F.col("_n") - 1).cast("double") * F.col("p")
+    targets = (names.select("_g", "_n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("p_idx", "p"))
+               .select("_g", F.col("p_idx").cast("int").alias("p_idx"), "p", h.alias("_h"),
+                       F.explode(F.array(F.floor(h).cast("long"), F.ceil(h).cast("long"))).alias("_r")).distinct())
+    both = places.select("_g", F.col("_from").alias("_at"), F.lit(0).alias("_kind"), "_place", "_known", "_from",
+                         *[F.lit(None).cast(t).alias(c) for c, t in (("p_idx", "int"), ("p", "double"),
+                                                                    ("_h", "double"), ("_r", "long"))]).union(
+        targets.select("_g", F.col("_r").alias("_at"), F.lit(1).alias("_kind"),
+                       *[F.lit(None).cast(t) for t in ("int", "boolean", "long")], "p_idx", "p", "_h", "_r"))
+    wt = Window.partitionBy("_g").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    hits = both.withColumns({c: F.last(c, ignorenulls=True).over(wt) for c in ("_place", "_known", "_from")}) \
+        .where("_kind = 1").select("_g", "_place", "_known", (F.col("_r") - F.col("_from")).alias("_k"), "p_idx", "p",
+                                   "_h", "_r")
+    hits = cut_lineage(hits)
+    if hits.where("not _known").limit(1).count():       # a sketch beyond its error bound
+        return _scan_quantiles(long, by, "_v", probs, buckets)
+    values = held.where("_v is not null").join(F.broadcast(hits.select("_g", "_place").distinct()), ["_g", "_place"])
+    values = ordered_scan(values, ["_g", "_place"], "_v", sums=["_cnt"], buckets=buckets)
+    k = F.col("_k")
+    got = values.join(F.broadcast(hits), ["_g", "_place"]).where(
+        (k >= F.col("_cnt_below")) & (k < F.col("_cnt_below") + F.col("_cnt")))
+    piv = got.groupBy("_g", "p_idx", "p", "_h").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    t = F.col("_h") - F.floor("_h")
+    q = (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * t).alias("q")
+    return piv.join(F.broadcast(names.drop("_n")), "_g").select(*by, "p_idx", "p", q)
+
+
+def _scan_quantiles(long: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
+                    buckets: int | None = None) -> DataFrame:
+    """:func:`exact_quantiles` for groups too many for a broadcast, by two ordered scans:
     distinct values with counts -> cumulative counts (rank ranges); then the
     target ranks ``floor/ceil((n-1)p)`` are merged into the ordered values and
     pick up the value covering them by a forward fill.  The second scan reuses

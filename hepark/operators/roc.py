@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hepark.operators.ranking import ordered_scan
+from hepark.operators.ranking import join_groups, ordered_scan
 from hepark.session import cut_lineage
 
 # fixed values: the TPR grid of the saved ROC curves (100 points from 0.025
@@ -158,6 +158,42 @@ def fold_metrics(scores: DataFrame, by: Sequence[str] = ("model",), fold: str =
     return auc(scores, g, score, label, counts=c).join(fpr_at_tpr(roc, g), g, "inner")
 
 
+def fold_and_pooled_counts(scores: DataFrame, by: Sequence[str] = ("model",), fold: str = "fold",
+                           score: str = "score", label: str = "y") -> DataFrame:
+    """Score counts per fold and of all folds pooled, as one table: by..., fold, pooled
+    (1: all folds, fold is null), score, pos, neg.  The rows are counted once; grouping
+    sets over the counts add the pooled ones.  Written once, to feed curves and areas."""
+    by = list(by)
+    c = score_counts(scores, [*by, fold], score, label)
+    keys = [*by, fold, "score"]
+    both = c.groupingSets([[F.col(k) for k in keys], [F.col(k) for k in keys if k != fold]], *[F.col(k) for k in keys])
+    return cut_lineage(both.agg(F.grouping(fold).cast("int").alias("pooled"), F.sum("pos").alias("pos"),
+                                F.sum("neg").alias("neg")))
+
+
+def fold_and_pooled_roc(scores: DataFrame, by: Sequence[str] = ("model",), fold: str = "fold",
+                        score: str = "score", label: str = "y", drop_intermediate: bool = True) -> DataFrame:
+    """H5: the ROC vertices of every fold and of all folds pooled, from one table of counts
+    and one ordered scan."""
+    c = fold_and_pooled_counts(scores, by, fold, score, label)
+    return roc_curve(c, [*by, fold, "pooled"], drop_intermediate=drop_intermediate, counts=c)
+
+
+def fold_and_pooled_metrics(scores: DataFrame, by: Sequence[str] = ("model",), fold: str = "fold",
+                            score: str = "score", label: str = "y") -> DataFrame:
+    """H5: per group the mean and population std of the folds' AUCs and FPRs at the working
+    point beside the pooled AUC and FPR."""
+    by = list(by)
+    g = [*by, fold, "pooled"]
+    c = fold_and_pooled_counts(scores, by, fold, score, label)
+    m = join_groups(auc(c, g, counts=c), fpr_at_tpr(roc_curve(c, g, counts=c), g), g)
+    folds, pooled = F.col("pooled") == 0, F.col("pooled") == 1
+    return m.groupBy(*by).agg(
+        F.avg(F.when(folds, F.col("auc"))).alias("mean_auc"), F.stddev_pop(F.when(folds, F.col("auc"))).alias("std_auc"),
+        F.avg(F.when(folds, F.col("fpr_at_tpr"))).alias("mean_fpr"), F.max(F.when(pooled, F.col("auc"))).alias("pooled_auc"),
+        F.max(F.when(pooled, F.col("fpr_at_tpr"))).alias("pooled_fpr"))
+
+
 def rejection(metrics: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Background rejection 1/FPR at the working point: mean, sample std."""
     inv = F.lit(1.0) / F.col("fpr_at_tpr")
@@ -198,18 +234,30 @@ def feature_auc(long: DataFrame, feature: str = "feature", value: str = "value",
 
 
 def feature_auc_chunked(long: DataFrame, chunk: str = "chunk", feature: str = "feature",
-                        value: str = "value", label: str = "y") -> DataFrame:
+                        value: str = "value", label: str = "y", n: int | None = None) -> DataFrame:
     """H4: AUC per (feature, chunk); mean and population std over chunks,
-    and the AUC on all rows pooled."""
-    # counts per (feature, chunk, value), checkpointed once; the pooled counts
-    # are their sums over chunks, so the chunked table is computed once
-    cc = cut_lineage(score_counts(long, [feature, chunk], value, label))
-    per = auc(long, [feature, chunk], value, label, counts=cc)
-    stats = per.groupBy(feature).agg(F.avg("auc").alias("mean_auc"),
-                                     F.stddev_pop("auc").alias("std_auc"))
-    pc = cc.groupBy(feature, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    pooled = auc(long, [feature], value, label, counts=pc).withColumnRenamed("auc", "pooled_auc")
-    return stats.join(pooled, [feature], "inner")
+    and the AUC on all rows pooled.
+
+    One ordered scan per call: a score's row carries the positives and negatives of
+    every chunk side by side, so all chunks' and the pooled prefix sums come from the same
+    pass.  Chunks are 0..n-1; without ``n`` they are read from the column."""
+    names = list(range(n)) if n is not None else [r[0] for r in long.select(chunk).distinct().collect()]
+    y = F.col(label).cast("long")
+    here = [F.col(chunk).eqNullSafe(F.lit(c)) for c in names]
+    sums = [F.sum(F.when(h, v).otherwise(0)).alias(f"{k}{i}") for i, h in enumerate(here)
+            for k, v in (("pos", y), ("neg", F.lit(1) - y))]
+    cols = [*(str(i) for i in range(len(names))), ""]       # "" is the pooled sum
+    c = long.groupBy(feature, F.col(value).cast("double").alias("score")).agg(
+        *sums, F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
+    c = ordered_scan(c, [feature], "score", sums=[f"neg{i}" for i in cols])
+    c = c.groupBy(feature).agg(*[e for i in cols for e in (
+        F.sum(F.col(f"pos{i}") * (F.col(f"neg{i}_below") + F.col(f"neg{i}") / F.lit(2.0))).alias(f"u{i}"),
+        F.sum(f"pos{i}").alias(f"p{i}"), F.sum(f"neg{i}").alias(f"n{i}"))])
+    area = [F.when((F.col(f"p{i}") > 0) & (F.col(f"n{i}") > 0), F.col(f"u{i}") / (F.col(f"p{i}") * F.col(f"n{i}")))
+            for i in cols]
+    c = c.select(feature, area[-1].alias("pooled_auc"), F.explode(F.array(*area[:-1])).alias("auc"))
+    return c.groupBy(feature).agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"),
+                                  F.first("pooled_auc").alias("pooled_auc"))
 
 
 def auc_sum(per_feature: DataFrame, col: str = "auc") -> DataFrame:
@@ -228,4 +276,4 @@ def feature_auc_chunks(df: DataFrame, n: int = 5, seed: int = 0, key: str = "k",
     from hepark.operators.features import explode_features
     from hepark.operators.sampling import chunk
     c = chunk(df, n, seed, key, hash=hash)
-    return feature_auc_chunked(explode_features(c, x, keep=(key, label, "chunk")), label=label)
+    return feature_auc_chunked(explode_features(c, x, keep=(key, label, "chunk")), label=label, n=n)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hepark.functions.exprs import order_key
-from hepark.operators.ranking import first_per_group, group_counts, ntile_of, positions
+from hepark.operators.ranking import first_per_group, group_counts, join_groups, ntile_of, positions
 
 
 def shuffle(df: DataFrame, key: str | Sequence[str] = "k", seed: int = 0, out: str = "ord",
@@ -86,13 +86,14 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
     d = shuffle(df, key, seed, hash=hash)
     d = positions(d, [label], "ord", out="_rn", hex_order=hash)
     if rule == "sklearn":
-        cls = sorted((r[0], int(r[1])) for r in group_counts(df, [label], "_n").collect())
+        cls = sorted(((r[0], int(r[1])) for r in group_counts(df, [label], "_n").collect()),
+                     key=lambda c: (c[0] is not None, c[0]))   # the null class first
         va, te = sklearn_split_sizes([c for _, c in cls], p)
         v = F.lit(0).cast("long")
         t = F.lit(0).cast("long")
         for (lab, _), vi, ti in zip(cls, va, te):
-            v = F.when(F.col(label) == F.lit(lab), F.lit(vi)).otherwise(v)
-            t = F.when(F.col(label) == F.lit(lab), F.lit(ti)).otherwise(t)
+            v = F.when(F.col(label).eqNullSafe(F.lit(lab)), F.lit(vi)).otherwise(v)
+            t = F.when(F.col(label).eqNullSafe(F.lit(lab)), F.lit(ti)).otherwise(t)
         split = (F.when(F.col("_rn") <= v, F.lit("valid")).when(F.col("_rn") <= v + t, F.lit("test"))
                  .otherwise(F.lit("train")))
         return d.withColumn(out, split).drop("_rn")
@@ -107,7 +108,7 @@ def stratified_split(df: DataFrame, p: float, seed: int = 0, key: str = "k",
         "_t", F.ceil(F.try_divide(F.col("_vsum").cast("double"), F.col("_rsum").cast("double"))
                      * (F.col("_n") - F.col("_v"))).cast("long"))
     # one row per class: the size is bounded by the number of classes
-    d = d.join(F.broadcast(cnt.select(label, "_v", "_t")), label, "inner")
+    d = join_groups(d, cnt.select(label, "_v", "_t"), [label], broadcast=True)
     split = (F.when(F.col("_rn") <= F.col("_v"), F.lit("valid"))
              .when(F.col("_rn") <= F.col("_v") + F.col("_t"), F.lit("test"))
              .otherwise(F.lit("train")))

@@ -2,8 +2,8 @@
 
 A fitted scaler is a one-row DataFrame of per-feature arrays, so it is
 bounded by the number of features, never by the number of rows.  Applying it
-cross-joins that single row (broadcast) and maps the feature array with
-``transform``, which stays inside whole-stage codegen.  Edge conventions are
+inlines that row as literals: a projection that maps the feature array with
+``transform`` (the quantile map is an Arrow function).  Edge conventions are
 those of the reference's scikit-learn defaults, which differ from Spark ML's
 scalers (constant column -> 0 for min-max; population std; exact
 interpolated quantiles).
@@ -15,9 +15,11 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hepark.operators.ranking import exact_quantiles
 
@@ -146,82 +148,149 @@ def yeo_johnson(v: F.Column, lam: F.Column) -> F.Column:
     return F.when(v >= 0, pos).otherwise(neg)
 
 
-def power_loglik(long: DataFrame, lambdas: Sequence[float], by: Sequence[str] = ("feature",),
-                 value: str = "value") -> DataFrame:
-    """Yeo-Johnson log-likelihood per (feature, lambda) for a lambda grid, in
-    one aggregate pass (the grid is exploded inside the codegen stage and
-    partially aggregated before the shuffle)."""
+#: Groups whose sums a task holds at a time.
+LIKELIHOOD_GROUPS = 4096
+
+
+def _yeo_johnson_rows(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The transform of the values for each lambda, (#lambda, #values)."""
+    out = np.empty((len(lam), len(x)))
+    np.seterr(over="ignore", invalid="ignore")          # a power that overflows has no likelihood
+    up = x >= 0
+    a, b = np.log1p(x[up]), np.log1p(-x[~up])
+    for i, l in enumerate(lam):                         # a handful of lambdas, all values at once
+        out[i, up] = a if abs(l) < np.spacing(1.0) else np.expm1(l * a) / l
+        out[i, ~up] = -b if abs(l - 2.0) <= np.spacing(1.0) else -np.expm1((2.0 - l) * b) / (2.0 - l)
+    return out
+
+
+def _likelihood_sums(grids, n_by: int, names: list[str], types):
+    """(group..., value) -> for each group and lambda of its grid the count, mean and squared
+    deviations of the transformed values, and the sum of the log derivative: one row each a
+    task.  ``grids`` is one array for all groups or one per group."""
+    schema = pa.schema([*((n, t) for n, t in zip(names, types)), ("lam", pa.float64()), ("n", pa.float64()),
+                        ("mean", pa.float64()), ("m2", pa.float64()), ("slog", pa.float64()), ("lo", pa.float64()),
+                        ("hi", pa.float64())])
+
+    def run(batches):
+        table = grids.value
+        held: dict = {}
+
+        def take():
+            keys = [k for k, h in held.items() for _ in h[0]]
+            cols = [pa.array([k[i] for k in keys], types[i]) for i in range(n_by)]
+            for j in range(7):
+                cols.append(pa.array(np.concatenate([np.broadcast_to(h[j], h[0].shape) for h in held.values()])
+                                     if held else np.zeros(0)))
+            held.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+        for batch in batches:
+            v = np.asarray(batch.column(n_by), np.float64)
+            if n_by:
+                keys = pa.table([batch.column(i) for i in range(n_by)], names=[f"g{i}" for i in range(n_by)])
+                groups = keys.append_column("r", pa.array(np.arange(len(v)))).group_by(
+                    [f"g{i}" for i in range(n_by)]).aggregate([("r", "list")])
+                parts = [(tuple(groups.column(f"g{i}")[g].as_py() for i in range(n_by)),
+                          np.asarray(groups.column("r_list")[g].values)) for g in range(groups.num_rows)]
+            else:
+                parts = [((), np.arange(len(v)))]
+            for key, rows in parts:
+                x = v[rows]
+                lam = table if isinstance(table, np.ndarray) else table.get(key)
+                if lam is None:                         # a constant feature
+                    continue
+                t = _yeo_johnson_rows(x, lam)
+                n, mean = float(len(x)), t.mean(1)
+                m2 = ((t - mean[:, None]) ** 2).sum(1)
+                slog, low, high = float((np.sign(x) * np.log1p(np.abs(x))).sum()), x.min(), x.max()
+                if key in held:
+                    _, n0, mean0, m20, slog0, low0, high0 = held[key]
+                    off = mean - mean0
+                    m2 = m20 + m2 + off * off * (n0 * n / (n0 + n))
+                    mean, n, slog = mean0 + off * (n / (n0 + n)), n0 + n, slog0 + slog
+                    low, high = min(low, low0), max(high, high0)
+                held[key] = (lam, n, mean, m2, slog, low, high)
+            if len(held) > LIKELIHOOD_GROUPS:
+                yield take()
+        yield take()
+    return run
+
+
+def _power_loglik(long: DataFrame, grids, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
-    lam = F.explode(F.array(*[F.lit(float(l)) for l in lambdas])).alias("lam")
-    e = long.select(*by, F.col(value).cast("double").alias("v"), lam)
-    agg = e.groupBy(*by, "lam").agg(
-        F.var_pop(yeo_johnson(F.col("v"), F.col("lam"))).alias("var_t"),
-        F.sum(F.signum("v") * F.log1p(F.abs("v"))).alias("slog"),
-        F.count(F.lit(1)).cast("double").alias("n"))
+    src = long.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    types = [f.type for f in to_arrow_schema(src.select(*by).schema)] if by else []
+    shared = long.sparkSession.sparkContext.broadcast(grids)
+    cols = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+    part = src.mapInArrow(_likelihood_sums(shared, len(by), by, types),
+                          cols + "lam double, n double, mean double, m2 double, slog double, lo double, hi double")
+    w = Window.partitionBy(*by, "lam")                  # one row a task for each group and lambda
+    mid = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    agg = part.withColumn("_mid", mid).groupBy(*by, "lam").agg(
+        (F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mid")) * (F.col("mean") - F.col("_mid")))
+         / F.sum("n")).alias("var_t"), F.sum("slog").alias("slog"), F.sum("n").alias("n"),
+        (F.min("lo") < F.max("hi")).alias("varies"))
     ll = (-F.col("n") / F.lit(2.0) * F.log("var_t") + (F.col("lam") - F.lit(1.0)) * F.col("slog"))
-    return agg.select(*by, "lam", F.when(F.col("var_t") > F.lit(np.finfo(np.float64).tiny), ll)
+    return agg.select(*by, "lam", F.when(F.col("varies") & (F.col("var_t") > F.lit(np.finfo(np.float64).tiny)), ll)
                       .alias("loglik"))
 
 
+def power_loglik(long: DataFrame, lambdas: Sequence[float], by: Sequence[str] = ("feature",),
+                 value: str = "value") -> DataFrame:
+    """Yeo-Johnson log-likelihood per (group, lambda) for a lambda grid in one pass: each
+    task merges count, mean and squared deviations of the transformed values, Arrow
+    batch by batch, in one small array per group; rows are not multiplied.  Null values are
+    ignored; the likelihood is null where the values do not vary."""
+    return _power_loglik(long, np.array([float(v) for v in lambdas]), by, value)
+
+
+def _argmax(loglik: DataFrame, by: Sequence[str]) -> DataFrame:
+    return loglik.where("loglik is not null").groupBy(*by).agg(
+        F.min_by("lam", F.struct(-F.col("loglik"), F.col("lam"))).alias("lam"))
+
+
 def best_lambda(long: DataFrame, lambdas: Sequence[float], by: Sequence[str] = ("feature",),
                 value: str = "value") -> DataFrame:
     """argmax of the log-likelihood over the grid (smallest lambda on ties)."""
-    ll = power_loglik(long, lambdas, by, value).filter(F.col("loglik").isNotNull())
-    return ll.groupBy(*by).agg(F.min_by("lam", F.struct(-F.col("loglik"), F.col("lam"))).alias("lam"))
+    return _argmax(power_loglik(long, lambdas, by, value), by)
+
+
+def search_lambdas(long: DataFrame, passes: int = 8, grid: int = 21) -> list:
+    """Yeo-Johnson lambda of every feature by maximum likelihood: rows (feature, lam).
+
+    The first pass scans [-2, 2], twice as wide as long as the best value lies on an
+    edge; each further pass scans ``grid`` points within one step of the previous best
+    with a step ten times smaller, all features in every pass: 8 passes reach about
+    2e-8, the tolerance of a Brent search.  One lambda per feature visits the driver.  A
+    constant feature has no likelihood and is left out."""
+    lo, hi = POWER_LAMBDA_START
+    step = (hi - lo) / (grid - 1)
+    while True:
+        points = [float(v) for v in np.linspace(lo, hi, round((hi - lo) / step) + 1)]
+        best = best_lambda(long, points).collect()
+        if abs(lo) >= POWER_LAMBDA_STOP or not any(r["lam"] in (points[0], points[-1]) for r in best):
+            break
+        lo, hi = 2 * lo, 2 * hi
+    for _ in range(passes - 1):
+        offsets = np.linspace(-step, step, grid)
+        grids = {(r["feature"],): r["lam"] + offsets for r in best}
+        best = _argmax(_power_loglik(long, grids, ["feature"], "value"), ["feature"]).collect()
+        step = 2 * step / (grid - 1)
+    return best
 
 
 def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
               lambdas: Sequence[float] | None = None, passes: int = 8, grid: int = 21) -> DataFrame:
-    """Yeo-Johnson lambda per feature by maximum likelihood, then the
-    standardisation of the transformed values.
-
-    With an explicit ``lambdas`` grid one pass picks the best grid value.  By
-    default the first pass scans [-2, 2], twice as wide as long as the best value
-    lies on an edge, and each further pass scans ``grid``
-    points within one step of the previous best with a step ten times
-    smaller (all features in every pass, one aggregate each): 8 passes reach
-    about 2e-8, the tolerance of a Brent search."""
+    """Yeo-Johnson lambda per feature - the best of ``lambdas``, or by
+    :func:`search_lambdas` - then the standardisation of the transformed values.  A
+    constant feature gets 1 (no change)."""
     n = width if width is not None else n_features(df, x)
     long = long_features(df, x)
-    if lambdas is not None:
-        lam = best_lambda(long, lambdas)
-    else:
-        lo, hi = POWER_LAMBDA_START
-        spark = df.sparkSession
-        step = (hi - lo) / (grid - 1)
-        centers = None
-        for t in range(passes):
-            if t == 0:
-                # the start is no bound: move it outward while the best is on its edge
-                while True:
-                    g = [float(v) for v in np.linspace(lo, hi, round((hi - lo) / step) + 1)]
-                    best = best_lambda(long, g).collect()
-                    if abs(lo) >= POWER_LAMBDA_STOP or not any(r["lam"] in (g[0], g[-1]) for r in best):
-                        break
-                    lo, hi = 2 * lo, 2 * hi
-                lam = spark.createDataFrame(best, "feature int, lam double")
-                lo, hi = POWER_LAMBDA_START
-            else:
-                # per-feature grids around the previous best: grid offsets x step
-                step = (hi - lo) / (grid - 1)
-                offs = [float(v) for v in np.linspace(-step, step, grid)]
-                cand = centers.select("feature", F.explode(F.array(*[F.col("lam") + F.lit(o) for o in offs]))
-                                      .alias("lam_c"))
-                e = long.join(F.broadcast(cand), "feature")  # #features x grid rows
-                agg = e.groupBy("feature", "lam_c").agg(
-                    F.var_pop(yeo_johnson(F.col("value"), F.col("lam_c"))).alias("var_t"),
-                    F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("slog"),
-                    F.count(F.lit(1)).cast("double").alias("n"))
-                ll = (-F.col("n") / F.lit(2.0) * F.log("var_t") + (F.col("lam_c") - F.lit(1.0)) * F.col("slog"))
-                lam = (agg.withColumn("loglik", ll).filter(F.col("var_t") > 0)
-                       .groupBy("feature").agg(F.min_by("lam_c", F.struct(-F.col("loglik"), F.col("lam_c")))
-                                               .alias("lam")))
-                lo, hi = -step, step
-            # one lambda per feature: bounded by the layout, so it may visit the driver
-            centers = spark.createDataFrame(lam.collect(), "feature int, lam double")
+    best = best_lambda(long, lambdas).collect() if lambdas is not None else search_lambdas(long, passes, grid)
     # one lambda per feature: bounded by the layout, inlined as literals
-    lam_by_f = {int(r["feature"]): float(r["lam"]) for r in lam.collect()}
-    lam_vals = [lam_by_f[i] for i in range(n)]
+    lam_by_f = {int(r["feature"]): float(r["lam"]) for r in best}
+    lam_vals = [lam_by_f.get(i, 1.0) for i in range(n)]
     lam_lit = F.array(*[F.lit(v) for v in lam_vals])
     t = df.select(F.zip_with(F.col(x).cast("array<double>"), lam_lit, lambda v, l: yeo_johnson(v, l)).alias("_t"))
     st = t.agg(*[F.avg(F.col("_t")[i]).alias(f"mu{i}") for i in range(n)],
@@ -326,3 +395,50 @@ def normalise_columns(df: DataFrame, name: str, cols: Sequence[str], fit_on: str
     params = fit_scaler(d, name, tmp, fit_on, split, width=len(cols), **kw)
     d = apply_scaler(d, params, tmp)
     return d.withColumns({c: F.col(tmp)[i] for i, c in enumerate(cols)}).drop(tmp)
+
+
+def evaluate_norm(df: DataFrame, x: str = "x", key: str = "k", label: str = "y", bins: int = 60
+                  ) -> tuple[DataFrame, DataFrame]:
+    """What is looked at before a normalised table is kept: the AUC of every feature (H3)
+    and its histograms per class on the class's own range (G4)."""
+    from hepark.operators.features import explode_features
+    from hepark.operators.hist import hist_own
+    from hepark.operators.roc import feature_auc
+    long = explode_features(df, x, keep=(key, label))
+    return feature_auc(long, label=label), hist_own(long, bins, label=label)
+
+
+def norm_pipeline(df: DataFrame, path: str, norms: Sequence[str], p_valid: float, seed: int = 0, x: str = "x",
+                  key: str = "k", label: str = "y", fit_on: str = "all", rule: str = "sklearn", bins: int = 60,
+                  fit_args: dict | None = None) -> list[str]:
+    """E8, whole: for every norm that the store does not hold yet - asked before anything is
+    fitted - fit, apply, split by class, and commit the splits under ``path``; evaluate
+    what was committed and write the areas and histograms under ``<path>/_reports``.
+    Returns the norms that were built; the others were left as they are.
+
+    A norm becomes visible as a whole (``sources.io.commit_norm``): a run that dies in
+    between leaves nothing that ``has_norm`` or a reader takes for a norm, and a rerun
+    builds it anew.  The reports are written before the commit, from the staged rows, so
+    that a committed norm always has its reports.  ``fit_on='train'`` fits on the
+    training rows only."""
+    from hepark.operators.sampling import stratified_split
+    from hepark.sources import io
+    for name in norms:
+        if name not in NORMS:
+            raise TypeError(f"normalisation {name!r} does not exist")
+    built = []
+    for name in norms:
+        if io.has_norm(df.sparkSession, path, name):
+            continue
+        rows = stratified_split(df, p_valid, seed, key, label, rule=rule)
+        params = fit_scaler(rows, name, x, fit_on, **((fit_args or {}).get(name, {})))
+        rows = apply_scaler(rows, params, x).select(key, label, x, "split")
+
+        def report(staged: DataFrame, name=name):
+            auc, hist = evaluate_norm(staged, x, key, label, bins)
+            auc.write.mode("overwrite").parquet(f"{path}/_reports/auc/norm={name}")
+            hist.write.mode("overwrite").parquet(f"{path}/_reports/hist/norm={name}")
+
+        io.commit_norm(rows, path, name, before=report)
+        built.append(name)
+    return built

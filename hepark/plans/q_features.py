@@ -19,14 +19,8 @@ R = sql_rnd
 def event_counts(spark, sf_dir) -> DataFrame:
     """Every order is an event; object counts of both object kinds come from
     one conditional aggregate over all lines (one scan, partial aggregation)."""
-    m = S.met(spark, sf_dir)
-    objs = S.objects_long(spark, sf_dir)
-    jet = F.col("is_lep") == 0
-    c = objs.groupBy("event_id").agg(
-        F.sum(F.when(jet, 1).otherwise(0)).cast("int").alias("njets"),
-        F.sum(F.when(jet & (F.col("btag") >= B.BTAG_THRESHOLD), 1).otherwise(0)).cast("int").alias("nbtags"),
-        F.sum(F.when(jet, 0).otherwise(1)).cast("int").alias("nleps"))
-    ev = m.join(c, "event_id", "left")
+    c = B.count_objects(S.objects_long(spark, sf_dir), kind="is_lep")
+    ev = S.met(spark, sf_dir).join(c, "event_id", "left")
     return ev.fillna(0, subset=["njets", "nbtags", "nleps"])
 
 
@@ -98,16 +92,13 @@ def polar_to_xy(spark, sf_dir):
 
 def flat_events(spark, sf_dir, layout: str = "nobtag") -> DataFrame:
     """Selected events with the flat jets | MET | lepton vector ``x`` and ``y``."""
-    ev = B.select_events(event_counts(spark, sf_dir))
     jf = B.JET_FEATS_BTAG if layout == "btag" else B.JET_FEATS
-    jets = B.flatten_topk(S.jets_long(spark, sf_dir), "event_id", "pt", B.N_JETS, jf, "jets")
-    if layout == "btag":
-        jets = B.binarise(jets, [f"jets_btag_{i}" for i in range(B.N_JETS)])
-    leps = B.flatten_topk(S.leptons_long(spark, sf_dir), "event_id", "pt", B.N_LEPS, B.LEP_FEATS, "leps")
-    ev = B.polar_to_xy(ev)
-    flat = ev.join(jets, "event_id", "inner").join(leps, "event_id", "inner")
-    flat = B.assemble(flat, B.feature_set(layout))
-    return flat.select(F.col("event_id").alias("k"), "y", "x")
+    objs = B.event_objects(S.objects_long(spark, sf_dir), jet_feats=jf)
+    ev = B.polar_to_xy(B.select_events(objs).join(S.met(spark, sf_dir), "event_id"))
+    x = F.concat(B.object_vector("jets", jf, B.N_JETS, tag="btag"),
+                 F.array(*[F.col(f"met_{f}").cast("double") for f in B.MET_FEATS]),
+                 B.object_vector("leps", B.LEP_FEATS, B.N_LEPS))
+    return ev.select(F.col("event_id").alias("k"), "y", x.alias("x"))
 
 
 def _sql_flat(layout: str) -> str:
@@ -236,13 +227,14 @@ def class_split_counts(spark, sf_dir):
 def raw_events(spark, sf_dir) -> DataFrame:
     """The wide raw layout the reference reads: counts, MET, 10 jet slots of
     pt, eta, phi, en, px, py, pz and raw b-tag (0..7), one lepton slot."""
-    ev = event_counts(spark, sf_dir)
-    jets = B.flatten_topk(S.jets_long(spark, sf_dir), "event_id", "pt", B.JET_SLOTS_RAW,
-                          B.JET_FEATS_BTAG, "jets")
-    leps = B.flatten_topk(S.leptons_long(spark, sf_dir), "event_id", "pt", B.N_LEPS, B.LEP_FEATS, "leps")
-    raw = ev.join(jets, "event_id", "left").join(leps, "event_id", "left")
-    fill = [c for c in raw.columns if c.startswith("jets_") or c.startswith("leps_")]
-    return raw.fillna(0.0, subset=fill)
+    objs = B.event_objects(S.objects_long(spark, sf_dir), jet_feats=B.JET_FEATS_BTAG, n_jets=B.JET_SLOTS_RAW)
+    slots = [(holder, f, i) for holder, feats, n in (("jets", B.JET_FEATS_BTAG, B.JET_SLOTS_RAW),
+                                                     ("leps", B.LEP_FEATS, B.N_LEPS)) for i in range(n) for f in feats]
+    raw = S.met(spark, sf_dir).join(objs, "event_id", "left")
+    return raw.select("event_id", "met_pt", "met_phi", "y",
+                      *[F.coalesce(c, F.lit(0)).alias(c) for c in ("njets", "nbtags", "nleps")],
+                      *[F.coalesce(F.get(F.col(h), F.lit(i))[f], F.lit(0.0)).alias(f"{h}_{f}_{i}")
+                        for h, f, i in slots])
 
 
 @query("flat_from_wide", _sql_flat_long("btag"))

@@ -15,9 +15,11 @@ from hepark.operators import sampling as D
 from hepark.operators import scaling as E
 from hepark.operators import scoring as Fs
 from hepark.plans import standins as S
-from hepark.plans.q_roc import SQL_FOLD_METRICS_RAW
+from hepark.plans.q_roc import SQL_FOLD_METRICS_RAW, _sql_auc_raw
+from hepark.plans.q_sampling import SEED, SQL_SPLIT_SK
 from hepark.plans.q_scoring import NET_CTES, net
 from hepark.plans.registry import query
+from hepark.session import cut_lineage
 from hepark.sources import io as A
 from hepark.streaming.ingest import ingest_incremental
 
@@ -36,8 +38,12 @@ def read_events(spark, sf_dir):
 SQL_SPLIT_VALID = f"""
 WITH e AS (SELECT vec_id AS k, CAST(label % 2 AS INTEGER) AS y, {sql_order_key('vec_id', 5)} AS ord FROM embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord) AS rn, count(*) OVER (PARTITION BY y) AS n FROM e),
-c AS (SELECT y, n, CAST(ceil(0.25::DOUBLE * n) AS BIGINT) AS v FROM (SELECT DISTINCT y, n FROM r))
-SELECT 'minmax' AS norm, k, y FROM r JOIN c USING (y) WHERE rn <= v"""
+c AS (SELECT y, n, CAST(ceil(0.25::DOUBLE * n) AS BIGINT) AS v FROM (SELECT DISTINCT y, n FROM r)),
+l AS ({S.SQL_EMB_LONG}),
+st AS (SELECT feature, 1.0::DOUBLE / CASE WHEN max(value) - min(value) = 0 THEN 1.0::DOUBLE
+                                       ELSE max(value) - min(value) END AS a, min(value) AS lo FROM l GROUP BY feature)
+SELECT 'minmax' AS norm, k, r.y, feature, {R('l.value * st.a + (0.0::DOUBLE - st.lo * st.a)')} AS value
+FROM r JOIN c USING (y) JOIN l USING (k) JOIN st USING (feature) WHERE rn <= v"""
 
 
 @query("write_read_roundtrip", SQL_SPLIT_VALID)
@@ -48,7 +54,48 @@ def write_read_roundtrip(spark, sf_dir):
     A.write_splits(sp.select("k", "y", "x", "norm", "split"), path)
     A.write_splits(sp.select("k", "y", "x", "norm", "split"), path, mode="ignore")  # A5: no-op
     back = A.read_split(spark, path, "minmax", "valid")
-    return back.select("norm", "k", "y")
+    return B.explode_features(back, keep=("norm", "k", "y")).withColumn("value", rnd("value"))
+
+
+SQL_NORM_PIPELINE = f"""
+WITH sp AS (SELECT k, split FROM ({SQL_SPLIT_SK})), l AS ({S.SQL_EMB_LONG}),
+st AS (SELECT feature, 1.0::DOUBLE / CASE WHEN max(value) - min(value) = 0 THEN 1.0::DOUBLE
+                                       ELSE max(value) - min(value) END AS a, min(value) AS lo, avg(value) AS mu,
+              CASE WHEN stddev_pop(value) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(value) END AS sd
+       FROM l GROUP BY feature),
+v AS (SELECT 'minmax' AS norm, k, l.y, feature, l.value * st.a + (0.0::DOUBLE - st.lo * st.a) AS value
+      FROM l JOIN st USING (feature)
+      UNION ALL SELECT 'std', k, l.y, feature, (l.value - st.mu) / st.sd FROM l JOIN st USING (feature)),
+n AS (SELECT norm, feature, CAST(count(*) AS BIGINT) AS hist_rows FROM v GROUP BY norm, feature)
+SELECT norm, split, k, y, feature, {R('value')} AS value, {R('auc')} AS auc, hist_rows, n_split, built
+FROM v JOIN sp USING (k) JOIN n USING (norm, feature)
+JOIN ({_sql_auc_raw('SELECT norm, feature, y, value AS score FROM v', ['norm', 'feature'])}) USING (norm, feature)
+JOIN (SELECT split, CAST(count(*) AS BIGINT) AS n_split FROM sp GROUP BY split) USING (split)
+JOIN (VALUES ('minmax', 'minmax,std'), ('std', 'minmax,std|std')) AS b(norm, built) USING (norm)"""
+
+
+@query("norm_pipeline", SQL_NORM_PIPELINE)
+def norm_pipeline(spark, sf_dir):
+    """Two norms, then a rerun that finds one committed and the other half written;
+    every feature value of the store with the reports' areas and histogram counts, the
+    manifest's rows per split, and which runs built which norm."""
+    m = S.embedding_matrix(spark, sf_dir)
+    path = A.scratch_path(spark, "norms")
+    runs = [E.norm_pipeline(m, path, ["minmax", "std"], 0.1, seed=SEED)]
+    fs, manifest = A._fs(spark, f"{A.norm_folder(spark, path, 'std')}/{A.MANIFEST}")
+    fs.delete(manifest, False)                          # as a writer that died leaves it
+    runs.append(E.norm_pipeline(m, path, ["minmax", "std"], 0.1, seed=SEED))
+    built = {n: "|".join(",".join(r) for r in runs if n in r) for n in ("minmax", "std")}
+    known = spark.createDataFrame(
+        [(n, split, rows, built[n]) for n in ("minmax", "std")
+         for split, rows in A.norm_manifest(spark, path, n)["splits"].items()],
+        "norm string, split string, n_split long, built string")     # a row for each norm and split
+    auc = spark.read.parquet(f"{path}/_reports/auc")
+    hist = spark.read.parquet(f"{path}/_reports/hist").groupBy("norm", "feature").agg(F.sum("count").alias("hist_rows"))
+    store = B.explode_features(spark.read.parquet(path), keep=("norm", "split", "k", "y"))
+    out = store.join(F.broadcast(known), ["norm", "split"]).join(auc, ["norm", "feature"]).join(hist, ["norm", "feature"])
+    return out.select("norm", "split", "k", "y", "feature", rnd("value").alias("value"), rnd("auc").alias("auc"),
+                      "hist_rows", "n_split", "built")
 
 
 @query("metrics_roundtrip", f"""SELECT model, fold, {R('CAST(CAST(auc AS FLOAT) AS DOUBLE)')} AS auc,
@@ -71,13 +118,16 @@ def auc_sum_text(spark, sf_dir):
 
 
 @query("latent_roundtrip", f"""WITH {NET_CTES}
-SELECT k, y, {R('v')} AS latent0 FROM latent JOIN ys USING (k) WHERE i = 0""")
+SELECT k, y, CAST(i AS INTEGER) AS feature, {R('v')} AS latent FROM latent JOIN ys USING (k)""")
 def latent_roundtrip(spark, sf_dir):
-    s = Fs.score_network(S.embedding_matrix(spark, sf_dir), net())
+    """The classes are written one after another, as the reference does; every
+    component is read back."""
+    s = cut_lineage(Fs.score_network(S.embedding_matrix(spark, sf_dir), net()).select("k", "y", "latent"))
     path = A.scratch_path(spark, "latent")
-    A.write_latent(s.select("k", "y", "latent"), path)
-    back = spark.read.parquet(path)
-    return back.select("k", F.col("y").cast("int"), rnd(F.element_at("latent", 1)).alias("latent0"))
+    for part in B.split_classes(s):
+        A.write_latent(part, path)
+    back = B.explode_features(spark.read.parquet(path), "latent", keep=("k", "y"), value="latent")
+    return back.select("k", F.col("y").cast("int"), "feature", rnd("latent").alias("latent"))
 
 
 @query("model_roundtrip", f"""WITH {NET_CTES} SELECT k, {R('v')} AS prob FROM prob""")

@@ -53,7 +53,7 @@ def _chunked_long(spark, sf_dir):
 
 @query("feature_auc_chunked", SQL_CHUNKED)
 def feature_auc_chunked(spark, sf_dir):
-    r = H.feature_auc_chunked(_chunked_long(spark, sf_dir))
+    r = H.feature_auc_chunked(_chunked_long(spark, sf_dir), n=5)
     return r.select("feature", rnd("mean_auc").alias("mean_auc"), rnd("std_auc").alias("std_auc"),
                     rnd("pooled_auc").alias("pooled_auc"))
 
@@ -318,3 +318,30 @@ def feature_auc_sum(spark, sf_dir):
     long = B.explode_features(S.embedding_matrix(spark, sf_dir))
     s = H.auc_sum(H.feature_auc(long))
     return s.select(rnd("auc_sum").alias("auc_sum"), "auc_sum_text")
+
+
+# ------------------------------------------------------------------ H5: folds and pooled from one table of counts
+
+SQL_FOLDS_POOLED = f"""SELECT model, fold, y, score FROM ({S.SQL_SCORES})
+UNION ALL SELECT model, -1 AS fold, y, score FROM ({S.SQL_SCORES})"""
+
+
+@query("fold_and_pooled_roc", f"""SELECT model, fold, thr_idx, {R('threshold')} AS threshold, tp, fp, {R('tpr')} AS tpr,
+       {R('fpr')} AS fpr FROM ({_sql_roc(SQL_FOLDS_POOLED, ['model', 'fold'])})""")
+def fold_and_pooled_roc(spark, sf_dir):
+    r = H.fold_and_pooled_roc(S.score_table(spark, sf_dir), ["model"])
+    return _roc_out(r.withColumn("fold", F.coalesce("fold", F.lit(-1))), ["model", "fold"])
+
+
+@query("fold_and_pooled_metrics", f"""
+WITH a AS ({_sql_auc_raw(SQL_FOLDS_POOLED, ['model', 'fold'])}),
+f AS (SELECT model, fold, arg_min(fpr, (abs(tpr - 0.8::DOUBLE), thr_idx)) AS fpr
+      FROM ({_sql_roc(SQL_FOLDS_POOLED, ['model', 'fold'])}) GROUP BY model, fold)
+SELECT model, {R('avg(auc) FILTER (WHERE fold >= 0)')} AS mean_auc,
+       {R('stddev_pop(auc) FILTER (WHERE fold >= 0)')} AS std_auc,
+       {R('avg(fpr) FILTER (WHERE fold >= 0)')} AS mean_fpr, {R('max(auc) FILTER (WHERE fold < 0)')} AS pooled_auc,
+       {R('max(fpr) FILTER (WHERE fold < 0)')} AS pooled_fpr
+FROM a JOIN f USING (model, fold) GROUP BY model""")
+def fold_and_pooled_metrics(spark, sf_dir):
+    m = H.fold_and_pooled_metrics(S.score_table(spark, sf_dir), ["model"])
+    return m.select("model", *[rnd(c).alias(c) for c in m.columns if c != "model"])

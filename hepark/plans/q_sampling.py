@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hepark.functions.exprs import sql_order_key
 from hepark.operators import sampling as D
+from hepark.operators.features import head_per_class
 from hepark.plans import standins as S
 from hepark.plans.registry import query
 
@@ -100,7 +101,7 @@ def shuffle_lineitem(spark, sf_dir):
     return d.select("pos", "l_orderkey", "l_extendedprice")
 
 
-def _sql_approx_mode(counts: str, draws: str, name: str) -> str:
+def _sql_shares(counts: str, draws: str, name: str) -> str:
     """Largest-remainder allocation over a (y, c) table, ties by class order."""
     return f"""{name} AS (
   SELECT y, CAST(floor(cont) AS BIGINT)
@@ -115,14 +116,14 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY ord) AS rn FROM
 cc AS (SELECT y, count(*) AS c FROM r GROUP BY y),
 s1 AS (SELECT CAST(ceil(0.1::DOUBLE * sum(c)) AS BIGINT) AS nv, sum(c) - CAST(ceil(0.1::DOUBLE * sum(c)) AS BIGINT) AS ntr1 FROM cc),
 c0 AS (SELECT cc.y, cc.c FROM cc),
-{_sql_approx_mode('c0', '(SELECT ntr1 FROM s1)', 'tr1')},
+{_sql_shares('c0', '(SELECT ntr1 FROM s1)', 'tr1')},
 c1 AS (SELECT cc.y, cc.c - tr1.a AS c FROM cc JOIN tr1 USING (y)),
-{_sql_approx_mode('c1', '(SELECT nv FROM s1)', 'va')},
+{_sql_shares('c1', '(SELECT nv FROM s1)', 'va')},
 s2 AS (SELECT CAST(ceil(CAST(nv AS DOUBLE) / CAST(ntr1 AS DOUBLE) * ntr1) AS BIGINT) AS nte, ntr1 FROM s1),
 c2 AS (SELECT y, a AS c FROM tr1),
-{_sql_approx_mode('c2', '(SELECT ntr1 - nte FROM s2)', 'tr2')},
+{_sql_shares('c2', '(SELECT ntr1 - nte FROM s2)', 'tr2')},
 c3 AS (SELECT tr1.y, tr1.a - tr2.a AS c FROM tr1 JOIN tr2 USING (y)),
-{_sql_approx_mode('c3', '(SELECT nte FROM s2)', 'te')}
+{_sql_shares('c3', '(SELECT nte FROM s2)', 'te')}
 SELECT r.k, r.y, CASE WHEN r.rn <= va.a THEN 'valid' WHEN r.rn <= va.a + te.a THEN 'test' ELSE 'train' END AS split
 FROM r JOIN va USING (y) JOIN te USING (y)"""
 
@@ -131,3 +132,52 @@ FROM r JOIN va USING (y) JOIN te USING (y)"""
 def stratified_split_sklearn(spark, sf_dir):
     d = D.stratified_split(S.embedding_matrix(spark, sf_dir), 0.1, SEED, rule="sklearn")
     return d.select("k", "y", "split")
+
+
+# ------------------------------------------------------------------ any key, any class
+
+def _orders_any(spark, sf_dir):
+    """Orders with a text key and a class that is null for a half of the rows."""
+    return S.table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("k"),
+        F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("y"))
+
+
+SQL_ORDERS_ANY = f"""SELECT *, {sql_order_key('k', SEED)} AS ord FROM (
+  SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS k,
+         CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS y FROM orders)"""
+
+
+def _sql_split_any(rule: str) -> str:
+    src = SQL_SPLIT_SK if rule == "sklearn" else SQL_SPLIT
+    # the null class is a class: it goes by a name that sorts first
+    src = src.replace(EMB, f"SELECT k, coalesce(y, ' ') AS y, ord FROM ({SQL_ORDERS_ANY})")
+    return f"SELECT k, nullif(y, ' ') AS y, split FROM ({src})"
+
+
+@query("split_text_keys_null_class", _sql_split_any("ceil"))
+def split_text_keys_null_class(spark, sf_dir):
+    return D.stratified_split(_orders_any(spark, sf_dir), 0.1, SEED).select("k", "y", "split")
+
+
+@query("split_text_keys_null_class_sklearn", _sql_split_any("sklearn"))
+def split_text_keys_null_class_sklearn(spark, sf_dir):
+    return D.stratified_split(_orders_any(spark, sf_dir), 0.1, SEED, rule="sklearn").select("k", "y", "split")
+
+
+@query("balanced_sample_text_keys", f"""SELECT k, y, CAST(row_number() OVER (ORDER BY ord) AS BIGINT) AS pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY y ORDER BY k) AS rn FROM ({SQL_ORDERS_ANY})) WHERE rn <= 3000""")
+def balanced_sample_text_keys(spark, sf_dir):
+    return D.balanced_sample(_orders_any(spark, sf_dir), 6000, SEED).select("k", "y", "pos")
+
+
+@query("head_text_keys", f"""SELECT k, y, CAST(rn AS BIGINT) AS rn FROM (
+  SELECT k, y, row_number() OVER (PARTITION BY y ORDER BY k) AS rn FROM ({SQL_ORDERS_ANY})) WHERE rn <= 1500""")
+def head_text_keys(spark, sf_dir):
+    return head_per_class(_orders_any(spark, sf_dir), 1500).select("k", "y", "rn")
+
+
+@query("batches_text_keys", f"""SELECT k, CAST((row_number() OVER (ORDER BY k) - 1) // 128 AS INTEGER) AS batch_id
+FROM ({SQL_ORDERS_ANY})""")
+def batches_text_keys(spark, sf_dir):
+    return D.batchify(_orders_any(spark, sf_dir), 128).select("k", "batch_id")

@@ -68,13 +68,13 @@ def scale_robust(spark, sf_dir):
     return _scaled_long(spark, sf_dir, "robust")
 
 
-def _sql_quantile() -> str:
-    refs = [float(r) for r in np.linspace(0, 1, N_QUANT)]
+def _sql_quantile(n: int = N_QUANT) -> str:
+    refs = [float(r) for r in np.linspace(0, 1, n)]
     rl = "[" + ", ".join(f"{r!r}::DOUBLE" for r in refs) + "]"
     return f"""
 WITH l AS ({L}),
 qs AS (SELECT feature, unnest(quantile_cont(value, {rl})) AS q, unnest({rl}) AS r,
-              unnest(range(0, {N_QUANT})) AS j FROM l GROUP BY feature),
+              unnest(range(0, {n})) AS j FROM l GROUP BY feature),
 seg AS (SELECT feature, j, q AS q0, r AS r0, lead(q) OVER (PARTITION BY feature ORDER BY j) AS q1,
                lead(r) OVER (PARTITION BY feature ORDER BY j) AS r1 FROM qs),
 ends AS (SELECT feature, min(q) AS qlo, max(q) AS qhi FROM qs GROUP BY feature),
@@ -161,3 +161,35 @@ def normalise_and_split(spark, sf_dir):
     return long.groupBy("split", "feature").agg(F.count(F.lit(1)).cast("long").alias("n_rows"),
                                                 rnd(F.avg("value")).alias("mean_value"))
 
+
+
+# the reference's default number of quantiles
+@query("scale_quantile_1000", _sql_quantile(E.QUANTILE_MAX_N))
+def scale_quantile_1000(spark, sf_dir):
+    return _scaled_long(spark, sf_dir, "quantile", n_quantiles=E.QUANTILE_MAX_N)
+
+
+def _sql_search(passes: int, reach: float) -> str:
+    """The default search in SQL: a scan of [-reach, reach] in steps of 0.2 (the library
+    widens [-2, 2] only as far as needed), then refinements around the best."""
+    def best(src: str) -> str:
+        return f"""SELECT feature, arg_min(lam, (-loglik, lam)) AS lam FROM (
+          SELECT feature, lam, -count(*) / 2.0::DOUBLE * ln(var_pop({_sql_yj('value', 'lam')}))
+                 + (lam - 1.0::DOUBLE) * sum(sign(value) * ln(1.0::DOUBLE + abs(value))) AS loglik
+          FROM {src} GROUP BY feature, lam HAVING var_pop({_sql_yj('value', 'lam')}) > 2.2250738585072014e-308::DOUBLE)
+        GROUP BY feature"""
+    n, step = round(2 * reach / 0.2), 0.2
+    ctes = [f"l AS ({L})", f"g AS (SELECT i * 0.2::DOUBLE - {reach!r}::DOUBLE AS lam FROM range(0, {n + 1}) t(i))",
+            f"b0 AS MATERIALIZED ({best('l, g')})"]
+    for t in range(1, passes):
+        offs = [float(v) for v in np.linspace(-step, step, 21)]
+        ctes.append(f"""b{t} AS MATERIALIZED ({best(f"""(SELECT l.feature, value, b{t - 1}.lam + o AS lam
+          FROM l JOIN b{t - 1} USING (feature), (SELECT unnest({offs!r}) AS o))""")})""")
+        step /= 10
+    return f"WITH {', '.join(ctes)} SELECT CAST(feature AS INTEGER) AS feature, {R('lam', 3)} AS lam FROM b{passes - 1}"
+
+
+@query("power_lambdas_search", _sql_search(6, 64.0))
+def power_lambdas_search(spark, sf_dir):
+    best = E.search_lambdas(E.long_features(S.embedding_matrix(spark, sf_dir)))
+    return spark.createDataFrame(best, "feature int, lam double").select("feature", rnd("lam", 3).alias("lam"))

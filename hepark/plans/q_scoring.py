@@ -418,3 +418,33 @@ def combined_loss_variational(spark, sf_dir):
               (F.sum(I.latent_kl_row("latent", "samples")) / F.count(F.lit(1)).cast("double")).alias("latent_kl"))
     return r.select(rnd(I.combine_losses("variational", F.col("mse"), latent=F.col("latent_kl"), w=0.3))
                     .alias("loss"))
+
+
+def _sql_w1(long: str) -> str:
+    """Area between the two classes' cumulative distributions of (dim, y, v), and its mean."""
+    return f"""
+c AS (SELECT dim, v, sum((y = 1)::BIGINT) AS a, sum((y = 0)::BIGINT) AS b FROM {long} GROUP BY dim, v),
+w AS (SELECT dim, v - lag(v) OVER o AS gap, (sum(a) OVER o - a) / sum(a) OVER (PARTITION BY dim) AS fa,
+             (sum(b) OVER o - b) / sum(b) OVER (PARTITION BY dim) AS fb
+      FROM c WINDOW o AS (PARTITION BY dim ORDER BY v)),
+d AS (SELECT CAST(dim AS INTEGER) AS dim, sum(coalesce(gap, 0.0::DOUBLE) * abs(fa - fb)) AS w1 FROM w GROUP BY dim)
+SELECT dim, {R('w1')} AS w1 FROM d UNION ALL SELECT -1, {R('avg(w1)')} FROM d"""
+
+
+def _w1_out(w):
+    return w.select(F.coalesce("dim", F.lit(-1)).alias("dim"), rnd("w1").alias("w1"))
+
+
+@query("wasserstein_exact", f"""WITH {NET_CTES},
+l AS (SELECT latent.i AS dim, ys.y, latent.v FROM latent JOIN ys USING (k)), {_sql_w1('l')}""")
+def wasserstein_exact(spark, sf_dir):
+    s = cut_lineage(scored(spark, sf_dir))              # both classes read the scores: score once
+    return _w1_out(I.wasserstein_exact(s.filter(F.col("y") == 1), s.filter(F.col("y") == 0), x="latent"))
+
+
+@query("wasserstein_exact_features", f"""
+WITH l AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim, CAST(label % 2 AS INTEGER) AS y,
+                  CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings), {_sql_w1('l')}""")
+def wasserstein_exact_features(spark, sf_dir):
+    m = S.embedding_matrix(spark, sf_dir)
+    return _w1_out(I.wasserstein_exact(m.filter(F.col("y") == 1), m.filter(F.col("y") == 0)))

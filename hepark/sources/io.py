@@ -34,32 +34,84 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType | str | Non
     return r.load(path)
 
 
+#: Written into a norm's folder before the folder is moved into place.
+MANIFEST = "_manifest.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def norm_folder(spark: SparkSession, path: str, norm: str) -> str:
+    """A norm's folder in the store, with Spark's own escapes for partition names."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(norm)
+    return f"{path}/norm={name}"
+
+
 def has_norm(spark: SparkSession, path: str, norm: str) -> bool:
-    """Does the feature store hold this norm already?  (One file system lookup,
-    so it can be asked before any fit is run.)"""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/norm={norm}")
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Does the feature store hold this norm, committed as a whole?  (One file system
+    lookup, so it can be asked before any fit is run.)  A folder without manifest - left
+    by a writer that died - does not count."""
+    fs, p = _fs(spark, f"{norm_folder(spark, path, norm)}/{MANIFEST}")
+    return fs.exists(p)
+
+
+def norm_manifest(spark: SparkSession, path: str, norm: str) -> dict:
+    """Rows per split of a committed norm."""
+    fs, p = _fs(spark, f"{norm_folder(spark, path, norm)}/{MANIFEST}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_norm(df: DataFrame, path: str, norm: str, before=None) -> None:
+    """Write one norm's rows (with a ``split`` column) so that it appears in the store
+    as a whole or not at all.
+
+    The rows go to a staging folder that readers skip; ``before`` may look at them;
+    the manifest (rows per split) is added; the folder is renamed into place, which is atomic
+    on HDFS and POSIX file systems.  A norm of this name, or what a failed
+    writer left of it, is replaced as a whole; other norms are not touched."""
+    spark = df.sparkSession
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    df.write.partitionBy("split").parquet(staging)
+    rows = spark.read.parquet(staging)
+    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    if before is not None:
+        before(rows)
+    fs, manifest = _fs(spark, f"{staging}/{MANIFEST}")
+    out = fs.create(manifest, True)
+    out.write(bytearray(json.dumps({"norm": norm, "splits": counts}).encode()))
+    out.close()
+    _, source = _fs(spark, staging)
+    _, target = _fs(spark, norm_folder(spark, path, norm))
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {staging} to {target}")
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A3/A5: one parquet table partitioned by norm and split.  ``overwrite``
-    replaces the norms and splits that ``df`` holds and leaves the others;
-    ``ignore`` writes only the norms that the table does not hold yet."""
-    if mode == "ignore":
-        norms = [r["norm"] for r in df.select("norm").distinct().collect()]  # a handful of names
-        there = [n for n in norms if has_norm(df.sparkSession, path, n)]
-        if len(there) == len(norms):
-            return
-        df, mode = df.filter(~F.col("norm").isin(there)) if there else df, "overwrite"
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("norm", "split").parquet(path)
+    replaces the norms that ``df`` holds, each as a whole (:func:`commit_norm`), and leaves
+    the others; ``ignore`` writes only the norms that the table does not hold yet."""
+    if mode not in ("overwrite", "ignore"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark = df.sparkSession
+    for norm in [r["norm"] for r in df.select("norm").distinct().collect()]:   # a handful of names
+        if mode == "overwrite" or not has_norm(spark, path, norm):
+            commit_norm(df.filter(F.col("norm") == norm).drop("norm"), path, norm)
 
 
 def write_norm_once(spark: SparkSession, path: str, norm: str, build) -> bool:
-    """A5: run ``build()`` (fit, apply, split) and write its rows only if this norm
+    """A5: run ``build()`` (fit, apply, split) and commit its rows only if this norm
     is not in the store; tells whether it ran."""
     if has_norm(spark, path, norm):
         return False
-    write_splits(build(), path)
+    commit_norm(build().drop("norm"), path, norm)
     return True
 
 
@@ -93,8 +145,9 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_latent(df: DataFrame, path: str, mode: str = "overwrite", label: str = "y") -> None:
-    """Latent / score arrays per class."""
-    df.write.mode(mode).partitionBy(label).parquet(path)
+    """Latent / score arrays per class.  ``overwrite`` replaces the classes that
+    ``df`` holds and leaves the others, so classes may be written one after another."""
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(label).parquet(path)
 
 
 def save_model(spark: SparkSession, net: dict, path: str, mode: str = "overwrite") -> None:
