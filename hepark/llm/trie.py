@@ -63,7 +63,8 @@ def rebuild(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         c("conv_id").cast("long").alias("conv_id"), c("turn"),
         F.coalesce(c("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
-    turns = row_numbers(turns, ["conv_id"], ["turn", "role", "text"], "i").select(
+    starts = ["turn", F.substring("role", 1, 32), F.substring("text", 1, 32)]   # of equal turns
+    turns = row_numbers(turns, ["conv_id"], ["turn", "role", "text"], "i", ranges=starts).select(
         "conv_id", "i", F.xxhash64("role", "text").alias("c0"), F.xxhash64(F.lit("second"), "text", "role").alias("c1"),
         F.octet_length("text").cast("long").alias("size"))
     turns = staged(turns, "turns")
