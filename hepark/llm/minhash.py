@@ -15,15 +15,14 @@ probability about ``2 * (1 - s**half) ** tables`` (0.0004 at 0.8 by default).
 3. In each bucket the document whose half keys are the most widely shared (the
    centre of its near copies) is paired with the others: linear, not all pairs.
    Pairs whose set sizes allow the similarity are verified on full sets.
-4. Buckets that still hold different components are searched again: each member
-   against pivots of other components, drawn among the members outside the bucket's
-   largest component - all of them where they are at most ``ALL``, else about
-   ``PIVOTS``.  At most ``ROUNDS`` such rounds join most of what links, at a cost
-   linear in the bucket.  The last round takes every such member as a pivot: after
-   it all pairs of a bucket that lie in different components were compared, and no
-   link that the tables hold is lost.  It is quadratic in a bucket of many
-   components; only pairs that the parity bound allows leave the join.
-   ``complete=False`` leaves the last round out and can lose links in such buckets.
+4. Documents in buckets that still hold several components are joined once more, by
+   their rarest shingles: two sets that reach the similarity share one of the
+   ``n - ceil(0.8 n) + 1`` shingles of either that are rarest among these documents
+   (a prefix filter, which loses no link).  Where a shingle's documents lie in several
+   components, those outside its largest component are paired with all the others of
+   different components; a pair leaves the join only if an exact parity bound
+   allows the similarity.  So a large group of copies, which is one component
+   after step 3, costs a number of pairs linear in its size.
 5. Components of all verified links, in Spark; classes get theirs from their
    representative.
 
@@ -44,7 +43,6 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.graph import components
 from hepark.llm.text import LOWER, Words, as_list, grams, mix, pieces, whole
 
-ALL, PIVOTS, ROUNDS = 12, 4, 2
 CELLS = 512
 
 
@@ -150,24 +148,52 @@ def _possible(percent: int):
     return F.least("na", "nb") * 100 >= F.lit(percent) * F.greatest("na", "nb")
 
 
-def _between(met: DataFrame, found: DataFrame, parity: DataFrame, percent: int, seed: int | None) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components that share a bucket, with at
-    least one end among its pivots (drawn by hash; every candidate where ``seed``
-    is None).
+def _placed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, rep, n_shingles, comp, largest) of the buckets with several components."""
+    rows = met.join(found, F.col("rep") == F.col("id"), "left").select(
+        "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
+        F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top"))
+    return rows.join(sizes.where("members > top.n").select("bucket", F.col("top.comp").alias("largest")), "bucket")
+
+
+def _each(batches):
+    """rep, n_shingles and each shingle of its set."""
+    for batch in batches:
+        size = [len(v.as_buffer()) // 8 for v in batch.column(2)]
+        flat = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]) if size else np.zeros(0, np.int64)
+        at = pa.array(np.repeat(np.arange(len(size)), size))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(flat)],
+                                         ["rep", "n_shingles", "s"])
+
 
-    A pair is held only if its sets can reach the similarity.  They differ in at
+def _rarest(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(bucket, rep, n_shingles): each member under those of its rarest shingles that a
+    set reaching the similarity cannot all lack; shingles that only one member holds are
+    the rarest and lead nowhere."""
+    each = members.join(full, F.col("rep") == F.col("doc_id")).select("rep", "n_shingles", "shingles") \
+        .mapInArrow(_each, "rep long, n_shingles long, s long")
+    each = staged(each, "minhash-shingles")
+    held = each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    known = each.join(held, "s").groupBy("rep", "n_shingles").agg(
+        F.sort_array(F.collect_list(F.struct("n", "s"))).alias("order"))          # one document's set
+    n = F.col("n_shingles")
+    prefix = n - F.floor((n * percent + 99) / 100).cast("long") + 1
+    take = (prefix - (n - F.size("order"))).cast("int")
+    return known.where(take > 0).select("rep", "n_shingles", F.explode(F.slice("order", F.lit(1), take)).alias("o")) \
+        .select(F.col("o.s").alias("bucket"), "rep", "n_shingles")
+
+
+def _between(met: DataFrame, found: DataFrame, parity: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components that share a bucket.
+
+    Members outside the bucket's largest component meet all others.  A pair is held
+    only if its sets can reach the similarity.  They differ in at
     least as many shingles as there are cells of which one set holds an odd and the
     other an even number (``parity``), and sets of sizes na and nb that reach it
     differ in at most (na + nb) * (100 - percent) / (100 + percent): no link goes."""
-    rows = met.join(found, F.col("rep") == F.col("id"), "left").select(
-        "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    sizes = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n")).groupBy("bucket").agg(
-        F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top")) \
-        .select("bucket", F.col("top.comp").alias("largest"), (F.col("members") - F.col("top.n")).alias("others"))
-    rows = staged(rows.join(sizes.where("others > 0"), "bucket").join(parity, "rep"), "minhash-mixed")
-    drawn = F.lit(True) if seed is None else (F.col("others") <= ALL) | (
-        F.pmod(F.xxhash64("rep", "bucket", F.lit(seed)), F.col("others")) < PIVOTS)
-    pivots = rows.where((F.col("comp") != F.col("largest")) & drawn).select(
+    rows = staged(_placed(met, found).join(parity, "rep"), "minhash-mixed")
+    pivots = rows.where(F.col("comp") != F.col("largest")).select(
         "bucket", F.col("rep").alias("pivot"), F.col("n_shingles").alias("np"), F.col("comp").alias("cp"),
         F.col("parity").alias("pp"))
     differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("pp")[i])) for i in range(CELLS // 64)), F.lit(0))
@@ -179,8 +205,7 @@ def _between(met: DataFrame, found: DataFrame, parity: DataFrame, percent: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, half: int = 3, tables: int = 12,
-                    complete: bool = True) -> DataFrame:
+                    percent: int = 80, half: int = 3, tables: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept - one row per input row."""
     docs = id_text(docs, id_col, text_col)
     survey = staged(docs.mapInArrow(_survey(k, half, tables),
@@ -225,22 +250,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = staged(_verify(pairs, full, percent), "minhash-links")
     found = components(links)
     # buckets that still hold several components
-    met = keys.join(centre.select("bucket"), "bucket")
-    tried = pairs.select("a", "b")
-    seed = 0
-    while True:
-        again = _between(met, found, classes.select("rep", "parity"), percent, seed).where(_possible(percent)).distinct()
-        again = staged(again.join(tried, ["a", "b"], "left_anti"), "minhash-again")
-        more = staged(_verify(again, full, percent), "minhash-more")
-        some = more.limit(1).count() > 0
-        if some:
-            links = staged(links.union(more), "minhash-links")
-            found = components(links)
-        tried = tried.union(again.select("a", "b"))
-        if seed is None or not (some or complete):
-            break
-        # once a round finds nothing, or enough were made, all the rest is compared
-        seed = seed + 1 if some and (seed + 1 < ROUNDS or not complete) else None
+    mixed = _placed(keys.join(centre.select("bucket"), "bucket"), found).select("rep", "n_shingles").distinct()
+    again = _between(_rarest(mixed, full, percent), found, classes.select("rep", "parity"), percent)
+    again = staged(again.where(_possible(percent)).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti"),
+                   "minhash-again")
+    more = staged(_verify(again, full, percent), "minhash-more")
+    if more.limit(1).count():
+        found = components(links.union(more))
     named = classes.select(*sets, F.col("rep")).join(found, F.col("rep") == F.col("id"), "left") \
         .select(*sets, F.coalesce("component", "rep").alias("c"))
     out = survey.drop("halves", "parity").join(staged(named, "minhash-named"), sets, "left")

@@ -103,7 +103,7 @@ def test_mixed_buckets_lose_no_link(spark):
     want = {i: find(i) for i in range(len(rows))}
     assert 2 < len(set(want.values())) < len(rows) - 2
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=4, complete=True).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=4).collect()}
     assert got == want
     assert {r.doc_id: r.component_id for r in minhash.query(docs).collect()} == want
 
