@@ -20,10 +20,10 @@ key without a partial aggregate; the two joins on hashes read written tables on
 both sides, so that Spark may split a hot key.
 
 Edge cases: null or empty text has no words (digest of the empty string); texts
-shorter than a window lose nothing; a null doc_id comes last, as if the largest,
-and its words are removed if they repeat another document's; doc_id is the key:
-equal rows are one document (one result row each) and are never judged against
-each other; an empty table gives no rows; other columns are ignored.
+shorter than a window lose nothing; a null doc_id comes after all others; rows that share
+a doc_id (or have none) but not the text are documents of their own, in the order of a
+hash of the text; equal rows share their fate; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hepark.llm.common import id_text, staged
+from hepark.llm.common import id_text, numbered, renamed, staged
 from hepark.llm.text import Words, as_list, grams, list_values, mix, pieces, sliding_argmin, whole
 
-#: Stands for a null doc_id inside the operator.
-LAST = 2**63 - 1
-
-
 def _anchors_of_windows(h: np.ndarray, ptr: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(k-gram hashes, position of the anchor of each window)."""
     g = grams(h, k, seed=1)
@@ -107,8 +103,8 @@ def repeated_paths(docs: DataFrame, length: int = 50, k: int = 25
                    ) -> tuple[DataFrame, DataFrame]:
     """(survey, paths).  survey: doc_id, n_words, sha (of the words joined by one
     space), first (smallest doc_id with that sha).  paths: doc_id, start,
-    n_windows, src_doc, src_start, for the first document of each class."""
-    docs = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    n_windows, src_doc, src_start, for the first document of each class.
+    ``docs``: doc_id, text, each id naming one text (``common.numbered``)."""
     survey = staged(docs.mapInArrow(
         _survey(length, k), "doc_id long, n_words long, sha string, anchors array<long>"), "graph-survey")
     first = survey.groupBy("sha").agg(F.min("doc_id").alias("first"))
@@ -190,35 +186,32 @@ def _parts(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, DataFrame]:
     n_removed, kept of the documents that lose words otherwise)."""
     survey, paths = repeated_paths(docs, length, k)
     spans = paths.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_windows")).alias("spans"))
-    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    cut = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
+    cut = docs.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(
         _cut(length), "doc_id long, n_removed long, kept string")
     return survey.withColumn("copy", (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= length)), cut
 
 
-def _doc_id():
-    return F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
-
-
 def dedup_substrings(docs: DataFrame, length: int = 50, k: int = 25) -> DataFrame:
     """doc_id, n_words, n_removed and ``text``, the words left joined by one space
     (the text itself where nothing goes)."""
-    survey, cut = _parts(docs, length, k)
+    texts, names = numbered(id_text(docs))
+    survey, cut = _parts(texts, length, k)
     cut = cut.groupBy("doc_id").agg(F.max("n_removed").alias("gone"), F.max("kept").alias("kept"))
     fate = survey.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.max("copy").alias("copy")) \
         .join(cut, "doc_id", "left")
-    texts = id_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    return texts.join(fate, "doc_id").select(
-        _doc_id(), "n_words",
+    return renamed(texts.join(fate, "doc_id").select(
+        "doc_id", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text"))
+        F.when(F.col("copy"), F.lit("")).otherwise(F.coalesce("kept", "text")).alias("text")), names)
 
 
 def query(docs: DataFrame, length: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    survey, cut = _parts(docs, length, 25)
+    texts, names = numbered(id_text(docs))
+    survey, cut = _parts(texts, length, 25)
     cut = cut.groupBy("doc_id").agg(F.max("n_removed").alias("gone"), F.max(F.sha2("kept", 256)).alias("left_sha"))
-    return survey.join(cut, "doc_id", "left").select(
-        _doc_id(), "n_words",
+    return renamed(survey.join(cut, "doc_id", "left").select(
+        "doc_id", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"))
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256")),
+        names)

@@ -18,8 +18,10 @@ only other whole texts.  The first place always stays.  ``words=None`` leaves th
 word count out.
 
 Edge cases: null or empty text has no lines; blank lines stay, but a text of which
-no other line stays becomes empty; a null doc_id comes last; equal rows are one
-document; an empty table gives no rows; other columns are ignored.
+no other line stays becomes empty; a null doc_id comes after all others; rows that share a
+doc_id (or have none) but not the text are documents of their own, in the order of a hash
+of the text; equal rows share their fate; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,13 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hepark.llm.common import id_text, staged
+from hepark.llm.common import id_text, numbered, renamed, staged, text_key
 from hepark.llm.text import NEWLINES, SPACES, Words, as_list, grams, mix, pieces, sliding_argmin, whole
 
-#: Stands for a null doc_id inside the operator.
-LAST = 2**63 - 1
-
-
 def _trimmed_lines(buf: np.ndarray, off: np.ndarray) -> Words:
     """Non-blank lines with their outer white space cut off."""
     w = Words(buf, off, NEWLINES)
@@ -123,35 +121,40 @@ def _delete(batches):
             left.append("" if len(out) == len(solid) else
                         "\n".join(x for i, x in enumerate(lines) if i not in out))
         yield pa.RecordBatch.from_arrays([ids, pa.array(count, pa.int64()), pa.array(gone, pa.int64()),
-                                          pa.array(left, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
+                                          pa.array(left, pa.string()), batch.column(3), batch.column(4)],
+                                         ["doc_id", "n_lines", "n_removed", "text", "h1", "h2"])
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 3,
                 words: int | None = 50) -> DataFrame:
-    """doc_id, n_lines, n_removed, text of the documents that lose lines."""
-    docs = id_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    """doc_id, h1, h2 (a hash of the whole text before), n_lines, n_removed, text of the
+    documents that lose lines, one row for each distinct (doc_id, text)."""
+    docs, names = numbered(id_text(docs, id_col, text_col))
     runs = staged(repeated_windows(docs, run, words).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("line", "size"))).alias("lines")), "line-runs")
     # the list of ids grows with the corpus: merged, never broadcast
-    cut = docs.join(runs.hint("merge"), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "lines").mapInArrow(
-        _delete, "doc_id long, n_lines long, n_removed long, text string")
-    return cut.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    cut = docs.join(runs.hint("merge"), "doc_id").dropDuplicates(["doc_id"]) \
+        .select("doc_id", "text", "lines", *text_key()).mapInArrow(
+        _delete, "doc_id long, n_lines long, n_removed long, text string, h1 long, h2 long")
+    return renamed(cut, names)
 
 
 def _survey_lines(batches):
     for batch in batches:
-        ids = batch.column(0)
         for lo, hi, buf, off in pieces(batch, "text"):
             w = _trimmed_lines(buf, off)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(w.counts(), pa.int64())],
-                                             ["doc_id", "n_lines"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3)), pa.array(w.counts(), pa.int64())],
+                ["doc_id", "h1", "h2", "n_lines"])
 
 
 def query(docs: DataFrame, run: int = 3, words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (null where nothing goes) per document.
     Without ``words`` only runs of ``run`` lines count; the registered query gives 50."""
-    counts = id_text(docs).mapInArrow(_survey_lines, "doc_id long, n_lines long")
+    counts = id_text(docs).select("doc_id", "text", *text_key()).mapInArrow(
+        _survey_lines, "doc_id long, h1 long, h2 long, n_lines long").alias("a")
     cut = dedup_lines(docs, run=run, words=words).select(
-        F.col("doc_id").alias("id"), "n_removed", F.sha2("text", 256).alias("kept_sha256"))
-    return counts.join(cut, F.col("doc_id").eqNullSafe(F.col("id")), "left").select(
-        "doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept_sha256")
+        "doc_id", "h1", "h2", "n_removed", F.sha2("text", 256).alias("kept_sha256")).alias("b")
+    on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2"))
+    return counts.join(cut.hint("merge"), on, "left").select(
+        "a.doc_id", "n_lines", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), "kept_sha256")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hepark.llm.common import WORD, staged
+from hepark.llm.common import WORD, free_name, staged
 
 BUCKET_ROWS = 1000
 
@@ -100,14 +100,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's row once per copy (needs doc_id unique:
-    rows that share an id share the larger number of copies)."""
-    taken = mix_sources(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    cols = docs.columns
-    both = docs.withColumnRenamed("doc_id", "__id").join(
-        taken.hint("merge"), F.col("__id").eqNullSafe(F.col("doc_id"))).drop("doc_id").withColumnRenamed("__id", "doc_id")
-    return both.where("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*cols)
+    """The mix itself: each document's row once per copy; a text without words is not
+    emitted.  Rows that share an id share the larger number of copies."""
+    taken = mix_sources(docs, **options).where("size > 0").groupBy("doc_id").agg(F.max("copies").alias("n"))
+    key, n, at = (free_name(docs, c) for c in ("mix_id", "mix_copies", "mix_copy"))
+    both = docs.join(taken.select(F.col("doc_id").alias(key), F.col("n").alias(n)).hint("merge"),
+                     F.col("doc_id").eqNullSafe(F.col(key)))
+    words = F.regexp_count(F.col(options.get("text_col", "text")).cast("string"), F.lit(WORD)) > 0
+    return both.where((F.col(n) > 0) & words).withColumn(
+        at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
 
 
 ORACLE = r"""

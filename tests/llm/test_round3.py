@@ -12,7 +12,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hepark.llm import bpe, ranked, trie
+import corpus_pipeline
+from hepark.llm import bpe, catalog, cgk, debruijn, linededup, minhash, mixing, ranked, toxicity, trie
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -231,3 +232,120 @@ def test_search_empty(spark):
     none, items = spark.createDataFrame([], DOC), spark.createDataFrame([(1, "w1")], "item_id long, text string")
     assert ranked.search(none, items).collect() == []
     assert ranked.search(spark.createDataFrame([(1, "w1", 1, "")], DOC), items.limit(0)).collect() == []
+
+
+# ------------------------------------------------------------------ null and shared ids
+
+def documents_without_ids():
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    lines = lambda tag, n: "\n".join(f"{tag} line {i}" for i in range(n))
+    return [(1, words("a", 60)), (None, words("a", 60)), (None, "zz"), (None, words("b", 71)), (None, words("a", 30)),
+            (2, words("a", 55) + " tail"), (3, words("c", 60)), (3, words("c", 52) + " other"), (None, words("b", 71)),
+            (4, lines("p", 5)), (None, "x\n" + lines("p", 3) + "\ny"), (None, "one"), (None, None), (5, ""),
+            (6, lines("q", 4)), (6, "top\n" + lines("q", 4)), (6, lines("q", 4))]
+
+
+def ranks(spark, rows):
+    """Rows in the order in which they count: doc_id, null last, then the texts' hashes."""
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(i, t or "") for i, (_, t) in enumerate(rows)], "i int, text string")
+    h = {r[0]: tuple(r[1:]) for r in df.select("i", F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")).collect()}
+    return [(d is None, d or 0, *h[i]) for i, (d, _) in enumerate(rows)]
+
+
+def brute_windows(rows, order, cut, size):
+    """For each row the units that an earlier document's window covers."""
+    first = {}
+    units = [cut(t or "") for _, t in rows]
+    for u, o in sorted(zip(units, order), key=lambda x: x[1]):
+        for i in range(len(u) - size + 1):
+            first.setdefault(tuple(u[i:i + size]), (o, i))
+    gone = []
+    for u, o in zip(units, order):
+        gone.append({j for i in range(len(u) - size + 1) if first[tuple(u[i:i + size])][0] < o for j in range(i, i + size)})
+    return units, gone
+
+
+def test_substrings_null_and_shared_ids(spark):
+    rows = documents_without_ids()
+    units, gone = brute_windows(rows, ranks(spark, rows), lambda t: re.findall(r"[^ \n]+", t), 50)
+    want = [(d, len(u), len(g), hashlib.sha256(" ".join(w for i, w in enumerate(u) if i not in g).encode()).hexdigest())
+            for (d, _), u, g in zip(rows, units, gone)]
+    df = spark.createDataFrame([(d, t, 1, "") for d, t in rows], DOC)
+    assert sorted(map(tuple, debruijn.query(df).collect()), key=str) == sorted(want, key=str)
+    assert sum(w[2] for w in want) > 150
+    texts = debruijn.dedup_substrings(df).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in texts if r.doc_id) == sorted(w[:3] for w in want if w[0])
+
+
+def test_lines_null_and_shared_ids(spark):
+    rows = documents_without_ids()
+    order = ranks(spark, rows)
+    lines = [[x for x in (t or "").split("\n") if x.strip()] for _, t in rows]
+    first = {}
+    keyed = lambda v: [(0, tuple(v), "all")] if 0 < len(v) < 3 else [(i, tuple(v[i:i + 3]), "") for i in range(len(v) - 2)]
+    for v, o in sorted(zip(lines, order), key=lambda x: x[1]):
+        for i, w, kind in keyed(v):
+            first.setdefault((kind, w), (o, i))
+    want = []
+    for (d, _), v, o in zip(rows, lines, order):
+        gone = {j for i, w, kind in keyed(v) if first[kind, w] < (o, i) for j in range(i, i + len(w))}
+        want.append((d, len(v), len(gone)))
+    got = linededup.query(spark.createDataFrame([(d, t, 1, "") for d, t in rows], DOC)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_removed) for r in got], key=str) == sorted(want, key=str)
+
+
+# ------------------------------------------------------------------ pipeline
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, __id int, line_id int, LINE_TEXT string, mix_copies int"
+
+
+def test_pipeline_stages_clashing_columns(spark):
+    rows = [(d, t, "en", "s" if i % 3 else None, len(t or ""), 1, 2, "z", 3)
+            for i, (d, t) in enumerate(documents_without_ids())]
+    docs = spark.createDataFrame(rows, CLASH)
+    cut = corpus_pipeline.dedup_lines(spark, docs, SF)
+    assert cut.columns == docs.columns
+    kept = {(r.doc_id, r.text) for r in cut.collect()}
+    assert (None, "x\ny") in kept and (None, "one") in kept and (None, None) in kept and (6, "top") in kept
+    assert all(r.n_chars == len(r.text or "") for r in cut.collect())
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert near.columns == docs.columns and near.where("doc_id is null").count() == 8
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.where("coalesce(text, '') = ''").count() == 0
+    empty = docs.limit(0)
+    for stage in (corpus_pipeline.dedup_lines, corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources):
+        assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """Each stage on what its predecessor kept, against a plain version of it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("labels", "benchmark"))
+    for step, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r for r in docs.collect()}
+        path = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(path)
+        out = spark.read.parquet(path)
+        after = out.collect()
+        if name == "toxicity":
+            want = {r.doc_id for r in toxicity.score_toxicity(docs, labels).collect() if not r.predicted}
+            assert {r.doc_id for r in after} == want and len(want) < len(before)
+        elif name == "line_dedup":
+            cut = {r.doc_id: r.text for r in linededup.dedup_lines(docs).collect()}
+            assert {(r.doc_id, r.text) for r in after} == {(d, cut.get(d, r.text)) for d, r in before.items()
+                                                          if cut.get(d) != ""}
+        elif name == "near_duplicates":
+            group = defaultdict(list)
+            for r in minhash.near_duplicates(docs).collect():
+                group[r.component_id].append(r.doc_id)
+            assert {r.doc_id for r in after} == {min(g) for g in group.values()}
+        elif name == "decontamination":
+            bad = {r.doc_id for r in cgk.contaminations(docs, items).collect()}
+            assert {r.doc_id for r in after} == set(before) - bad
+        else:
+            copies = {r.doc_id: r.copies for r in mixing.mix_sources(docs).collect() if r["size"]}
+            assert Counter(r.doc_id for r in after) == Counter({d: c for d, c in copies.items() if c})
+        if step < 4:
+            assert out.columns == docs.columns
+        docs = out
