@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from hepark.llm import bpe, catalog, cgk, debruijn, linededup, minhash, mixing, ranked, toxicity, trie
+from hepark.llm import bpe, catalog, cgk, debruijn, linededup, minhash, mixing, ranked, template, toxicity, trie
 
 SF = "/root/testdata/sf0.001"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -349,3 +349,69 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         if step < 4:
             assert out.columns == docs.columns
         docs = out
+
+
+# ------------------------------------------------------------------ page templates
+
+PAGE = "page_id long, url string, html string, host string, hash int"
+
+
+def brute_templates(rows, least=5):
+    """The text of each page with subtrees counted per host in plain Python."""
+    parsed = [template.parse(h or "") for _, _, h in rows]
+    hosts = [re.sub(r"^\w+://([^/?#]*).*", r"\1", u or "") if "://" in (u or "") else "" for _, u, _ in rows]
+    seen = defaultdict(set)
+    for host, (blocks, _, trees) in zip(hosts, parsed):
+        for t, _, _ in trees:
+            seen[host, t].add(tuple(blocks))
+    out = []
+    for (page, url, _), host, (blocks, content, trees) in zip(rows, hosts, parsed):
+        gone = {i for t, a, b in trees if len(seen[host, t]) >= least for i in range(a, b)}
+        text = " ".join(b for i, b in enumerate(blocks) if content[i] and i not in gone)
+        out.append((page, url, text, len(text), len(gone)))
+    return sorted(out, key=str)
+
+
+def page_rows():
+    rows = [(i, "http://one.example/p", f"<body><div class=top><a href=/>Home</a> Shop</div><nav>Menu</nav><article><h1>T{i}</h1>"
+             f"<p>Same words.</p><div>Follow us</div><p>Own {i}</p></article><div>Legal text</div></body>") for i in range(7)]
+    rows += [(100 + i, "http://two.example/", f"<div>Rare menu</div><p>Text {i}</p>") for i in range(4)]
+    rows += [(200, "http://two.example/", "<div>Rare menu</div><p>Text 0</p>"), (None, None, None), (201, "x", ""),
+             (202, None, "a &lt; b\u00a0 c"), (203, "http://one.example/", "<div>" * 3000 + "deep" + "</div>" * 10),
+             (204, "http://one.example/", "<p>" + "long text " * 50000 + "</p>"), (0, "http://one.example/q", "<p>again")]
+    return rows
+
+
+def test_templates_brute_force(spark):
+    rows = page_rows()
+    got = template.extract_main_text(spark.createDataFrame([(*r, "h", 1) for r in rows], PAGE)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_templates(rows)
+    text = {r.page_id: r for r in got}
+    assert text[3].text == "T3 Same words. Own 3" and text[3].n_template >= 4
+    assert text[101].text == "Rare menu Text 1" and text[202].text == "a < b c"
+    assert template.extract_main_text(spark.createDataFrame([], PAGE)).collect() == []
+
+
+def test_templates_are_counted_on_the_test_pages(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    got = template.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_templates(rows)
+    # every page offers subtrees; the tables' menus, adverts and footers differ from page to page
+    assert min(len(template.parse(h or "")[2]) for _, _, h in rows) >= 3
+    shop = [(i, u, (h or "").replace("<nav>", "<div class=top>Shop</div><nav>")) for i, u, h in rows]
+    more = template.extract_main_text(spark.createDataFrame(shop, "page_id long, url string, html string")).collect()
+    assert sorted(map(tuple, more), key=str) == brute_templates(shop) and sum(r.n_template for r in more) > 100
+    assert {r.page_id: r.text for r in more} == {r.page_id: r.text for r in got}
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>Body</p></article>', "Title Body"),
+    ('<article><header class="article-header"><h1>Title</h1></header><p>Body</p></article>', "Title Body"),
+    ('<article><section id="related-work"><p>Work</p></section></article>', "Work"),
+    ('<div class="notice-period"><p>Three months</p></div>', "Three months"),
+    ('<div class="site-header">Site</div><div class="cookie-banner">Cookies</div><div class="comments-area"><p>Reader</p></div>'
+     '<p>Body</p>', "Body"),
+    ('<article><div class="header"><h1>T</h1></div><div id="comments">c</div><p>B</p></article>', "T B")])
+def test_whole_class_names(spark, html, text):
+    got = template.extract_main_text(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string"))
+    assert got.first().text == text
