@@ -102,13 +102,12 @@ def shuffle_lineitem(spark, sf_dir):
 
 
 def _sql_shares(counts: str, draws: str, name: str) -> str:
-    """Largest-remainder allocation over a (y, c) table, ties by class order."""
+    """Largest-remainder allocation over a (y, c) table in whole numbers, ties by class order."""
     return f"""{name} AS (
-  SELECT y, CAST(floor(cont) AS BIGINT)
-            + CASE WHEN row_number() OVER (ORDER BY cont - floor(cont) DESC, y)
-                        <= any_value(need) OVER () THEN 1 ELSE 0 END AS a
-  FROM (SELECT y, cont, CAST({draws} - sum(floor(cont)) OVER () AS BIGINT) AS need
-        FROM (SELECT y, CAST(c AS DOUBLE) / CAST(sum(c) OVER () AS DOUBLE) * {draws} AS cont FROM {counts})))"""
+  SELECT y, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, y) <= need THEN 1 ELSE 0 END AS a
+  FROM (SELECT *, CAST({draws} - sum(whole) OVER () AS BIGINT) AS need
+        FROM (SELECT y, CAST(c * {draws} // total AS BIGINT) AS whole, CAST(c * {draws} % total AS BIGINT) AS rest
+              FROM (SELECT y, CAST(c AS HUGEINT) AS c, sum(c) OVER () AS total FROM {counts}))))"""
 
 
 SQL_SPLIT_SK = f"""
