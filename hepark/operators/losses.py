@@ -109,7 +109,8 @@ def wasserstein(a: DataFrame, b: DataFrame, probs: Sequence[float], x: str = "x"
     adds the mean over dimensions).
     With ``projections`` (rows ``proj``, ``dir`` arrays; bounded) the sets are
     first projected (sliced Wasserstein)."""
-    q = exact_quantiles(_long_sets(a, b, x, projections), ["set", "dim"], "value", probs)
+    # both sets' quantiles come from one result (#dims x #probs rows), computed once
+    q = cut_lineage(exact_quantiles(_long_sets(a, b, x, projections), ["set", "dim"], "value", probs))
     qa = q.filter(F.col("set") == "a").select("dim", "p_idx", F.col("q").alias("qa"))
     qb = q.filter(F.col("set") == "b").select("dim", "p_idx", F.col("q").alias("qb"))
     return qa.join(qb, ["dim", "p_idx"]).groupBy("dim").agg(F.avg(F.abs(F.col("qa") - F.col("qb"))).alias("w1"))
