@@ -1,12 +1,12 @@
 """Fitting, model selection and run history.
 
-Every step of J1, executors compute gradient sums of the current mini-batch with the broadcast weights (``mapInPandas`` over Arrow
-batches, one packed vector per partition), a tree-shaped ``treeAggregate``
-combines the per-partition vectors, and the driver applies the small Adam
+Every step of J1, executors compute gradient sums of the current mini-batch with the
+broadcast weights (``mapInArrow``, one packed vector per partition), a tree-shaped
+``treeAggregate`` combines the per-partition vectors, and the driver applies the small Adam
 update.  The driver only ever holds the weights and the gradient vector
 (size = #parameters).  Each epoch gets a seeded md5 batch assignment written
-once as a batch-partitioned table, so a step scans one batch and runs are
-reproducible.
+once as a batch-partitioned table in which a batch is several files, so a step scans one
+batch with as many tasks as its rows are worth, and runs are reproducible.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Callable
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,65 +82,102 @@ def _bwd(layers, cache, g):
     return grads, g
 
 
-def loss_and_grads(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5):
-    """Summed (not averaged) loss and gradients of one block of rows.
+#: Component losses of a network, in the order of history columns.
+COMPONENTS = ("recon", "class", "latent")
 
-    vanilla: MSE of the reconstruction; plain: BCE of the head; classifier:
-    (1-w)*MSE + w*BCE."""
+
+def loss_weights(net: dict, w: float) -> dict[str, float]:
+    """Weight of each component the network has: 1 alone, else 1 - w for the
+    reconstruction and w for the other (class or latent) loss."""
     p = net["parts"]
-    z, c_enc = _fwd(p["encoder"], X)
-    loss = 0.0
-    g_lat = np.zeros_like(z)
-    grads = {}
-    has_dec = "decoder" in p
-    has_head = "head" in p
-    wr = (1.0 - w_cls) if (has_dec and has_head) else 1.0
-    wc = w_cls if (has_dec and has_head) else 1.0
-    if has_dec:
-        r, c_dec = _fwd(p["decoder"], z)
-        d = r - X
-        loss += wr * float((d * d).mean(axis=1).sum())
-        gd, gl = _bwd(p["decoder"], c_dec, wr * 2.0 * d / X.shape[1])
-        grads["decoder"] = gd
-        g_lat += gl
-    if has_head:
-        q, c_head = _fwd(p["head"], z)
-        q = q[:, 0]
-        lq = np.maximum(np.log(np.clip(q, 1e-300, None)), -100.0)
-        l1q = np.maximum(np.log(np.clip(1.0 - q, 1e-300, None)), -100.0)
-        loss += wc * float(-(y * lq + (1 - y) * l1q).sum())
-        qc = np.clip(q, 1e-12, 1 - 1e-12)
-        gq = wc * (-(y / qc) + (1 - y) / (1 - qc))
-        gh, gl = _bwd(p["head"], c_head, gq[:, None])
-        grads["head"] = gh
-        g_lat += gl
-    ge, _ = _bwd(p["encoder"], c_enc, g_lat)
-    grads["encoder"] = ge
-    return loss, grads
+    other = "class" if "head" in p else "latent" if "mu" in p else None
+    if "decoder" not in p:
+        return {"class": 1.0}
+    return {"recon": 1.0 - w, other: w} if other else {"recon": 1.0}
+
+
+def _softmax(m: np.ndarray) -> np.ndarray:
+    e = np.exp(m - m.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
 
+def _encode(p: dict, X: np.ndarray, noise):
+    """(latent, what its backward pass needs)."""
+    h, c_enc = _fwd(p["encoder"], X)
+    if "mu" not in p:
+        return h, (c_enc,)
+    mu, c_mu = _fwd(p["mu"], h)
+    lv, c_lv = _fwd(p["logvar"], h)
+    return mu + noise[0] * lv, (c_enc, c_mu, c_lv)
 
-def batch_loss(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5) -> float:
-    """Summed loss of one block of rows, forward pass only (for validation)."""
+
+def _class_loss(q: np.ndarray, y: np.ndarray) -> float:
+    lq = np.maximum(np.log(np.clip(q, 1e-300, None)), -100.0)
+    l1q = np.maximum(np.log(np.clip(1.0 - q, 1e-300, None)), -100.0)
+    return float(-(y * lq + (1 - y) * l1q).sum())
+
+
+def _latent_loss(z: np.ndarray, samples: np.ndarray) -> float:
+    p = _softmax(samples)
+    return float((p * (np.log(p) - np.log(np.clip(_softmax(z), 1e-300, None)))).sum())
+
+
+def loss_parts(net: dict, X: np.ndarray, y: np.ndarray, noise=None) -> dict[str, float]:
+    """Summed, unweighted component losses of one block of rows, forward pass only:
+    ``recon`` (mean squared error of a row), ``class`` (BCE of the head), ``latent``
+    (KL of softmax(samples) against softmax(latent)).  ``noise`` is (eps, samples), both
+    rows x latent size, for networks that sample their latent vector."""
     p = net["parts"]
-    z = Fs.forward_np(p["encoder"], X)
-    has_dec, has_head = "decoder" in p, "head" in p
-    wr = (1.0 - w_cls) if (has_dec and has_head) else 1.0
-    wc = w_cls if (has_dec and has_head) else 1.0
-    loss = 0.0
-    if has_dec:
+    z, _ = _encode(p, X, noise)
+    out = {}
+    if "decoder" in p:
         d = Fs.forward_np(p["decoder"], z) - X
-        loss += wr * float((d * d).mean(axis=1).sum())
-    if has_head:
-        q = Fs.forward_np(p["head"], z)[:, 0]
-        lq = np.maximum(np.log(np.clip(q, 1e-300, None)), -100.0)
-        l1q = np.maximum(np.log(np.clip(1.0 - q, 1e-300, None)), -100.0)
-        loss += wc * float(-(y * lq + (1 - y) * l1q).sum())
-    return loss
+        out["recon"] = float((d * d).mean(axis=1).sum())
+    if "head" in p:
+        out["class"] = _class_loss(Fs.forward_np(p["head"], z)[:, 0], y)
+    if "mu" in p:
+        out["latent"] = _latent_loss(z, noise[1])
+    return out
+
+
+def batch_loss(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5, noise=None) -> float:
+    """Summed weighted loss of one block of rows."""
+    weights = loss_weights(net, w_cls)
+    return sum(weights[c] * v for c, v in loss_parts(net, X, y, noise).items())
+
+
+def loss_and_grads(net: dict, X: np.ndarray, y: np.ndarray, w_cls: float = 0.5, noise=None):
+    """Summed (not averaged) weighted loss and gradients of one block of rows; the
+    components and their weights are those of :func:`loss_parts` and :func:`loss_weights`."""
+    p, weights = net["parts"], loss_weights(net, w_cls)
+    z, caches = _encode(p, X, noise)
+    loss, grads, g = 0.0, {}, np.zeros_like(z)
+    if "decoder" in p:
+        r, c = _fwd(p["decoder"], z)
+        d = r - X
+        loss += weights["recon"] * float((d * d).mean(axis=1).sum())
+        grads["decoder"], back = _bwd(p["decoder"], c, weights["recon"] * 2.0 * d / X.shape[1])
+        g += back
+    if "head" in p:
+        q, c = _fwd(p["head"], z)
+        q = q[:, 0]
+        loss += weights["class"] * _class_loss(q, y)
+        qc = np.clip(q, 1e-12, 1 - 1e-12)
+        grads["head"], back = _bwd(p["head"], c, (weights["class"] * ((1 - y) / (1 - qc) - y / qc))[:, None])
+        g += back
+    if "mu" in p:
+        loss += weights["latent"] * _latent_loss(z, noise[1])
+        g += weights["latent"] * (_softmax(z) - _softmax(noise[1]))
+        grads["mu"], g_mu = _bwd(p["mu"], caches[1], g)
+        grads["logvar"], g_lv = _bwd(p["logvar"], caches[2], g * noise[0])
+        g = g_mu + g_lv
+    grads["encoder"], _ = _bwd(p["encoder"], caches[0], g)
+    return loss, grads
 
 
 def flatten_params(net: dict) -> list[tuple[str, int, str]]:
     slots = []
-    for part in ("encoder", "decoder", "head"):
+    for part in ("encoder", "mu", "logvar", "decoder", "head"):
         for li, _ in enumerate(net["parts"].get(part, [])):
             slots += [(part, li, "w"), (part, li, "b")]
     return slots
@@ -171,7 +208,27 @@ def _unvec(net: dict, v: np.ndarray) -> dict:
 
 # ------------------------------------------------------------------ J1
 
-def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tuple[float, np.ndarray, int]:
+def _block_columns(df: DataFrame, net: dict, x: str, label: str, key: str, seeds: tuple[int, int]) -> list:
+    """The columns a block of rows needs: vector, label and, for a network that samples
+    its latent vector, the seeded normals of eps and of the prior."""
+    cols = [F.col(x).cast("array<double>").alias("x"), F.col(label).cast("double").alias("y")]
+    if "mu" in net["parts"]:
+        d = net["parts"]["mu"][-1]["w"].shape[1]
+        cols += [Fs.normal_noise(key, s, d).alias(n) for n, s in zip(("eps", "samples"), seeds)]
+    return cols
+
+
+def _blocks(net: dict, batches):
+    """(X, y, noise) of each Arrow batch that has rows."""
+    width = len(net["parts"]["encoder"][0]["w"])
+    for b in batches:
+        if b.num_rows:
+            noise = tuple(Fs._matrix(b.column(i)) for i in (2, 3)) if b.num_columns > 2 else None
+            yield Fs._matrix(b.column(0), width), b.column(1).to_numpy(zero_copy_only=False), noise
+
+
+def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float, key: str = "k",
+              seeds: tuple[int, int] = (0, 1)) -> tuple[float, np.ndarray, int]:
     """One distributed gradient evaluation over the rows of ``df``.
 
     Each partition computes its gradient sum over Arrow batches and emits a
@@ -182,22 +239,19 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
     bc = df.sparkSession.sparkContext.broadcast(net)
     npar = len(_vec(net))
 
-    def part_grads(it):
+    def part_grads(batches):
         tot, cnt, loss = np.zeros(npar), 0, 0.0
         n = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf[x].to_numpy()])
-            y = pdf[label].to_numpy(dtype=np.float64)
-            lo, gr = loss_and_grads(n, X, y, w_cls)
+        for X, y, noise in _blocks(n, batches):
+            lo, gr = loss_and_grads(n, X, y, w_cls, noise)
             tot += _vec(n, gr)
             loss += lo
-            cnt += len(pdf)
+            cnt += len(y)
         if cnt:
-            yield pd.DataFrame({"loss": [loss], "n": [cnt], "g": [tot.astype(np.float64).tobytes()]})
+            yield pa.RecordBatch.from_pydict({"loss": [loss], "n": [cnt], "g": [tot.tobytes()]})
 
-    parts = df.select(x, label).mapInPandas(part_grads, "loss double, n long, g binary")
+    parts = df.select(*_block_columns(df, net, x, label, key, seeds)).mapInArrow(
+        part_grads, "loss double, n long, g binary")
 
     def unpack(r):
         return (float(r["loss"]), int(r["n"]), np.frombuffer(r["g"], dtype=np.float64).copy())
@@ -207,61 +261,90 @@ def _grad_job(df: DataFrame, net: dict, x: str, label: str, w_cls: float) -> tup
 
     # one job, also where there are no rows
     loss, n, g = parts.rdd.map(unpack).treeAggregate((0.0, 0, np.zeros(npar)), add, add, depth=2)
+    bc.destroy()
     return loss, g, n
 
 
-def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: float = 0.5) -> float:
-    """Mean loss over ``df``: forward pass only, one (loss, count) row per
-    partition, summed by a grouped aggregate."""
+def eval_losses(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: float = 0.5, key: str = "k",
+                seeds: tuple[int, int] = (0, 1)) -> dict[str, float | None]:
+    """Mean losses over ``df``, unweighted per component (None where the network has
+    no such part), and ``total``, weighted.  Forward pass only, one row of sums per
+    partition, summed by an aggregate.  An empty ``df`` gives 0 for every loss."""
     bc = df.sparkSession.sparkContext.broadcast(net)
-
-    def part_loss(it):
-        loss, cnt = 0.0, 0
-        n = bc.value
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(a, dtype=np.float64) for a in pdf[x].to_numpy()])
-            loss += batch_loss(n, X, pdf[label].to_numpy(dtype=np.float64), w_cls)
-            cnt += len(pdf)
+    weights = loss_weights(net, w_cls)
+
+    def part_loss(batches):
+        sums, cnt = dict.fromkeys(weights, 0.0), 0
+        for X, y, noise in _blocks(bc.value, batches):
+            for c, v in loss_parts(bc.value, X, y, noise).items():
+                sums[c] += v
+            cnt += len(y)
         if cnt:
-            yield pd.DataFrame({"loss": [loss], "n": [cnt]})
+            yield pa.RecordBatch.from_pydict({"n": [cnt], **{c: [v] for c, v in sums.items()}})
+
+    sums = df.select(*_block_columns(df, net, x, label, key, seeds)).mapInArrow(
+        part_loss, "n long, " + ", ".join(f"{c} double" for c in weights))
+    r = sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", *weights)]).first()
+    bc.destroy()
+    mean = {c: float(r[c]) / max(int(r["n"]), 1) for c in weights}
+    return {"total": sum(weights[c] * mean[c] for c in weights)} | {c: mean.get(c) for c in COMPONENTS}
+
+
+def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: float = 0.5, key: str = "k",
+              seeds: tuple[int, int] = (0, 1)) -> float:
+    """Mean weighted loss over ``df``."""
+    return eval_losses(df, net, x, label, w_cls, key, seeds)["total"]
+
+
+#: Rows of a batch that are worth a task of their own.
+ROWS_PER_TASK = 64
+
 
-    r = (df.select(x, label).mapInPandas(part_loss, "loss double, n long")
-         .agg(F.sum("loss").alias("loss"), F.sum("n").alias("n")).first())
-    return float(r["loss"] or 0.0) / max(int(r["n"] or 0), 1)
+def step_tasks(spark: SparkSession, batch_size: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Tasks that share one optimiser step."""
+    return max(1, min(spark.sparkContext.defaultParallelism, math.ceil(batch_size / rows_per_task)))
 
 
-def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: int) -> str:
+def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: int,
+                   rows_per_task: int = ROWS_PER_TASK) -> str:
     """Write one epoch's batches as a table partitioned by batch id in the
     shared checkpoint folder; a step then reads only its own partition.
 
     Rows are put in a seeded md5 order, positioned with the distributed
     ordered scan, and cut into batches of exactly ``batch_size`` rows (the last
-    one short), as a shuffled data loader does.  Each batch is written by one
-    task (hash-partitioned on the batch id)."""
+    one short), as a shuffled data loader does.  A batch is dealt to
+    :func:`step_tasks` files; as they are not more than Spark's cores, a reader
+    gives each a task of its own."""
     from hepark.operators.ranking import positions
     from hepark.sources.io import scratch_path
     path = scratch_path(tr.sparkSession, f"epoch{epoch}")
     eb = positions(tr.withColumn("_o", order_key(key, seed * 100003 + epoch)), [], "_o", out="_pos",
                    hex_order=True)
-    eb = eb.withColumn("_b", F.floor((F.col("_pos") - 1) / F.lit(int(batch_size))).cast("int")).drop("_o", "_pos")
-    eb.repartition("_b").write.partitionBy("_b").parquet(path)
+    tasks = step_tasks(tr.sparkSession, batch_size, rows_per_task)
+    eb = eb.withColumn("_b", F.floor((F.col("_pos") - 1) / F.lit(int(batch_size))).cast("int")) \
+        .withColumn("_t", F.pmod(F.col("_pos"), F.lit(tasks)).cast("int")).drop("_o", "_pos")
+    eb.repartition("_b", "_t").write.partitionBy("_b", "_t").parquet(path)
     return path
 
 
 def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5, batch_size: int = 256,
                 lr: float = 0.01, seed: int = 0, key: str = "k", x: str = "x", label: str = "y",
-                w_cls: float = 0.5, patience: int = PATIENCE_AE, run: str = "run") -> tuple[dict, DataFrame]:
+                w_cls: float = 0.5, patience: int = PATIENCE_AE, run: str = "run",
+                rows_per_task: int = ROWS_PER_TASK) -> tuple[dict, DataFrame]:
     """Mini-batch Adam with best-validation weights and early stopping.
 
     Each epoch's batches (seeded order, exact batch size, last one short) are
     written once as a batch-partitioned table, so a step reads one batch, not
-    the whole set.
+    the whole set, with several tasks; the table goes when the epoch is over.
+    Networks that sample their latent vector draw new seeded noise every epoch and are
+    validated on the same noise each time.
     Returns (best network, history DataFrame of run, epoch, train_loss,
-    valid_loss).  The epoch losses recorded follow the reference: the epoch
+    valid_loss and the unweighted valid_recon, valid_class and valid_latent, null where the
+    network has no such part).  The epoch losses recorded follow the reference: the epoch
     that triggers the stop is not recorded."""
+    from hepark.sources.io import remove
     spark = train.sparkSession
+    noise = seed * 100003 + 2
     tr = train.select(key, x, label)
     va = valid.select(key, x, label).persist(StorageLevel.MEMORY_AND_DISK)
     n = tr.count()
@@ -274,10 +357,11 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
     hist = []
     cur = net
     for ep in range(epochs):
-        path = _epoch_batches(tr, key, seed, ep, batch_size)
+        path = _epoch_batches(tr, key, seed, ep, batch_size, rows_per_task)
         batch_losses = []
         for b in range(n_batches):  # exact sizes: ids 0..n_batches-1
-            loss, g, cnt = _grad_job(spark.read.parquet(f"{path}/_b={b}"), cur, x, label, w_cls)
+            rows = spark.read.schema(tr.schema).parquet(f"{path}/_b={b}")
+            loss, g, cnt = _grad_job(rows, cur, x, label, w_cls, key, (noise + 2 * ep, noise + 2 * ep + 1))
             if cnt == 0:
                 continue
             g = g / cnt
@@ -287,17 +371,20 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
             theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
             cur = _unvec(net, theta)
             batch_losses.append(loss / cnt)
+        remove(spark, path)
         train_loss = float(np.mean(batch_losses)) if batch_losses else float("nan")
-        valid_loss = eval_loss(va, cur, x, label, w_cls)
+        losses = eval_losses(va, cur, x, label, w_cls, key, (noise - 2, noise - 1))
+        valid_loss = losses["total"]
         if best_loss > valid_loss:
             best, best_loss, no_imp = cur, valid_loss, 0
         else:
             no_imp += 1
         if no_imp >= patience:
             break
-        hist.append((run, ep, train_loss, valid_loss))
+        hist.append((run, ep, train_loss, valid_loss, *[losses[c] for c in COMPONENTS]))
     va.unpersist()
-    h = spark.createDataFrame(hist, "run string, epoch int, train_loss double, valid_loss double")
+    h = spark.createDataFrame(hist, "run string, epoch int, train_loss double, valid_loss double, "
+                              + ", ".join(f"valid_{c} double" for c in COMPONENTS))
     return best, h
 
 

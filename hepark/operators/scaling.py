@@ -14,7 +14,6 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from hepark.operators.ranking import exact_quantiles
+from hepark.operators.scoring import _lists, _matrix
 
 NORMS = ("vanilla", "minmax", "maxabs", "std", "robust", "power", "quantile")
 
@@ -304,14 +304,12 @@ def fit_power(df: DataFrame, x: str = "x", width: int | None = None,
 
 def _quantile_udf(table, width: int):
     """Arrow-batched uniform quantile map of whole feature arrays (no per-row
-    Python): each batch is stacked into a matrix and mapped column by column
+    Python): each batch is read as a matrix and mapped column by column
     with numpy.interp, forward and backward averaged as scikit-learn does."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def qmap(xcol: pd.Series) -> pd.Series:
-        if len(xcol) == 0:
-            return pd.Series([], dtype=object)
-        X = np.vstack([np.asarray(a, dtype=np.float64) for a in xcol.to_numpy()])
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def qmap(xcol: pa.Array) -> pa.Array:
+        X = _matrix(xcol, width)
         out = np.empty_like(X)
         tab = table.value
         for fi in range(width):
@@ -324,7 +322,7 @@ def _quantile_udf(table, width: int):
             res = np.where(xv + QUANTILE_BOUNDS_THRESHOLD > q[-1], r[-1], res)
             res = np.where(xv - QUANTILE_BOUNDS_THRESHOLD < q[0], r[0], res)
             out[:, fi] = res
-        return pd.Series(list(out))
+        return _lists(out)
 
     return qmap
 

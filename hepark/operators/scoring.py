@@ -2,7 +2,7 @@
 
 Model weights are small (bounded by the layer sizes) and travel to executors
 once as a broadcast; rows are scored per Arrow batch with numpy matrix
-products inside a ``pandas_udf`` (no per-row Python).  Kernel scoring
+products inside an ``arrow_udf`` (no per-row Python).  Kernel scoring
 evaluates each row against a reference set (support vectors, centroids) whose
 size is checked and which is broadcast once, again per Arrow batch with numpy,
 so there is no cross join of two row sets.
@@ -15,7 +15,6 @@ import math
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,9 +101,10 @@ def forward_np(layers: list[dict], X: np.ndarray) -> np.ndarray:
     return h
 
 
-def _stack(col: pd.Series) -> np.ndarray:
-    return np.vstack([np.asarray(a, dtype=np.float64) for a in col.to_numpy()])
-
+def _lists(m: np.ndarray) -> pa.ListArray:
+    """A matrix as a column of vectors, without a Python object per row."""
+    return pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1],
+                                    np.ascontiguousarray(m, np.float64).reshape(-1))
 
 
 def score_network(df: DataFrame, net: dict, x: str = "x") -> DataFrame:
@@ -120,19 +120,17 @@ def score_network(df: DataFrame, net: dict, x: str = "x") -> DataFrame:
         fields.append(T.StructField("prob", T.DoubleType()))
     rtype = T.StructType(fields)
 
-    @F.pandas_udf(rtype)
-    def fwd(xcol: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(rtype)
+    def fwd(xcol: pa.Array) -> pa.Array:
         p = bc.value
-        if len(xcol) == 0:
-            return pd.DataFrame({f.name: [] for f in fields})
-        X = _stack(xcol)
+        X = _matrix(xcol, len(p["encoder"][0]["w"]))
         z = forward_np(p["encoder"], X)
-        out = {"latent": list(z)}
+        out = [_lists(z)]
         if "decoder" in p:
-            out["recon"] = list(forward_np(p["decoder"], z))
+            out.append(_lists(forward_np(p["decoder"], z)))
         if "head" in p:
-            out["prob"] = forward_np(p["head"], z)[:, 0]
-        return pd.DataFrame(out)
+            out.append(pa.array(forward_np(p["head"], z)[:, 0]))
+        return pa.StructArray.from_arrays(out, [f.name for f in fields])
 
     s = df.withColumn("_s", fwd(F.col(x).cast("array<double>")))
     return s.select(*df.columns, *[F.col(f"_s.{f.name}").alias(f.name) for f in fields])
@@ -154,6 +152,13 @@ def normal_noise(key: str, seed: int, dim: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), one)
 
 
+def sample_latent(parts: dict, X: np.ndarray, E: np.ndarray, scale: str = "logvar"):
+    """(mu, log-variance, ``mu + E * s``) of one block of rows."""
+    h = forward_np(parts["encoder"], X)
+    mu, lv = forward_np(parts["mu"], h), forward_np(parts["logvar"], h)
+    return mu, lv, mu + E * (lv if scale == "logvar" else np.exp(0.5 * lv))
+
+
 def score_variational(df: DataFrame, net: dict, seed: int = 0, scale: str = "logvar",
                       x: str = "x", key: str = "k") -> DataFrame:
     """mu, log-variance, sampled latent ``mu + eps*s`` (s = log-variance as
@@ -162,24 +167,17 @@ def score_variational(df: DataFrame, net: dict, seed: int = 0, scale: str = "log
     parts = net["parts"]
     d = parts["mu"][-1]["w"].shape[1]
     bc = df.sparkSession.sparkContext.broadcast(parts)
-    rtype = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType()))
-                          for n in ("mu", "logvar", "latent", "recon")])
+    names = ["mu", "logvar", "latent", "recon"]
+    rtype = T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in names])
 
-    @F.pandas_udf(rtype)
-    def fwd(xcol: pd.Series, ecol: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(rtype)
+    def fwd(xcol: pa.Array, ecol: pa.Array) -> pa.Array:
         p = bc.value
-        if len(xcol) == 0:
-            return pd.DataFrame({n: [] for n in ("mu", "logvar", "latent", "recon")})
-        X, E = _stack(xcol), _stack(ecol)
-        h = forward_np(p["encoder"], X)
-        mu, lv = forward_np(p["mu"], h), forward_np(p["logvar"], h)
-        s = lv if scale == "logvar" else np.exp(0.5 * lv)
-        z = mu + E * s
-        return pd.DataFrame({"mu": list(mu), "logvar": list(lv), "latent": list(z),
-                             "recon": list(forward_np(p["decoder"], z))})
+        mu, lv, z = sample_latent(p, _matrix(xcol, len(p["encoder"][0]["w"])), _matrix(ecol, d), scale)
+        return pa.StructArray.from_arrays([_lists(m) for m in (mu, lv, z, forward_np(p["decoder"], z))], names)
 
     s = df.withColumn("_s", fwd(F.col(x).cast("array<double>"), normal_noise(key, seed, d)))
-    return s.select(*df.columns, *[F.col(f"_s.{n}").alias(n) for n in ("mu", "logvar", "latent", "recon")])
+    return s.select(*df.columns, *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
 # ---------------------------------------------------------------- model tables
@@ -253,12 +251,13 @@ def kernel_matrix_np(X: np.ndarray, R: np.ndarray, kernel: str, gamma: float, de
 MAX_REFERENCES = 65536
 
 
-def _matrix(vectors: pa.Array) -> np.ndarray:
-    """A list column of equally long vectors as a matrix, from its flat buffer."""
+def _matrix(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """A list column of equally long vectors (``width``, if given) as a matrix, from its
+    flat buffer."""
     if vectors.null_count:
         raise ValueError("a vector is null")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0))
+    return flat.reshape(len(vectors), width or -1) if len(vectors) else np.zeros((0, width or 0))
 
 
 def _references(refs: DataFrame, value: Column, x: str, max_refs: int) -> tuple[pa.Array, np.ndarray]:
@@ -317,14 +316,14 @@ def kernel_scores(df: DataFrame, sv: DataFrame, kernel: str = "rbf", b: float =
     bc = df.sparkSession.sparkContext.broadcast(
         _references(sv, F.col(alpha).cast("double").alias("_a"), x, max_refs))
 
-    @F.pandas_udf(T.DoubleType())
-    def score(xcol: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def score(xcol: pa.Array) -> pa.Array:
         weights, R = bc.value
         al, out = weights.to_numpy(zero_copy_only=False), np.full(len(xcol), float(b))
-        X = _stack(xcol) if len(xcol) else np.zeros((0, 0))
+        X = _matrix(xcol)
         for j in range(0, len(R) if len(X) else 0, block):
             out += kernel_matrix_np(X, R[j:j + block], kernel, gamma, degree, coef0) @ al[j:j + block]
-        return pd.Series(out)
+        return pa.array(out)
 
     return df.select(key, score(F.col(x).cast("array<double>")).alias("score"))
 

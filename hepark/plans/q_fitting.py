@@ -62,6 +62,15 @@ def fit_network(spark, sf_dir):
                        rnd("valid_loss").alias("valid_loss"))
 
 
+@query("fit_variational")
+def fit_variational(spark, sf_dir):
+    tr, va = _train_valid(spark, sf_dir)
+    _, hist = J.fit_network(tr, va, J.choose_network("variational", [64, 16, 8]), epochs=2, batch_size=512, seed=2,
+                            w_cls=0.3, run="variational")
+    return hist.select("run", "epoch", *[rnd(c).alias(c) for c in ("train_loss", "valid_loss", "valid_recon",
+                                                                  "valid_latent")])
+
+
 def _trial_auc(spark, sf_dir, p: dict) -> float:
     tr, va = _train_valid(spark, sf_dir)
     net = J.choose_network("plain", [64, 16, 8])

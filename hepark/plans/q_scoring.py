@@ -420,14 +420,18 @@ def combined_loss_variational(spark, sf_dir):
                     .alias("loss"))
 
 
-def _sql_w1(long: str) -> str:
-    """Area between the two classes' cumulative distributions of (dim, y, v), and its mean."""
+def _sql_w1_ctes(long: str) -> str:
+    """Area between the two classes' cumulative distributions of (dim, y, v)."""
     return f"""
 c AS (SELECT dim, v, sum((y = 1)::BIGINT) AS a, sum((y = 0)::BIGINT) AS b FROM {long} GROUP BY dim, v),
 w AS (SELECT dim, v - lag(v) OVER o AS gap, (sum(a) OVER o - a) / sum(a) OVER (PARTITION BY dim) AS fa,
              (sum(b) OVER o - b) / sum(b) OVER (PARTITION BY dim) AS fb
       FROM c WINDOW o AS (PARTITION BY dim ORDER BY v)),
-d AS (SELECT CAST(dim AS INTEGER) AS dim, sum(coalesce(gap, 0.0::DOUBLE) * abs(fa - fb)) AS w1 FROM w GROUP BY dim)
+d AS (SELECT CAST(dim AS INTEGER) AS dim, sum(coalesce(gap, 0.0::DOUBLE) * abs(fa - fb)) AS w1 FROM w GROUP BY dim)"""
+
+
+def _sql_w1(long: str) -> str:
+    return f"""{_sql_w1_ctes(long)}
 SELECT dim, {R('w1')} AS w1 FROM d UNION ALL SELECT -1, {R('avg(w1)')} FROM d"""
 
 
@@ -448,3 +452,74 @@ WITH l AS (SELECT CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
 def wasserstein_exact_features(spark, sf_dir):
     m = S.embedding_matrix(spark, sf_dir)
     return _w1_out(I.wasserstein_exact(m.filter(F.col("y") == 1), m.filter(F.col("y") == 0)))
+
+
+# ------------------------------------------------------------------ I4 with a transport loss (exact distance)
+
+def _sql_transport(loss: str) -> str:
+    """A loss of the reconstruction error ``m``, the latent vectors' mean distance to seeded normals ``t`` and
+    the head's cross entropy ``c``."""
+    return f"""WITH {NET_CTES}, e AS ({SQL_ROW_ERR}), eps AS ({_sql_noise(5, SIZES[-1])}),
+l AS (SELECT i AS dim, 1 AS y, v FROM latent UNION ALL SELECT i, 0, e FROM eps), {_sql_w1_ctes('l')},
+p AS (SELECT (SELECT avg(err) FROM e) AS m, (SELECT avg(w1) FROM d) AS t,
+             (SELECT avg({SQL_BCE_ROW}) FROM prob p JOIN ys USING (k)) AS c)
+SELECT {R(loss)} AS loss FROM p"""
+
+
+def _transport_loss(spark, sf_dir, kind, **weights):
+    s = cut_lineage(scored(spark, sf_dir).withColumn("samples", Fs.normal_noise("k", 5, SIZES[-1])))
+    w1 = I.wasserstein_exact(s.select("latent"), s.select(F.col("samples").alias("latent")), x="latent")
+    m = s.agg(F.avg(I.row_sq_err("x", "recon")).alias("m"), F.avg(I.bce_row("y", "prob")).alias("c"))
+    t = w1.where("dim is null").select(F.col("w1").alias("t")).first()["t"]     # one number
+    return m.select(rnd(I.combine_losses(kind, F.col("m"), F.col("c"), F.lit(t), **weights)).alias("loss"))
+
+
+@query("combined_loss_sinkhorn", _sql_transport("0.75::DOUBLE * m + 0.25::DOUBLE * t"))
+def combined_loss_sinkhorn(spark, sf_dir):
+    return _transport_loss(spark, sf_dir, "sinkhorn", w=0.25)
+
+
+@query("combined_loss_sinkclass", _sql_transport("m + 0.4::DOUBLE * t + 0.6::DOUBLE * c"))
+def combined_loss_sinkclass(spark, sf_dir):
+    return _transport_loss(spark, sf_dir, "sinkclass", a=0.4, b=0.6)
+
+
+# ------------------------------------------------------------------ F2 parts, J6, J7
+
+@query("variational_parts", f"""WITH pre AS ({VAR_PRE}), mu AS ({VAR_MU}), lv AS ({VAR_LV}),
+eps AS ({_sql_noise(11, VAR_SIZES[-1])})
+SELECT mu.k, mu.i AS j, {R('mu.v')} AS mu, {R('lv.v')} AS logvar, {R('mu.v + eps.e * exp(0.5::DOUBLE * lv.v)')} AS latent
+FROM mu JOIN lv ON mu.k = lv.k AND mu.i = lv.i JOIN eps ON eps.k = mu.k AND eps.i = mu.i""")
+def variational_parts(spark, sf_dir):
+    v = Fs.score_variational(S.embedding_matrix(spark, sf_dir), Fs.variational(VAR_SIZES), seed=11, scale="std")
+    z = v.select("k", F.posexplode(F.arrays_zip("mu", "logvar", "latent")).alias("j", "z"))
+    return z.select("k", F.col("j").cast("int"), *[rnd(F.col(f"z.{c}")).alias(c) for c in ("mu", "logvar", "latent")])
+
+
+@query("valid_losses", f"""WITH {NET_CTES}, e AS ({SQL_ROW_ERR}),
+pre AS ({VAR_PRE}), mu AS ({VAR_MU}), lv AS ({VAR_LV}), eps AS ({_sql_noise(11, VAR_SIZES[-1])}),
+zs AS (SELECT mu.k, mu.i, mu.v + eps.e * lv.v AS v
+       FROM mu JOIN lv ON mu.k = lv.k AND mu.i = lv.i JOIN eps ON eps.k = mu.k AND eps.i = mu.i),
+rec AS ({VAR_DEC}),
+err AS (SELECT x.k, sum((x.v - r.v) * (x.v - r.v)) / 64.0::DOUBLE AS err
+        FROM ({X_LONG}) x JOIN rec r ON x.k = r.k AND x.i = r.i GROUP BY x.k),
+smp AS ({_sql_noise(5, VAR_SIZES[-1])}),
+z AS (SELECT zs.k, zs.i, zs.v AS z, smp.e FROM zs JOIN smp ON zs.k = smp.k AND zs.i = smp.i),
+n AS (SELECT k, ln(sum(exp(z))) AS lz, ln(sum(exp(e))) AS le FROM z GROUP BY k),
+p AS (SELECT (SELECT avg(err) FROM e) AS m, (SELECT avg({SQL_BCE_ROW}) FROM prob p JOIN ys USING (k)) AS c,
+             (SELECT avg(err) FROM err) AS vm,
+             (SELECT sum(exp(e - le) * ((e - le) - (z - lz))) / count(DISTINCT z.k) FROM z JOIN n USING (k)) AS vl)
+SELECT 'vanilla' AS network, {R('m')} AS valid_loss, {R('m')} AS recon, CAST(NULL AS DOUBLE) AS class,
+       CAST(NULL AS DOUBLE) AS latent FROM p
+UNION ALL SELECT 'classifier', {R('0.7::DOUBLE * m + 0.3::DOUBLE * c')}, {R('m')}, {R('c')}, NULL FROM p
+UNION ALL SELECT 'variational', {R('0.7::DOUBLE * vm + 0.3::DOUBLE * vl')}, {R('vm')}, NULL, {R('vl')} FROM p""")
+def valid_losses(spark, sf_dir):
+    """The validation pass of a fit: component losses of registered networks (one row each)."""
+    m = S.embedding_matrix(spark, sf_dir)
+    rows = []
+    for name, sizes, kw in (("vanilla", SIZES, {}), ("classifier", SIZES, {"head": HEAD}), ("variational", VAR_SIZES, {})):
+        r = J.eval_losses(m, J.choose_network(name, sizes, **kw), w_cls=0.3, seeds=(11, 5))
+        rows.append((name, r["total"], *[r[c] for c in J.COMPONENTS]))
+    names = ["valid_loss", "recon", "class", "latent"]
+    df = spark.createDataFrame(rows, "network string, " + ", ".join(f"{c} double" for c in names))
+    return df.select("network", *[rnd(c).alias(c) for c in names])

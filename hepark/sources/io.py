@@ -43,6 +43,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that is not needed any more."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def norm_folder(spark: SparkSession, path: str, norm: str) -> str:
     """A norm's folder in the store, with Spark's own escapes for partition names."""
     name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(norm)

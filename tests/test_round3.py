@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hepark.operators import features as B
+from hepark.operators import fitting as J
 from hepark.operators import hist as G
 from hepark.operators import losses as I
 from hepark.operators import ranking as R
@@ -209,3 +210,59 @@ def test_latent_classes_one_after_another(spark, tmp_path):
     for y in (1, 0, 0):                                 # a class written twice is replaced
         A.write_latent(m.where(F.col("y") == y), path)
     assert {(r.y, r["count"]) for r in spark.read.parquet(path).groupBy("y").count().collect()} == {(0, 30), (1, 30)}
+
+
+# ------------------------------------------------------------------ fits
+
+def test_variational_gradients_match_finite_differences():
+    rng = np.random.default_rng(5)
+    X, y = rng.normal(size=(7, 5)) * 0.5, np.zeros(7)
+    noise = (rng.normal(size=(7, 2)), rng.normal(size=(7, 2)))
+    net = J.choose_network("variational", [5, 4, 2])
+    loss, grads = J.loss_and_grads(net, X, y, 0.3, noise)
+    assert abs(loss - J.batch_loss(net, X, y, 0.3, noise)) < 1e-9
+    g, theta = J._vec(net, grads), J._vec(net)
+    for i in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[i] = 1e-6
+        up, down = (J.batch_loss(J._unvec(net, theta + d), X, y, 0.3, noise) for d in (step, -step))
+        assert abs((up - down) / 2e-6 - g[i]) < 1e-5 * max(1.0, abs(g[i]))
+
+
+def test_a_step_is_shared_by_tasks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, [float(v) for v in rng.normal(size=4)]) for i in range(230)]
+    df = spark.createDataFrame(rows, "k long, y int, x array<double>")
+    tasks = J.step_tasks(spark, 100, 20)
+    assert tasks == min(5, spark.sparkContext.defaultParallelism)
+    path = J._epoch_batches(df, "k", 3, 0, 100, 20)
+    net = J.choose_network("plain", [4, 3])
+    for b, n in enumerate((100, 100, 30)):
+        batch = spark.read.schema(df.schema).parquet(f"{path}/_b={b}")
+        assert batch.rdd.getNumPartitions() == tasks
+        loss, g, count = J._grad_job(batch, net, "x", "y", 0.5)
+        held = {r["k"] for r in batch.collect()}
+        X = np.array([r[2] for r in rows if r[0] in held])
+        y = np.array([r[1] for r in rows if r[0] in held], float)
+        want, grads = J.loss_and_grads(net, X, y)
+        assert count == n == len(held)
+        assert abs(loss - want) < 1e-9 and np.allclose(g, J._vec(net, grads))
+
+
+@pytest.mark.parametrize("name,parts", [("vanilla", {"recon"}), ("plain", {"class"}), ("classifier", {"recon", "class"}),
+                                        ("variational", {"recon", "latent"})])
+def test_every_registered_network_is_fitted(spark, name, parts):
+    rng = np.random.default_rng(7)
+    rows = [(i, i % 2, [float(v) for v in rng.normal(size=6) * 0.3 + (i % 2) * 0.5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, y int, x array<double>")
+    net = J.choose_network(name, [6, 5, 3], **({"head": (3, 1)} if name == "classifier" else {}))
+    before = J.eval_losses(df, net, seeds=(0, 1))
+    best, hist = J.fit_network(df, df, net, epochs=3, batch_size=64, lr=0.02, seed=0)
+    assert J.eval_losses(df, best, seeds=(0, 1))["total"] < before["total"]
+    h = [r.asDict() for r in hist.orderBy("epoch").collect()]
+    assert [r["epoch"] for r in h] == [0, 1, 2]
+    weights = J.loss_weights(net, 0.5)
+    for r in h:
+        assert {c for c in J.COMPONENTS if r[f"valid_{c}"] is not None} == parts == set(weights)
+        assert abs(sum(w * r[f"valid_{c}"] for c, w in weights.items()) - r["valid_loss"]) < 1e-9
+    assert J.eval_losses(df.limit(0), net)["total"] == 0.0
