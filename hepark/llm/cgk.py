@@ -7,17 +7,18 @@ digits, A-Z lower-cased).
 1. Windows.  A window within e edits of an n-word item shares at least
    n - 2 - 3e of its three-word grams, on diagonals at most e off the window's
    start.  Only windows that pass this necessary condition (no loss) are hashed;
-   the items' grams are a broadcast table of at most ``BLOCK_ITEMS`` items, and
+   the items' grams are a broadcast table of about ``BLOCK_BYTES`` of item text, and
    a larger benchmark is searched block by block.
 2. The CGK random walk reads a window word by word and repeats or advances by
    random bits of (step, word), which turns edit distance into Hamming distance.
-   Each of ``walks`` walks of 2n steps is sampled by ``tables`` tables of
-   ``samples`` positions; window and item keys meet in a Spark join.
+   A walk of 2n steps is sampled by ``tables`` tables of ``samples`` positions;
+   window and item keys meet in a Spark join.  The longer an item, the more walks it
+   needs: :func:`walks_for` measures, for the item's length, how many of them bring together
+   the share ``recall`` of pairs that differ by all the edits allowed.
 3. Each pair that met is verified by its exact edit distance.
 
-A pair whose walks differ in a share x of the positions is missed with probability
-(1 - (1 - x)^samples)^(walks * tables): 1e-5 at x = 0.4 by default, and the
-neighbouring windows of a passage give further chances.
+``recall`` is the share of true (item, window) pairs at the full edit rate that meet; pairs
+of fewer edits meet more often, and the neighbouring windows of a passage give further chances.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than
 ``MIN_WORDS`` words are no evidence and take no part; a document shorter than an
@@ -28,6 +29,8 @@ are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,7 +40,7 @@ from hepark.llm.common import id_text, staged
 from hepark.llm.text import LOWER, NON_ALNUM, Words, grams, mix, pieces, whole
 
 MIN_WORDS = 8
-BLOCK_ITEMS = 50_000
+BLOCK_BYTES = 8 << 20
 Q = 3
 BITMAP = 1 << 22
 
@@ -153,40 +156,85 @@ def embed(x: np.ndarray, walk: int) -> np.ndarray:
     at, out, row = np.zeros(m, np.int64), np.empty((m, 2 * n), np.uint64), np.arange(m)
     for j in range(2 * n):
         out[:, j] = padded[row, at]
-        at = np.minimum(at + (mix(out[:, j], 1 + walk * 1009 + j) >> np.uint64(63)).astype(np.int64), n)
+        at = np.minimum(at + (mix(out[:, j], 1 + walk * 1_000_003 + j) >> np.uint64(63)).astype(np.int64), n)
     return out
 
 
-def table_keys(x: np.ndarray, walks: int, tables: int, samples: int) -> np.ndarray:
-    """rows x (walks * tables) keys of bit-sampled embeddings."""
-    n, out = x.shape[1], []
-    for walk in range(walks):
-        y = embed(x, walk)
-        for t in range(tables):
-            rng = np.random.default_rng([n, walk, t])
-            key = np.full(len(x), walk * tables + t + 1, np.uint64)
-            for p in np.sort(rng.choice(2 * n, samples, replace=False)):
-                key = mix(key ^ y[:, p], int(p))
-            out.append(key ^ np.uint64(n))
+def walk_keys(x: np.ndarray, walk: int, tables: int, samples: int) -> np.ndarray:
+    """rows x tables keys of one bit-sampled walk."""
+    n, y, out = x.shape[1], embed(x, walk), []
+    for t in range(tables):
+        rng = np.random.default_rng([n, walk, t])
+        key = np.full(len(x), walk * tables + t + 1, np.uint64)
+        for p in np.sort(rng.choice(2 * n, min(samples, 2 * n), replace=False)):
+            key = mix(key ^ y[:, p], int(p))
+        out.append(key ^ np.uint64(n))
     return np.stack(out, axis=1)
 
 
-def _keyed(walks: int, tables: int, samples: int, rows_at_once: int = 4096):
+def table_keys(x: np.ndarray, walks: int, tables: int, samples: int) -> np.ndarray:
+    """rows x (walks * tables) keys of bit-sampled embeddings."""
+    return np.concatenate([walk_keys(x, w, tables, samples) for w in range(walks)], axis=1)
+
+
+def edited_pairs(n: int, edits: int, pairs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random n-word texts and copies as long, ``edits`` edits away: as many insertions as
+    deletions, substitutions for the rest."""
+    rng = np.random.default_rng([n, edits, seed])
+    a = rng.integers(0, 1 << 63, (pairs, n), np.uint64)
+    b = np.empty_like(a)
+    for i in range(pairs):
+        both = int(rng.integers(0, edits // 2 + 1))
+        words = np.delete(a[i], rng.choice(n, both, replace=False))
+        words = np.insert(words, np.sort(rng.integers(0, len(words) + 1, both)),
+                          rng.integers(0, 1 << 63, both, np.uint64))
+        at = rng.choice(n, edits - 2 * both, replace=False)
+        words[at] = rng.integers(0, 1 << 63, len(at), np.uint64)
+        b[i] = words
+    return a, b
+
+
+@lru_cache(maxsize=4096)
+def _walks_at(n: int, rate: float, recall: float, tables: int, samples: int, pairs: int = 400) -> int:
+    a, b = edited_pairs(n, allowed(n, rate), pairs, 1)
+    apart, walks = np.ones(pairs, bool), 0
+    while apart.sum() > (1 - recall) / 2 * pairs:       # half of what may be missed: the rest is sampling error
+        apart[apart] = (walk_keys(a[apart], walks, tables, samples)
+                        != walk_keys(b[apart], walks, tables, samples)).all(axis=1)
+        walks += 1
+    return walks
+
+
+def walks_for(n: int, rate: float, recall: float, tables: int, samples: int) -> int:
+    """Walks that n-word items need: the larger of those measured at the lengths around n
+    out of a few (each a quarter above the one before)."""
+    below = size = MIN_WORDS
+    while size < n:
+        below, size = size, size * 5 // 4
+    return max(_walks_at(m, rate, recall, tables, samples) for m in (below, size))
+
+
+def _rows_at_once(n: int) -> int:
+    """Rows of n words whose walks or distances fit a few ten MB."""
+    return max(1, min(4096, (1 << 21) // n))
+
+
+def _keyed(walks: dict[int, int], tables: int, samples: int, rows_at_once: int = 4096):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, rows_at_once):
                 b = batch.slice(lo, rows_at_once)
                 size = b.column(2).to_numpy()
-                keys = np.zeros((b.num_rows, walks * tables), np.uint64)
                 words = b.column(3)
                 for n in np.unique(size):
-                    at = np.flatnonzero(size == n)
-                    x, _ = _matrix([words[int(i)].as_py() for i in at], int(n))
-                    keys[at] = table_keys(x, walks, tables, samples)
-                ptr = np.arange(b.num_rows + 1, dtype=np.int32) * keys.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns, pa.ListArray.from_arrays(pa.array(ptr), pa.array(keys.reshape(-1).view(np.int64)))],
-                    [*b.schema.names, "keys"])
+                    rows = np.flatnonzero(size == n)
+                    for some in np.split(rows, range(_rows_at_once(n), len(rows), _rows_at_once(n))):
+                        x, _ = _matrix([words[int(i)].as_py() for i in some], int(n))
+                        keys = table_keys(x, walks[int(n)], tables, samples)
+                        ptr = np.arange(len(some) + 1, dtype=np.int32) * keys.shape[1]
+                        flat = pa.array(keys.reshape(-1).view(np.int64))
+                        yield pa.RecordBatch.from_arrays([*b.take(pa.array(some)).columns, pa.ListArray.from_arrays(ptr, flat)],
+                                                         [*b.schema.names, "keys"])
     return run
 
 
@@ -210,8 +258,7 @@ def _distances(batches):
         words, items = batch.column(4), batch.column(5)
         for n in np.unique(size):
             rows = np.flatnonzero(size == n)
-            for lo in range(0, len(rows), 4096):
-                at = rows[lo:lo + 4096]
+            for at in np.split(rows, range(_rows_at_once(n), len(rows), _rows_at_once(n))):
                 x, length = _matrix([words[int(i)].as_py() for i in at], int(n))
                 y, _ = _matrix([items[int(i)].as_py() for i in at], int(n))
                 dist[at] = edit_distance(y, x, length)
@@ -221,13 +268,17 @@ def _distances(batches):
 
 def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    item_col: str = "item_id", item_text: str = "text", rate: float = 0.2,
-                   walks: int = 4, tables: int = 12, samples: int = 3) -> DataFrame:
+                   recall: float = 0.95, tables: int = 12, samples: int = 3) -> DataFrame:
     """doc_id, item_id, start, n, distance: the best window (least distance, then
-    start) of each document and item that match."""
+    start) of each document and item that match; ``recall`` (below 1) of them at the full edit
+    rate are found."""
+    if not 0 < recall < 1:
+        raise ValueError("recall lies between 0 and 1")
     spark, docs = docs.sparkSession, id_text(docs, id_col, text_col)
     items = items.select(F.col(item_col).cast("long").alias("item_id"),
                          F.col(item_text).cast("string").alias("text")).distinct()
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_BYTES))
     out = None
     for b in range(blocks):
         part = items.where(F.expr(f"pmod(xxhash64(text), {blocks}) = {b}")) if blocks > 1 else items
@@ -240,6 +291,7 @@ def contaminations(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         rows = spark.createDataFrame([(i, 0, len(h), h.tobytes()) for i, h in known],
                                      "item_id long, start int, n int, words binary")
         keys = "start int, n int, words binary, keys array<long>"
+        walks = {n: walks_for(n, rate, recall, tables, samples) for n in {len(h) for _, h in known}}
         hashing = _keyed(walks, tables, samples)
         theirs = rows.mapInArrow(hashing, f"item_id long, {keys}").select(
             "item_id", F.col("words").alias("item_words"), F.explode("keys").alias("key"))
