@@ -14,7 +14,7 @@ memory is bounded whatever the table's size, and only the k best of each query
 and block leave it.  Every row is indexed; nothing is fitted.
 
 Edge cases: vectors that are null, empty, zero or hold a null or non-finite
-component take no part; vectors of different dimensions are never compared;
+component take no part; finite vectors of any length do, however huge or tiny; vectors of different dimensions are never compared;
 ties go to the smaller vec_id; a row with a null vec_id takes no part; rows that
 share a vec_id count as one (the first by components); a query with fewer than
 k candidates gets all; empty tables give no rows; other columns are ignored.
@@ -40,9 +40,16 @@ def directions(dim: int, m: int) -> np.ndarray:
     return np.concatenate(parts, axis=1)[:, :m] * np.sqrt(dim)
 
 
+def unit_scale(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to [0.5, 1): exact,
+    so the cosine is that of the rows themselves, but squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, m: int,
                  threshold: float, start: float, growth: float, verify_share: float):
     """The k best of one block for each query: (query, vec, score) arrays."""
+    x, q = unit_scale(x), unit_scale(q)
     norm, qnorm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
     a = directions(x.shape[1], m)
     p, pq = (x / norm[:, None]) @ a, (q / qnorm[:, None]) @ a
