@@ -38,6 +38,7 @@ subhuman degenerate""".split()
 PREFIXES = (4, 5, 6)
 PATTERNS = 4
 FOLDS = 5
+HASHES = 1 << 60
 
 
 def fold(doc_id: Column) -> Column:
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 20_000, max_terms: in
     labels = staged(labels, "toxic-labels")
     n = labels.count()
     if n > max_fit:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1e6 * max_fit / n))
+        labels = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HASHES)) < HASHES * max_fit // n)
     sample = staged(docs.join(labels, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text"),
                     "toxic-sample")
     n, n_pos = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
