@@ -5,7 +5,9 @@ digits and single spaces), and those equal to a known licence sentence become
 identifiers.  A sentence ends at . ! or ? before white space ("v." before a number
 excepted), at a blank line (also one of comment marks) and at the text's end.  Line
 ends, ; and : may end it or lie within, so wrapped and commented texts match; where
-several known sentences begin at one place the longest counts.  The sequence of a document's identifiers is matched against
+several known sentences begin at one place the longest counts.  Sentences that name a
+licence ("this project is released under the X license") are one template with slots: a
+subject, a verb, a name out of :func:`licence_names` and a closing; so are SPDX tags.  The sequence of a document's identifiers is matched against
 ordered rules: a licence is found where all its sentences occur in order, other
 known sentences between them allowed.
 
@@ -17,6 +19,7 @@ apart; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +86,72 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("Unlicense", ("unlicense_grant",)),
 ]
 
+# Names of licences (as normalised, without a last "license").
+NAMES: dict[str, str] = {
+    "mit": "MIT", "mit x11": "MIT", "expat": "MIT",
+    "apache 2": "Apache-2.0", "apache 2 0": "Apache-2.0", "apache v2": "Apache-2.0", "apache v2 0": "Apache-2.0",
+    "apache version 2 0": "Apache-2.0", "apache license 2 0": "Apache-2.0", "apache license v2 0": "Apache-2.0",
+    "apache license version 2 0": "Apache-2.0", "apache software license 2 0": "Apache-2.0",
+    "bsd 2 clause": "BSD-2-Clause", "2 clause bsd": "BSD-2-Clause", "simplified bsd": "BSD-2-Clause",
+    "bsd 3 clause": "BSD-3-Clause", "3 clause bsd": "BSD-3-Clause", "new bsd": "BSD-3-Clause",
+    "modified bsd": "BSD-3-Clause", "revised bsd": "BSD-3-Clause",
+    "isc": "ISC", "zlib": "Zlib", "unlicense": "Unlicense", "wtfpl": "WTFPL", "0bsd": "0BSD",
+    "mpl 2 0": "MPL-2.0", "mpl v2 0": "MPL-2.0", "mozilla public license 2 0": "MPL-2.0",
+    "mozilla public license v2 0": "MPL-2.0", "mozilla public license v 2 0": "MPL-2.0",
+    "mozilla public license version 2 0": "MPL-2.0",
+    "epl 2 0": "EPL-2.0", "eclipse public license 2 0": "EPL-2.0", "eclipse public license v 2 0": "EPL-2.0",
+    "boost software license 1 0": "BSL-1.0", "boost software license version 1 0": "BSL-1.0", "bsl 1 0": "BSL-1.0",
+    "cc0": "CC0-1.0", "cc0 1 0": "CC0-1.0", "cc0 1 0 universal": "CC0-1.0",
+    "creative commons zero": "CC0-1.0", "creative commons zero v1 0 universal": "CC0-1.0",
+    "creative commons cc0 1 0 universal": "CC0-1.0",
+}
+GNU = {"GPL": ("general", ("2.0", "3.0")), "LGPL": ("lesser general", ("2.1", "3.0")), "AGPL": ("affero general", ("3.0",))}
+CC = {"BY": "attribution", "NC": "noncommercial", "SA": "sharealike", "ND": "noderivatives"}
+CC_KINDS = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+
+
+def licence_names() -> dict[str, str]:
+    """Every form of a licence's name -> its SPDX identifier: the fixed names, and those of the
+    GNU and Creative Commons families by rule (family x version x way to write both)."""
+    out = dict(NAMES)
+    for short, (kind, versions) in GNU.items():
+        low = short.lower()
+        names = (low, f"gnu {low}", f"{kind} public license", f"gnu {kind} public license")
+        for name, version in product(names, versions):
+            full = version.replace(".", " ")
+            for number in {full, full.removesuffix(" 0")}:
+                for form in (f"{name} {number}", f"{name} v{number}", f"{name}v{number}", f"{name} version {number}"):
+                    out[form] = out[f"{form} only"] = f"{short}-{version}"
+                    out |= {f"{form} {later}": f"{short}-{version}-or-later" for later in ("or later", "or any later version")}
+    for kind, version in product(CC_KINDS, ("3.0", "4.0")):
+        words = [CC[k] for k in kind.split("-")]
+        number = version.replace(".", " ")
+        apart = [{"noncommercial": "non commercial", "sharealike": "share alike", "noderivatives": "no derivatives"}.get(w, w)
+                 for w in words]
+        for name in (normalise(f"CC {kind}"), "creative commons " + " ".join(words), "creative commons " + " ".join(apart)):
+            for place in ("", " international", " unported"):
+                out[f"{name} {number}{place}"] = f"CC-{kind}-{version}"
+    return out
+
+
+def reference(names: str, gap: str) -> str:
+    """The pattern of a sentence that names a licence: ``names`` is the slot, ``gap`` stands
+    between words."""
+    def alt(words: str) -> str:
+        return "(?:" + "|".join(w.replace(" ", gap) for w in words.split("|")) + ")"
+
+    subject = f"(?:{alt('this|the|all|our|its')}{gap})?(?:{alt('source code|project|software|code|work|program|library|package|repository|file|module|content|documentation|it')}{gap})?" \
+              f"(?:{alt('is free software|is|are')}{gap})?"
+    verb = f"{alt('licensed|licenced|released|distributed|made available|available|published|provided|shared|offered')}{gap}under" \
+           f"(?:{gap}{alt('the|a|an')})?(?:{gap}terms(?:{gap}and{gap}conditions)?{gap}of(?:{gap}the)?)?"
+    closing = f"(?:{gap}licen[sc]e)?(?:{gap}see(?:{gap}the)?{gap}licen[sc]e(?:{gap}{alt('file|md|txt')})*(?:{gap}for(?:{gap}more)?{gap}details)?)?"
+    return f"(?:{subject}{verb}|spdx{gap}license{gap}identifier){gap}{names}{closing}"
+
+
+def slot(names: dict[str, str], gap: str) -> str:
+    return "|".join(n.replace(" ", gap) for n in sorted(names, key=lambda n: (-len(n), n)))
+
+
 #: Steps on the lower-cased text.  Marks are capitals, which it lacks: H ends a
 #: sentence, S (; and :) and N (a line end) may.
 STEPS = (
@@ -104,11 +173,14 @@ def normalise(sentence: str) -> str:
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   sentences: dict[str, str] | None = None,
-                  rules: list[tuple[str, tuple[str, ...]]] | None = None) -> DataFrame:
+                  rules: list[tuple[str, tuple[str, ...]]] | None = None,
+                  names: dict[str, str] | None = None) -> DataFrame:
     """doc_id, ``sentence_ids`` (in text order), ``licenses`` (sorted names).
 
     The tables are parameters of fixed size: literals of the plan."""
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, names = sentences or SENTENCES, names or licence_names()
+    rules = (rules or RULES) + [(name, (f"ref:{name}",)) for name in sorted(set(names.values()))]
+    named = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.lit(f"ref:{i}") for i in names.values()]))
     known = F.map_from_arrays(F.array(*[F.lit(s) for s in sentences]),
                               F.array(*[F.lit(i) for i in sentences.values()]))
     # a text that holds none of the known sentences' first words has no match
@@ -117,14 +189,17 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     covered = all(set(s.split()) & set(hints) for s in sentences)
     hint = F.lit(True)
     if covered:
-        hint = F.regexp_like(F.col("lower"), F.lit("|".join(hints)))
+        hint = F.regexp_like(F.col("lower"), F.lit("|".join([*hints, NAMING])))
     marked = F.col("lower")
     for pattern, mark in STEPS:
         marked = F.regexp_replace(marked, pattern, mark)
     ways = "|".join("[ SN]++".join(x.split()) for x in sorted(sentences, key=len, reverse=True))
-    ids = F.transform(
+    ways += "|" + reference(f"(?:{slot(names, '[ SN]++')})", "[ SN]++")
+    found = F.transform(
         F.regexp_extract_all(F.concat(F.lit("H"), marked, F.lit("H")), F.lit(f"[HSN] ?({ways})(?= ?[HSN])"), F.lit(1)),
-        lambda s: F.element_at(known, F.regexp_replace(s, "[ SN]+", " ")))
+        lambda s: F.regexp_replace(s, "[ SN]+", " "))
+    ids = F.transform(found, lambda s: F.coalesce(F.element_at(known, s), F.element_at(
+        named, F.regexp_extract(s, f"^{reference(f'({slot(names, chr(32))})', ' ')}$", 1))))
     docs = id_text(docs, id_col, text_col).select("doc_id", lower.alias("lower")).select(
         "doc_id", F.when(hint, F.filter(ids, lambda i: i.isNotNull()))
         .otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
@@ -139,6 +214,9 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 HINTS = {"license", "licensed", "permission", "copyright", "software", "redistribution", "warranties",
          "warranty", "redistributions", "licenses"}
 
+#: How a sentence that names a licence shows, in texts without those words.
+NAMING = r"(?:released|distributed|available|published|provided|shared|offered)[^a-z0-9]+under|licenced|spdx"
+
 
 def query(docs: DataFrame) -> DataFrame:
     return find_licenses(docs).select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"),
@@ -150,14 +228,20 @@ def oracle() -> str:
     """The same in DuckDB SQL, from the same tables."""
     keys = ", ".join("'" + s + "'" for s in SENTENCES)
     vals = ", ".join("'" + i + "'" for i in SENTENCES.values())
+    names = licence_names()
+    forms, refs = ", ".join(f"'{n}'" for n in names), ", ".join(f"'ref:{i}'" for i in names.values())
+    ref = f"^{reference(f'({slot(names, chr(32))})', ' ')}$"
     hits = ", ".join(f"CASE WHEN regexp_matches(seq, '{'.*'.join(f' {i} ' for i in way)}', 's') THEN '{name}' END"
-                     for name, way in RULES)
+                     for name, way in RULES + [(n, (f"ref:{n}",)) for n in sorted(set(names.values()))])
     return rf"""
 WITH s AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 c AS (SELECT doc_id, list_filter(list_transform(
-        regexp_split_to_array(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-            '[\r\n]+|[.!?;:]+(\s|$)', chr(10), 'g'), '\n'),
-        lambda x: map([{keys}], [{vals}])[trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))]), lambda x: x IS NOT NULL) AS ids FROM s),
+        list_transform(regexp_split_to_array(regexp_replace(regexp_replace(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            'spdx-license-identifier: ', 'spdx license identifier ', 'g'), '[\r\n]+|[.!?;:]+(\s|$)', chr(10), 'g'), '\n'),
+            lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))),
+        lambda x: coalesce(map([{keys}], [{vals}])[x], map([{forms}], [{refs}])[regexp_extract(x, '{ref}', 1)])),
+        lambda x: x IS NOT NULL) AS ids FROM s),
 q AS (SELECT doc_id, ids, ' ' || array_to_string(ids, '  ') || ' ' AS seq FROM c)
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
        coalesce(array_to_string(list_sort(list_distinct(list_filter([{hits}], lambda x: x IS NOT NULL))), ','), '') AS licenses
