@@ -1,16 +1,20 @@
 """Fitting, model selection and run history.
 
-Every step of J1, executors compute gradient sums of the current mini-batch with the
-broadcast weights (``mapInArrow``, one packed vector per partition), a tree-shaped
-``treeAggregate`` combines the per-partition vectors, and the driver applies the small Adam
-update.  The driver only ever holds the weights and the gradient vector
-(size = #parameters).  Each epoch gets a seeded md5 batch assignment written
-once as a batch-partitioned table in which a batch is several files, so a step scans one
-batch with as many tasks as its rows are worth, and runs are reproducible.
+Steps of J1 depend on each other, so their number grows with the rows and a step has to be
+cheap.  Each epoch gets a seeded md5 batch assignment, written once as a table partitioned
+by *segment*, and a job's task gets about ``ROWS_PER_TASK`` rows.  A batch of more rows is a
+segment of its own: executors compute gradient sums with the broadcast weights
+(``mapInArrow``, one packed vector per partition), a tree-shaped ``treeAggregate`` combines
+them, and the driver applies the small Adam update.  Of smaller batches a segment holds
+several, whose steps one task makes one after another; the next segment's task goes
+on from its weights and moments.  The driver only ever holds vectors of the size of the
+weights, and runs are reproducible.
 """
 
 from __future__ import annotations
 
+import copy
+import itertools
 import math
 from collections.abc import Callable
 from typing import Sequence
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hepark.functions.exprs import order_key
 from hepark.operators import scoring as Fs
@@ -296,8 +301,8 @@ def eval_loss(df: DataFrame, net: dict, x: str = "x", label: str = "y", w_cls: f
     return eval_losses(df, net, x, label, w_cls, key, seeds)["total"]
 
 
-#: Rows of a batch that are worth a task of their own.
-ROWS_PER_TASK = 64
+#: Rows that are worth a task: about as long a gradient as it takes to start a job.
+ROWS_PER_TASK = 8192
 
 
 def step_tasks(spark: SparkSession, batch_size: int, rows_per_task: int = ROWS_PER_TASK) -> int:
@@ -305,10 +310,17 @@ def step_tasks(spark: SparkSession, batch_size: int, rows_per_task: int = ROWS_P
     return max(1, min(spark.sparkContext.defaultParallelism, math.ceil(batch_size / rows_per_task)))
 
 
+def segment_steps(batch_size: int, rows_per_task: int = ROWS_PER_TASK) -> int:
+    """Consecutive batches of a segment: as many as make up a task's rows, whatever the
+    table's size."""
+    return max(1, rows_per_task // batch_size)
+
+
 def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: int,
-                   rows_per_task: int = ROWS_PER_TASK) -> str:
-    """Write one epoch's batches as a table partitioned by batch id in the
-    shared checkpoint folder; a step then reads only its own partition.
+                   rows_per_task: int = ROWS_PER_TASK, steps: int = 1) -> str:
+    """Write one epoch's batches as a table partitioned by segment (``_b``: ``steps``
+    consecutive batches, by default one) in the shared checkpoint folder; a job then reads
+    only its own partition, in which ``_step`` is the batch.
 
     Rows are put in a seeded md5 order, positioned with the distributed
     ordered scan, and cut into batches of exactly ``batch_size`` rows (the last
@@ -321,12 +333,74 @@ def _epoch_batches(tr: DataFrame, key: str, seed: int, epoch: int, batch_size: i
     eb = positions(tr.withColumn("_o", order_key(key, seed * 100003 + epoch)), [], "_o", out="_pos",
                    hex_order=True)
     tasks = step_tasks(tr.sparkSession, batch_size, rows_per_task)
-    eb = eb.withColumn("_b", F.floor((F.col("_pos") - 1) / F.lit(int(batch_size))).cast("int")) \
+    eb = eb.withColumn("_step", F.floor((F.col("_pos") - 1) / F.lit(int(batch_size))).cast("int")) \
+        .withColumn("_b", F.floor(F.col("_step") / F.lit(int(steps))).cast("int")) \
         .withColumn("_t", F.pmod(F.col("_pos"), F.lit(tasks)).cast("int")).drop("_o", "_pos")
     eb.repartition("_b", "_t").write.partitionBy("_b", "_t").parquet(path)
     return path
 
 
+class Adam:
+    """Weights as one vector with Adam's moments; ``step`` takes a mean gradient."""
+
+    def __init__(self, theta: np.ndarray, lr: float):
+        self.theta, self.lr, self.t = theta, lr, 0
+        self.m, self.v = np.zeros_like(theta), np.zeros_like(theta)
+
+    def step(self, g: np.ndarray, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> None:
+        self.t += 1
+        self.m = b1 * self.m + (1 - b1) * g
+        self.v = b2 * self.v + (1 - b2) * g * g
+        self.theta = self.theta - self.lr * (self.m / (1 - b1 ** self.t)) / (
+            np.sqrt(self.v / (1 - b2 ** self.t)) + eps)
+
+
+def _by_step(net: dict, batches):
+    """(step, X, y, noise) of each run of equal steps in Arrow batches whose last column is
+    the step."""
+    for b in batches:
+        step = b.column(b.num_columns - 1).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, step[1:] != step[:-1], True]) if len(step) else []
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            held = b.slice(lo, hi - lo).select(list(range(b.num_columns - 1)))
+            for X, y, noise in _blocks(net, [held]):
+                yield int(step[lo]), X, y, noise
+
+
+def _segment_job(df: DataFrame, net: dict, opt: Adam, x: str, label: str, w_cls: float, key: str = "k",
+                 seeds: tuple[int, int] = (0, 1)) -> tuple[Adam, list[float]]:
+    """The optimiser after the steps of one segment's batches (column ``_step``), and the
+    mean loss of each batch: one job of one task, which streams the segment's rows - not more
+    than a task is worth - in the order of their steps."""
+    bc = df.sparkSession.sparkContext.broadcast((net, opt))
+    rows = df.select(*_block_columns(df, net, x, label, key, seeds), "_step").coalesce(1) \
+        .sortWithinPartitions("_step")
+
+    def run(batches):
+        cur, opt = bc.value
+        opt, losses = copy.copy(opt), []
+        for _, parts in itertools.groupby(_by_step(cur, batches), key=lambda r: r[0]):
+            tot, cnt, loss = np.zeros_like(opt.theta), 0, 0.0
+            for _, X, y, noise in parts:
+                lo, gr = loss_and_grads(cur, X, y, w_cls, noise)
+                tot += _vec(cur, gr)
+                loss += lo
+                cnt += len(y)
+            opt.step(tot / cnt)
+            cur = _unvec(cur, opt.theta)
+            losses.append(loss / cnt)
+        yield pa.RecordBatch.from_pydict({"t": [opt.t], "losses": [np.array(losses, float).tobytes()],
+                                          **{n: [getattr(opt, n).tobytes()] for n in ("theta", "m", "v")}})
+
+    r = rows.mapInArrow(run, "t long, losses binary, theta binary, m binary, v binary").collect()
+    bc.destroy()
+    if not r:                                      # a segment without files
+        return opt, []
+    new = Adam(np.frombuffer(r[0]["theta"]).copy(), opt.lr)
+    new.t, new.m, new.v = int(r[0]["t"]), np.frombuffer(r[0]["m"]).copy(), np.frombuffer(r[0]["v"]).copy()
+    return new, np.frombuffer(r[0]["losses"]).tolist()
+
+
 def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5, batch_size: int = 256,
                 lr: float = 0.01, seed: int = 0, key: str = "k", x: str = "x", label: str = "y",
                 w_cls: float = 0.5, patience: int = PATIENCE_AE, run: str = "run",
@@ -334,8 +408,9 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
     """Mini-batch Adam with best-validation weights and early stopping.
 
     Each epoch's batches (seeded order, exact batch size, last one short) are
-    written once as a batch-partitioned table, so a step reads one batch, not
-    the whole set, with several tasks; the table goes when the epoch is over.
+    written once as a table partitioned by segment, so a job reads one segment, not
+    the whole set; the table goes when the epoch is over.  ``rows_per_task`` says whether
+    a job is several steps in one task or one step shared by several tasks.
     Networks that sample their latent vector draw new seeded noise every epoch and are
     validated on the same noise each time.
     Returns (best network, history DataFrame of run, epoch, train_loss,
@@ -349,28 +424,28 @@ def fit_network(train: DataFrame, valid: DataFrame, net: dict, epochs: int = 5,
     va = valid.select(key, x, label).persist(StorageLevel.MEMORY_AND_DISK)
     n = tr.count()
     n_batches = max(1, math.ceil(n / batch_size))
-    theta = _vec(net)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    t = 0
+    opt = Adam(_vec(net), lr)
+    schema = T.StructType([*tr.schema.fields, T.StructField("_step", T.IntegerType())])
+    shared = step_tasks(spark, batch_size, rows_per_task) > 1
+    steps = segment_steps(batch_size, rows_per_task)
     best, best_loss, no_imp = net, float("inf"), 0
     hist = []
     cur = net
     for ep in range(epochs):
-        path = _epoch_batches(tr, key, seed, ep, batch_size, rows_per_task)
+        path = _epoch_batches(tr, key, seed, ep, batch_size, rows_per_task, steps)
         batch_losses = []
-        for b in range(n_batches):  # exact sizes: ids 0..n_batches-1
-            rows = spark.read.schema(tr.schema).parquet(f"{path}/_b={b}")
-            loss, g, cnt = _grad_job(rows, cur, x, label, w_cls, key, (noise + 2 * ep, noise + 2 * ep + 1))
-            if cnt == 0:
-                continue
-            g = g / cnt
-            t += 1
-            m = b1 * m + (1 - b1) * g
-            v = b2 * v + (1 - b2) * g * g
-            theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-            cur = _unvec(net, theta)
-            batch_losses.append(loss / cnt)
+        for first in range(0, n_batches, steps):  # exact sizes: ids 0..n_batches-1
+            rows = spark.read.schema(schema).parquet(f"{path}/_b={first // steps}")
+            seeds = (noise + 2 * ep, noise + 2 * ep + 1)
+            if shared:
+                loss, g, cnt = _grad_job(rows, cur, x, label, w_cls, key, seeds)
+                losses = [loss / cnt] if cnt else []
+                if cnt:
+                    opt.step(g / cnt)
+            else:
+                opt, losses = _segment_job(rows, cur, opt, x, label, w_cls, key, seeds)
+            cur = _unvec(cur, opt.theta)
+            batch_losses += losses
         remove(spark, path)
         train_loss = float(np.mean(batch_losses)) if batch_losses else float("nan")
         losses = eval_losses(va, cur, x, label, w_cls, key, (noise - 2, noise - 1))

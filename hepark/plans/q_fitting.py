@@ -84,7 +84,7 @@ def _trial_auc(spark, sf_dir, p: dict) -> float:
 @query("grid_best")
 def grid_best(spark, sf_dir):
     trials = [{"lr": lr, "batch_size": b} for lr in (0.01, 0.001) for b in (128, 256)]
-    res = J.grid_search(trials, lambda p: _trial_auc(spark, sf_dir, p))
+    res = J.grid_search(trials, lambda p: _trial_auc(spark, sf_dir, p), parallelism=len(trials))
     df = spark.createDataFrame(res, "trial int, params string, metric double")
     return J.best_trial(df, "metric", higher=True).select("trial", "params", rnd("metric").alias("auc"))
 
