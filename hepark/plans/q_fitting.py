@@ -93,7 +93,7 @@ def grid_best(spark, sf_dir):
 def random_search(spark, sf_dir):
     t = J.random_trials(spark, 3, seed=9).collect()  # the trial table: #trials rows
     res = J.grid_search([{"lr": r["lr"], "batch_size": r["batch_size"]} for r in t],
-                        lambda p: _trial_auc(spark, sf_dir, p))
+                        lambda p: _trial_auc(spark, sf_dir, p), parallelism=len(t))
     df = spark.createDataFrame(res, "trial int, params string, metric double")
     return J.best_trial(df, "metric", higher=True).select("trial", "params", rnd("metric").alias("auc"))
 
