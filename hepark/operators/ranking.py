@@ -47,7 +47,7 @@ ROW_BYTES_PER_COLUMN = 16
 BROADCAST_BOUNDS_BYTES = 64 * 1024 * 1024
 
 
-def _input_bytes(df: DataFrame) -> int | None:
+def input_bytes(df: DataFrame) -> int | None:
     """Size of the plan's inputs (no job); None if one is unknown (rows of an RDD).  The
     inputs' sizes are added; Catalyst's own estimate of a join multiplies them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -58,7 +58,7 @@ def _input_bytes(df: DataFrame) -> int | None:
 def _default_buckets(df: DataFrame) -> int:
     """Hash buckets per group from the size of the plan's inputs: one per 256
     MiB, at least 64, a multiple of 32.  An input of unknown size costs a count."""
-    size = _input_bytes(df)
+    size = input_bytes(df)
     if size is None:
         size = df.count() * ROW_BYTES_PER_COLUMN * len(df.columns)
     b = max(DEFAULT_BUCKETS, -(-size // BYTES_PER_BUCKET))
@@ -106,7 +106,7 @@ def _range_count(df: DataFrame) -> int:
     """Ranges of the whole table: the session's shuffle partitions, more where the
     plan's inputs hold over 256 MiB for each."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(floor, -(-(_input_bytes(df) or 0) // BYTES_PER_BUCKET))
+    return max(floor, -(-(input_bytes(df) or 0) // BYTES_PER_BUCKET))
 
 
 def range_buckets(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], buckets: int,

@@ -14,6 +14,7 @@ from hepark.operators import roc as H
 from hepark.operators import sampling as D
 from hepark.operators import scaling as E
 from hepark.operators import scoring as Fs
+from hepark.operators.ranking import input_bytes
 from hepark.plans import standins as S
 from hepark.plans.q_roc import SQL_FOLD_METRICS_RAW, _sql_auc_raw
 from hepark.plans.q_sampling import SEED, SQL_SPLIT_SK
@@ -166,18 +167,30 @@ def _ingest_flat_sql() -> str:
     return _sql_flat_long("btag")
 
 
+#: Chunks (triggers) that the wide table is streamed in, and the input bytes worth a file.
+CHUNKS = 4
+FILE_BYTES = 32 << 20
+
+
+def _files_per_chunk(df) -> int:
+    """Files of a chunk: they follow the bytes of the plan's inputs, so a file, which one
+    task writes, stays bounded."""
+    return max(1, -(-(input_bytes(df) or 0) // (CHUNKS * FILE_BYTES)))
+
+
 @query("ingest_flat_features", _ingest_flat_sql())
 def ingest_flat_features(spark, sf_dir):
     """A2 on the reference's own input form: the wide raw event table, stored
-    as several files, is streamed one file per trigger through binarise ->
+    as several files, is streamed in chunks of files through binarise ->
     select -> project -> assemble; the sink must equal the batch result."""
     from hepark.plans.q_features import _long_out, raw_events
     src = A.scratch_path(spark, "raw-events")
     raw = raw_events(spark, sf_dir)
-    raw.repartition(4, "event_id").write.parquet(src)
+    files = _files_per_chunk(raw)
+    raw.repartition(CHUNKS * files, "event_id").write.parquet(src)
     schema = spark.read.parquet(src).schema
     sink = A.scratch_path(spark, "flat-out")
     ckpt = A.scratch_path(spark, "flat-ckpt")
     ingest_incremental(spark, src, schema, sink, ckpt,
-                       lambda d: B.flatten_events(d, "btag"), files_per_trigger=1)
+                       lambda d: B.flatten_events(d, "btag"), files_per_trigger=files)
     return _long_out(spark.read.parquet(sink))

@@ -41,3 +41,24 @@ def test_jobs_of_a_fit_do_not_follow_its_steps(spark):
                  for b in (120, 5))
     df.unpersist()
     assert few == many                              # 2 steps, 48 steps
+
+
+def test_files_of_the_wide_table_follow_the_input(spark, tmp_path, monkeypatch):
+    from hepark.plans import q_features, q_io
+    spark.sql("""SELECT id AS l_orderkey, 1000.0D * (id % 7 + 1) AS l_extendedprice, 0.02D AS l_tax, 5.0D AS l_quantity,
+                 0.03D AS l_discount, IF(n = 0, 'R', 'N') AS l_returnflag
+                 FROM range(300) LATERAL VIEW explode(sequence(0, 5)) AS n""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, 7000.0D AS o_totalprice, id AS o_custkey, 'F' AS o_orderstatus FROM range(300)") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+
+    def ingest(spark, src, *args, files_per_trigger, run=q_io.ingest_incremental):
+        seen.append((spark.read.parquet(src).inputFiles(), files_per_trigger))
+        run(spark, src, *args, files_per_trigger=files_per_trigger)
+
+    monkeypatch.setattr(q_io, "ingest_incremental", ingest)
+    want = sorted(map(tuple, q_features.flat_from_wide(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(q_io, "FILE_BYTES", 1024, raising=False)
+    assert sorted(map(tuple, q_io.ingest_flat_features(spark, str(tmp_path)).collect())) == want and want
+    files, per_trigger = seen[0]
+    assert len(files) > q_io.CHUNKS and per_trigger * q_io.CHUNKS >= len(files)
