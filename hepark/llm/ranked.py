@@ -13,7 +13,8 @@ length, all in 64-bit integers (``impacts``).
    of its own) and stores per block the posting list of every term with its largest
    impact, and, for pairs of terms that items use, the list of the documents that hold
    both with their joint impacts and the largest of them.  A block is one row, so
-   nothing is shuffled and no term, however frequent, meets in one task.
+   nothing is shuffled and no term, however frequent, meets in one task, and one row
+   group of its file, so a reader holds one block, however many the file has.
 3. Search: a task walks through its blocks and keeps each item's ``k`` best so far;
    their least score is the threshold.  An item's terms, rarest last, are paired.  A
    pair can add at most the largest of its two term maxima and its joint maximum,
@@ -338,9 +339,9 @@ def _search_block(docs: DataFrame, items: list, k: int) -> DataFrame | None:
     groups = pair_up(voc.items, weight)
     pairs = sorted({g for own in groups for g in own if len(g) == 2})
     query = spark.sparkContext.broadcast((voc, weight, groups, pairs))
-    # rows are large: small row groups keep what a reader holds small
+    # rows are large: a row group each, as a reader holds the rows of a group at once
     index = staged(vectors.mapInArrow(_indexed(query, n_docs, total), INDEX), "ranked-index",
-                   **{"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1})
+                   **{"parquet.block.row.count.limit": 1})
     return index.mapInArrow(_searched(query, k), "query int, item_id long, doc_id long, score long")
 
 
